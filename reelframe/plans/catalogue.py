@@ -1,0 +1 @@
+"""Queries over catalogue tables."""
