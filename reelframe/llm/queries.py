@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import orc_tokens, packing, separators
+from reelframe.llm import nearcopies, orc_tokens, packing, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -28,8 +32,12 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, SEPARATOR)
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minimum_bin_slack, op8_orc_token_files, op9_separator_scan]
+    found = [op4_minimum_bin_slack, op6_count_min_substrings, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
     return {f.__name__: f for f in found}
 
 
