@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import nearcopies, orc_tokens, packing, separators, substrings
+from reelframe.llm import embeddings, mixing, nearcopies, orc_tokens, packing, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,14 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 50256
 
 
+def op1_p_stable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -37,7 +45,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minimum_bin_slack, op6_count_min_substrings, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
+    found = [op1_p_stable_vectors, op2_pivotal_mixing, op4_minimum_bin_slack, op6_count_min_substrings, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
     return {f.__name__: f for f in found}
 
 
