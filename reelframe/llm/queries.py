@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import embeddings, mixing, nearcopies, orc_tokens, packing, separators, substrings
+from reelframe.llm import embeddings, licences, mixing, nearcopies, orc_tokens, packing, quality, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,10 +28,18 @@ def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -45,7 +53,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_p_stable_vectors, op2_pivotal_mixing, op4_minimum_bin_slack, op6_count_min_substrings, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
+    found = [op1_p_stable_vectors, op2_pivotal_mixing, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
     return {f.__name__: f for f in found}
 
 
