@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import embeddings, licences, mixing, nearcopies, orc_tokens, packing, quality, separators, substrings
+from reelframe.llm import embeddings, licences, mixing, nearcopies, orc_tokens, packing, quality, quotations, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -53,9 +57,9 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_p_stable_vectors, op2_pivotal_mixing, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
+    found = [op1_p_stable_vectors, op2_pivotal_mixing, op3_quotation_linking, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op3_quotation_linking.__name__: quotations.SQL}
