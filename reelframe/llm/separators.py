@@ -1,7 +1,7 @@
 """Operator 9: token counts of documents in flat token files without an index.
 
-A token file is a stream of unsigned 32-bit ids, documents one after another, each closed by the
-separator id, stored as blocks of a fixed number of ids that pay no heed to documents.  Each block is
+A token file is a stream of unsigned ids (16 bits wide where the separator fits, else 32), documents one
+after another, each closed by the separator id, stored as blocks of a fixed number of ids that pay no heed to documents.  Each block is
 searched for the separator in one vectorised step.  A prefix scan over the blocks of a file then gives
 each block the number of documents and the last separator before it, which stitches documents that
 cross blocks.
@@ -27,9 +27,13 @@ from reelframe.llm.words import chunks
 BLOCK = 1 << 16
 
 
+def id_type(separator: int) -> str:
+    return "<u2" if separator < 1 << 16 else "<u4"
+
+
 def streaming(tokenizer: str, separator: int, block: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, number, ordinal, rest = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint32)
+        file, number, ordinal, rest = TaskContext.get().partitionId(), 0, 0, np.zeros(0, id_type(separator))
 
         def rows(blobs: list[bytes], docs: pa.Array | None) -> pa.RecordBatch:
             nonlocal number, ordinal
@@ -41,7 +45,7 @@ def streaming(tokenizer: str, separator: int, block: int):
 
         for part, _, _ in chunks(batches):
             ids, counts = encoder(tokenizer, plain=True).encode([t or "" for t in part.column("text").to_pylist()])
-            stream = np.concatenate([rest, np.insert(ids, np.cumsum(counts), separator).astype("<u4")])
+            stream = np.concatenate([rest, np.insert(ids, np.cumsum(counts), separator).astype(id_type(separator))])
             whole = len(stream) // block * block
             rest = stream[whole:]
             yield rows([stream[k : k + block].tobytes() for k in range(0, whole, block)], part.column("doc_id"))
@@ -52,10 +56,10 @@ def streaming(tokenizer: str, separator: int, block: int):
 
 
 def write_stream(docs: DataFrame, tokenizer: str, separator: int, block: int = BLOCK) -> DataFrame:
-    """Token files of ascending ``doc_id`` (rows ``is_block``), and which documents each holds (the others)."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(ordered.mapInArrow(streaming(tokenizer, separator, block), "file long, seq long, is_block boolean, ids binary, doc_id long"))
+    """One token file per input partition (rows ``is_block``), and which documents each holds (the others)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(streaming(tokenizer, separator, block), "file long, seq long, is_block boolean, ids binary, doc_id long")
+    return written(rows, compression="zstd")
 
 
 def searching(separator: int):
@@ -63,7 +67,7 @@ def searching(separator: int):
         for batch in batches:
             found, sizes = [], []
             for blob in batch.column("ids"):
-                ids = np.frombuffer(blob.as_buffer(), "<u4")
+                ids = np.frombuffer(blob.as_buffer(), id_type(separator))
                 found.append(np.flatnonzero(ids == separator))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("seq"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "n_ids", "ends"])
