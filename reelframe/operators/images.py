@@ -49,26 +49,20 @@ def palette(shades: DataFrame) -> DataFrame:
     """
     most = shades.groupBy("image_id").agg(F.max("n").alias("most"))
     rows = shades.join(most, "image_id")
-    found = None
-    for place, (name, s0, s1, s2, l0, l1, l2) in enumerate(TARGETS):
+    lists = []
+    for name, s0, s1, s2, l0, l1, l2 in TARGETS:
         score = (SATURATION_WEIGHT * (1 - F.abs(F.col("saturation") - s1)) + LIGHTNESS_WEIGHT * (1 - F.abs(F.col("lightness") - l1)) + COUNT_WEIGHT * F.col("n") / F.col("most")) / 10
         fit = F.col("saturation").between(s0, s2) & F.col("lightness").between(l0, l2)
-        candidate = F.struct((-F.round(score, 9)).alias("s"), "key", "r", "g", "b")
-        column = F.when(fit, candidate)
-        found = [*(found or []), (place, name, column)]
-    best = rows.groupBy("image_id").agg(*[F.slice(F.array_sort(F.collect_list(c)), 1, len(TARGETS)).alias(f"t{p}") for p, _, c in found])
-    taken = F.array().cast("array<struct<target:string,key:int,r:bigint,g:bigint,b:bigint>>")
-    for place, name, _ in found:
-        free = F.get(F.filter(F.col(f"t{place}"), _not_in(taken)), F.lit(0))
-        pick = F.struct(F.lit(name).alias("target"), free["key"].alias("key"), free["r"].alias("r"), free["g"].alias("g"), free["b"].alias("b"))
-        taken = F.when(free.isNotNull(), F.concat(taken, F.array(pick))).otherwise(taken)
-        best = best.withColumn("taken", taken)
-        taken = F.col("taken")
-    return best.select("image_id", F.explode("taken").alias("p")).select("image_id", "p.*")
-
-
-def _not_in(taken: Column):
-    return lambda c: ~F.exists(taken, lambda t: t["key"] == c["key"])
+        lists.append((name, F.when(fit, F.struct((-F.round(score, 9)).alias("s"), F.lit(name).alias("target"), "key", "r", "g", "b"))))
+    best = rows.groupBy("image_id").agg(*[F.slice(F.array_sort(F.collect_list(c)), 1, len(TARGETS)).alias(name) for name, c in lists])
+
+    def step(taken: Column, candidates: Column) -> Column:
+        free = F.filter(candidates, lambda c: ~F.exists(taken, lambda t: t["key"] == c["key"]))
+        return F.concat(taken, F.slice(free, 1, 1))
+
+    targets = F.array(*[F.col(f"`{name}`") for name, _ in lists])
+    taken = F.aggregate(targets, F.slice(F.get(targets, F.lit(0)), 1, 0), step)
+    return best.select("image_id", F.explode(taken).alias("p")).select("image_id", "p.target", "p.key", "p.r", "p.g", "p.b")
 
 
 def distinct_colours(colours: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from reelframe.plans import library, releases, streams, subtitles, timeline  # noqa: F401
+    from reelframe.plans import library, releases, streams, subtitles, timeline, titles  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
