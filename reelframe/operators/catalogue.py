@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
 
-TITLE_SCHEMA = StructType.fromDDL(
+TITLE_SCHEMA = (
     "id bigint, title string, name string, tagline string, runtime int, episode_run_time array<int>, imdb_id string, external_ids struct<imdb_id: string>, "
     "credits struct<cast: array<struct<id: bigint, name: string>>, crew: array<struct<id: bigint, name: string, job: string>>>, "
     "seasons array<struct<season_number: bigint, name: string, episode_count: bigint>>"
 )
-LISTING_SCHEMA = StructType.fromDDL("streams array<struct<infoHash: string, fileIdx: int, name: string, title: string>>")
-POSTER, LOGO, BACKDROP_WIDTH, STILL_WIDTH = "/none.jpg", None, 1920, 1280
+LISTING_SCHEMA = "streams array<struct<infoHash: string, fileIdx: int, name: string, title: string>>"
+POSTER, BACKDROP_WIDTH, STILL_WIDTH = "/none.jpg", 1920, 1280
 CAST, RESUME_GUARD = 20, 30
 
 
