@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import embeddings, licences, mixing, nearcopies, orc_tokens, packing, quality, quotations, separators, substrings
+from reelframe.llm import embeddings, licences, mixing, nearcopies, oracles, orc_tokens, packing, quality, quotations, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,4 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op3_quotation_linking.__name__: quotations.SQL}
+    return {
+        op1_p_stable_vectors.__name__: oracles.NEAR_VECTORS,
+        op3_quotation_linking.__name__: quotations.SQL,
+        op6_count_min_substrings.__name__: oracles.SUBSTRINGS,
+        op10_bag_minhash.__name__: oracles.NEAR_COPIES,
+    }
