@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reelframe.llm.graph import blocked, candidate_rows, components, forest, tiles
+from reelframe.llm.members import hash_of, member_bits, pass_members
 from reelframe.llm.shared import text_digest, written
 from reelframe.llm.words import NOT_SPACE, U, chunks, find, mix, windows, word_hashes
 
@@ -101,8 +102,17 @@ def signing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), lists], ["id", "keys"])
 
 
-def listing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def listing(members):
     """The multiset of each text as sorted hashes, the k-th copy of a shingle with a hash of its own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(members.value, U)
+        yield from _listing(pass_members(b, "hash", words) for b in batches)
+
+    return run
+
+
+def _listing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in chunks(batches):
         owner, grams, weight = shingles(data, offsets)
         copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -147,8 +157,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     signed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(signing, "id long, keys array<long>")
     signed = written(signed.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id", "keys"]))
     rows = written(candidate_rows(signed.select(F.explode("keys").alias("key"), "id")))
-    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi").mapInArrow(listing, "id long, grams binary").dropDuplicates(["id", "grams"])
+    members = docs.sparkSession.sparkContext.broadcast(member_bits(rows.select("id").distinct(), "id").tobytes())
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hash_of("doc_id").alias("hash"), "text")
+    sets = texts.mapInArrow(listing(members), "id long, grams binary").dropDuplicates(["id", "grams"])
     placed = blocked(rows.join(sets, "id"), TILE)
     links = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "grams").mapInArrow(overlaps, "a long, b long")
     groups = components(links)
@@ -161,8 +172,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group; of rows that repeat its ``doc_id`` the first by text stays."""
-    stay = near_copies(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumn("_digest", text_digest())
-    named = keyed.where("doc_id IS NOT NULL").join(stay, (F.col("doc_id") == F.col("_id")) & keyed["_digest"].eqNullSafe(stay["_digest"])).drop(stay["_digest"]).drop("_id")
-    first = named.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("_digest"))).where("_rank = 1")
-    return first.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    stay = near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest().alias("text_digest"))
+    same = (F.col("id") == F.col("doc_id")) & F.col("text_digest").eqNullSafe(F.col("digest"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("text_digest"))
+    named = rows.where("id IS NOT NULL").join(stay, same).withColumn("rank", first).where("rank = 1").select("row")
+    return named.union(rows.where("id IS NULL").select("row")).select("row.*")
