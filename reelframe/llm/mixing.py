@@ -138,9 +138,8 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": size_of()})
-    keyed = keyed.withColumn("_k", F.row_number().over(order).cast("long"))
-    taken = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("k").alias("_n"), "copies")
-    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_k") == F.col("_n"))
-    return keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("from"), size_of().alias("words"), F.xxhash64("text").alias("tie"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "from", "words").orderBy("tie")).cast("long"))
+    taken = mix(docs, seed).where("copies > 0").select("doc_id", "source", "size", "k", "copies")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("k"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
