@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from reelframe.sources.workspace import shared_path
 
 # Actions, the states they apply to, and the state they lead to.
 TRANSITIONS = {
@@ -33,12 +35,16 @@ def insert_with_ids(base: DataFrame, rows: DataFrame, keys: list[str], order: li
 
     Ids follow a range sort: each partition numbers its own rows above the counts before it.
     """
+    spark, path = base.sparkSession, shared_path(base.sparkSession, "new-rows")
     new = rows.join(base.select(*keys), keys, "left_anti").repartitionByRange(*order).sortWithinPartitions(*order)
-    new = new.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    counts = new.groupBy("_p").agg(F.count("*").alias("c"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("skip"))
+    # Written once, so that counts and rows come from the same partitions even if a task is run again.
+    new.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33)).write.parquet(path)
+    new = spark.read.parquet(path)
+    # One row per partition.
+    skip = F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = new.groupBy("_p").agg(F.count("*").alias("c")).select("_p", skip.alias("skip"))
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
-    numbered = new.join(F.broadcast(before), "_p").withColumn("id", F.lit(top) + F.col("skip") + F.col("_n") + 1)
+    numbered = new.join(before, "_p").withColumn("id", F.lit(top) + F.col("skip") + F.col("_n") + 1)
     return base.unionByName(numbered.select(*base.columns))
 
 

@@ -237,11 +237,9 @@ def peer_targets(spark, sf_dir):
     return P.peer_ranks(carrier(spark, sf_dir, "peers"))
 
 
-@query("peer_pairs", sql("SELECT a.client_id, b.client_id AS peer_id FROM {peers} a JOIN {peers} b ON a.room = b.room AND b.mode <> 'remote' AND (b.width > a.width OR (b.width = a.width AND b.client_id > a.client_id)) WHERE a.width >= 1900"))
+@query("peer_pairs", sql("SELECT a.client_id, b.client_id AS peer_id FROM {peers} a JOIN {peers} b ON a.room = b.room AND b.mode <> 'remote' AND (b.width > a.width OR (b.width = a.width AND b.client_id > a.client_id))"))
 def peer_pairs(spark, sf_dir):
-    """The pairs for the larger screens, where they are few."""
-    peers = carrier(spark, sf_dir, "peers")
-    return P.larger_peers(peers).join(peers.where("width >= 1900").select("client_id"), "client_id")
+    return P.larger_peers(carrier(spark, sf_dir, "peers"))
 
 
 @query("pairing", sql("SELECT p.client_id, min(r.client_id) AS remote_id FROM {peers} p LEFT JOIN {peers} r ON r.paired_to = p.client_id AND r.mode = 'remote' WHERE p.mode <> 'remote' GROUP BY p.client_id"))
