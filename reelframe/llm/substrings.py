@@ -4,6 +4,10 @@ A window is 50 consecutive words of one document.  Its *anchor* is the least has
 words inside it; equal windows have equal anchors, and neighbours mostly share one, so about one hash
 in eighteen words stands for all windows.
 
+0. A text that a document with a smaller ``doc_id`` has whole is a copy: all its windows start there, so
+   all its words go (from 50 words on) and its windows needn't be counted.  A membership filter of
+   bounded size over the first documents of each text lets tasks leave copies out before they send
+   anything; a copy that slips through changes nothing.
 1. Each task counts the documents of its anchors in a partition sketch (two cells per anchor, counts
    stop at two).  Partition sketches are merged by segment, in two steps.  The sum overestimates how
    many documents have an anchor, hence a window, and never underestimates it.
@@ -27,8 +31,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from reelframe.llm.shared import written
+from reelframe.llm.members import hash_of, member_bits, pass_members
+from reelframe.llm.shared import text_digest, written
 from reelframe.llm.words import BASE_A, BASE_B, NOT_SPACE, U, chunks, find, mix, sliding_min, windows, word_hashes
 
 WINDOW, RUN = 50, 16
@@ -58,8 +64,10 @@ def cells_of(anchors: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors & mask).astype(np.int64), (mix(anchors) & mask).astype(np.int64)
 
 
-def sketching(cells: int):
+def sketching(cells: int, members):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(members.value, U)
+        batches = (pass_members(b, "hash", words) for b in batches)
         kept: list[np.ndarray] = []
 
         def send() -> pa.RecordBatch:
@@ -105,9 +113,9 @@ def merging(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(keys[0])], "once": [sparse(1)], "more": [sparse(2)]})
 
 
-def merged_sketch(docs: DataFrame, cells: int) -> np.ndarray:
+def merged_sketch(docs: DataFrame, cells: int, members) -> np.ndarray:
     """One bit per cell: whether two documents or more are estimated there.  At most MAX_CELLS / 8 bytes."""
-    parts = docs.select("text").mapInArrow(sketching(cells), "segment long, once binary, more binary")
+    parts = docs.select("hash", "text").mapInArrow(sketching(cells, members), "segment long, once binary, more binary")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("once", "more"), F.lit(SALTS)))
     some = parts.groupBy("segment", "salt").applyInPandas(merging, "segment long, once binary, more binary")
     whole = some.groupBy("segment").applyInPandas(merging, "segment long, once binary, more binary")
@@ -121,12 +129,12 @@ def merged_sketch(docs: DataFrame, cells: int) -> np.ndarray:
     return bits
 
 
-def passing(sketch, cells: int):
+def passing(sketch, cells: int, members):
     """Windows that the sketch estimates in two documents or more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch.value, np.uint8)
-        for part, data, offsets in chunks(batches):
+        bits, first_ids = np.frombuffer(sketch.value, np.uint8), np.frombuffer(members.value, U)
+        for part, data, offsets in chunks(pass_members(b, "hash", first_ids) for b in batches):
             hashes, text, at, anchors = windowed(data, offsets)
             if not len(at):
                 continue
@@ -167,6 +175,8 @@ def removing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(cover, at, 1)
             np.add.at(cover, at + WINDOW, -1)
             keep = np.cumsum(cover)[:-1] == 0
+            copies = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False) & (words >= WINDOW)
+            keep &= ~copies[text]
         removed = words - np.bincount(text[keep], minlength=n)
         s, e, t = starts[keep], ends[keep], text[keep]
         sizes = e - s + 1
@@ -183,33 +193,52 @@ def removing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = slice(int(first[k]), int(first[k] + words[k]))
             edges = np.append(starts[own], offsets[k + 1])
             left[k] = b"".join(data[a:b].tobytes() for a, b, w in zip(edges[:-1].tolist(), edges[1:].tolist(), keep[own].tolist(), strict=True) if w).decode().rstrip()
-        columns = [c for k, c in enumerate(part.columns) if part.schema.names[k] not in ("text", "starts")]
-        names = [c for c in part.schema.names if c not in ("text", "starts")]
+        columns = [c for k, c in enumerate(part.columns) if part.schema.names[k] not in ("text", "starts", "copy")]
+        names = [c for c in part.schema.names if c not in ("text", "starts", "copy")]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.string()), pa.array(words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests)], [*names, "text", "n_words", "n_removed", "kept_sha256"])
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, starts): where windows start that also start in a smaller ``doc_id``."""
+    """(doc_id, row_hash, starts, copy): where windows start that also start in a smaller ``doc_id``; of a copy all do."""
     spark = docs.sparkSession
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    digests = keyed.select("doc_id", "row_hash", text_digest().alias("digest"))
+    classes = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    copies = digests.join(classes.where("n > 1").select("digest", "first"), "digest").where("doc_id > first")
+    members = spark.sparkContext.broadcast(member_bits(classes.select("first"), "first").tobytes())
+    keyed = keyed.withColumn("hash", hash_of("doc_id"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << (int(min(MAX_CELLS, max(MIN_CELLS, size * CELLS_PER_BYTE))) - 1).bit_length()
-    sketch = spark.sparkContext.broadcast(merged_sketch(keyed, cells).tobytes())
-    passed = keyed.mapInArrow(passing(sketch, cells), "doc_id long, row_hash int, start int, low long, high long")
+    sketch = spark.sparkContext.broadcast(merged_sketch(keyed, cells, members).tobytes())
+    passed = keyed.mapInArrow(passing(sketch, cells, members), "doc_id long, row_hash int, start int, low long, high long")
     firsts = passed.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("low", "high", "first")
-    hits = passed.join(written(firsts), ["low", "high"]).where("doc_id > first")
-    return hits.groupBy("doc_id", "row_hash").agg(F.collect_set("start").alias("starts"))
+    hits = passed.join(written(firsts), ["low", "high"]).where("doc_id > first").select("doc_id", "row_hash", "start", F.lit(False).alias("copy"))
+    both = hits.union(copies.select("doc_id", "row_hash", F.lit(None).cast("int"), F.lit(True)))
+    return both.groupBy("doc_id", "row_hash").agg(F.collect_set("start").alias("starts"), F.bool_or("copy").alias("copy"))
+
+
+OWN = ["text", "n_words", "n_removed", "kept_sha256"]
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as ``row``, with what is left of its text."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(repeated_starts(docs), ["doc_id", "row_hash"], "left").select("row", "text", "starts", "copy")
+    own = StructType.fromDDL("text string, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(removing, StructType([joined.schema["row"], *own.fields]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated words taken out of ``text``, and n_words, n_removed, kept_sha256."""
-    names = [c for c in docs.columns if c != "text"]
-    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.hash("text"), "text": F.col("text").cast("string")})
-    starts = repeated_starts(docs).withColumnsRenamed({"doc_id": "_id", "row_hash": "_hash"})
-    joined = own.join(starts, ["_id", "_hash"], "left").select(*[F.col(c) for c in names], "text", "starts")
-    kept = [f for f in joined.schema.fields if f.name in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_words long, n_removed long, kept_sha256 string"
-    return joined.mapInArrow(removing, schema)
+    """``docs`` with the repeated words taken out of ``text``, and n_words, n_removed, kept_sha256 (columns of these names are replaced)."""
+    return _cut(docs).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in OWN], *OWN)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated words taken out of ``text`` and ``n_chars`` counted anew; no other column changes."""
+    fresh = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _cut(docs).select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest_repeats(docs: DataFrame) -> DataFrame:
