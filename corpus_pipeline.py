@@ -6,7 +6,7 @@ again as the next stage's ``docs``.  All but the last return the columns of ``do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from reelframe.llm import mixing, nearcopies, packing, quality, substrings
 from reelframe.llm.queries import TOKENIZER
@@ -25,10 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut out."""
-    cut = substrings.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return substrings.cut_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
