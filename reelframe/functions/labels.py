@@ -5,15 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Language codes of two letters by three, for listings and for tracks (the two tables differ).
-LISTING_LANGUAGES = dict(x.split(":") for x in "en:eng es:spa fr:fre de:ger it:ita pt:por ru:rus ja:jpn ko:kor zh:chi ar:ara nl:dut pl:pol sv:swe da:dan no:nor fi:fin tr:tur el:gre he:heb hu:hun cs:cze ro:rum th:tha vi:vie hi:hin".split())
-TRACK_LANGUAGES = LISTING_LANGUAGES | dict(x.split(":") for x in "uk:ukr bg:bul hr:hrv sr:srp sk:slo sl:slv et:est lv:lav lt:lit id:ind ms:may ta:tam te:tel bn:ben fa:per ur:urd".split())
-
-# Bit rates by picture height.
-BIT_RATES = [(2160, 20000), (1440, 12000), (1080, 8000), (720, 4000), (480, 2000)]
-LOWEST_BIT_RATE = 1000
-STATUS_LABELS = {"queued": "Queued", "downloading": "Downloading", "transcoding": "Transcoding", "paused": "Paused", "completed": "Completed", "failed": "Failed", "cancelled": "Cancelled"}
+LISTING_LANGUAGES = dict(
+    x.split(":")
+    for x in "en:eng nl:dut fr:fre de:ger es:spa it:ita pt:por ru:rus ja:jpn ko:kor zh:chi ar:ara pl:pol tr:tur sv:swe no:nor da:dan fi:fin cs:cze ro:rum hu:hun el:gre he:heb th:tha vi:vie id:ind".split()
+)
+TRACK_LANGUAGES = dict(
+    x.split(":")
+    for x in (
+        "en:eng nl:dut de:ger fr:fre es:spa it:ita pt:por ru:rus ja:jpn zh:chi ko:kor ar:ara pl:pol sv:swe da:dan no:nor nb:nor fi:fin tr:tur cs:cze hu:hun el:gre he:heb hi:hin th:tha ro:rum uk:ukr vi:vie id:ind "
+        "ms:may bg:bul hr:hrv sr:srp sk:slo sl:slv et:est lv:lav lt:lit fa:per ca:cat eu:baq gl:glg is:ice"
+    ).split()
+)
+
+# Bit rates in kbit/s up to a picture height, and above the last.
+BIT_RATES = [(576, 5_000), (720, 9_000), (1080, 16_000), (1440, 25_000)]
+HIGHEST_BIT_RATE = 40_000
+# Status labels of downloads and of jobs.
+DOWNLOAD_LABELS = {"queued": "Queued", "downloading": "Downloading", "paused": "Paused", "completed": "Downloaded", "failed": "Failed", "cancelled": "Cancelled"}
+JOB_LABELS = {"queued": "Queued", "transcoding": "Transcoding", "paused": "Paused", "completed": "Cached", "failed": "Failed", "cancelled": "Cancelled"}
 CHANNELS = {1: "Mono", 2: "Stereo", 6: "5.1", 8: "7.1"}
-TEXT_SUBTITLES = ["srt", "ass", "webvtt", "text"]
+# Short names of codecs and containers by media type, and the types of plain-text subtitles.
+CODEC_NAMES = {
+    "video/x-h264": "h264",
+    "video/x-h265": "hevc",
+    "video/x-av1": "av1",
+    "video/x-vp9": "vp9",
+    "video/x-vp8": "vp8",
+    "video/x-theora": "theora",
+    "video/x-divx": "mpeg4",
+    "video/x-xvid": "mpeg4",
+    "video/x-wmv": "wmv",
+    "audio/x-ac3": "ac3",
+    "audio/x-eac3": "eac3",
+    "audio/x-dts": "dts",
+    "audio/x-true-hd": "truehd",
+    "audio/x-opus": "opus",
+    "audio/x-vorbis": "vorbis",
+    "audio/x-flac": "flac",
+    "audio/x-alac": "alac",
+    "audio/x-wma": "wma",
+    "audio/x-raw": "pcm",
+    "text/x-raw": "subrip",
+    "application/x-ssa": "ssa",
+    "application/x-ass": "ass",
+    "application/x-subtitle-vtt": "webvtt",
+    "subpicture/x-pgs": "hdmv_pgs_subtitle",
+    "subpicture/x-dvd": "dvd_subtitle",
+    "subpicture/x-dvb": "dvb_subtitle",
+}
+CONTAINER_NAMES = {
+    "video/x-matroska": "matroska",
+    "video/webm": "webm",
+    "video/quicktime": "mp4",
+    "video/mp4": "mp4",
+    "audio/x-m4a": "mp4",
+    "video/mpegts": "mpegts",
+    "video/x-msvideo": "avi",
+    "video/mpeg": "mpeg",
+    "video/x-flv": "flv",
+    "application/ogg": "ogg",
+}
+TEXT_SUBTITLES = ["text/x-raw", "application/x-ssa", "application/x-ass", "application/x-subtitle-vtt"]
 
 
 def human_bytes(n: Column) -> Column:
@@ -69,18 +121,33 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def look_up(value: Column, table: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
+
+
 def iso639(code: Column, table: dict[str, str]) -> Column:
     """Three letters for two; unknown codes pass through."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), code), code)
+    return F.coalesce(look_up(code, table), code)
+
 
+def codec_name(media_type: Column, version: Column, layer: Column) -> Column:
+    """The short name; MPEG by version and layer; for unknown types the part behind the last slash without ``x-``."""
+    video = F.when(version == 1, "mpeg1video").when(version == 2, "mpeg2video").otherwise("mpeg4")
+    audio = F.when((version == 1) & F.coalesce(layer == 3, F.lit(False)), "mp3").when(version == 1, "mp2").otherwise("aac")
+    rest = F.regexp_replace(F.regexp_replace(media_type, "^.*/", ""), "^(x-)+", "")
+    return F.when(media_type == "video/mpeg", video).when(media_type == "audio/mpeg", audio).otherwise(F.coalesce(look_up(media_type, CODEC_NAMES), rest, F.lit("unknown")))
 
-def codec_name(media_type: Column) -> Column:
-    """The part behind the last slash, without leading ``x-``."""
-    return F.regexp_replace(F.regexp_replace(media_type, "^.*/", ""), "^(x-)+", "")
 
+def container_name(media_type: Column) -> Column:
+    return F.coalesce(look_up(media_type, CONTAINER_NAMES), media_type)
 
-def is_text_subtitle(codec: Column) -> Column:
-    return codec.isin(TEXT_SUBTITLES)
+
+def bit_depth(profile: Column) -> Column:
+    return F.when(F.contains(profile, F.lit("10")), 10).when(F.contains(profile, F.lit("12")), 12)
+
+
+def is_text_subtitle(media_type: Column) -> Column:
+    return media_type.isin(TEXT_SUBTITLES)
 
 
 def channel_label(channels: Column) -> Column:
@@ -91,13 +158,13 @@ def channel_label(channels: Column) -> Column:
 
 
 def track_name(title: Column, channels: Column, codec: Column) -> Column:
-    return F.coalesce(title, F.trim(F.concat_ws(" ", channel_label(channels), F.upper(codec))))
+    return F.coalesce(title, F.trim(F.concat_ws(" ", F.upper(codec), channel_label(channels))))
 
 
 def bitrate_kbps(height: Column) -> Column:
-    found = F.lit(LOWEST_BIT_RATE)
-    for h, rate in sorted(BIT_RATES):
-        found = F.when(height >= h, rate).otherwise(found)
+    found = F.lit(HIGHEST_BIT_RATE)
+    for most, rate in sorted(BIT_RATES, reverse=True):
+        found = F.when(height <= most, rate).otherwise(found)
     return found
 
 
@@ -105,21 +172,18 @@ def device_kind(width: Column) -> Column:
     return F.when(width < 768, "phone").when(width < 1024, "tablet").otherwise("desktop")
 
 
-def status_label(status: Column) -> Column:
-    found = status
-    for key, label in STATUS_LABELS.items():
-        found = F.when(status == key, label).otherwise(found)
-    return found
+def status_label(status: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(look_up(status, table), status)
 
 
-def output_name(info_hash: Column, file_idx: Column, only_audio: Column, audio_index: Column) -> Column:
-    return F.concat(info_hash, F.lit("/"), file_idx.cast("string"), F.when(only_audio, "_audio_").otherwise("_video_"), audio_index.cast("string"), F.lit(".mp4"))
+def output_name(download_id: Column, only_audio: Column, audio_index: Column) -> Column:
+    return F.concat(F.lit("pretranscoded/"), download_id.cast("string"), F.when(only_audio, "_audio_").otherwise("_full_"), audio_index.cast("string"), F.lit(".mp4"))
 
 
 def parsed_output(path: Column) -> Column:
-    pattern = r"^(.*)/(\d+)_(audio|video)_(\d+)\.mp4$"
+    pattern = r"^pretranscoded/(\d+)_(audio|full)_(\d+)\.mp4$"
     part = lambda k: F.nullif(F.regexp_extract(path, pattern, k), F.lit(""))
-    return F.struct(part(1).alias("info_hash"), part(2).try_cast("int").alias("file_idx"), (part(3) == "audio").alias("only_audio"), part(4).try_cast("int").alias("audio_index"))
+    return F.struct(part(1).try_cast("bigint").alias("download_id"), (part(2) == "audio").alias("only_audio"), part(3).try_cast("int").alias("audio_index"))
 
 
 def vtt_time(seconds: Column) -> Column:

@@ -65,7 +65,7 @@ def clean_sdh(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Entities to characters, ``&amp;`` last."""
-    for name, c in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+    for name, c in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]:
         text = F.replace(text, F.lit(name), F.lit(c))
     return text
 

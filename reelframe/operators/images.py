@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Palette targets as (name, saturation low, best, high, lightness low, best, high).
 TARGETS = [
+    ("dark vibrant", 0.35, 1.0, 1.0, 0.0, 0.26, 0.45),
     ("vibrant", 0.35, 1.0, 1.0, 0.3, 0.5, 0.7),
     ("light vibrant", 0.35, 1.0, 1.0, 0.55, 0.74, 1.0),
-    ("dark vibrant", 0.35, 1.0, 1.0, 0.0, 0.26, 0.45),
+    ("dark muted", 0.0, 0.3, 0.4, 0.0, 0.26, 0.45),
     ("muted", 0.0, 0.3, 0.4, 0.3, 0.5, 0.7),
     ("light muted", 0.0, 0.3, 0.4, 0.55, 0.74, 1.0),
-    ("dark muted", 0.0, 0.3, 0.4, 0.0, 0.26, 0.45),
 ]
 SATURATION_WEIGHT, LIGHTNESS_WEIGHT, COUNT_WEIGHT = 3.0, 6.5, 0.5
 DARK_FROM, DARK_TO, DARK_FACTOR = 60, 600, 0.35
@@ -29,15 +29,15 @@ def histogram(pixels: DataFrame) -> DataFrame:
 def dark_mean(pixels: DataFrame) -> DataFrame:
     light = F.col("r") + F.col("g") + F.col("b")
     rows = pixels.where((light > DARK_FROM) & (light < DARK_TO))
-    return rows.groupBy("image_id").agg(*[F.floor(F.sum(c) * DARK_FACTOR / F.count("*")).alias(f"dark_{c}") for c in "rgb"])
+    return rows.groupBy("image_id").agg(*[F.floor(F.sum(c) / F.count("*") * DARK_FACTOR + 0.5).alias(f"dark_{c}") for c in "rgb"])
 
 
 def shaded(buckets: DataFrame) -> DataFrame:
     """IM2: mean colour, saturation and lightness of each bucket."""
-    mean = buckets.withColumns({c: F.floor(F.col(c) / F.col("n")) for c in "rgb"})
+    mean = buckets.withColumns({c: F.col(c) / F.col("n") for c in "rgb"})
     high, low = F.greatest("r", "g", "b") / 255, F.least("r", "g", "b") / 255
     light, span = (high + low) / 2, high - low
-    saturation = F.when(span == 0, 0.0).otherwise(span / F.when(light > 0.5, 2 - high - low).otherwise(high + low))
+    saturation = F.when(span == 0, 0.0).otherwise(span / (1 - F.abs(2 * light - 1)))
     return mean.withColumns({"saturation": saturation, "lightness": light})
 
 
@@ -67,7 +67,7 @@ def palette(shades: DataFrame) -> DataFrame:
 
 def distinct_colours(colours: DataFrame) -> DataFrame:
     """IM4: by lightness, leaving out colours near the last one kept; five at most. A palette has few colours."""
-    light = F.col("r") + F.col("g") + F.col("b")
+    light = F.greatest("r", "g", "b") + F.least("r", "g", "b")
     listed = colours.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(light.alias("light"), "r", "g", "b"))).alias("cs"))
 
     def step(acc: Column, c: Column) -> Column:

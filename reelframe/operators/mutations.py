@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelframe.sources.workspace import shared_path
 
-# Actions, the states they apply to, and the state they lead to.
-TRANSITIONS = {
-    "pause": (["queued", "downloading", "transcoding"], "paused"),
-    "queue": (["paused", "failed", "cancelled"], "queued"),
-    "cancel": (["queued", "downloading", "transcoding", "paused"], "cancelled"),
-    "fail": (["queued", "downloading", "transcoding"], "failed"),
-    "complete": (["downloading", "transcoding"], "completed"),
+STATES = ["queued", "downloading", "transcoding", "paused", "completed", "failed", "cancelled"]
+# Actions, the states that they leave alone, and the state they lead to; for downloads and for jobs.
+DOWNLOAD_ACTIONS = {"pause": (["completed", "failed"], "paused"), "queue": (["completed", "failed"], "queued"), "cancel": (["completed", "failed"], "cancelled"), "fail": (["cancelled", "paused"], "failed"), "complete": ([], "completed")}
+JOB_ACTIONS = {
+    "pause": (["downloading", "paused", "completed", "failed", "cancelled"], "paused"),
+    "queue": (["queued", "downloading", "transcoding", "completed", "failed", "cancelled"], "queued"),
+    "cancel": (["completed", "failed"], "cancelled"),
+    "fail": (["cancelled"], "failed"),
+    "complete": (["queued", "downloading", "paused", "completed", "failed", "cancelled"], "completed"),
 }
 RUNNING = ["downloading", "transcoding"]
 
@@ -68,16 +70,16 @@ def delete_set_null(gone: DataFrame, child: DataFrame, parent_key: str, child_ke
     return joined.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == child_key else F.col(c) for c in child.columns])
 
 
-def transition_table(spark: SparkSession) -> DataFrame:
-    rows = [(action, state, to) for action, (states, to) in TRANSITIONS.items() for state in states]
-    return spark.createDataFrame(rows, "action string, status string, next string")
+def transition_rows(actions: dict[str, tuple[list[str], str]]) -> list[tuple[str, str, str]]:
+    """(action, from, to) for every state that the action applies to."""
+    return [(action, state, to) for action, (alone, to) in actions.items() for state in STATES if state not in alone]
 
 
-def transitions(rows: DataFrame, actions: DataFrame) -> DataFrame:
-    """DM8: each asked action where its state allows it; ``applied`` tells which did. The table has 14 rows."""
-    asked = rows.join(actions, "id", "left")
-    table = F.broadcast(transition_table(rows.sparkSession))
-    return asked.join(table, ["action", "status"], "left").select("id", F.coalesce("next", "status").alias("status"), F.col("next").isNotNull().alias("applied"))
+def transitions(rows: DataFrame, asked: DataFrame, actions: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """DM8: each asked action where its state allows it; ``applied`` tells which did. The table has 35 rows at most."""
+    table = rows.sparkSession.createDataFrame(transition_rows(actions), "action string, status string, next string")
+    joined = rows.join(asked, "id", "left").join(F.broadcast(table), ["action", "status"], "left")
+    return joined.select("id", F.coalesce("next", "status").alias("status"), F.col("next").isNotNull().alias("applied"))
 
 
 def recovered(rows: DataFrame, progress: str) -> DataFrame:

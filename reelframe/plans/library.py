@@ -238,16 +238,23 @@ def delete_set_null(spark, sf_dir):
 
 
 _ACTION = "CASE id % 6 WHEN 0 THEN 'pause' WHEN 1 THEN 'queue' WHEN 2 THEN 'cancel' WHEN 3 THEN 'fail' WHEN 4 THEN 'complete' END"
-_TABLE = ", ".join(f"('{a}', '{s}', '{to}')" for a, (states, to) in M.TRANSITIONS.items() for s in states)
 
 
-@query(
-    "transitions",
-    sql(f"WITH t AS (SELECT * FROM (VALUES {_TABLE}) AS v(action, state, next)), d AS (SELECT id, status, {_ACTION} AS action FROM {{downloads}}) SELECT id, coalesce(next, status) AS status, next IS NOT NULL AS applied FROM d LEFT JOIN t ON t.action = d.action AND t.state = d.status"),
-)
+def _transition_sql(actions, table: str) -> str:
+    values = ", ".join(f"('{a}', '{s}', '{to}')" for a, s, to in M.transition_rows(actions))
+    return sql(f"WITH t AS (SELECT * FROM (VALUES {values}) AS v(action, state, next)), d AS (SELECT id, status, {_ACTION} AS action FROM {{{table}}}) SELECT id, coalesce(next, status) AS status, next IS NOT NULL AS applied FROM d LEFT JOIN t ON t.action = d.action AND t.state = d.status")
+
+
+@query("transitions", _transition_sql(M.DOWNLOAD_ACTIONS, "downloads"))
 def transitions(spark, sf_dir):
     rows = carrier(spark, sf_dir, "downloads").select("id", "status")
-    return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")))
+    return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")), M.DOWNLOAD_ACTIONS)
+
+
+@query("job_transitions", _transition_sql(M.JOB_ACTIONS, "one_jobs"))
+def job_transitions(spark, sf_dir):
+    rows = carrier(spark, sf_dir, "one_jobs")
+    return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")), M.JOB_ACTIONS)
 
 
 @query("boot_recovery", sql("SELECT id, CASE WHEN status IN ('downloading', 'transcoding') THEN 'queued' ELSE status END AS status, 0::bigint AS transcoded_ms FROM {jobs}"))

@@ -47,7 +47,7 @@ def sdh_clean(spark, sf_dir):
 @query(
     "tag_strip",
     rf"""SELECT page_id, trim(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''), {_WS}) AS plain, trim(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), {_WS}) AS embedded,
-    replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS unescaped FROM pages""",
+    replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS unescaped FROM pages""",
 )
 def tag_strip(spark, sf_dir):
     html = F.col("html")

@@ -159,11 +159,11 @@ def resume_labels(spark, sf_dir):
 
 _CLIENTS_REQUESTS = "(SELECT c.*, r.* FROM {clients} c CROSS JOIN (VALUES (0, false, false, false), (1, false, true, true)) AS r(audio_index, force_video, force_audio, sdr))"
 _PLAN = f"""WITH x AS (SELECT f.*, q.*, CASE WHEN audio_index = 1 AND audio_1 IS NOT NULL THEN audio_1 ELSE audio_0 END AS audio FROM {{media_files}} f CROSS JOIN {_CLIENTS_REQUESTS} q),
-o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (lower(video_codec) = 'h264' AND bit_depth = 10) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND height <= max_height AND NOT force_video AS video_ok,
+o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (lower(video_codec) = 'h264' AND bit_depth > 8) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND height <= max_height AND NOT force_video AS video_ok,
   audio IS NULL OR (list_contains(string_split(lower(audio_codecs), ','), lower(audio)) AND NOT force_audio) AS audio_ok, list_contains(string_split(lower(containers), ','), lower(container)) AS container_ok FROM x),
-d AS (SELECT *, video_ok AND audio_ok AND container_ok AND audio_index = 0 AS direct FROM o),
-p AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN video_ok AND lower(video_codec) IN ('h264', 'hevc') THEN 'copy' ELSE 'transcode' END AS video_action,
-  CASE WHEN audio IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN audio_ok AND lower(audio) IN ('aac', 'eac3') THEN 'copy' ELSE 'transcode' END AS audio_action FROM d)"""
+d AS (SELECT *, video_ok AND audio_ok AND container_ok AND (audio_index = 0 OR audio_1 IS NULL) AS direct FROM o),
+p AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN video_ok AND lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action,
+  CASE WHEN audio IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN audio_ok AND lower(audio) IN ('aac', 'ac3', 'eac3', 'opus', 'flac') THEN 'copy' ELSE 'transcode' END AS audio_action FROM d)"""
 
 
 def _planned(spark, sf_dir):
@@ -181,27 +181,24 @@ def playback_record(spark, sf_dir):
     return K.playback_record(_planned(spark, sf_dir))
 
 
-@query(
-    "universal_plan",
-    sql("""SELECT file_id, CASE WHEN lower(video_codec) IN ('h264', 'hevc') THEN CASE WHEN lower(video_codec) = 'h264' AND bit_depth <> 10 AND coalesce(chroma = '4:2:0', true) AND NOT hdr AND height <= 1080 AND container = 'mp4' AND (audio_0 IS NULL OR audio_0 = 'aac') THEN 'direct' ELSE 'copy' END ELSE 'transcode' END AS video_action FROM {media_files}"""),
-)
+@query("universal_plan", sql("SELECT file_id, CASE WHEN lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action, CASE WHEN audio_0 IS NULL THEN 'none' WHEN audio_0 = 'aac' THEN 'copy' ELSE 'transcode' END AS audio_action FROM {media_files}"))
 def universal_plan(spark, sf_dir):
-    return K.universal_plan(carrier(spark, sf_dir, "media_files"), only_audio=True).select("file_id", "video_action")
+    return K.universal_plan(carrier(spark, sf_dir, "media_files"), only_audio=True).select("file_id", "video_action", "audio_action")
 
 
 _HIST = "h AS (SELECT image_id, ((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS key, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM {pixels} GROUP BY ALL)"
-_SHADE = """c AS (SELECT image_id, key, n, floor(r / n)::bigint AS r, floor(g / n)::bigint AS g, floor(b / n)::bigint AS b FROM h),
+_SHADE = """c AS (SELECT image_id, key, n, r / n AS r, g / n AS g, b / n AS b FROM h),
   l AS (SELECT *, greatest(r, g, b) / 255 AS hi, least(r, g, b) / 255 AS lo FROM c),
-  s AS (SELECT image_id, key, n, r, g, b, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / CASE WHEN (hi + lo) / 2 > 0.5 THEN 2 - hi - lo ELSE hi + lo END END AS saturation, (hi + lo) / 2 AS lightness FROM l)"""
+  s AS (SELECT image_id, key, n, r, g, b, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(2 * ((hi + lo) / 2) - 1)) END AS saturation, (hi + lo) / 2 AS lightness FROM l)"""
 
 
-@query("palette_hist", sql(f"WITH {_HIST}, {_SHADE} SELECT * REPLACE (round(saturation, 6) AS saturation, round(lightness, 6) AS lightness) FROM s"))
+@query("palette_hist", sql(f"WITH {_HIST}, {_SHADE} SELECT image_id, key, n, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, round(saturation, 6) AS saturation, round(lightness, 6) AS lightness FROM s"))
 def palette_hist(spark, sf_dir):
     shades = I.shaded(I.histogram(carrier(spark, sf_dir, "pixels")))
-    return shades.withColumns({"saturation": F.round("saturation", 6), "lightness": F.round("lightness", 6)})
+    return shades.withColumns({c: F.round(c, 6) for c in ("r", "g", "b", "saturation", "lightness")})
 
 
-@query("palette_dark", sql("SELECT image_id, " + ", ".join(f"floor(sum({c}) * 0.35::double / count(*))::bigint AS dark_{c}" for c in "rgb") + " FROM {pixels} WHERE r + g + b > 60 AND r + g + b < 600 GROUP BY image_id"))
+@query("palette_dark", sql("SELECT image_id, " + ", ".join(f"floor(sum({c}) / count(*) * 0.35::double + 0.5)::bigint AS dark_{c}" for c in "rgb") + " FROM {pixels} WHERE r + g + b > 60 AND r + g + b < 600 GROUP BY image_id"))
 def palette_dark(spark, sf_dir):
     return I.dark_mean(carrier(spark, sf_dir, "pixels"))
 
@@ -255,15 +252,15 @@ def pairing(spark, sf_dir):
       CASE WHEN id % 4 = 0 THEN 'Orphaned (' || left(info_hash, 12) || '…)' ELSE coalesce(CASE WHEN id % 5 <> 0 THEN name END, 'Untitled') || CASE WHEN file_idx > 0 THEN ' · S0' || file_idx || 'E' || CASE WHEN id % 20 + 1 < 10 THEN '0' || (id % 20 + 1) ELSE (id % 20 + 1)::varchar END ELSE '' END END AS entry,
       coalesce(CASE WHEN id % 5 = 0 THEN NULL ELSE name END, left(info_hash, 10)) AS display, nullif(concat_ws(' · ', CASE WHEN id % 2 = 0 THEN status END, CASE WHEN id % 3 = 0 THEN name END), '') AS description,
       regexp_replace(regexp_replace(lower('--' || name || '!!x'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE file_idx WHEN 0 THEN 'eng' WHEN 1 THEN 'ger' ELSE 'xx' END AS language,
-      CASE file_idx WHEN 0 THEN 'Mono' WHEN 1 THEN 'Stereo' END AS channels, CASE WHEN id % 2500 >= 2160 THEN 20000 WHEN id % 2500 >= 1440 THEN 12000 WHEN id % 2500 >= 1080 THEN 8000 WHEN id % 2500 >= 720 THEN 4000 WHEN id % 2500 >= 480 THEN 2000 ELSE 1000 END AS bitrate,
-      upper(left(status, 1)) || substr(status, 2) AS status, info_hash || '/' || file_idx || CASE WHEN id % 2 = 0 THEN '_audio_' ELSE '_video_' END || id % 3 || '.mp4' AS output, info_hash AS parsed, replace(created_at::date::varchar, '-', '.') AS search_key,
-      printf('%02d:%02d:%02d.%03d', id // 3600, id // 60 % 60, id % 60, 250) AS vtt, (id * 60 + 1.5)::double AS srt, CASE file_idx WHEN 0 THEN 'h264' WHEN 1 THEN 'matroska' ELSE 'plain' END AS codec, file_idx = 1 AS is_text FROM d"""),
+      CASE file_idx WHEN 0 THEN 'Mono' WHEN 1 THEN 'Stereo' END AS channels, CASE WHEN id % 2500 <= 576 THEN 5000 WHEN id % 2500 <= 720 THEN 9000 WHEN id % 2500 <= 1080 THEN 16000 WHEN id % 2500 <= 1440 THEN 25000 ELSE 40000 END AS bitrate,
+      CASE status WHEN 'completed' THEN 'Downloaded' ELSE upper(left(status, 1)) || substr(status, 2) END AS status, 'pretranscoded/' || id || CASE WHEN id % 2 = 0 THEN '_audio_' ELSE '_full_' END || id % 3 || '.mp4' AS output, id AS parsed, replace(created_at::date::varchar, '-', '.') AS search_key,
+      printf('%02d:%02d:%02d.%03d', id // 3600, id // 60 % 60, id % 60, 250) AS vtt, (id * 60 + 1.5)::double AS srt, CASE file_idx WHEN 0 THEN 'hevc' WHEN 1 THEN 'odd' ELSE CASE id % 2 WHEN 0 THEN 'mp2' ELSE 'mp3' END END AS codec, CASE file_idx WHEN 0 THEN 'mp4' ELSE 'video/x-odd' END AS container, CASE id % 3 WHEN 0 THEN 10 WHEN 1 THEN 12 END AS bit_depth, file_idx = 1 AS is_text FROM d"""),
 )
 def scalar_labels(spark, sf_dir):
     """FN1-FN20 over downloads."""
     c = F.col
     i, h, n = c("id"), c("info_hash"), c("name")
-    output = B.output_name(h, c("file_idx"), i % 2 == 0, i % 3)
+    output = B.output_name(i, i % 2 == 0, i % 3)
     rows = carrier(spark, sf_dir, "downloads")
     return rows.select(
         "id",
@@ -277,14 +274,16 @@ def scalar_labels(spark, sf_dir):
         B.iso639(F.when(c("file_idx") == 0, "en").when(c("file_idx") == 1, "de").otherwise("xx"), B.LISTING_LANGUAGES).alias("language"),
         B.channel_label(c("file_idx") + 1).alias("channels"),
         B.bitrate_kbps(i % 2500).alias("bitrate"),
-        B.status_label(c("status")).alias("status"),
+        B.status_label(c("status"), B.DOWNLOAD_LABELS).alias("status"),
         output.alias("output"),
-        B.parsed_output(output)["info_hash"].alias("parsed"),
+        B.parsed_output(output)["download_id"].alias("parsed"),
         B.search_key(c("created_at").cast("date").cast("string")).alias("search_key"),
         B.vtt_time(i + 0.25).alias("vtt"),
         B.srt_seconds(F.concat(F.lit("0:"), i.cast("string"), F.lit(":01,500"))).alias("srt"),
-        B.codec_name(F.when(c("file_idx") == 0, "video/x-h264").when(c("file_idx") == 1, "video/x-matroska").otherwise("plain")).alias("codec"),
-        B.is_text_subtitle(F.when(c("file_idx") == 1, "srt").otherwise("pgs")).alias("is_text"),
+        B.codec_name(F.when(c("file_idx") == 0, "video/x-h265").when(c("file_idx") == 1, "video/x-odd").otherwise("audio/mpeg"), F.lit(1), F.when(i % 2 != 0, 3)).alias("codec"),
+        B.container_name(F.when(c("file_idx") == 0, "video/quicktime").otherwise("video/x-odd")).alias("container"),
+        B.bit_depth(F.when(i % 3 == 0, "high-10").when(i % 3 == 1, "main-12").otherwise("main")).alias("bit_depth"),
+        B.is_text_subtitle(F.when(c("file_idx") == 1, "application/x-ass").otherwise("subpicture/x-pgs")).alias("is_text"),
     )
 
 

@@ -53,6 +53,11 @@ SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS download_id, cast(min(
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 
+ONE_JOBS = """
+SELECT l_orderkey AS id, CASE max(l_linenumber) WHEN 7 THEN 'queued' WHEN 6 THEN 'transcoding' WHEN 5 THEN 'paused' WHEN 4 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status
+FROM lineitem GROUP BY l_orderkey
+"""
+
 WATCH = """
 SELECT event_id AS seq, user_id AS media_id, event_id % 97 AS download_id, ts AS seen_at, event_type AS kind, cast(floor(value * 10) AS bigint) AS position, 600 + user_id * 7 AS duration
 FROM events
