@@ -74,9 +74,9 @@ def release_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     "release_topk",
     with_carriers(
         f"""WITH {_FEATURES} {_MERGED}, k AS (SELECT * REPLACE (round(score, 6) AS score), coalesce(resolution, 'Unknown') AS bucket FROM m),
-        p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, info_hash) AS place, max(score) OVER (PARTITION BY bucket) AS top FROM k),
-        b AS (SELECT bucket AS b, dense_rank() OVER (ORDER BY score DESC, bucket) AS group_place FROM p WHERE place = 1)
-        SELECT p.* EXCLUDE (top), group_place FROM p JOIN b ON bucket = b WHERE place <= 5"""
+        p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, info_hash)::int AS place FROM k),
+        b AS (SELECT bucket AS b, dense_rank() OVER (ORDER BY score DESC, bucket)::int AS group_place FROM p WHERE place = 1)
+        SELECT p.*, group_place FROM p JOIN b ON bucket = b WHERE place <= 5"""
     ),
 )
 def release_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,8 +144,11 @@ def with_carriers(sql: str) -> str:
     used = [c for c in CARRIERS if "{" + c + "}" in sql]
     for c in used:
         sql = sql.replace("{" + c + "}", c)
-    heads = ",\n".join(f"{c} AS ({CARRIERS[c].strip()})" for c in used)
     if not used:
         return sql
+    heads = ",\n".join(f"{c} AS ({CARRIERS[c].strip()})" for c in used)
     body = sql.strip()
-    return f"WITH {heads},\n{body[4:].strip()}" if body.upper().startswith("WITH") and not body.upper().startswith("WITH RECURSIVE") else f"WITH RECURSIVE {heads},\n{body[14:].strip()}" if body.upper().startswith("WITH RECURSIVE") else f"WITH {heads}\n{body}"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(start):
+            return f"{start} {heads},\n{body[len(start) :].strip()}"
+    return f"WITH {heads}\n{body}"
