@@ -1,7 +1,10 @@
-"""File sources (SC7, SC9): subtitle corpora and storage listings."""
+"""File sources and sinks (SC2, SC7, SC9, SC11): listings, subtitle corpora, storage, WebVTT."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -14,3 +17,22 @@ def storage_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modificationTime) of regular files below ``path``; their content is never read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
     return rows.select("path", "length", "modificationTime")
+
+
+def listing_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """SC2: documents of all sources as (source_idx, source_url, json), and the sources that couldn't be read."""
+    found, failed = [], []
+    for k, path in enumerate(paths):
+        try:
+            rows = spark.read.text(path, wholetext=True)
+        except AnalysisException:
+            failed.append(path)
+            continue
+        found.append(rows.select(F.lit(k).alias("source_idx"), F.lit(path).alias("source_url"), F.col("value").alias("json")))
+    empty = spark.createDataFrame([], "source_idx int, source_url string, json string")
+    return reduce(DataFrame.unionByName, found, empty), failed
+
+
+def write_vtt(documents: DataFrame, path: str) -> None:
+    """SC11: one folder with one document per track."""
+    documents.select("track_id", "value").write.partitionBy("track_id").text(path)

@@ -123,3 +123,25 @@ def test_files(spark, tmp_path):
     (tmp_path / "a" / "x.srt").write_text("1\n2")
     assert [r.content for r in subtitle_files(spark, str(tmp_path)).collect()] == ["1\n2"]
     assert [r.length for r in storage_files(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_sources_that_fail_are_left_out(spark, tmp_path):
+    from reelframe.operators.catalogue import listing_rows, unreadable
+    from reelframe.sources.files import listing_sources
+
+    (tmp_path / "a.json").write_text('{"streams":[{"infoHash":"h1","name":"n"},{"name":"no hash"}]}')
+    (tmp_path / "b.json").write_text("broken")
+    documents, failed = listing_sources(spark, [str(tmp_path / "a.json"), str(tmp_path / "none.json"), str(tmp_path / "b.json")])
+    assert failed == [str(tmp_path / "none.json")]
+    assert [(r.source_idx, r.info_hash, r.file_idx, r.title) for r in listing_rows(documents, "json", "source_idx").collect()] == [(0, "h1", 0, "")]
+    assert [r.source_idx for r in unreadable(documents, "json").collect()] == [2]
+
+
+def test_vtt_files(spark, tmp_path):
+    from reelframe.operators.subtitles import export_vtt
+    from reelframe.sources.files import write_vtt
+
+    cues = spark.createDataFrame([(1, 1, -1.0, 2.0, "b"), (1, 0, 3661.5, 3662.0004, "a & <b>"), (2, 0, 0.0, 1.0, "c")], "track_id int, idx int, start_s double, end_s double, text string")
+    write_vtt(export_vtt(cues), str(tmp_path / "out"))
+    text = spark.read.text(str(tmp_path / "out" / "track_id=1"), wholetext=True).first().value
+    assert text == "WEBVTT\n\n01:01:01.500 --> 01:01:02.000\na &amp; &lt;b>\n\n00:00:00.000 --> 00:00:02.000\nb\n\n"
