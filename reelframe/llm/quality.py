@@ -26,7 +26,7 @@ from reelframe.llm.words import NOT_SPACE, chunks, find, windows, word_hashes
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Labelled documents that the field is trained on, at most.
 MAX_TRAINING = 2000
-STEPS, RATE, DECAY = 150, 0.3, 1e-3
+STEPS, RATE, DECAY = 100, 0.3, 1e-3
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -164,18 +164,30 @@ class Field:
         return labels, moves
 
     def fit(self, features: list[np.ndarray], words: list[np.ndarray], quality: np.ndarray) -> Field:
-        """Gradient ascent on the likelihood; both classes of documents weigh the same."""
-        grid, sizes = padded(features)
-        weight = np.where(quality == 1, 0.5 / max(1, (quality == 1).sum()), 0.5 / max(1, (quality == 0).sum())) / np.maximum(sizes, 1)
-        truth = np.zeros((*grid.shape[:2], 2))
-        truth[np.arange(len(quality)), :, quality] = 1.0
-        truth *= (np.arange(grid.shape[1])[None, :] < sizes[:, None])[:, :, None]
-        seen = np.zeros((len(quality), 2, 2))
-        seen[np.arange(len(quality)), quality, quality] = np.maximum(sizes - 1, 0)
+        """Gradient ascent on the likelihood; both classes of documents weigh the same.
+
+        Documents of about as many lines are computed together, so that little is padding.
+        """
+        share = np.where(quality == 1, 0.5 / max(1, (quality == 1).sum()), 0.5 / max(1, (quality == 0).sum()))
+        width = np.array([len(f).bit_length() for f in features])
+        parts = []
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            grid, sizes = padded([features[k] for k in own])
+            weight, y = share[own] / np.maximum(sizes, 1), quality[own]
+            truth = np.zeros((*grid.shape[:2], 2))
+            truth[np.arange(len(own)), :, y] = 1.0
+            truth *= (np.arange(grid.shape[1])[None, :] < sizes[:, None])[:, :, None]
+            seen = np.zeros((len(own), 2, 2))
+            seen[np.arange(len(own)), y, y] = np.maximum(sizes - 1, 0)
+            parts.append((grid, sizes, weight, truth, seen))
         squares = [np.full_like(self.emit, 1e-8), np.full_like(self.move, 1e-8)]
         for _ in range(STEPS):
-            labels, moves = self.marginals(grid, sizes)
-            steps = [np.einsum("n,nlf,nly->fy", weight, grid, truth - labels) - DECAY * self.emit, np.einsum("n,nab->ab", weight, seen - moves) - DECAY * self.move]
+            steps = [-DECAY * self.emit, -DECAY * self.move]
+            for grid, sizes, weight, truth, seen in parts:
+                labels, moves = self.marginals(grid, sizes)
+                steps[0] = steps[0] + np.einsum("nlf,nly->fy", grid * weight[:, None, None], truth - labels, optimize=True)
+                steps[1] = steps[1] + np.einsum("n,nab->ab", weight, seen - moves)
             for value, step, square in zip((self.emit, self.move), steps, squares, strict=True):
                 square += step * step
                 value += RATE * step / np.sqrt(square)
