@@ -38,7 +38,7 @@ def strip_tags_embedded(text: Column) -> Column:
 def outside_brackets(line: Column) -> Column:
     """Text outside ``[]`` and ``()``, whose depths are independent; unclosed ones eat the rest, stray closers vanish.
 
-    Depth needs a fold; lines without a bracket skip it.
+    Depth needs a fold, over brackets and the runs between them; lines without a bracket skip it.
     """
 
     def step(acc: Column, c: Column) -> Column:
@@ -48,7 +48,7 @@ def outside_brackets(line: Column) -> Column:
         return F.struct(square.alias("s"), paren.alias("p"), F.when(plain, F.concat(acc["o"], c)).otherwise(acc["o"]).alias("o"))
 
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("p"), F.lit("").alias("o"))
-    return F.when(line.rlike(r"[\[\]()]"), F.aggregate(F.split(line, ""), start, step, lambda acc: acc["o"])).otherwise(line)
+    return F.when(line.rlike(r"[\[\]()]"), F.aggregate(F.regexp_extract_all(line, F.lit(r"[\[\]()]|[^\[\]()]+"), F.lit(0)), start, step, lambda acc: acc["o"])).otherwise(line)
 
 
 def clean_line(line: Column) -> Column:
@@ -80,7 +80,7 @@ def ass_text(event: Column) -> Column:
         plain = ~c.isin("{", "}") & (acc["d"] == 0)
         return F.struct(depth.alias("d"), F.when(plain, F.concat(acc["o"], c)).otherwise(acc["o"]).alias("o"))
 
-    folded = F.aggregate(F.split(body, ""), F.struct(F.lit(0).alias("d"), F.lit("").alias("o")), step, lambda acc: acc["o"])
+    folded = F.aggregate(F.regexp_extract_all(body, F.lit("[{}]|[^{}]+"), F.lit(0)), F.struct(F.lit(0).alias("d"), F.lit("").alias("o")), step, lambda acc: acc["o"])
     body = F.when(body.rlike("[{}]"), folded).otherwise(body)
     return F.replace(F.replace(F.replace(body, F.lit("\\N"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\h"), F.lit(" "))
 

@@ -13,37 +13,57 @@ _WS = "' ' || chr(10) || chr(9) || chr(13)"
 _SECONDS = lambda t: f"(CASE WHEN len(string_split({t}, ':')) = 3 THEN try_cast(string_split(replace(trim({t}), ',', '.'), ':')[1] AS double) * 3600 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[2] AS double) * 60 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[3] AS double) END)"
 
 
-@query(
-    "cue_explode",
-    sql(rf"""WITH b AS (SELECT conv_id, turn, list_transform(string_split(replace(regexp_replace(content, '^' || chr(65279), ''), chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: trim(x, {_WS})) AS bs FROM {{srt_files}}),
+_CUE_SQL = rf"""WITH b AS (SELECT conv_id, turn, list_transform(string_split(replace(regexp_replace(content, '^' || chr(65279), ''), chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: trim(x, {_WS})) AS bs FROM {{srt_files}}),
     l AS (SELECT conv_id, turn, generate_subscripts(bs, 1) AS k, string_split(unnest(bs), chr(10)) AS ls FROM b),
     t AS (SELECT conv_id, turn, k, {_SECONDS("string_split(ls[2], ' --> ')[1]")} AS start, {_SECONDS("string_split(ls[2], ' --> ')[2]")} AS "end", array_to_string(ls[3:], chr(10)) AS text FROM l WHERE len(ls) >= 3 AND len(string_split(ls[2], ' --> ')) = 2),
     n AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::int AS idx, round(start, 6) AS start, round("end", 6) AS "end", trim(replace(regexp_replace(text, '<[^>]*(>|$)', '', 'g'), '>', ''), {_WS}) AS text FROM t WHERE start IS NOT NULL AND "end" IS NOT NULL AND text <> '')
-    SELECT * FROM n WHERE text <> ''"""),
-)
-def cue_explode(spark, sf_dir):
-    cues = O.explode_cues(carrier(spark, sf_dir, "srt_files"), "conv_id", "turn")
+    SELECT * FROM n WHERE text <> ''"""
+
+
+def _cues(spark, sf_dir, files):
+    cues = O.explode_cues(carrier(spark, sf_dir, files), "conv_id", "turn")
     return cues.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
+@query("cue_explode", sql(_CUE_SQL))
+def cue_explode(spark, sf_dir):
+    return _cues(spark, sf_dir, "srt_files")
+
+
+@query("cue_explode_whole", sql(_CUE_SQL.replace("{srt_files}", "{srt_whole}")))
+def cue_explode_whole(spark, sf_dir):
+    """SB1-SB3 over whole messages."""
+    return _cues(spark, sf_dir, "srt_whole")
+
+
 _FOLD = """list_reduce(list_concat([{'s': 0, 'p': 0, 'o': '', 'c': ''}], list_transform(string_split(line, ''), lambda ch: {'s': 0, 'p': 0, 'o': '', 'c': ch})), lambda a, x: {
   's': CASE x.c WHEN '[' THEN a.s + 1 WHEN ']' THEN greatest(a.s - 1, 0) ELSE a.s END,
   'p': CASE x.c WHEN '(' THEN a.p + 1 WHEN ')' THEN greatest(a.p - 1, 0) ELSE a.p END,
   'o': CASE WHEN x.c NOT IN ('[', ']', '(', ')') AND a.s = 0 AND a.p = 0 THEN a.o || x.c ELSE a.o END, 'c': ''}).o"""
 
 
-@query(
-    "sdh_clean",
-    sql(f"""WITH w AS (SELECT conv_id, turn, 'JOHN DOE: ' || substr(text, 1, 40) || ' (sighs) [door' || chr(10) || '♪ ~ ♪' || chr(10) || 'MAN: ] ' || substr(text, 3, 30) || '[a (b] c) d' AS text FROM conversations),
+_SDH_SQL = f"""WITH w AS (SELECT conv_id, turn, 'JOHN DOE: ' || substr(text, 1, 40) || ' (sighs) [door' || chr(10) || '♪ ~ ♪' || chr(10) || 'MAN: ] ' || substr(text, 3, 30) || '[a (b] c) d' AS text FROM conversations),
     l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM w),
     f AS (SELECT conv_id, turn, k, trim(regexp_replace(trim({_FOLD}, ' ' || chr(9) || chr(13)), '^[A-Z -]+:', ''), ' ' || chr(9) || chr(13)) AS line FROM l)
-    SELECT w.conv_id, w.turn, coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM f WHERE f.conv_id = w.conv_id AND f.turn = w.turn AND NOT regexp_matches(line, '^[♪♫#~ ]*$')), '') AS text FROM w"""),
-)
-def sdh_clean(spark, sf_dir):
-    text = F.concat(F.lit("JOHN DOE: "), F.substring("text", 1, 40), F.lit(" (sighs) [door\n♪ ~ ♪\nMAN: ] "), F.substring("text", 3, 30), F.lit("[a (b] c) d"))
+    SELECT w.conv_id, w.turn, coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM f WHERE f.conv_id = w.conv_id AND f.turn = w.turn AND NOT regexp_matches(line, '^[♪♫#~ ]*$')), '') AS text FROM w"""
+
+
+def _cleaned(spark, sf_dir, first, second):
+    text = F.concat(F.lit("JOHN DOE: "), first, F.lit(" (sighs) [door\n♪ ~ ♪\nMAN: ] "), second, F.lit("[a (b] c) d"))
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_sdh(text).alias("text"))
 
 
+@query("sdh_clean", sql(_SDH_SQL))
+def sdh_clean(spark, sf_dir):
+    return _cleaned(spark, sf_dir, F.substring("text", 1, 40), F.substring("text", 3, 30))
+
+
+@query("sdh_clean_whole", sql(_SDH_SQL.replace("substr(text, 1, 40)", "text").replace("substr(text, 3, 30)", "text")))
+def sdh_clean_whole(spark, sf_dir):
+    """SB4 over whole messages."""
+    return _cleaned(spark, sf_dir, F.col("text"), F.col("text"))
+
+
 @query(
     "tag_strip",
     rf"""SELECT page_id, trim(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''), {_WS}) AS plain, trim(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), {_WS}) AS embedded,
@@ -54,15 +74,25 @@ def tag_strip(spark, sf_dir):
     return given(spark, sf_dir, "pages").select("page_id", T.strip_tags(html).alias("plain"), T.strip_tags_embedded(html).alias("embedded"), T.unescape(html).alias("unescaped"))
 
 
+def _events(spark, sf_dir, text):
+    event = F.concat(F.col("turn").cast("string"), F.lit(r",0,Default,,0,0,0,,{\i1}"), text, F.lit(r", a\Nb\hc{x}"))
+    end = T.cue_end(F.col("turn").cast("double"), F.when(F.col("turn") % 2 != 0, 1.5))
+    return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.ass_text(event).alias("text"), end.alias("end"))
+
+
 @query(
     "ass_text",
     """SELECT conv_id, turn, substr(text, 1, 20) || ', a' || chr(10) || 'b c' AS text, turn + CASE WHEN turn % 2 = 0 THEN 3.0::double ELSE 1.5::double END AS "end" FROM conversations""",
 )
 def ass_text(spark, sf_dir):
     """SB6, SB7: event lines built around each message."""
-    event = F.concat(F.col("turn").cast("string"), F.lit(r",0,Default,,0,0,0,,{\i1}"), F.substring("text", 1, 20), F.lit(r", a\Nb\hc{x}"))
-    end = T.cue_end(F.col("turn").cast("double"), F.when(F.col("turn") % 2 != 0, 1.5))
-    return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.ass_text(event).alias("text"), end.alias("end"))
+    return _events(spark, sf_dir, F.substring("text", 1, 20))
+
+
+@query("ass_text_whole")
+def ass_text_whole(spark, sf_dir):
+    """SB6, SB7: event lines that hold whole messages."""
+    return _events(spark, sf_dir, F.col("text"))
 
 
 def points(spark, sf_dir):

@@ -89,6 +89,15 @@ SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(65279) ELSE '' END || '1'
 FROM conversations
 """
 
+#: Every message whole: as one cue, and again with a cue for each of its lines.
+SRT_WHOLE = """
+SELECT conv_id, turn, '1' || chr(13) || chr(10) || '00:00:01,000 --> 00:00:0' || cast(2 + turn % 7 AS varchar(20)) || ',500' || chr(13) || chr(10) || '<i>' || text || '</i>'
+  || chr(10) || chr(10) || '2' || chr(10) || '00:0' || cast(turn % 10 AS varchar(20)) || ':05,250 --> 00:1' || cast(turn % 10 AS varchar(20)) || ':07.800' || chr(10) || 'WOMAN: [sighs] '
+  || replace(text, chr(10), chr(10) || chr(10) || '3' || chr(10) || '00:0' || cast(turn % 10 AS varchar(20)) || ':08,250 --> 00:1' || cast(turn % 10 AS varchar(20)) || ':09.800' || chr(10) || '(door (closes)) ')
+  || chr(10) || chr(10) || '4' || chr(10) || 'not a time' || chr(10) || 'skipped' AS content
+FROM conversations
+"""
+
 CUES = """
 SELECT conv_id AS track_id, turn AS idx, turn * 4 AS start_s, turn * 4 + 2 + conv_id % 4 AS end_s, text FROM conversations
 """
