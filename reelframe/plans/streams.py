@@ -10,9 +10,12 @@ from reelframe.sources.carriers import carrier, given
 from reelframe.streaming import folds as S
 
 
-def _progress(spark, sf_dir):
+def _ordered(spark, sf_dir, *columns):
+    return S.ordered_stream(spark, f"{sf_dir}/events.parquet", list(columns))
+
+
+def _progress(rows):
     """Events as progress, status and removal events of ``user_id``."""
-    rows = S.event_stream(spark, f"{sf_dir}/events.parquet")
     total = F.when(F.col("seq") % 3 == 0, F.col("user_id") * 10)
     kind = F.when((F.col("seq") % 29 == 0) & (F.col("user_id") % 2 == 0), "removed").otherwise(F.col("event_type"))
     return rows.select(F.col("user_id").alias("id"), "event_ts", "seq", kind.alias("kind"), F.floor("value").alias("done"), total.alias("total"))
@@ -26,13 +29,13 @@ _PROGRESS = "(SELECT user_id AS id, ts AS event_ts, event_id AS seq, CASE WHEN e
     f"WITH s AS (SELECT id, max(seq) AS seq, arg_max(kind, (event_ts, seq)) AS kind, arg_max(done, (event_ts, seq)) AS done, arg_max(total, (event_ts, seq)) FILTER (WHERE total IS NOT NULL) AS total FROM {_PROGRESS} GROUP BY id) SELECT * FROM s WHERE kind <> 'removed'",
 )
 def stream_latest(spark, sf_dir):
-    return S.fold_latest(_progress(spark, sf_dir), "id", ["total"]).select("id", "seq", "kind", "done", "total")
+    return S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"]).select("id", "seq", "kind", "done", "total")
 
 
 @query("stream_complete_once", f"SELECT DISTINCT id FROM {_PROGRESS} WHERE total > 0 AND done >= total")
 def stream_complete_once(spark, sf_dir):
     """The watermark lets a key come again after its delay; the table keeps one row of each."""
-    return S.run_to_table(S.completed_once(_progress(spark, sf_dir), "id")).select("id").distinct()
+    return S.run_to_table(S.completed_once(_progress(_ordered(spark, sf_dir, "user_id", "event_type", "value")), "id")).select("id").distinct()
 
 
 @query(
@@ -43,19 +46,19 @@ def stream_complete_once(spark, sf_dir):
     SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND""",
 )
 def stream_idle_sessions(spark, sf_dir):
-    closed = S.run_to_table(S.idle_sessions(S.event_stream(spark, f"{sf_dir}/events.parquet"), "user_id"))
+    closed = S.run_to_table(S.idle_sessions(_ordered(spark, sf_dir, "user_id"), "user_id"))
     return closed.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
 @query("stream_ticks", "WITH w AS (SELECT user_id, floor(epoch_us(ts) / 2000000)::bigint * 2000000 AS started, value FROM events WHERE user_id IN (1, 3, 5, 7)) SELECT user_id, started, count(*) AS n, max(value) AS value FROM w WHERE started + 2000000 <= (SELECT max(epoch_us(ts)) FROM events WHERE user_id IN (1, 3, 5, 7)) - 600000000 GROUP BY ALL")
 def stream_ticks(spark, sf_dir):
-    found = S.run_to_table(S.ticks(S.event_stream(spark, f"{sf_dir}/events.parquet"), [1, 3, 5, 7]))
+    found = S.run_to_table(S.ticks(_ordered(spark, sf_dir, "user_id", "value"), [1, 3, 5, 7]))
     return found.withColumn("started", F.unix_micros("started"))
 
 
 @query("stream_waiting", f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT id, done, done <= 0 AS waiting FROM s WHERE kind <> 'removed'")
 def stream_waiting(spark, sf_dir):
-    return S.waiting(S.fold_latest(_progress(spark, sf_dir), "id", ["total"])).select("id", "done", "waiting")
+    return S.waiting(S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"])).select("id", "done", "waiting")
 
 
 @query("stream_route", "SELECT event_type, event_id AS seq FROM events WHERE event_type IN ('view', 'click')")
@@ -69,7 +72,7 @@ def stream_route(spark, sf_dir):
     n AS (SELECT key, seq, row_number() OVER (PARTITION BY key, island ORDER BY ts, seq) AS n FROM i WHERE failed) SELECT key, seq FROM n WHERE n = 3""",
 )
 def stream_failure_alarm(spark, sf_dir):
-    events = S.event_stream(spark, f"{sf_dir}/events.parquet").withColumn("failed", F.col("event_type").isin("error", "click"))
+    events = _ordered(spark, sf_dir, "user_id", "event_type").withColumn("failed", F.col("event_type").isin("error", "click"))
     return S.run_to_table(S.failure_alarm(events, "user_id", 3))
 
 
