@@ -1,4 +1,4 @@
-"""Catalogue ETL: hits, titles, artwork picks, nested look-ups (SC1-SC6, PF1-PF16, SO1, JN17, JN19)."""
+"""Catalogue ETL: hits, titles, artwork picks, nested look-ups (SC1-SC6, PF1-PF9, PF11, PF13, PF16, SO1, JN17, JN19)."""
 
 from __future__ import annotations
 
@@ -114,7 +114,7 @@ def track_labels(jobs: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def resumable(history: DataFrame, guard: bool = True) -> DataFrame:
-    """PF13, PF14, PF16: the newest usable position of each title; ``guard`` leaves out what is all but finished."""
+    """The newest usable position of each title, whatever the episode; ``guard`` leaves out what is all but finished."""
     usable = (F.col("position") > 0) & (F.col("duration") > 0)
     usable = usable & (F.col("position") < F.col("duration") - RESUME_GUARD) if guard else usable
     return history.where(usable).groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "duration"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
@@ -123,3 +123,17 @@ def resumable(history: DataFrame, guard: bool = True) -> DataFrame:
 def latest_positions(history: DataFrame) -> DataFrame:
     """DM6: the last heartbeat of each title."""
     return history.where("position > 0").groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "download_id"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
+
+
+def episode_positions(history: DataFrame) -> DataFrame:
+    """PF16: the last admitted heartbeat of each film or episode; one of a series needs its season and episode."""
+    series = F.col("media_type") != "movie"
+    admitted = history.where((F.col("position") > 0) & (~series | (F.col("season").isNotNull() & F.col("episode").isNotNull())))
+    keyed = admitted.withColumns({c: F.when(series, F.col(c)) for c in ("season", "episode")})
+    last = F.max_by(F.struct("seq", "position", "duration"), F.struct("seen_at", "seq")).alias("r")
+    return keyed.groupBy("media_id", "media_type", "season", "episode").agg(last).select("media_id", "media_type", "season", "episode", "r.*")
+
+
+def episode_resumes(history: DataFrame) -> DataFrame:
+    """PF13: where each film or episode goes on, unless its last position is all but the end."""
+    return episode_positions(history).where((F.col("duration") > 0) & (F.col("position") < F.col("duration") - RESUME_GUARD))

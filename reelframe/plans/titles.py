@@ -151,6 +151,19 @@ def watch_latest(spark, sf_dir):
     return C.latest_positions(carrier(spark, sf_dir, "watch"))
 
 
+_EPISODES = "(SELECT media_id, media_type, season, episode, r.seq AS seq, r.position AS position, r.duration AS duration FROM (SELECT media_id, media_type, CASE WHEN media_type = 'tv' THEN season END AS season, CASE WHEN media_type = 'tv' THEN episode END AS episode, arg_max(struct_pack(seq, position, duration), (seen_at, seq)) AS r FROM {watch_episodes} WHERE position > 0 AND (media_type = 'movie' OR season IS NOT NULL AND episode IS NOT NULL) GROUP BY ALL))"
+
+
+@query("watch_latest_episodes", sql(f"SELECT * FROM {_EPISODES}"))
+def watch_latest_episodes(spark, sf_dir):
+    return C.episode_positions(carrier(spark, sf_dir, "watch_episodes"))
+
+
+@query("resume_pick_episodes", sql(f"SELECT * FROM {_EPISODES} WHERE duration > 0 AND position < duration - 30"))
+def resume_pick_episodes(spark, sf_dir):
+    return C.episode_resumes(carrier(spark, sf_dir, "watch_episodes"))
+
+
 @query("resume_labels", sql("SELECT seq, greatest(0, ceil((duration - position) / 60))::bigint AS minutes_left, round(CASE WHEN duration > 0 THEN position / duration ELSE 0 END, 6)::double AS ratio, CASE WHEN duration > 0 THEN least(100, floor(position * 100 / duration + 0.5))::bigint END AS pct FROM {watch}"))
 def resume_labels(spark, sf_dir):
     p, d = F.col("position"), F.col("duration")

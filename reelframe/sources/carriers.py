@@ -63,6 +63,13 @@ SELECT event_id AS seq, user_id AS media_id, event_id % 97 AS download_id, ts AS
 FROM events
 """
 
+#: Heartbeats of films and of episodes; some of a series lack their episode.
+WATCH_EPISODES = """
+SELECT event_id AS seq, user_id AS media_id, CASE WHEN user_id % 3 = 0 THEN 'tv' ELSE 'movie' END AS media_type, CASE WHEN user_id % 3 = 0 THEN event_id % 2 + 1 END AS season,
+  CASE WHEN user_id % 3 = 0 AND event_id % 11 <> 0 THEN event_id % 4 + 1 END AS episode, ts AS seen_at, cast(floor(value * 10) AS bigint) AS position, 600 + user_id * 7 AS duration
+FROM events
+"""
+
 STORAGE_FILES = """
 SELECT CASE l_linenumber % 3 WHEN 0 THEN '/data/transcodings/' WHEN 1 THEN '/data/downloads/' ELSE '/data/artwork/' END || 'H' || cast(l_orderkey AS varchar(20)) || '/f' || cast(l_linenumber AS varchar(20)) || '_' || cast(l_partkey AS varchar(20)) AS path,
   cast(floor(l_extendedprice) AS bigint) AS length
