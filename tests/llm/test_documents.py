@@ -150,14 +150,72 @@ def test_quality(spark, messy):
 
 
 def test_viterbi_is_the_best_path(rng=np.random.default_rng(1)):
+    for _ in range(20):
+        move, sizes = rng.normal(size=(2, 2)), rng.integers(1, 8, 5).tolist()
+        scores = rng.normal(size=(sum(sizes), 2))
+        first = np.zeros(len(scores), bool)
+        first[np.cumsum([0, *sizes[:-1]])] = True
+        want = []
+        for n, end in zip(sizes, np.cumsum(sizes).tolist(), strict=True):
+            own = scores[end - n : end]
+            total = lambda y: sum(own[k, y[k]] for k in range(n)) + sum(move[y[k], y[k + 1]] for k in range(n - 1))  # noqa: B023, E731
+            want += max(([m >> k & 1 for k in range(n)] for m in range(1 << n)), key=total)
+        assert quality.best_labels(scores, move, first).tolist() == want
+    assert len(quality.best_labels(np.zeros((0, 2)), move, np.zeros(0, bool))) == 0
+
+
+def test_gradient_is_that_of_the_likelihood(rng=np.random.default_rng(5)):
     field = quality.Field()
     field.emit, field.move = rng.normal(size=field.emit.shape), rng.normal(size=(2, 2))
-    for n in range(1, 7):
-        lines = rng.integers(0, 2, (n, len(quality.FEATURES)))
-        scores = lines @ field.emit
-        total = lambda y: sum(scores[k, y[k]] for k in range(n)) + sum(field.move[y[k], y[k + 1]] for k in range(n - 1))  # noqa: B023, E731
-        best = max(([m >> k & 1 for k in range(n)] for m in range(1 << n)), key=total)
-        assert field.decode(lines).tolist() == best
+    features = [rng.integers(0, 2, (n, len(quality.FEATURES))).astype(float) for n in (1, 4, 5)]
+    labels, weight = [rng.integers(0, 2, len(f)) for f in features], np.array([0.5, 0.2, 0.3])
+
+    def likelihood():
+        total = 0.0
+        for f, y, w in zip(features, labels, weight, strict=True):
+            scores = f @ field.emit
+            path = lambda z: sum(scores[k, z[k]] for k in range(len(z))) + sum(field.move[z[k], z[k + 1]] for k in range(len(z) - 1))  # noqa: B023, E731
+            every = [path([m >> k & 1 for k in range(len(f))]) for m in range(1 << len(f))]
+            total += w * (path(y) - np.logaddexp.reduce(every))
+        return total
+
+    grid, sizes = quality.padded(features)
+    truth = np.zeros(grid.shape[:2], np.int64)
+    for k, y in enumerate(labels):
+        truth[k, : len(y)] = y
+    steps = field.likelihood_steps(grid, sizes, truth, weight)
+    for value, step in zip((field.emit, field.move), steps, strict=True):
+        for at in np.ndindex(value.shape):
+            value[at] += 1e-5
+            up = likelihood()
+            value[at] -= 2e-5
+            down = likelihood()
+            value[at] += 1e-5
+            assert abs((up - down) / 2e-5 - step[at]) < 1e-6
+
+
+def test_lines_of_one_document_get_labels_of_their_own(spark):
+    """Boilerplate lines planted in good documents are found, other lines stay content, and the documents stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = docs.join(labels.where("quality = 1 AND toxic = 0 AND doc_id % 2 = 1"), "doc_id").where("n_chars BETWEEN 1500 AND 6000 AND lang = 'en' AND size(split(text, '\n')) BETWEEN 6 AND 30").orderBy("doc_id").limit(40)
+    junk = "home | news | help | log in | contact | terms\n$$$ %%% ### &&& ***"
+    text = lambda d: d.text.split("\n")
+    clean = [(d.doc_id, list(dict.fromkeys(text(d)))) for d in good.collect()]
+    planted = [(i, "\n".join([*lines[:3], junk, *lines[3:]])) for i, lines in clean]
+    train = labels.where("doc_id % 2 = 0")
+    rows = [(i, t) for i, t in planted] + [(-1 - i, "\n".join(lines)) for i, lines in clean]
+    field = quality.train(docs, train)
+    batch = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    found = {r.doc_id: r for r in batch.mapInArrow(quality.judging(field), quality.SCHEMA).collect()}
+    assert len(clean) >= 20
+    for i, lines in clean:
+        if found[-1 - i].n_content_lines == len([x for x in lines if words(x)]):
+            assert found[i].n_content_lines == found[i].n_lines - 2 and found[i].kept and 0 < found[i].content_share < 1
+    whole = sum(found[-1 - i].n_content_lines == found[-1 - i].n_lines for i, _ in clean)
+    assert whole >= 0.9 * len(clean)
+    share = quality.judge(docs, labels).agg(F.avg(F.expr("content_share > 0 AND content_share < 1").cast("double"))).first()[0]
+    assert share > 0.05
 
 
 def test_quality_tells_held_out_documents_apart(spark):
