@@ -39,23 +39,45 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(vectors.where("false")).count() == 0
 
 
-def test_quotations(spark):
-    rows = [
-        (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello  THERE\nFine\nthanks"), (1, 2, "user", "> Fine\n>> hello there\nok"), (1, 3, "user", ">> Fine\nnest"), (1, 4, None, "> nothing matches\nx"),
-        (1, 5, "user", "> ok\n> nest\n> Fine\nmulti"), (1, 5, "user", "> ok\nsecond part"), (2, 0, "user", None), (2, 1, "user", ">"), (None, 1, "user", "> a"), (3, None, "user", "q"), (1, 6, "u", "> multi\n hi"), (1, 7, "u", "> hi\n> HI\nend"),
-    ]
-    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = quotations.link_quotations(messages.withColumn("level", F.lit(1))).collect()
-    by_turn = {(r.conv_id, r.turn): r for r in found}
-    assert [by_turn[1, k].reply_to for k in range(8)] == [None, 0, 1, 1, None, 2, 5, 6]
-    assert by_turn[1, 7].path == "/".join(f"{k:010d}" for k in (0, 1, 2, 5, 6, 7)) and by_turn[1, 2].clean_text == "ok"
+def same_as_sql(found, rows):
     con = duckdb.connect()
     con.sql("CREATE TABLE conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     other = con.sql(quotations.SQL)
     at = [other.columns.index(c) for c in found[0].__fields__]
     assert sorted(repr(tuple(r)) for r in found) == sorted(repr(tuple(r[k] for k in at)) for r in other.fetchall())
+
+
+def test_quotations(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello  THERE\nFine\nthanks"), (1, 2, "user", "> Fine\n>> hello there\nok"), (1, 3, "user", ">> Fine\nnest"), (1, 4, None, "> nothing matches\nx"),
+        (1, 5, "user", "> ok\n> nest\n> Fine\nmulti"), (1, 5, "user", "> ok\nsecond part"), (2, 0, "user", None), (2, 1, "user", ">"), (None, 1, "user", "> a"), (3, None, "user", "q"), (1, 6, "u", "> multi\n hi"), (1, 7, "u", "> hi\n> HI\nend"),
+        # Quotes that were wrapped anew, or that repeat a sentence only.
+        (4, 10, "user", "The first sentence is\nlong. The second! A third one"), (4, 12, "user", "> the first\n> sentence is long.\nyes"), (4, 15, "user", "text\n> The second!\nno"), (4, 20, "user", "> A third\nnot linked"),
+        # Turns of any size, below zero too.
+        (5, -5, "user", "early words"), (5, 1764300000000, "user", "> early words\nlate words"), (5, 1764300000001, "user", "> late words\nlast"), (5, -4, "user", "> early words\nearlier answer"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = quotations.link_quotations(messages.withColumn("level", F.lit(1)))
+    found = linked.collect()
+    by_turn = {(r.conv_id, r.turn): r for r in found}
+    assert [by_turn[1, k].reply_to for k in range(8)] == [None, 0, 1, 1, None, 3, 5, 6]
+    assert [(by_turn[1, k].thread, by_turn[1, k].position, by_turn[1, k].depth) for k in range(8)] == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 2), (4, 0, 0), (0, 4, 3), (0, 5, 4), (0, 6, 5)]
+    assert [by_turn[4, k].reply_to for k in (10, 12, 15, 20)] == [None, 10, 10, None] and by_turn[1, 2].clean_text == "ok"
+    assert [by_turn[5, k].position for k in (-5, -4, 1764300000000, 1764300000001)] == [0, 1, 2, 3]
+    same_as_sql(found, rows)
     assert quotations.link_quotations(messages.where("false")).count() == 0
+    quotations.write_conversations(linked.where("conv_id = 5"), str(tmp_path / "chats"))
+    chats = [c for f in sorted((tmp_path / "chats").glob("part-*")) for c in f.read_text().split("\n\n") if c]
+    assert [c.split("\n")[1] for c in chats] == ["early words", "earlier answer", "late words", "last"]
+
+
+def test_long_and_wide_threads(spark):
+    """A chain of 200 answers, and a message with 200: keys of fixed size, brothers in order of time."""
+    rows = [(1, k, "u", f"> words {k - 1}\nwords {k}" if k else "words 0") for k in range(200)]
+    rows += [(2, k, "u", f"> start\nanswer {k}" if k else "start") for k in range(200)]
+    found = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.position, r.depth) for r in found} == {(1, k): (k, k) for k in range(200)} | {(2, k): (k, min(k, 1)) for k in range(200)}
 
 
 def test_pipeline(spark):
