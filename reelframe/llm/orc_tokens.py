@@ -2,7 +2,8 @@
 
 Ids are ORC integer lists (run-length encoded per stripe), with row indexes and a Bloom filter on
 ``doc_id``; stripes can be read in parallel, and a filter on ``doc_id`` skips stripes and row groups by
-their metadata.  Rows without a ``doc_id`` come first; rows that share one are ordered by their text.
+their metadata.  A file holds about ``FILE_BYTES`` of text at most, however large the table is.  Rows without
+a ``doc_id`` come first; rows that share one are ordered by their text.
 Null text counts as empty; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,6 +23,10 @@ from reelframe.llm.words import chunks
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
 
 
+#: Bytes of text in a file, at most and (where there are enough) at least.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+
+
 def encoding(tokenizer: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, position = encoder(tokenizer).encode, 0
@@ -37,10 +42,21 @@ def encoding(tokenizer: str, end_id: int):
     return run
 
 
+def file_count(spark: SparkSession, size: int) -> int:
+    """Files for ``size`` bytes of text: one per shuffle partition, unless they were too small or too large."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES))
+    return max(1, parts, -(-size // FILE_BYTES))
+
+
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
-    """Sorts by range, so part files follow each other; a file is one range and is sorted within."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    """Sorts by range, so part files follow each other; a file is one range and is sorted within.
+
+    Rows that are alike in all else are spread by a running number, so that no group of them fills one file.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"tie": F.xxhash64("text"), "spread": F.monotonically_increasing_id()})
+    order = ["doc_id", "tie", "spread"]
+    ordered = ordered.repartitionByRange(file_count(docs.sparkSession, size), *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(encoding(tokenizer, end_id), "doc_id long, position long, ids array<int>").write.options(**OPTIONS).orc(path)
 
 

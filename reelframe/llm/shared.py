@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reelframe.sources.workspace import shared_path
+
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where the session names none (tests,
-    one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new path below the folder that all executors share (``spark.checkpoint.dir``)."""
+    return shared_path(spark, "llm")
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:

@@ -79,6 +79,66 @@ def test_orc_round_trip(messy, tokenizer):
     assert ids == sorted(ids)
 
 
+def test_orc_metadata_and_pruned_reads(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
+    orc_tokens.write_orc(docs.repartition(3), path, TOKENIZER)
+    jvm, streams = spark._jvm, set()
+    for file in sorted((tmp_path / "orc").glob("part-*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        low, high = reader.getStatistics()[1].getMinimum(), reader.getStatistics()[1].getMaximum()
+        assert low < high and reader.getStripeStatistics().size() == reader.getStripes().size()
+        rows = reader.rows()
+        for k in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(k))
+            streams |= {(footer.getStreams(j).getKind().toString(), footer.getStreams(j).getColumn()) for j in range(footer.getStreamsCount())}
+        rows.close()
+    assert {("ROW_INDEX", 1), ("BLOOM_FILTER_UTF8", 1)} <= streams
+    one = spark.read.schema("doc_id long, ids array<int>").orc(path).where("doc_id = 2500")
+    assert "EqualTo(doc_id,2500)" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1
+    # A row group of 1000 at most is read, and none where the Bloom filter or the statistics know better.
+    read = spark.read.schema("doc_id long, ids array<int>").option("spark.sql.orc.filterPushdown", "true").orc(path)
+
+    def scanned(df):
+        df.collect()
+        plan, found = df._jdf.queryExecution().executedPlan(), []
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        while plan.children().size():
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value()
+
+    assert 1 <= scanned(read.where("doc_id = 2500")) <= 1000 and scanned(read.where("doc_id = 99999")) == 0
+
+
+def test_orc_files_follow_the_bytes(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [orc_tokens.file_count(spark, n) for n in (0, 1, 9 << 20, 1 << 30, 1 << 40)] == [1, 1, 2, parts, 4096]
+
+
+def test_flat_files_hold_ids_and_separators_only(spark, tmp_path, tokenizer):
+    docs = spark.createDataFrame([(5, "one two"), (None, None), (3, "three")], "doc_id long, text string").coalesce(1)
+    separators.write_stream(docs, TOKENIZER, SEPARATOR, str(tmp_path / "t"))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "t" / "kind=0").glob("part-*")))
+    want = [i for t in ("one two", "", "three") for i in [*tokenizer.encode(t, add_special_tokens=False).ids, SEPARATOR]]
+    assert np.frombuffer(raw, "<u2").tolist() == want
+
+
+def test_width_of_ids_follows_the_vocabulary(spark, monkeypatch, messy):
+    assert separators.id_type(TOKENIZER, 1) == "<u2" and separators.id_type(TOKENIZER, 1 << 16) == "<u4"
+
+    class Large:
+        from_file = staticmethod(lambda path: Large())
+        get_vocab_size = staticmethod(lambda: 70_000)
+
+    small = messy.where("length(text) < 5000 OR text IS NULL")
+    want = Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(small, TOKENIZER, SEPARATOR).collect())
+    monkeypatch.setattr(separators, "Tokenizer", Large)
+    assert separators.id_type(TOKENIZER, 1) == "<u4"
+    assert Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(small, TOKENIZER, SEPARATOR, 100).collect()) == want
+
+
 @pytest.mark.parametrize("block", [7, 1 << 16])
 def test_separators(messy, tokenizer, block):
     tokenizer.encode_special_tokens = True
