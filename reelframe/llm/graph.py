@@ -34,29 +34,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())
 
 
-def candidate_rows(bands: DataFrame) -> DataFrame:
-    """(key, n, id) of the buckets that hold several ids, from (key, id) rows.
+def candidate_rows(bands: DataFrame, weight: str) -> DataFrame:
+    """(key, n, total, id) of the buckets that hold several ids, from (key, id, weight) rows.
 
-    Buckets with the same ids are one: two hashes over the ids and their number tell them apart, all
-    pre-aggregated, so that no bucket is ever gathered.
+    ``total`` sums the members' weights.  Buckets with the same ids are one: two hashes over the ids and
+    their number tell them apart, all pre-aggregated, so that no bucket is ever gathered.
     """
-    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
-    groups = written(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
-    return bands.join(groups, "key").select("key", "n", "id")
+    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum(weight).alias("total"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    groups = written(groups.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "total"))
+    return bands.join(groups, "key").select("key", "n", "total", "id")
 
 
-def blocked(rows: DataFrame, size: int) -> DataFrame:
-    """Adds i, j and own: a group of over ``size`` rows becomes tiles of block i against block j.
+def blocked(rows: DataFrame, size: int, limit: int) -> DataFrame:
+    """Adds i, j and own: a group of over ``size`` rows, or ``limit`` weight, becomes tiles of block i against block j.
 
-    Every pair of a group's rows meets in exactly one tile, and a tile holds about ``2 * size`` rows,
-    however large the group is.
+    Every pair of a group's rows meets in exactly one tile, and a tile holds about ``2 * size`` rows and
+    twice ``limit`` at most, however large the group is (a row of more than ``limit`` alone excepted).
     """
-    blocks = F.ceil(F.col("n") / size).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / size), F.least(F.ceil(F.col("total") / limit), F.col("n"))).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
+def bundles(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole tiles of sorted rows, small ones together up to ``most`` rows, with each row's tile number."""
+    held: list[pa.RecordBatch] = []
+    flags: list[np.ndarray] = []
+    last = None
+
+    def parts(table: pa.Table, new: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        starts, begin = np.append(np.flatnonzero(new), len(new)), 0
+        while begin < len(new):
+            end = int(starts[max(np.searchsorted(starts, begin, "right"), np.searchsorted(starts, begin + most, "right") - 1)])
+            yield table.slice(begin, end - begin), np.cumsum(new[begin:end]) - 1
+            begin = end
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")])
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(0)
+        new[0] = last is None or bool((keys[:, 0] != last).any())
+        last = keys[:, -1]
+        held.append(batch)
+        flags.append(new)
+        if new.any():
+            table, new = pa.Table.from_batches(held), np.concatenate(flags)
+            cut = int(np.flatnonzero(new)[-1])
+            yield from parts(table.slice(0, cut), new[:cut])
+            held, flags = table.slice(cut).to_batches(), [new[cut:]]
+    if held:
+        yield from parts(pa.Table.from_batches(held), np.concatenate(flags))
+
+
 def tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of equal (key, i, j) in sorted rows, also across batches."""
     kept: list[pa.RecordBatch] = []

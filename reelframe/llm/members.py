@@ -24,9 +24,9 @@ def member_bits(rows: DataFrame, column: str) -> np.ndarray:
     h = hash_of(column)
     places = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 27), F.lit(bits)))).alias("place")
     words = rows.select(places).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = words.toArrow()
     found = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():
-        found[row.word] = row.bits
+    found[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     return found.view(np.uint64)
 
 

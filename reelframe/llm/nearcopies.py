@@ -1,6 +1,6 @@
 """Operator 10: near copies by BagMinHash over multisets of five-word shingles.
 
-1. Equal texts are one class, named by its smallest ``doc_id``; only that document goes on.
+1. Equal texts are one class with a number of its own; only its document of smallest ``doc_id`` goes on.
 2. Each class gets a BagMinHash signature: every shingle has, for each dyadic range of its weight, a
    Poisson process whose points fall on random registers; a point counts if the shingle's weight
    reaches it, and a register keeps the earliest.  Registers of two multisets are equal with the
@@ -9,11 +9,12 @@
 3. Signatures are cut into bands; classes that share a band are candidates.
 4. Every pair within a bucket is verified by the exact overlap of the two multisets, in tiles of
    bounded size, and only links that join parts leave the task.
-5. Connected components of the links are the groups; the document that names one stays.
+5. Connected components of the links are the groups; the document of smallest ``doc_id`` stays.
 
 Fixed results: texts of one to four words have one shingle, of all their words; texts without a word,
 and null texts, have none: the former link with equal texts only, the latter with nothing.  Rows
-without ``doc_id`` link with nothing and stay.  Rows that share a ``doc_id`` are judged each by its text.
+without ``doc_id`` link with nothing and stay.  Rows that share a ``doc_id`` are judged each by its text; if
+two of a group share the smallest, the one of smaller digest stays.
 An empty table gives no rows.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reelframe.llm.graph import blocked, candidate_rows, components, forest, tiles
 from reelframe.llm.members import hash_of, member_bits, pass_members
-from reelframe.llm.shared import text_digest, written
+from reelframe.llm.shared import salted_join, text_digest, written
 from reelframe.llm.words import NOT_SPACE, U, chunks, find, mix, windows, word_hashes
 
 SHINGLE = 5
@@ -35,8 +36,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: At a similarity of exactly 0.8, 24 bands of 4 registers miss three pairs in a million.
 BANDS, ROWS = 24, 4
-#: Classes in a block of a verified tile.
-TILE = 512
+#: Classes, and their shingles, in a block of a verified tile.
+TILE, TILE_SHINGLES = 512, 1 << 22
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +93,17 @@ def bag_minhash(owner: np.ndarray, grams: np.ndarray, weight: np.ndarray, n: int
 def signing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in chunks(batches):
         n = part.num_rows
-        values = bag_minhash(*shingles(data, offsets), n, BANDS * ROWS)
+        owner, grams, weight = shingles(data, offsets)
+        values = bag_minhash(owner, grams, weight, n, BANDS * ROWS)
         some = np.flatnonzero(np.isfinite(values[:, 0]))
         codes = values[some].view(U).reshape(-1, BANDS, ROWS)
         keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), codes.shape[:2]).copy()
         for k in range(ROWS):
             keys = mix(keys ^ codes[:, :, k]) + U(k)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), lists], ["id", "keys"])
+        sizes = np.bincount(owner, weights=weight, minlength=n).astype(np.int64)[some]
+        at = pa.array(some)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("digest").take(at), pa.array(sizes), lists], ["doc_id", "digest", "size", "keys"])
 
 
 def listing(members):
@@ -120,7 +124,7 @@ def _listing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = grams[np.lexsort((grams, owner))]
         bounds = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
         blobs = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "grams"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(blobs, pa.binary())], ["doc_id", "digest", "grams"])
 
 
 def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,32 +153,42 @@ def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
 
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(digest, component_id, stays) per distinct text: its group's smallest ``doc_id``, and the digest of the text that stays."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    keyed = docs.withColumn("digest", text_digest())
+    classes = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # Numbers of classes are unique, and fixed once they are written.
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    signed = keyed.mapInArrow(signing, "doc_id long, digest string, size long, keys array<long>").join(classes, ["doc_id", "digest"])
+    signed = written(signed.select("id", "size", "keys").dropDuplicates(["id", "size", "keys"]))
+    rows = candidate_rows(signed.select(F.explode("keys").alias("key"), "id", "size"), "size")
+    rows = written(rows.join(classes, "id"))
+    members = docs.sparkSession.sparkContext.broadcast(member_bits(rows.select("doc_id").distinct(), "doc_id").tobytes())
+    texts = keyed.select("doc_id", "digest", hash_of("doc_id").alias("hash"), "text")
+    sets = texts.mapInArrow(listing(members), "doc_id long, digest string, grams binary").groupBy("doc_id", "digest").agg(F.first("grams").alias("grams"))
+    placed = blocked(rows.join(sets, ["doc_id", "digest"]), TILE, TILE_SHINGLES)
+    links = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "grams").mapInArrow(overlaps, "a long, b long")
+    groups = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = written(groups.select("digest", "doc_id", "component"))
+    names = groups.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    return salted_join(groups, names, ["component"], "digest").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.digest").alias("stays"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, component_id, kept) for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.select("doc_id", text_digest().alias("digest"))
-    classes = written(keyed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")))
-    signed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(signing, "id long, keys array<long>")
-    signed = written(signed.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id", "keys"]))
-    rows = written(candidate_rows(signed.select(F.explode("keys").alias("key"), "id")))
-    members = docs.sparkSession.sparkContext.broadcast(member_bits(rows.select("id").distinct(), "id").tobytes())
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hash_of("doc_id").alias("hash"), "text")
-    sets = texts.mapInArrow(listing(members), "id long, grams binary").dropDuplicates(["id", "grams"])
-    placed = blocked(rows.join(sets, "id"), TILE)
-    links = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "grams").mapInArrow(overlaps, "a long, b long")
-    groups = components(links)
-    named = written(classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
-    found = keyed.join(named, "digest", "left")
-    lone = F.col("doc_id").isNull() | F.col("component_id").isNull()
-    component = F.when(lone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "digest", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+    named = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    found = salted_join(keyed.where(named), written(near_groups(docs)), ["digest"], "doc_id")
+    found = found.select("doc_id", "digest", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("stays"))).alias("kept"))
+    lone = keyed.where(~named).select("doc_id", "digest", (F.col("doc_id") + 0).alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(lone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; of rows that repeat its ``doc_id`` the first by text stays."""
-    stay = near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest().alias("text_digest"))
-    same = (F.col("id") == F.col("doc_id")) & F.col("text_digest").eqNullSafe(F.col("digest"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("text_digest"))
-    named = rows.where("id IS NOT NULL").join(stay, same).withColumn("rank", first).where("rank = 1").select("row")
-    return named.union(rows.where("id IS NULL").select("row")).select("row.*")
+    """``docs`` with one document of each group; of rows that repeat its ``doc_id`` and text one stays."""
+    stay = near_copies(docs).where("kept AND doc_id IS NOT NULL").distinct().select("doc_id", F.coalesce("digest", F.lit("")).alias("digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_digest(), F.lit("")).alias("digest"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    named = rows.where("doc_id IS NOT NULL").join(stay, ["doc_id", "digest"]).withColumn("rank", first).where("rank = 1").select("row")
+    return named.union(rows.where("doc_id IS NULL").select("row")).select("row.*")

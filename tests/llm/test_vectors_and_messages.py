@@ -2,10 +2,11 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reelframe.llm import embeddings, quotations
-from reelframe.llm.graph import components
+from reelframe.llm.graph import bundles, components
 
 
 def test_components(spark):
@@ -39,6 +40,29 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(vectors.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id_are_judged_each_for_itself(spark):
+    e = lambda *x: [float(v) for v in x]
+    rows = [(1, e(1, 0, 0)), (1, e(0, 1, 0)), (2, e(1, 0.01, 0)), (3, e(0.01, 1, 0)), (3, e(0.01, 1, 0)), (4, e(0, 0, 1.1)), (5, e(0, 0, 0.1 + 1e-12))]
+    found = embeddings.near_vectors(spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == want
+
+
+def test_bundles_keep_tiles_whole():
+    draw = np.random.default_rng(8)
+    sizes = draw.integers(1, 40, 60)
+    keys = np.repeat(np.arange(60), sizes)
+    table = pa.table({"key": keys, "i": np.zeros(len(keys), int), "j": np.zeros(len(keys), int)})
+    seen = []
+    for part, tile in bundles(table.to_batches(max_chunksize=17), 30):
+        own = part.column("key").to_numpy()
+        assert len(own) <= 30 or len(np.unique(own)) == 1
+        assert (np.diff(tile) == (np.diff(own) != 0)).all() and tile[0] == 0
+        seen += own.tolist()
+        assert all((own == k).sum() == sizes[k] for k in np.unique(own))
+    assert seen == keys.tolist()
+
+
 def same_as_sql(found, rows):
     con = duckdb.connect()
     con.sql("CREATE TABLE conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
