@@ -3,12 +3,15 @@
 1. Corpus pass: in how many documents does each word of the licence templates stand?  (Counts of the
    templates' own vocabulary, summed by Spark over all documents.)
 2. Index: each template posts the positions of its ``RARE`` words of highest IDF.
-3. Scan: each document looks up its words in the index; a posting at template position p and a word
-   at position d vote for the alignment d - p.  Where enough distinct rare words of a template agree on
-   an alignment, within ``SLACK`` words for small edits, and the template's mandatory key phrase stands
-   word for word near its place, the template's label is given.
-4. ``score``: the largest share of a template's words found in their places among the document's
-   labels; a base phrase alone counts as 0.5 at least; 0 without labels.
+3. Scan: each document looks up its words in the index; a posting at template position p and a word at
+   position d vote for the alignment d - p.  Postings of a template are intersected by position: an
+   alignment stands where enough distinct rare words agree within ``SLACK`` words, so that small edits
+   don't hide it.
+4. At such an alignment every mandatory phrase of the template (the name with its version, the opening
+   words) must stand word for word, within ``SLACK`` words of its place; then the template's label is
+   given.
+5. ``score``: the largest share of a template's words found in their places (under any of the agreeing
+   alignments) among the document's labels; a base phrase alone counts as 0.5 at least; 0 without labels.
 
 Base phrases are found in every document by comparing word hashes at neighbouring places.
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from reelframe.llm.licence_texts import TEMPLATES
 from reelframe.llm.words import ALNUM, chunks, find, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -37,30 +41,10 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-# Opening or notice texts of public licences, with the phrase that each must hold.
-TEMPLATES = [
-    ("apache-2.0", "apache license version 2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache-2.0", "apache license version 2", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-3.0", "general public license version 3", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl", "gnu affero general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("mit-text", "permission is hereby granted", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("mit-notice", "mit license", "Released under the MIT License."),
-    ("isc", "permission to use copy modify", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice"),
-    ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("unlicense", "unencumbered software released into the public domain", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-4.0", "cc by 4 0", "Licensed under CC BY 4.0."),
-    ("cc0", "cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0"),
-]
-
 #: Words per template in the index, and the share of them that must agree on a place.
-RARE, AGREE = 6, 0.6
-#: Words that an edit may shift a place by.
-SLACK = 3
+RARE, AGREE = 8, 0.6
+#: Words that edits may shift a place by.
+SLACK = 6
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -117,18 +101,41 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
     return {w: counts.get(k, 0) for k, w in enumerate(vocabulary)}, counts.get(-1, 0)
 
 
-def build_index(counts: dict[str, int], templates: list[tuple[str, str, str]] = TEMPLATES) -> list[dict]:
-    """Per template: label, length, its rare words' hashes and places, all words' hashes, the key phrase's hashes and place."""
+def build_index(counts: dict[str, int], templates: list[tuple[str, list[str], str]] = TEMPLATES) -> list[dict]:
+    """Per template: label, how many rare words must agree, all words, the rare ones' places, the phrases and their places."""
     index = []
-    for label, key, text in templates:
-        words, phrase = words_of(text), words_of(key)
+    for label, phrases, text in templates:
+        words = words_of(text)
         rare = sorted(dict.fromkeys(words), key=lambda w: (counts[w], w))[:RARE]
-        places = [(w, p) for p, w in enumerate(words) if w in rare]
-        start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-        index.append({"label": label, "need": max(1, int(np.ceil(AGREE * len(rare)))), "posts": (hashes_of([w for w, _ in places]), np.array([p for _, p in places])), "words": hashes_of(words), "key": hashes_of(phrase), "key_at": start})
+        posts = [(w, p) for p, w in enumerate(words) if w in rare]
+        keys = []
+        for phrase in map(words_of, phrases):
+            start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+            keys.append((hashes_of(phrase), start))
+        index.append({"label": label, "need": max(1, int(np.ceil(AGREE * len(rare)))), "words": hashes_of(words), "posts": (hashes_of([w for w, _ in posts]), np.array([p for _, p in posts])), "keys": keys})
     return index
 
 
+def postings(index: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index by word hash: sorted hashes, and the template and position of each posting."""
+    hashes = np.concatenate([t["posts"][0] for t in index])
+    template = np.repeat(np.arange(len(index)), [len(t["posts"][0]) for t in index])
+    place = np.concatenate([t["posts"][1] for t in index])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], template[order], place[order]
+
+
+def agreeing(starts: np.ndarray, words: np.ndarray, need: int) -> list[np.ndarray]:
+    """Groups of sorted alignments within ``SLACK`` of their first on which ``need`` distinct words agree; none inside another."""
+    groups, reach = [], -1
+    for k, first in enumerate(starts.tolist()):
+        end = int(np.searchsorted(starts, first + SLACK, "right"))
+        if end > reach and len(np.unique(words[k:end])) >= need:
+            groups.append(np.unique(starts[k:end]))
+            reach = end
+    return groups
+
+
 def phrase_at(values: np.ndarray, text: np.ndarray, phrase: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
     """Where the words of ``phrase`` stand one after another in one text."""
     at = np.flatnonzero(values == phrase[0]) if first is None else first
@@ -138,9 +145,25 @@ def phrase_at(values: np.ndarray, text: np.ndarray, phrase: np.ndarray, first: n
     return at[text[at] == text[at + len(phrase) - 1]]
 
 
+def matches(template: dict, own: np.ndarray, alignments: np.ndarray) -> float | None:
+    """The share of the template's words that stand in place in a document's words, if all phrases do."""
+    for phrase, place in template["keys"]:
+        around = np.arange(max(0, alignments[0] + place - SLACK), min(len(own), alignments[-1] + place + SLACK + 1))
+        if not len(phrase_at(own, np.zeros(len(own), np.int8), phrase, around[own[around] == phrase[0]])):
+            return None
+    places = np.arange(len(template["words"]))
+    there = np.zeros(len(places), bool)
+    for start in alignments.tolist():
+        inside = places[(places + start >= 0) & (places + start < len(own))]
+        there[inside] |= own[inside + start] == template["words"][inside]
+    return float(there.mean())
+
+
 def scanning(index: list[dict]):
     bases = [(hashes_of(words_of(p)), label) for p, label in BASE_PHRASES.items()]
-    few = np.unique(np.concatenate([*(t["posts"][0] for t in index), *(t["key"][:1] for t in index), *(b[:1] for b, _ in bases)]))
+    hashes, templates, places = postings(index)
+    few = np.unique(np.concatenate([hashes, *(b[:1] for b, _ in bases)]))
+    needs = np.array([t["need"] for t in index])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches):
@@ -159,38 +182,32 @@ def scanning(index: list[dict]):
                 np.add.at(n_base, doc, 1)
                 for d, p in zip(doc.tolist(), place.tolist(), strict=True):
                     base[d].add(label)
+                    score[d] = 0.5
                     first[d] = p if first[d] < 0 else min(first[d], p)
                     last[d] = max(last[d], p)
-            for template in index:
-                words, places = template["posts"]
-                near = hits[np.isin(values[hits], words)]
-                if not len(near):
-                    continue
-                # Every posting of a word votes for an alignment.
-                order = np.argsort(words, kind="stable")
-                left, right = np.searchsorted(words[order], values[near], "left"), np.searchsorted(words[order], values[near], "right")
-                at = np.repeat(near, right - left)
-                post = order[np.repeat(left - np.concatenate([[0], np.cumsum(right - left)[:-1]]), right - left) + np.arange(int((right - left).sum()))]
-                start = at - places[post]
-                by_start = np.argsort(start, kind="stable")
-                start, at, post = start[by_start], at[by_start], post[by_start]
-                keys = phrase_at(values, text, template["key"], hits[values[hits] == template["key"][0]])
-                for key in keys.tolist():
-                    # The key phrase fixes where the template would start; its neighbours' votes count.
-                    origin = key - template["key_at"]
-                    near = slice(*np.searchsorted(start, [origin - SLACK, origin + SLACK + 1]).tolist())
-                    if len(np.unique(words[post[near][text[at[near]] == text[key]]])) < template["need"]:
-                        continue
-                    inside = np.arange(max(0, origin), min(len(values), origin + len(template["words"])))
-                    inside = inside[text[inside] == text[key]]
-                    share = float((values[inside] == template["words"][inside - origin]).sum()) / len(template["words"])
-                    found[text[key]].add(template["label"])
-                    score[text[key]] = max(score[text[key]], share)
-            for d in range(n):
-                if base[d]:
-                    score[d] = max(score[d], 0.5)
-            none = pa.array(first < 0)
-            null = pa.scalar(None, pa.int64())
+            # Every posting of a word votes for an alignment of its template in the word's document.
+            left, right = np.searchsorted(hashes, values[hits], "left"), np.searchsorted(hashes, values[hits], "right")
+            lengths = right - left
+            at = np.repeat(hits, lengths)
+            post = np.repeat(left - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            pair, word, start = text[at] * len(index) + templates[post], values[at], at - begin[text[at]] - places[post]
+            # Documents with too few distinct rare words of a template can't hold an alignment of it.
+            order = np.lexsort((word, pair))
+            new = np.ones(len(order), bool)
+            new[1:] = (pair[order][1:] != pair[order][:-1]) | (word[order][1:] != word[order][:-1])
+            pairs, distinct = np.unique(pair[order][new], return_counts=True)
+            order = np.lexsort((start, pair))
+            pair, word, start = pair[order], word[order], start[order]
+            for p in pairs[distinct >= needs[pairs % len(index)]].tolist():
+                d, template = p // len(index), index[p % len(index)]
+                a, b = np.searchsorted(pair, [p, p + 1])
+                own = values[begin[d] : begin[d] + counts[d]]
+                for alignments in agreeing(start[a:b], word[a:b], template["need"]):
+                    share = matches(template, own, alignments)
+                    if share is not None:
+                        found[d].add(template["label"])
+                        score[d] = max(score[d], share)
+            none, null = pa.array(first < 0), pa.scalar(None, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(n_base), pc.if_else(none, null, pa.array(first)), pc.if_else(none, null, pa.array(last)), pa.array([",".join(sorted(b)) for b in base]), pa.array([",".join(sorted(b | f)) for b, f in zip(base, found, strict=True)]), pa.array(score)],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reelframe.llm import licences, mixing, nearcopies, orc_tokens, packing, quality, separators, substrings
+from reelframe.llm import licence_texts, licences, mixing, nearcopies, orc_tokens, packing, quality, separators, substrings
 from reelframe.llm.queries import SEPARATOR, TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,12 +152,52 @@ def test_separators(messy, tokenizer, block):
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == want
 
 
+def brute_licences(docs, templates=licences.TEMPLATES):
+    """The documented rules, one document, template and alignment after another."""
+    texts = [licences.words_of(d.text or "") for d in docs]
+    vocabulary = {w for _, _, t in templates for w in licences.words_of(t)}
+    df = {w: sum(w in set(t) for t in texts) for w in vocabulary}
+    for d, own in zip(docs, texts, strict=True):
+        places = [(k, label) for phrase, label in licences.BASE_PHRASES.items() for p in [phrase.split()] for k in range(len(own)) if own[k : k + len(p)] == p]
+        labels, score = {label for _, label in places}, 0.5 if places else 0.0
+        base = ",".join(sorted(labels))
+        for label, phrases, text in templates:
+            words = licences.words_of(text)
+            rare = sorted(set(words), key=lambda w: (df[w], w))[: licences.RARE]
+            votes = sorted({(k - p, w) for k, w in enumerate(own) if w in rare for p, x in enumerate(words) if x == w})
+            for start, _ in votes:
+                near = [v for v in votes if start <= v[0] <= start + licences.SLACK]
+                if len({w for _, w in near}) < -(-licences.AGREE * len(rare) // 1):
+                    continue
+                starts = sorted({v for v, _ in near})
+                for phrase in map(licences.words_of, phrases):
+                    at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+                    if not any(own[k : k + len(phrase)] == phrase for k in range(max(0, starts[0] + at - licences.SLACK), starts[-1] + at + licences.SLACK + 1)):
+                        break
+                else:
+                    labels.add(label)
+                    score = max(score, np.mean([any(0 <= s + k < len(own) and own[s + k] == w for s in starts) for k, w in enumerate(words)]))
+        yield d.doc_id, len(own), len(places), min(places)[0] if places else None, max(places)[0] if places else None, base, ",".join(sorted(labels)), round(float(score), 9)
+
+
+def notice(version, name="GNU General Public License"):
+    return f"This tool is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This tool is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+
+
 def test_licences(spark, messy):
-    texts = ["Licensed under the Apache License, Version 2.0.", "MIT LICENSE mit license", "the mit\nlicense CC-BY", None, "apachelicense", "Apache License of a tribe", "Licensed under CC BY-NC 4.0."]
-    rows = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [(rows[k].n_base, rows[k].base_labels) for k in range(7)] == [(1, "apache"), (2, "mit"), (2, "cc-by,mit"), (0, ""), (0, ""), (1, "apache"), (1, "cc-by")]
-    assert rows[0].labels == "apache,apache-2.0" and rows[0].score == 1.0 and rows[5].labels == "apache"
-    assert rows[6].labels == "cc-by,cc-by-nc" and (rows[1].first_word, rows[1].last_word) == (0, 2) and rows[3].first_word is None
+    texts = ["Licensed under the Apache License, Version 2.0.", "MIT LICENSE mit license", "the mit\nlicense CC-BY", None, "apachelicense", "Apache License of a tribe", "some words. " + notice(2) + " more words", notice(3), notice("2.1", "GNU Lesser General Public License"), notice(3, "GNU Affero General Public License"), notice(1)]
+    texts += ["Copyright me\n\n" + licence_texts.MIT + "\n\nThe program", licence_texts.MIT.replace("Software", "Product"), licence_texts.ISC.upper(), licence_texts.BSD + " " + licence_texts.BSD_3 + " " + licence_texts.BSD_DISCLAIMER, licence_texts.BSD + " " + licence_texts.BSD_DISCLAIMER]
+    texts += ["# SPDX-License-Identifier: GPL-2.0-only\ncode", licence_texts.APACHE_NOTICE, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/", " ".join(sorted(licences.words_of(licence_texts.MIT)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert [(rows[k].n_base, rows[k].base_labels) for k in range(6)] == [(1, "apache"), (2, "mit"), (2, "cc-by,mit"), (0, ""), (0, ""), (1, "apache")]
+    assert (rows[1].first_word, rows[1].last_word) == (0, 2) and rows[3].first_word is None
+    want = {0: "apache", 5: "apache", 6: "gpl,gpl-2.0", 7: "gpl,gpl-3.0", 8: "lgpl-2.1", 9: "agpl-3.0", 10: "gpl", 11: "mit-text", 12: "mit-text", 13: "isc", 14: "bsd,bsd-3-clause", 15: "bsd", 16: "spdx:gpl-2.0-only", 17: "apache,apache-2.0", 18: "cc-by-sa-4.0", 19: ""}
+    assert {k: rows[k].labels for k in want} == want
+    assert rows[11].score == 1.0 and 0.9 < rows[12].score < 1 and rows[19].score == 0
+    every = messy.where("text IS NULL OR length(text) < 10000").select("doc_id", "text").union(docs)
+    found = licences.scan_licences(every).collect()
+    assert Counter((*r[:-1], round(r.score, 9)) for r in found) == Counter(brute_licences(every.collect()))
     assert licences.scan_licences(messy).count() == messy.count()
 
 
