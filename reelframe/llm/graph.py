@@ -37,12 +37,15 @@ def components(links: DataFrame) -> DataFrame:
 def candidate_rows(bands: DataFrame, weight: str) -> DataFrame:
     """(key, n, total, id) of the buckets that hold several ids, from (key, id, weight) rows.
 
-    ``total`` sums the members' weights.  Buckets with the same ids are one: two hashes over the ids and
-    their number tell them apart, all pre-aggregated, so that no bucket is ever gathered.
+    ``total`` sums the members' weights.  Most buckets hold one id and go first, by a count alone.  Buckets
+    with the same ids are one: two hashes over the ids and their number tell them apart, all pre-aggregated,
+    so that no bucket is ever gathered.
     """
-    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum(weight).alias("total"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    several = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    rows = written(bands.join(several, "key").select("key", "id", weight))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(weight).alias("total"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     groups = written(groups.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "total"))
-    return bands.join(groups, "key").select("key", "n", "total", "id")
+    return rows.join(groups, "key").select("key", "n", "total", "id")
 
 
 def blocked(rows: DataFrame, size: int, limit: int) -> DataFrame:
