@@ -56,91 +56,88 @@ SIZE_FACTORS = [(80_000_000_000, 0.5), (40_000_000_000, 0.7)]
 
 
 def first_match(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    found = F.lit(None).cast("string")
-    for label, patterns in reversed(rules):
-        hit = F.contains(text, F.lit(patterns[0]))
-        for p in patterns[1:]:
-            hit = hit | F.contains(text, F.lit(p))
-        found = F.when(hit, label).otherwise(found)
-    return found
+    """The label of the first rule with a pattern in ``text``.
 
+    The rules are one constant array, not a chain of branches: the generated code stays small enough for the
+    JVM to compile it.
+    """
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("pattern")) for label, patterns in rules for p in patterns])
+    return F.get(F.filter(table, lambda rule: F.contains(text, rule["pattern"])), F.lit(0))["label"]
 
-def weigh(value: Column, weights: dict[str, float], other: float) -> Column:
-    found = F.lit(other)
-    for label, weight in weights.items():
-        found = F.when(value == label, weight).otherwise(found)
-    return found
 
+def weigh(value: Column, weights: dict[str, float], other: float | None) -> Column:
+    found = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), value)
+    return found if other is None else F.coalesce(found, F.lit(other))
 
-def joined(first: Column, second: Column, by: str) -> Column:
-    return F.lower(F.concat(F.coalesce(first, F.lit("")), F.lit(by), F.coalesce(second, F.lit(""))))
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def source_name(url: Column) -> Column:
-    return F.substring_index(F.regexp_replace(F.regexp_replace(url, "^https://", ""), "^http://", ""), ".", 1)
+    return F.substring_index(F.regexp_replace(url, "^(?:https://)?(?:http://)?", ""), ".", 1)
 
 
-def seeders(title: Column) -> Column:
+def listed_seeders(title: Column) -> Column:
     """Digits after the first person sign; its line alone decides."""
-    number = F.nullif(F.regexp_extract(title, r"👤[^\S\n]*([0-9]*)", 1), F.lit("")).try_cast("bigint")
-    return F.when(number <= U32, number)
+    return F.nullif(F.regexp_extract(title, r"👤[^\S\n]*([0-9]*)", 1), F.lit("")).try_cast("bigint")
 
 
-def size_parts(title: Column) -> Column:
-    """[number, unit] of the first disk sign whose number can be read."""
-    after = F.transform(F.filter(F.split(title, "\n"), lambda x: F.contains(x, F.lit("💾"))), lambda x: F.split(F.regexp_replace(F.regexp_replace(x, r"^[^💾]*💾", ""), r"^\s+", ""), " ", 3))
-    return F.get(F.filter(after, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).try_cast("double").isNotNull()), F.lit(0))
+def seeders(listed: Column) -> Column:
+    return F.when(listed <= U32, listed)
 
 
 def size_display(title: Column) -> Column:
-    parts = size_parts(title)
-    return F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)))
+    """Number and unit behind a line's first disk sign, on the first line where they can be read as such."""
+    number = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+    return F.nullif(F.regexp_extract(title, rf"(?m)^[^💾\n]*💾[^\S\n]*({number} [^ \n]*)", 1), F.lit(""))
 
 
-def size_bytes(title: Column) -> Column:
-    parts = size_parts(title)
-    number, unit = F.get(parts, F.lit(0)).try_cast("double"), F.upper(F.get(parts, F.lit(1)))
-    factor = F.lit(None).cast("double")
-    for name, value in UNITS.items():
-        factor = F.when(unit == name, float(value)).otherwise(factor)
-    return F.floor(number * factor).cast("bigint")
+def size_bytes(display: Column) -> Column:
+    number, unit = F.substring_index(display, " ", 1).try_cast("double"), F.upper(F.substring_index(display, " ", -1))
+    return F.floor(number * weigh(unit, {name: float(value) for name, value in UNITS.items()}, None)).cast("bigint")
 
 
-def resolution(binge: Column, name: Column) -> Column:
+def named_resolution(low_binge: Column, low_name: Column) -> Column:
     """The first token that names a resolution: the binge group's before the name's, parts between bars before words."""
 
+    names = "|".join(RESOLUTIONS)
+    part, word = rf"(?:^|\|) *({names}) *(?:\||\z)", rf"(?:^|\s)({names})(?:\s|\z)"
+
     def first(text: Column) -> Column:
-        low = F.lower(text)
-        tokens = F.concat(F.transform(F.split(low, r"\|"), lambda x: F.trim(x)), F.split(low, r"\s+"))
-        return F.get(F.filter(tokens, lambda x: x.isin(RESOLUTIONS)), F.lit(0))
+        return F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in (part, word)])
+
+    return F.coalesce(first(low_binge), first(low_name))
+
 
-    found = F.coalesce(first(binge), first(name))
-    return F.when(found == "4k", "2160p").otherwise(found)
+def resolution(named: Column) -> Column:
+    return F.when(named == "4k", "2160p").otherwise(named)
 
 
-def codec(binge: Column, filename: Column) -> Column:
-    return first_match(joined(binge, filename, "|"), CODECS)
+def codec(binge_file: Column) -> Column:
+    """Of the binge group and the file name, lowered and joined by a bar."""
+    return first_match(binge_file, CODECS)
 
 
-def audio(filename: Column, title: Column) -> Column:
-    return first_match(joined(filename, title, " "), AUDIO)
+def audio(file_title: Column) -> Column:
+    """Of the file name and the title, lowered and joined by a blank."""
+    return first_match(file_title, AUDIO)
 
 
-def source_type(binge: Column, title: Column) -> Column:
-    """``cam`` is a substring, so "camera" counts; kept on purpose."""
-    return first_match(joined(binge, title, "|"), SOURCE_TYPES)
+def source_type(binge_title: Column) -> Column:
+    """Of the binge group and the title, lowered and joined by a bar; ``cam`` is a substring, so "camera" counts; kept on purpose."""
+    return first_match(binge_title, SOURCE_TYPES)
 
 
-def hdr(binge: Column, title: Column) -> Column:
+def hdr(binge_title: Column) -> Column:
     """``|dv`` also meets ``|dvdrip``; kept on purpose."""
-    text = joined(binge, title, "|")
-    return F.contains(text, F.lit("hdr")) | F.contains(text, F.lit("dolby vision")) | F.contains(text, F.lit("|dv"))
+    return F.contains(binge_title, F.lit("hdr")) | F.contains(binge_title, F.lit("dolby vision")) | F.contains(binge_title, F.lit("|dv"))
 
 
-def imax(*texts: Column) -> Column:
+def imax(*lowered_texts: Column) -> Column:
     hit = F.lit(False)
-    for t in texts:
-        hit = hit | F.contains(F.lower(F.coalesce(t, F.lit(""))), F.lit("imax"))
+    for t in lowered_texts:
+        hit = hit | F.contains(t, F.lit("imax"))
     return hit
 
 

@@ -8,23 +8,38 @@ from reelframe.functions import releases as R
 
 
 def features(listings: DataFrame) -> DataFrame:
-    """RF1-RF10 in one projection; no shuffle."""
+    """RF1-RF10 in projections, no shuffle: lowered texts, parsed parts, attributes of them, the score.
+
+    Each text is lowered once, in the first projection; as several attributes use it, Catalyst keeps the
+    projections apart and computes it once a row.
+    """
     c = F.col
-    parsed = listings.select(
-        "source_idx",
-        "pos",
-        "info_hash",
-        "file_idx",
+    ids = ["source_idx", "pos", "info_hash", "file_idx"]
+    low = listings.select(*ids, "source_url", "title", *[R.lowered(c(x)).alias(x + "_low") for x in ("title", "name", "binge_group", "filename")])
+    title, name, binge, file = (c(x + "_low") for x in ("title", "name", "binge_group", "filename"))
+    texts = low.select(
+        *ids,
         R.source_name(c("source_url")).alias("source"),
-        R.seeders(c("title")).alias("seeders"),
-        R.size_bytes(c("title")).alias("size_bytes"),
+        R.listed_seeders(c("title")).alias("listed"),
         R.size_display(c("title")).alias("size_display"),
-        R.resolution(c("binge_group"), c("name")).alias("resolution"),
-        R.codec(c("binge_group"), c("filename")).alias("codec"),
-        R.audio(c("filename"), c("title")).alias("audio"),
-        R.source_type(c("binge_group"), c("title")).alias("source_type"),
-        R.hdr(c("binge_group"), c("title")).alias("hdr"),
-        R.imax(c("name"), c("title"), c("filename")).alias("imax"),
+        R.named_resolution(binge, name).alias("named"),
+        F.concat_ws("|", binge, file).alias("binge_file"),
+        F.concat_ws(" ", file, title).alias("file_title"),
+        F.concat_ws("|", binge, title).alias("binge_title"),
+        R.imax(name, title, file).alias("imax"),
+    )
+    parsed = texts.select(
+        *ids,
+        "source",
+        R.seeders(c("listed")).alias("seeders"),
+        R.size_bytes(c("size_display")).alias("size_bytes"),
+        "size_display",
+        R.resolution(c("named")).alias("resolution"),
+        R.codec(c("binge_file")).alias("codec"),
+        R.audio(c("file_title")).alias("audio"),
+        R.source_type(c("binge_title")).alias("source_type"),
+        R.hdr(c("binge_title")).alias("hdr"),
+        "imax",
     )
     return parsed.withColumn("score", R.score(c("resolution"), c("seeders"), c("source_type"), c("audio"), c("size_bytes")))
 

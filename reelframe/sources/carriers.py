@@ -146,13 +146,20 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table; Catalyst prunes and pushes into the scans below it."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where their scan has fewer parts: a small file of one row group is read by one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def carrier(spark: SparkSession, sf_dir: str, name: str, deal: str | None = None) -> DataFrame:
+    """A domain table; Catalyst prunes and pushes into the scans below it. Table ``deal`` is dealt to all cores."""
     text = CARRIERS[name]
     used = [t for t in TABLES if f" {t} " in " " + text.replace("\n", " ").replace(")", " ") + " "]
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(text, **{t: given(spark, sf_dir, t) for t in used}) if used else spark.sql(text)
+    tables = {t: dealt(given(spark, sf_dir, t)) if t == deal else given(spark, sf_dir, t) for t in used}
+    return spark.sql(text, **tables) if used else spark.sql(text)
 
 
 def with_carriers(sql: str) -> str:

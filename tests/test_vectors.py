@@ -13,23 +13,23 @@ def values(spark, column, *texts):
 
 
 def test_seeders(spark):
-    assert values(spark, R.seeders, "Movie\n👤 12 💾 1.5 GB ⚙️ X", "👤 \n👤 7", "👤 99999999999", None) == [12, None, None, None]
+    assert values(spark, lambda t: R.seeders(R.listed_seeders(t)), "Movie\n👤 12 💾 1.5 GB ⚙️ X", "👤 \n👤 7", "👤 99999999999", None) == [12, None, None, None]
 
 
 def test_size(spark):
     texts = ["💾 1.5 GB ⚙️", "💾 abc GB\n💾 2 PB z", "none"]
-    assert values(spark, R.size_bytes, *texts) == [1610612736, None, None]
+    assert values(spark, lambda t: R.size_bytes(R.size_display(t)), *texts) == [1610612736, None, None]
     assert values(spark, R.size_display, *texts) == ["1.5 GB", "2 PB", None]
 
 
 def test_resolution(spark):
     rows = spark.createDataFrame([(1, "torrentio|1080p|BluRay", "x 4k"), (2, None, "Torrentio\n4k HDR"), (3, None, None)], "k int, b string, n string")
-    assert [r.v for r in rows.select("k", R.resolution(F.col("b"), F.col("n")).alias("v")).orderBy("k").collect()] == ["1080p", "2160p", None]
+    assert [r.v for r in rows.select("k", R.resolution(R.named_resolution(R.lowered(F.col("b")), R.lowered(F.col("n")))).alias("v")).orderBy("k").collect()] == ["1080p", "2160p", None]
 
 
 def test_quirks(spark):
-    assert values(spark, lambda t: R.source_type(F.lit(None).cast("string"), t), "The Camera") == ["CAM"]
-    assert values(spark, lambda b: R.hdr(b, F.lit("x")), "a|dvdrip", "plain") == [True, False]
+    assert values(spark, lambda t: R.source_type(F.concat(F.lit("|"), R.lowered(t))), "The Camera") == ["CAM"]
+    assert values(spark, lambda b: R.hdr(F.concat(R.lowered(b), F.lit("|x"))), "a|dvdrip", "plain") == [True, False]
 
 
 def test_score(spark):
