@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Language codes of two letters by three, for listings and for tracks (the two tables differ).
-LISTING_LANGUAGES = dict(
-    x.split(":")
-    for x in "en:eng nl:dut fr:fre de:ger es:spa it:ita pt:por ru:rus ja:jpn ko:kor zh:chi ar:ara pl:pol tr:tur sv:swe no:nor da:dan fi:fin cs:cze ro:rum hu:hun el:gre he:heb th:tha vi:vie id:ind".split()
-)
-TRACK_LANGUAGES = dict(
-    x.split(":")
-    for x in (
-        "en:eng nl:dut de:ger fr:fre es:spa it:ita pt:por ru:rus ja:jpn zh:chi ko:kor ar:ara pl:pol sv:swe da:dan no:nor nb:nor fi:fin tr:tur cs:cze hu:hun el:gre he:heb hi:hin th:tha ro:rum uk:ukr vi:vie id:ind "
-        "ms:may bg:bul hr:hrv sr:srp sk:slo sl:slv et:est lv:lav lt:lit fa:per ca:cat eu:baq gl:glg is:ice"
-    ).split()
-)
+LISTING_LANGUAGES = {
+    "en": "eng", "nl": "dut", "fr": "fre", "de": "ger", "es": "spa", "it": "ita", "pt": "por", "ru": "rus", "ja": "jpn", "ko": "kor",
+    "zh": "chi", "ar": "ara", "pl": "pol", "tr": "tur", "sv": "swe", "no": "nor", "da": "dan", "fi": "fin", "cs": "cze", "ro": "rum",
+    "hu": "hun", "el": "gre", "he": "heb", "th": "tha", "vi": "vie", "id": "ind",
+}
+TRACK_LANGUAGES = {
+    "en": "eng", "nl": "dut", "de": "ger", "fr": "fre", "es": "spa", "it": "ita", "pt": "por", "ru": "rus", "ja": "jpn", "zh": "chi",
+    "ko": "kor", "ar": "ara", "pl": "pol", "sv": "swe", "da": "dan", "no": "nor", "nb": "nor", "fi": "fin", "tr": "tur", "cs": "cze",
+    "hu": "hun", "el": "gre", "he": "heb", "hi": "hin", "th": "tha", "ro": "rum", "uk": "ukr", "vi": "vie", "id": "ind", "ms": "may",
+    "bg": "bul", "hr": "hrv", "sr": "srp", "sk": "slo", "sl": "slv", "et": "est", "lv": "lav", "lt": "lit", "fa": "per", "ca": "cat",
+    "eu": "baq", "gl": "glg", "is": "ice",
+}
 
 # Bit rates in kbit/s up to a picture height, and above the last.
 BIT_RATES = [(576, 5_000), (720, 9_000), (1080, 16_000), (1440, 25_000)]
@@ -73,6 +74,12 @@ def human_bytes(n: Column) -> Column:
     return F.when(n >= 1024**4, f(4, 2)).when(n >= 1024**3, f(3, 1)).when(n >= 1024**2, f(2, 0)).when(n >= 1024, f(1, 0)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
+def server_bytes(n: Column) -> Column:
+    """The server's short form: GB with one place, else whole MB."""
+    giga, mega = F.format_string("%.1f GB", n / float(1024**3)), F.format_string("%.0f MB", n / float(1024**2))
+    return F.when(n >= 1024**3, giga).otherwise(mega)
+
+
 def progress_pct(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100), F.floor(done * 100 / total + 0.5)).cast("bigint"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reelframe.functions import labels
+
 TITLE_SCHEMA = (
     "id bigint, title string, name string, tagline string, runtime int, episode_run_time array<int>, imdb_id string, external_ids struct<imdb_id: string>, "
     "credits struct<cast: array<struct<id: bigint, name: string>>, crew: array<struct<id: bigint, name: string, job: string>>>, "
@@ -12,6 +14,8 @@ TITLE_SCHEMA = (
 LISTING_SCHEMA = "streams array<struct<infoHash: string, fileIdx: int, name: string, title: string>>"
 POSTER, BACKDROP_WIDTH, STILL_WIDTH = "/none.jpg", 1920, 1280
 CAST, RESUME_GUARD = 20, 30
+# States of a download after which the release may be asked for again.
+RETRIABLE = ["failed", "cancelled"]
 
 
 def listing_rows(documents: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -94,6 +98,36 @@ def stills(images: DataFrame) -> DataFrame:
     return wide.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("votes"), "pos"))).select("id", "file_path", "votes", "place")
 
 
+def with_fallbacks(ranked: DataFrame, titles: DataFrame, fallback: str) -> DataFrame:
+    """PF7, PF8: titles (or episodes) without a picture of their own get ``fallback``, if they have one, at place 1."""
+    lone = titles.join(ranked.select("id").distinct(), "id", "left_anti").where(F.col(fallback).isNotNull())
+    lone = lone.select("id", F.col(fallback).alias("file_path"), F.lit(1).alias("place"))
+    return ranked.select("id", "file_path", "place").unionByName(lone)
+
+
+def season_episodes(seasons: DataFrame, images: DataFrame) -> DataFrame:
+    """SC5: a season's episodes zipped by position with the image lists of as many requests.
+
+    ``seasons`` has an array ``episodes``, ``images`` arrays of (place, paths); a request without an answer is
+    an empty list.
+    """
+    each = seasons.select("id", "season", F.posexplode("episodes").alias("place", "episode"))
+    found = each.join(images, ["id", "season", "place"], "left")
+    return found.select("id", "season", "place", "episode", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+
+
+def text_tracks(tracks: DataFrame, languages: list[str]) -> DataFrame:
+    """PF10: embedded text subtitles whose language is unknown or allowed, with names."""
+    kept = tracks.where(labels.is_text_subtitle(F.col("media_type")) & (F.col("language").isNull() | F.col("language").isin(languages)))
+    codec = F.upper("codec")
+    return kept.withColumn("name", F.coalesce("title", F.concat("language", F.lit(" ("), codec, F.lit(")")), codec))
+
+
+def chapter_titles(chapters: DataFrame) -> DataFrame:
+    """PF10: chapters without a title are named by their number."""
+    return chapters.withColumn("title", F.coalesce("title", F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string"))))
+
+
 def trailers(videos: DataFrame, seed: int) -> DataFrame:
     """PF9: trailers before teasers, in a seeded order."""
     rank = F.when(F.col("type") == "Trailer", 0).when(F.col("type") == "Teaser", 1)
@@ -120,6 +154,26 @@ def resumable(history: DataFrame, guard: bool = True) -> DataFrame:
     return history.where(usable).groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "duration"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
 
 
+def resumable_of_recent(history: DataFrame, most: int = 20) -> DataFrame:
+    """PF13: where films and episodes go on, looked up among the ``most`` newest rows of the history only.
+
+    The history holds one row per title; a row of a series answers for its own season and episode.
+    """
+    newest = episode_positions(history).orderBy(F.desc("seq")).limit(most)
+    return newest.where((F.col("duration") > 0) & (F.col("position") < F.col("duration") - RESUME_GUARD))
+
+
+def detail_resume(history: DataFrame) -> DataFrame:
+    """PF14: the newest position of a title whose file is known (``info_hash``); no guard at the end."""
+    usable = history.where(F.col("info_hash").isNotNull() & (F.col("position") > 0))
+    return usable.groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "info_hash"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
+
+
+def download_choices(rows: DataFrame) -> DataFrame:
+    """PF15: whether a download may be tried again, and whether it blocks a new one; neither where there is none."""
+    return rows.withColumns({"retriable": F.coalesce(F.col("status").isin(RETRIABLE), F.lit(False)), "blocked": F.coalesce(~F.col("status").isin(RETRIABLE), F.lit(False))})
+
+
 def latest_positions(history: DataFrame) -> DataFrame:
     """DM6: the last heartbeat of each title."""
     return history.where("position > 0").groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "download_id"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")

@@ -8,16 +8,28 @@ FILE = ["info_hash", "file_idx"]
 
 
 def collection_items(members: DataFrame, titles: DataFrame) -> DataFrame:
-    """JN1: members with their titles; order by ``position`` then newest."""
-    return members.join(titles, members["media_id"] == titles["id"]).select("collection_slug", "media_id", "position", "added_at", "title")
+    """JN1: members with their titles, by ``position`` then newest; members without a place come last."""
+    found = members.join(titles, members["media_id"] == titles["id"]).select("collection_slug", "media_id", "position", "added_at", "title")
+    return found.orderBy("collection_slug", F.asc_nulls_last("position"), F.desc("added_at"), "media_id")
+
+
+def definitions(collections: DataFrame) -> DataFrame:
+    """WN7: collections by position, then the oldest first."""
+    return collections.orderBy(F.asc_nulls_last("position"), "created_at", "slug")
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """WN8: downloads or jobs, the newest first."""
+    return rows.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def recent_history(history: DataFrame, titles: DataFrame, downloads: DataFrame, most: int = 20) -> DataFrame:
-    """JN2: the newest rows with title and file; planned as a top-k, so only ``most`` rows meet."""
-    newest = history.orderBy(F.desc("seen_at"), F.desc("seq")).limit(most)
+    """JN2: the newest rows that have a title, with their file; planned as a top-k before files are joined."""
+    named = history.join(titles.select(F.col("id").alias("media_id"), "title"), "media_id")
+    newest = named.orderBy(F.desc("seen_at"), F.desc("seq")).limit(most)
     files = downloads.select(F.col("id").alias("download_id"), "info_hash", "file_idx")
-    joined = newest.join(titles.select(F.col("id").alias("media_id"), "title"), "media_id").join(files, "download_id", "left")
-    return joined.select("seq", "media_id", "title", "seen_at", "position", "info_hash", F.coalesce("file_idx", F.lit(0)).alias("file_idx"))
+    joined = newest.join(files, "download_id", "left")
+    return joined.select("seq", "media_id", "title", "seen_at", "position", "info_hash", F.coalesce("file_idx", F.lit(0)).alias("file_idx")).orderBy(F.desc("seen_at"), F.desc("seq"))
 
 
 def with_media(downloads: DataFrame, meta: DataFrame, titles: DataFrame) -> DataFrame:
@@ -37,6 +49,18 @@ def for_keys(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return table.join(keys.select(*on).distinct(), on, "left_semi")
 
 
+def with_state(releases: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """JN5: every release with the state of its file, if there is one, as a struct that is null where there is none."""
+    state = for_keys(table, releases, on).groupBy(*on).agg(F.max_by(F.struct("id", "status"), "id").alias("state"))
+    return releases.join(state, on, "left")
+
+
+def nested(rows: DataFrame, name: str, present: Column, *fields: str) -> DataFrame:
+    """JN3, JN4: ``fields`` as one struct, null where ``present`` isn't true."""
+    own = F.when(present, F.struct(*fields)).alias(name)
+    return rows.select(*[c for c in rows.columns if c not in fields], own)
+
+
 def membership(titles: DataFrame, members: DataFrame) -> DataFrame:
     """JN6: whether any collection holds the title."""
     held = members.select(F.col("media_id").alias("id"), F.lit(True).alias("held")).distinct()
@@ -55,23 +79,50 @@ def without(table: DataFrame, other: DataFrame, left: Column, right: Column) ->
 
 
 def library_entries(downloads: DataFrame, jobs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """SO2: one table of three kinds."""
+    """SO2: one table of three kinds, flat."""
     a = downloads.select(F.lit("download").alias("kind"), F.col("id").cast("string").alias("key"), F.col("total_bytes").alias("bytes"), "status")
     b = jobs.select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("key"), F.col("total_ms"), "status")
     c = orphans.select(F.lit("orphan").alias("kind"), F.col("hash").alias("key"), "bytes")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
+def library_payloads(downloads: DataFrame, jobs: DataFrame, orphans: DataFrame) -> DataFrame:
+    """SO2: one table of three kinds; each has a struct of its own, null in the others. ``media_type`` of downloads and jobs may be null."""
+    a = downloads.select(F.lit("download").alias("kind"), F.struct("id", "status", "total_bytes", "media_type").alias("download"), F.col("total_bytes").alias("bytes"))
+    b = jobs.select(F.lit("job").alias("kind"), F.struct("id", "status", "total_ms", "media_type").alias("job"))
+    c = orphans.select(F.lit("orphan").alias("kind"), F.struct("hash", "bytes").alias("orphan"), "bytes")
+    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+
+
+# Which entries each category of the library shows.
+CATEGORIES = {
+    "all": "true",
+    "movies": "coalesce(download.media_type, job.media_type) = 'movie'",
+    "tv": "coalesce(download.media_type, job.media_type) = 'tv'",
+    "pretranscoding": "kind = 'job'",
+    "orphan": "kind = 'orphan'",
+}
+
+
+def category(payloads: DataFrame, name: str) -> DataFrame:
+    """PF12: entries of one of ``CATEGORIES``, largest first."""
+    return payloads.where(CATEGORIES[name]).orderBy(F.desc_nulls_last("bytes"), F.coalesce("orphan.hash", F.coalesce("download.id", "job.id").cast("string")))
+
+
 def entries_of(entries: DataFrame, kind: str | None = None) -> DataFrame:
-    """PF12: one category or all, largest first."""
+    """PF12 for flat entries: one kind or all, largest first."""
     return (entries if kind is None else entries.where(F.col("kind") == kind)).orderBy(F.desc("bytes"), "key")
 
 
-def active_counts(downloads: DataFrame, jobs: DataFrame) -> DataFrame:
-    """AG6: two scans with one row each; no shuffle of rows."""
+def active_counts(downloads: DataFrame, jobs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """AG6: scans with one row each, no shuffle of rows; live ``sessions`` (without an end) count as active jobs."""
     d = downloads.agg(F.count_if(F.col("status").isin("queued", "downloading")).alias("active_downloads"))
     j = jobs.agg(F.count_if(F.col("status").isin("queued", "transcoding")).alias("active_jobs"))
-    return d.withColumn("one", F.lit(1)).join(j.withColumn("one", F.lit(1)), "one").drop("one")
+    found = d.withColumn("one", F.lit(1)).join(j.withColumn("one", F.lit(1)), "one")
+    if sessions is not None:
+        live = sessions.agg(F.count_if(F.col("ended").isNull()).alias("live_sessions")).withColumn("one", F.lit(1))
+        found = found.join(live, "one").withColumn("active_jobs", F.col("active_jobs") + F.col("live_sessions"))
+    return found.drop("one")
 
 
 def jobs_by_download(downloads: DataFrame, jobs: DataFrame) -> DataFrame:

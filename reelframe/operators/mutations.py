@@ -93,6 +93,18 @@ def restarted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(again, "queued").otherwise(F.col("status")), "grown": F.when(again, 0).otherwise(F.col("grown"))})
 
 
+def collection_updates(rows: DataFrame, asked: DataFrame, key: str, protected: Column) -> tuple[DataFrame, DataFrame]:
+    """DM11: (rows with a new ``name`` and ``visible`` where asked, what was asked but refused).
+
+    A null in ``asked`` leaves the field; system rows (``protected``) may change their visibility, not their name.
+    """
+    wanted = asked.groupBy(key).agg(F.max("name").alias("_name"), F.max("visible").alias("_visible"))
+    joined = rows.join(wanted, key, "left")
+    rename = F.col("_name").isNotNull() & ~protected
+    changed = joined.withColumns({"name": F.when(rename, F.col("_name")).otherwise(F.col("name")), "visible": F.coalesce("_visible", "visible")})
+    return changed.select(*rows.columns), joined.where(F.col("_name").isNotNull() & protected).select(*rows.columns)
+
+
 def protected_delete(rows: DataFrame, asked: DataFrame, key: str, protected: Column) -> tuple[DataFrame, DataFrame]:
     """DM11: (what stays, what was asked but refused)."""
     named = asked.select(key).distinct()

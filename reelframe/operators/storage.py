@@ -44,4 +44,17 @@ def shares(files: DataFrame, total: int) -> DataFrame:
     by_area = located(files).groupBy("area").agg(F.sum("length").alias("bytes"))
     upto = Window.orderBy("area").rowsBetween(Window.unboundedPreceding, -1)
     share = F.col("bytes") * 100.0 / max(total, 1)
+    return _sliced(by_area, share, upto)
+
+
+def shares_of_used(files: DataFrame, total: int, used: int) -> DataFrame:
+    """AG5: as :func:`shares`, with a last slice of what others use: ``used`` less all areas, 0 at least."""
+    by_area = located(files).groupBy("area").agg(F.sum("length").alias("bytes")).withColumn("last", F.lit(0))
+    own = by_area.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("own"))
+    other = own.select(F.lit("other").alias("area"), F.greatest(F.lit(0), F.lit(used) - F.col("own")).cast("long").alias("bytes"), F.lit(1).alias("last"))
+    upto = Window.orderBy("last", "area").rowsBetween(Window.unboundedPreceding, -1)
+    return _sliced(by_area.unionByName(other), F.col("bytes") * 100.0 / max(total, 1), upto)
+
+
+def _sliced(by_area: DataFrame, share, upto) -> DataFrame:
     return by_area.select("area", "bytes", F.round(share, 6).alias("percent"), F.round(F.coalesce(F.sum(share).over(upto), F.lit(0.0)), 6).alias("offset"))

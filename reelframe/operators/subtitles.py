@@ -17,25 +17,29 @@ def explode_cues(files: DataFrame, *keys: str) -> DataFrame:
     return rows.where("text <> ''")
 
 
-def cue_at(cues: DataFrame, points: DataFrame) -> DataFrame:
-    """JN11: the first cue of the track that holds each point, ends included.
+def cue_at(cues: DataFrame, points: DataFrame, offset: float = 0) -> DataFrame:
+    """JN11: the first cue of the track that holds each point less ``offset`` (seconds by which subtitles are shifted), ends included.
 
     Both sides meet on (track, bucket), so a long track is many small joins; a cue stands in each bucket
     that it touches.
     """
     spread = cues.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_s") / BUCKET), F.floor(F.col("end_s") / BUCKET))))
-    placed = points.withColumn("bucket", F.floor(F.col("t") / BUCKET))
-    inside = (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))
+    placed = points.withColumn("at", F.col("t") - F.lit(offset)).withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    inside = (F.col("at") >= F.col("start_s")) & (F.col("at") <= F.col("end_s"))
     hits = placed.join(spread, ["track_id", "bucket"]).where(inside)
     best = hits.groupBy("track_id", "t").agg(F.min("idx").alias("idx"))
     return points.join(best, ["track_id", "t"], "left")
 
 
-def neighbours(cues: DataFrame, points: DataFrame) -> DataFrame:
-    """JN18: previous, current and next cue; the centre is the active cue, else the next to start, else the first (kept on purpose)."""
+def neighbours(cues: DataFrame, points: DataFrame, offset: float = 0) -> DataFrame:
+    """JN18: previous, current and next cue.
+
+    The centre is the active cue by the time less ``offset``, else the next to start by the time itself, else
+    the first (both kept on purpose).
+    """
     order = Window.partitionBy("track_id").orderBy("idx")
     around = cues.withColumns({"previous": F.lag("text").over(order), "next": F.lead("text").over(order)})
-    active = cue_at(cues, points)
+    active = cue_at(cues, points, offset)
     later = points.join(cues, "track_id").where("start_s > t").groupBy("track_id", "t").agg(F.min("idx").alias("later"))
     first = cues.groupBy("track_id").agg(F.min("idx").alias("first"))
     centre = active.join(later, ["track_id", "t"], "left").join(first, "track_id").select("track_id", "t", F.coalesce("idx", "later", "first").alias("idx"))

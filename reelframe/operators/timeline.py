@@ -117,6 +117,14 @@ def expand_runs(runs: DataFrame, shifts: DataFrame) -> DataFrame:
     return shifted.select("file_id", "sample", F.greatest(F.col("decode") + F.coalesce("shift", F.lit(0)), F.lit(0)).alias("t"))
 
 
+def sync_times(samples: DataFrame, sync: DataFrame) -> DataFrame:
+    """TL4: times of the samples that ``sync`` (file_id, sample) lists; of a file without such a table, of all."""
+    listed = sync.select("file_id", "sample", F.lit(True).alias("_sync")).distinct()
+    has = sync.select("file_id", F.lit(True).alias("_has")).distinct()
+    joined = samples.join(has, "file_id", "left").join(listed, ["file_id", "sample"], "left")
+    return joined.where(F.col("_has").isNull() | F.col("_sync").isNotNull()).select("file_id", "sample", "t")
+
+
 def fill_gaps(fragments: DataFrame) -> DataFrame:
     """TL5: a skipped segment takes the next one made, at most four on, within its run."""
     ahead = Window.partitionBy("file_id", "run").orderBy("idx").rowsBetween(0, GAP)

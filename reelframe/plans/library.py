@@ -26,8 +26,7 @@ def collection_items(spark, sf_dir):
 
 @query(
     "history_top20",
-    sql("""SELECT seq, w.media_id, title, seen_at, position, info_hash, coalesce(file_idx, 0)::int AS file_idx FROM (SELECT * FROM {watch} ORDER BY seen_at DESC, seq DESC LIMIT 20) w
-    JOIN {media_items} m ON w.media_id = m.id LEFT JOIN {downloads} d ON w.download_id = d.id"""),
+    sql("""SELECT seq, w.media_id, title, seen_at, position, info_hash, coalesce(file_idx, 0)::int AS file_idx FROM (SELECT w.*, title FROM {watch} w JOIN {media_items} m ON w.media_id = m.id ORDER BY seen_at DESC, seq DESC LIMIT 20) w LEFT JOIN {downloads} d ON w.download_id = d.id"""),
 )
 def history_top20(spark, sf_dir):
     return L.recent_history(carrier(spark, sf_dir, "watch"), carrier(spark, sf_dir, "media_items"), carrier(spark, sf_dir, "downloads"))
@@ -130,12 +129,12 @@ def shares(spark, sf_dir):
 
 @query(
     "library_union",
-    sql(f"""SELECT 'download' AS kind, id::varchar AS key, total_bytes AS bytes, status, NULL::bigint AS total_ms FROM {_SOME} UNION ALL
+    sql(f"""SELECT 'download' AS kind, id::varchar AS key, total_bytes AS bytes, status, NULL::bigint AS total_ms FROM {{downloads}} UNION ALL
     SELECT 'job', id::varchar, NULL, status, total_ms FROM {{jobs}} UNION ALL SELECT 'orphan', hash, bytes, NULL, NULL FROM {_ORPHANS}"""),
 )
 def library_union(spark, sf_dir):
     d = some_downloads(spark, sf_dir)
-    return L.entries_of(L.library_entries(d, carrier(spark, sf_dir, "jobs"), S.orphans(carrier(spark, sf_dir, "storage_files"), d)))
+    return L.entries_of(L.library_entries(carrier(spark, sf_dir, "downloads"), carrier(spark, sf_dir, "jobs"), S.orphans(carrier(spark, sf_dir, "storage_files"), d)))
 
 
 @query("active_counts", sql("SELECT (SELECT count(*) FROM {downloads} WHERE status IN ('queued', 'downloading')) AS active_downloads, (SELECT count(*) FROM {jobs} WHERE status IN ('queued', 'transcoding')) AS active_jobs"))
@@ -184,7 +183,7 @@ def renumber(spark, sf_dir):
 
 
 _BASE = "(SELECT id, info_hash, file_idx, total_bytes, status, created_at FROM {downloads} WHERE id % 3 <> 0)"
-_NEW = "(SELECT id, info_hash, file_idx, total_bytes + 1 AS total_bytes, 'queued' AS status, created_at FROM {downloads} WHERE id % 2 = 0)"
+_NEW = "(SELECT id, info_hash, file_idx, total_bytes + 1 AS total_bytes, 'queued' AS status, created_at FROM {downloads} WHERE id % 2 = 0 OR id % 3 = 0)"
 
 
 def _base(spark, sf_dir):
@@ -192,7 +191,7 @@ def _base(spark, sf_dir):
 
 
 def _new(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "downloads").where("id % 2 = 0")
+    rows = carrier(spark, sf_dir, "downloads").where("id % 2 = 0 OR id % 3 = 0")
     return rows.select("id", "info_hash", "file_idx", (F.col("total_bytes") + 1).alias("total_bytes"), F.lit("queued").alias("status"), "created_at")
 
 
@@ -216,13 +215,13 @@ def insert_with_ids(spark, sf_dir):
 
 @query(
     "reset_upsert",
-    sql("""WITH b AS (SELECT id, status, transcoded_ms FROM {jobs} WHERE id % 3 <> 0), n AS (SELECT id FROM {jobs} WHERE id % 2 = 0)
+    sql("""WITH b AS (SELECT id, status, transcoded_ms FROM {jobs} WHERE id % 3 <> 0), n AS (SELECT id FROM {jobs} WHERE id % 2 = 0 OR id % 3 = 0)
     SELECT coalesce(b.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused')) THEN 'queued' ELSE b.status END AS status,
       CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused')) THEN 0 ELSE transcoded_ms END AS transcoded_ms FROM b FULL JOIN n ON b.id = n.id"""),
 )
 def reset_upsert(spark, sf_dir):
     jobs = carrier(spark, sf_dir, "jobs")
-    return M.reset_upsert(jobs.where("id % 3 <> 0").select("id", "status", "transcoded_ms"), jobs.where("id % 2 = 0"), "id", ["queued", "transcoding", "paused"], {"status": F.lit("queued"), "transcoded_ms": F.lit(0).cast("bigint")})
+    return M.reset_upsert(jobs.where("id % 3 <> 0").select("id", "status", "transcoded_ms"), jobs.where("id % 2 = 0 OR id % 3 = 0"), "id", ["queued", "transcoding", "paused"], {"status": F.lit("queued"), "transcoded_ms": F.lit(0).cast("bigint")})
 
 
 @query("delete_cascade", sql("SELECT id, download_id FROM {jobs} WHERE download_id NOT IN (SELECT id FROM {downloads} WHERE status = 'failed')"))

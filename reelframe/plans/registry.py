@@ -24,8 +24,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another order of the same rows."""
+    return _sql[name]
+
+
 def _load() -> None:
-    from reelframe.plans import library, releases, streams, subtitles, timeline, titles  # noqa: F401
+    from reelframe.plans import library, releases, streams, subtitles, timeline, titles  # noqa: F401, I001
+    from reelframe.plans import details  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,9 +50,25 @@ def stream_idle_sessions(spark, sf_dir):
     return closed.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
-@query("stream_ticks", "WITH w AS (SELECT user_id, floor(epoch_us(ts) / 2000000)::bigint * 2000000 AS started, value FROM events WHERE user_id IN (1, 3, 5, 7)) SELECT user_id, started, count(*) AS n, max(value) AS value FROM w WHERE started + 2000000 <= (SELECT max(epoch_us(ts)) FROM events WHERE user_id IN (1, 3, 5, 7)) - 600000000 GROUP BY ALL")
+@query("stream_ticks", "WITH w AS (SELECT user_id, floor(epoch_us(ts) / 2000000)::bigint * 2000000 AS started, value FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) SELECT user_id, started, count(*) AS n, max(value) AS value FROM w WHERE started + 2000000 <= (SELECT max(epoch_us(ts)) FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) - 600000000 GROUP BY ALL")
 def stream_ticks(spark, sf_dir):
-    found = S.run_to_table(S.ticks(_ordered(spark, sf_dir, "user_id", "value"), [1, 3, 5, 7]))
+    wanted = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).distinct()
+    found = S.run_to_table(S.ticks(_ordered(spark, sf_dir, "user_id", "value"), wanted))
+    return found.withColumn("started", F.unix_micros("started"))
+
+
+@query(
+    "stream_stats",
+    """WITH w AS (SELECT user_id AS info_hash, floor(epoch_us(ts) / 2000000)::bigint * 2000000 AS started, ts, event_id AS seq, floor(value)::bigint AS progress, user_id * 10 AS total, floor(value * 2)::bigint AS speed, event_id % 50 AS peers, value >= user_id * 10 AS finished FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
+    l AS (SELECT info_hash, started, arg_max(struct_pack(progress, total, speed, peers, finished), (ts, seq)) AS r FROM w GROUP BY ALL)
+    SELECT info_hash, started, r.progress AS progress, r.total AS total, r.speed AS speed, r.peers AS peers, r.finished AS finished FROM l WHERE started + 2000000 <= (SELECT max(epoch_us(ts)) FROM w) - 600000000""",
+)
+def stream_stats(spark, sf_dir):
+    """ST6: the last stats of wanted releases per two seconds."""
+    wanted = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("info_hash")).distinct()
+    u, v = F.col("user_id"), F.col("value")
+    rows = _ordered(spark, sf_dir, "user_id", "value").select(u.alias("info_hash"), "event_ts", "seq", F.floor(v).alias("progress"), (u * 10).alias("total"), F.floor(v * 2).alias("speed"), (F.col("seq") % 50).alias("peers"), (v >= u * 10).alias("finished"))
+    found = S.run_to_table(S.stats(rows, wanted, ["progress", "total", "speed", "peers", "finished"]))
     return found.withColumn("started", F.unix_micros("started"))
 
 

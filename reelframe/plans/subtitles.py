@@ -42,7 +42,7 @@ _FOLD = """list_reduce(list_concat([{'s': 0, 'p': 0, 'o': '', 'c': ''}], list_tr
   'o': CASE WHEN x.c NOT IN ('[', ']', '(', ')') AND a.s = 0 AND a.p = 0 THEN a.o || x.c ELSE a.o END, 'c': ''}).o"""
 
 
-_SDH_SQL = f"""WITH w AS (SELECT conv_id, turn, 'JOHN DOE: ' || substr(text, 1, 40) || ' (sighs) [door' || chr(10) || '♪ ~ ♪' || chr(10) || 'MAN: ] ' || substr(text, 3, 30) || '[a (b] c) d' AS text FROM conversations),
+_SDH_SQL = f"""WITH w AS (SELECT conv_id, turn, 'JOHN DOE: ' || text || ' (sighs) [door' || chr(10) || '♪ ~ ♪' || chr(10) || 'MAN: ] ' || @second@ || '[a (b] c) d' AS text FROM conversations),
     l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM w),
     f AS (SELECT conv_id, turn, k, trim(regexp_replace(trim({_FOLD}, ' ' || chr(9) || chr(13)), '^[A-Z -]+:', ''), ' ' || chr(9) || chr(13)) AS line FROM l)
     SELECT w.conv_id, w.turn, coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM f WHERE f.conv_id = w.conv_id AND f.turn = w.turn AND NOT regexp_matches(line, '^[♪♫#~ ]*$')), '') AS text FROM w"""
@@ -53,14 +53,15 @@ def _cleaned(spark, sf_dir, first, second):
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_sdh(text).alias("text"))
 
 
-@query("sdh_clean", sql(_SDH_SQL))
+@query("sdh_clean", sql(_SDH_SQL.replace("@second@", "role")))
 def sdh_clean(spark, sf_dir):
-    return _cleaned(spark, sf_dir, F.substring("text", 1, 40), F.substring("text", 3, 30))
+    """SB4: a speaker's label, the whole message, sounds, notes and the role."""
+    return _cleaned(spark, sf_dir, F.col("text"), F.col("role"))
 
 
-@query("sdh_clean_whole", sql(_SDH_SQL.replace("substr(text, 1, 40)", "text").replace("substr(text, 3, 30)", "text")))
+@query("sdh_clean_whole", sql(_SDH_SQL.replace("@second@", "text")))
 def sdh_clean_whole(spark, sf_dir):
-    """SB4 over whole messages."""
+    """SB4 over whole messages, twice each."""
     return _cleaned(spark, sf_dir, F.col("text"), F.col("text"))
 
 
@@ -80,13 +81,17 @@ def _events(spark, sf_dir, text):
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.ass_text(event).alias("text"), end.alias("end"))
 
 
+_BRACES = r"regexp_replace(regexp_replace(text, '[{}]', ' ', 'g'), '\\([Nnh])', '/\1', 'g')"
+
+
 @query(
     "ass_text",
-    """SELECT conv_id, turn, substr(text, 1, 20) || ', a' || chr(10) || 'b c' AS text, turn + CASE WHEN turn % 2 = 0 THEN 3.0::double ELSE 1.5::double END AS "end" FROM conversations""",
+    f"""SELECT conv_id, turn, {_BRACES} || ', a' || chr(10) || 'b c' AS text, turn + CASE WHEN turn % 2 = 0 THEN 3.0::double ELSE 1.5::double END AS "end" FROM conversations""",
 )
 def ass_text(spark, sf_dir):
-    """SB6, SB7: event lines built around each message."""
-    return _events(spark, sf_dir, F.substring("text", 1, 20))
+    """SB6, SB7: event lines built around each whole message, whose own braces and escapes are taken out first."""
+    plain = F.regexp_replace(F.regexp_replace("text", "[{}]", " "), r"\\([Nnh])", "/$1")
+    return _events(spark, sf_dir, plain)
 
 
 @query("ass_text_whole")
@@ -148,11 +153,11 @@ def track_select(spark, sf_dir):
 
 @query(
     "track_union",
-    f"""WITH u AS (SELECT track_id, conv_id, coalesce(language, 'und') AS language, 1000::bigint AS score, n_cues, 0 AS rank FROM {_TRACKS} WHERE track_id % 2 = 0 AND n_cues > 200
-    UNION ALL SELECT track_id, conv_id, language, score, n_cues, 1 FROM {_TRACKS} WHERE track_id % 2 = 1 AND n_cues > 200)
+    f"""WITH u AS (SELECT track_id, conv_id, coalesce(language, 'und') AS language, 1000::bigint AS score, n_cues, 0 AS rank FROM {_TRACKS} WHERE track_id % 2 = 0 AND n_cues > 0
+    UNION ALL SELECT track_id, conv_id, language, score, n_cues, 1 FROM {_TRACKS} WHERE track_id % 2 = 1 AND n_cues > 0)
     SELECT conv_id, arg_min(track_id, (rank, -score, track_id)) AS track_id FROM u GROUP BY conv_id""",
 )
 def track_union(spark, sf_dir):
     """SO3, AG13: embedded before external; the first that has cues."""
-    tracks = _tracks(spark, sf_dir).withColumn("score", F.coalesce(F.col("score").try_cast("bigint"), F.lit(0).cast("bigint"))).where("n_cues > 200")
+    tracks = _tracks(spark, sf_dir).withColumn("score", F.coalesce(F.col("score").try_cast("bigint"), F.lit(0).cast("bigint")))
     return O.first_non_empty(O.union_tracks(tracks.where("track_id % 2 = 0"), tracks.where("track_id % 2 = 1")), "conv_id")

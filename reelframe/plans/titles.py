@@ -170,18 +170,23 @@ def resume_labels(spark, sf_dir):
     return carrier(spark, sf_dir, "watch").select("seq", B.minutes_left(p, d).alias("minutes_left"), F.round(B.ratio(p, d), 6).alias("ratio"), B.progress_pct(p, d).alias("pct"))
 
 
-_CLIENTS_REQUESTS = "(SELECT c.*, r.* FROM {clients} c CROSS JOIN (VALUES (0, false, false, false), (1, false, true, true)) AS r(audio_index, force_video, force_audio, sdr))"
-_PLAN = f"""WITH x AS (SELECT f.*, q.*, CASE WHEN audio_index = 1 AND audio_1 IS NOT NULL THEN audio_1 ELSE audio_0 END AS audio FROM {{media_files}} f CROSS JOIN {_CLIENTS_REQUESTS} q),
-o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (lower(video_codec) = 'h264' AND bit_depth > 8) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND height <= max_height AND NOT force_video AS video_ok,
+_CLIENTS_REQUESTS = "(SELECT c.*, r.* FROM {clients} c CROSS JOIN (VALUES (0, false, false, false), (1, false, true, true), (2, false, false, false)) AS r(audio_index, force_video, force_audio, sdr))"
+_PLAN = f"""WITH x AS (SELECT f.*, q.*, coalesce(tracks[audio_index + 1], tracks[1]) AS audio FROM (SELECT *, list_filter([audio_0, audio_1, audio_2], lambda a: a IS NOT NULL) AS tracks FROM {{media_files}}) f CROSS JOIN {_CLIENTS_REQUESTS} q),
+o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (lower(video_codec) = 'h264' AND bit_depth > 8) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND coalesce(height <= max_height, true) AND NOT force_video AS video_ok,
   audio IS NULL OR (list_contains(string_split(lower(audio_codecs), ','), lower(audio)) AND NOT force_audio) AS audio_ok, list_contains(string_split(lower(containers), ','), lower(container)) AS container_ok FROM x),
-d AS (SELECT *, video_ok AND audio_ok AND container_ok AND (audio_index = 0 OR audio_1 IS NULL) AS direct FROM o),
+d AS (SELECT *, video_ok AND audio_ok AND container_ok AND (audio_index = 0 OR tracks[audio_index + 1] IS NULL) AS direct FROM o),
 p AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN video_ok AND lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action,
   CASE WHEN audio IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN audio_ok AND lower(audio) IN ('aac', 'ac3', 'eac3', 'opus', 'flac') THEN 'copy' ELSE 'transcode' END AS audio_action FROM d)"""
 
 
+def _with_tracks(spark, sf_dir):
+    tracks = F.filter(F.array("audio_0", "audio_1", "audio_2"), lambda a: a.isNotNull())
+    return carrier(spark, sf_dir, "media_files").withColumn("audio_tracks", tracks)
+
+
 def _planned(spark, sf_dir):
-    requests = spark.createDataFrame([(0, False, False, False), (1, False, True, True)], "audio_index int, force_video boolean, force_audio boolean, sdr boolean")
-    return K.plan(carrier(spark, sf_dir, "media_files"), carrier(spark, sf_dir, "clients"), requests)
+    requests = spark.createDataFrame([(0, False, False, False), (1, False, True, True), (2, False, False, False)], "audio_index int, force_video boolean, force_audio boolean, sdr boolean")
+    return K.plan(_with_tracks(spark, sf_dir), carrier(spark, sf_dir, "clients"), requests)
 
 
 @query("compat_matrix", sql(f"{_PLAN} SELECT file_id, client_id, audio_index, direct, video_action, audio_action FROM p"))
@@ -194,9 +199,9 @@ def playback_record(spark, sf_dir):
     return K.playback_record(_planned(spark, sf_dir))
 
 
-@query("universal_plan", sql("SELECT file_id, CASE WHEN lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action, CASE WHEN audio_0 IS NULL THEN 'none' WHEN audio_0 = 'aac' THEN 'copy' ELSE 'transcode' END AS audio_action FROM {media_files}"))
+@query("universal_plan", sql("SELECT file_id, CASE WHEN lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action, CASE WHEN a IS NULL THEN 'none' WHEN a = 'aac' THEN 'copy' ELSE 'transcode' END AS audio_action FROM (SELECT *, coalesce(audio_0, audio_1, audio_2) AS a FROM {media_files})"))
 def universal_plan(spark, sf_dir):
-    return K.universal_plan(carrier(spark, sf_dir, "media_files"), only_audio=True).select("file_id", "video_action", "audio_action")
+    return K.universal_plan(_with_tracks(spark, sf_dir), only_audio=True).select("file_id", "video_action", "audio_action")
 
 
 _HIST = "h AS (SELECT image_id, ((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS key, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM {pixels} GROUP BY ALL)"

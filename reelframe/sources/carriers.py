@@ -90,8 +90,8 @@ FROM lineitem
 """
 
 SRT_FILES = """
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(65279) ELSE '' END || '1' || chr(13) || chr(10) || '00:00:01,000 --> 00:00:0' || cast(2 + turn % 7 AS varchar(20)) || ',500' || chr(13) || chr(10) || '<i>' || substr(text, 1, 20) || '</i>'
-  || chr(10) || chr(10) || '2' || chr(10) || '00:0' || cast(turn % 10 AS varchar(20)) || ':05,250 --> 00:1' || cast(turn % 10 AS varchar(20)) || ':07.800' || chr(10) || 'WOMAN: [sighs] ' || substr(text, 5, 30) || chr(10) || '(door (closes)) ' || substr(text, 9, 10)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(65279) ELSE '' END || '1' || chr(13) || chr(10) || '00:00:01,000 --> 00:00:0' || cast(2 + turn % 7 AS varchar(20)) || ',500' || chr(13) || chr(10) || '<i>' || text || '</i>'
+  || chr(10) || chr(10) || '2' || chr(10) || '00:0' || cast(turn % 10 AS varchar(20)) || ':05,250 --> 00:1' || cast(turn % 10 AS varchar(20)) || ':07.800' || chr(10) || 'WOMAN: [sighs] ' || role || chr(10) || '(door (closes)) ' || text
   || chr(10) || chr(10) || '3' || chr(10) || 'not a time' || chr(10) || 'skipped' AS content
 FROM conversations
 """
@@ -123,12 +123,13 @@ SELECT p_partkey AS file_id, CASE p_size % 4 WHEN 0 THEN 'mp4' WHEN 1 THEN 'matr
   CASE p_size % 5 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' WHEN 2 THEN 'AV1' WHEN 3 THEN 'H264' ELSE 'vp9' END AS video_codec,
   CASE WHEN p_partkey % 11 = 0 THEN 10 ELSE 8 END AS bit_depth, CASE WHEN p_partkey % 13 = 0 THEN '4:4:4' WHEN p_partkey % 13 = 1 THEN NULL ELSE '4:2:0' END AS chroma, p_partkey % 6 = 0 AS hdr,
   CASE p_size % 3 WHEN 0 THEN 720 WHEN 1 THEN 1080 ELSE 2160 END AS height,
-  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'aac' WHEN 2 THEN 'eac3' ELSE 'opus' END AS audio_0, CASE p_partkey % 3 WHEN 0 THEN 'aac' WHEN 1 THEN 'dts' ELSE NULL END AS audio_1
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'aac' WHEN 2 THEN 'eac3' ELSE 'opus' END AS audio_0, CASE p_partkey % 3 WHEN 0 THEN 'aac' WHEN 1 THEN 'dts' ELSE NULL END AS audio_1,
+  CASE WHEN p_partkey % 6 = 1 THEN 'flac' END AS audio_2
 FROM part
 """
 
 CLIENTS = """
-SELECT * FROM (VALUES ('browser', 'h264,vp9', 'aac,opus', 'mp4,webm', 1080), ('television', 'h264,hevc', 'aac,eac3', 'mp4', 2160), ('any', 'h264,hevc,av1,vp9', 'aac,eac3,opus,dts', 'mp4,matroska,webm,mov', 4320)) AS c(client_id, video_codecs, audio_codecs, containers, max_height)
+SELECT * FROM (VALUES ('browser', 'h264,vp9', 'aac,opus', 'mp4,webm', 1080), ('television', 'h264,hevc', 'aac,eac3', 'mp4', 2160), ('any', 'h264,hevc,av1,vp9', 'aac,eac3,opus,dts', 'mp4,matroska,webm,mov', 4320), ('unlimited', 'h264,hevc', 'aac,flac', 'mp4,mov', NULL)) AS c(client_id, video_codecs, audio_codecs, containers, max_height)
 """
 
 PIXELS = """

@@ -98,9 +98,16 @@ def idle_sessions(stream: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def ticks(stream: DataFrame, keys: list, width: str = "2 seconds") -> DataFrame:
-    """ST6: the mean value of wanted keys per tumbling window."""
-    kept = stream.where(F.col("user_id").isin(keys)).withWatermark("event_ts", LATE)
+def stats(stream: DataFrame, keys: DataFrame, fields: list[str], width: str = "2 seconds") -> DataFrame:
+    """ST6: per tumbling window the last progress, total, speed, peers and finished (``fields``) of wanted keys (a table)."""
+    kept = stream.join(keys, "info_hash", "left_semi").withWatermark("event_ts", LATE)
+    last = F.max_by(F.struct(*fields), F.struct("event_ts", "seq")).alias("r")
+    return kept.groupBy("info_hash", F.window("event_ts", width).alias("w")).agg(last).select("info_hash", F.col("w.start").alias("started"), "r.*")
+
+
+def ticks(stream: DataFrame, keys: DataFrame, width: str = "2 seconds") -> DataFrame:
+    """ST6 in short: how many events wanted keys (a table) have per tumbling window, and the largest value."""
+    kept = stream.join(keys, "user_id", "left_semi").withWatermark("event_ts", LATE)
     return kept.groupBy("user_id", F.window("event_ts", width).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("value")).select("user_id", F.col("w.start").alias("started"), "n", "value")
 
 
