@@ -1,5 +1,8 @@
 """Operators on embeddings and conversations, and the pipeline."""
 
+import hashlib
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelframe.llm import embeddings, quotations
 from reelframe.llm.graph import bundles, components
+from test_documents import brute_groups, brute_substrings, words
 
 
 def test_components(spark):
@@ -105,12 +109,32 @@ def test_long_and_wide_threads(spark):
 
 
 def test_pipeline(spark):
+    """Every stage, on what its predecessor kept, against brute force."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from reelframe.llm import mixing
+    from reelframe.llm.queries import TOKENIZER
+    from reelframe.llm.shared import written
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
+        docs = written(stage(spark, docs, sf))
+        kept[name] = docs.collect()
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        if name == "substring_dedup":
+            taken = {r.doc_id: (r.size, r.taken) for r in mixing.mix_digest(docs).collect()}
+    good, apart, cut, mixed = kept.values()
+    assert all(len(words(d.text)) >= 50 for d in good)
+    assert {d.doc_id for d in apart} == {least[0] for least in brute_groups(good).values()}
+    want = {r[0]: r[3] for r in brute_substrings(apart)}
+    assert {d.doc_id: hashlib.sha256(" ".join(words(d.text)).encode()).hexdigest() for d in cut} == want
+    copies = Counter(d.doc_id for d in mixed)
+    assert all(copies[i] * size == n for i, (size, n) in taken.items())
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokens = sum(len(tokenizer.encode(d.text, add_special_tokens=False).ids) + 1 for d in mixed)
     pieces = corpus_pipeline.run(spark, sf)
-    assert pieces.count() > 0 and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    assert pieces.agg(F.sum("length")).first()[0] == tokens
+    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
