@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Palette targets as (name, saturation low, best, high, lightness low, best, high).
 TARGETS = [
@@ -49,18 +49,23 @@ def palette(shades: DataFrame) -> DataFrame:
     """
     most = shades.groupBy("image_id").agg(F.max("n").alias("most"))
     rows = shades.join(most, "image_id")
-    lists = []
-    for name, s0, s1, s2, l0, l1, l2 in TARGETS:
+    fits = []
+    for place, (name, s0, s1, s2, l0, l1, l2) in enumerate(TARGETS):
         score = (SATURATION_WEIGHT * (1 - F.abs(F.col("saturation") - s1)) + LIGHTNESS_WEIGHT * (1 - F.abs(F.col("lightness") - l1)) + COUNT_WEIGHT * F.col("n") / F.col("most")) / 10
         fit = F.col("saturation").between(s0, s2) & F.col("lightness").between(l0, l2)
-        lists.append((name, F.when(fit, F.struct((-F.round(score, 9)).alias("s"), F.lit(name).alias("target"), "key", "r", "g", "b"))))
-    best = rows.groupBy("image_id").agg(*[F.slice(F.array_sort(F.collect_list(c)), 1, len(TARGETS)).alias(name) for name, c in lists])
+        fits.append(F.when(fit, F.struct(F.lit(place).alias("place"), (-F.round(score, 9)).alias("s"), F.lit(name).alias("target"))))
+    spread = rows.select("image_id", "key", "r", "g", "b", F.explode(F.filter(F.array(*fits), lambda f: f.isNotNull())).alias("f"))
+    # The filter on the rank becomes a partial top-k before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("image_id", "f.place").orderBy("f.s", "f.target", "key", "r", "g", "b"))
+    few = spread.withColumn("rank", rank).where(F.col("rank") <= len(TARGETS))
+    candidate = F.struct("rank", F.struct("f.s", "f.target", "key", "r", "g", "b").alias("c"))
+    best = few.groupBy("image_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("f.place") == k, candidate))).alias(name) for k, (name, *_) in enumerate(TARGETS)])
 
     def step(taken: Column, candidates: Column) -> Column:
         free = F.filter(candidates, lambda c: ~F.exists(taken, lambda t: t["key"] == c["key"]))
         return F.concat(taken, F.slice(free, 1, 1))
 
-    targets = F.array(*[F.col(f"`{name}`") for name, _ in lists])
+    targets = F.array(*[F.transform(F.col(f"`{name}`"), lambda x: x["c"]) for name, *_ in TARGETS])
     taken = F.aggregate(targets, F.slice(F.get(targets, F.lit(0)), 1, 0), step)
     return best.select("image_id", F.explode(taken).alias("p")).select("image_id", "p.target", "p.key", "p.r", "p.g", "p.b")
 
