@@ -12,7 +12,7 @@ from reelframe.streaming import folds
 from test_queries import SMALL, plain
 
 FILES = 130
-NAMES = ["stream_idle_sessions", "stream_ticks", "stream_complete_once", "stream_failure_alarm"]
+NAMES = ["stream_idle_sessions", "stream_ticks", "stream_complete_once", "stream_failure_alarm", "stream_stats"]
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,8 @@ def scattered(tmp_path_factory):
         file = at / "events.parquet" / f"part-{k:03}.parquet"
         con.sql(f"COPY (SELECT * EXCLUDE part FROM events WHERE part = {k}) TO '{file}'")
         os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+    shutil.copy(f"{SMALL}/customer.parquet", at / "customer.parquet")
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{SMALL}/customer.parquet'")
     yield str(at), con
     shutil.rmtree(at)
 
