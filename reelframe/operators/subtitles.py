@@ -53,13 +53,22 @@ def duplicate_labels(tracks: DataFrame, keys: list[str], name: Column, order: st
     return tracks.withColumn("label", F.when(n > 1, F.concat(name, F.lit(" #"), k.cast("string"))).otherwise(name))
 
 
+def _vtt_line() -> Column:
+    return F.concat(labels.vtt_time(F.col("start_s")), F.lit(" --> "), labels.vtt_time(F.col("end_s")), F.lit("\n"), T.vtt_escape(F.col("text")), F.lit("\n"))
+
+
 def export_vtt(cues: DataFrame) -> DataFrame:
-    """SC11: one document per track, cues in order; write with ``partitionBy('track_id').text``."""
-    line = F.concat(labels.vtt_time(F.col("start_s")), F.lit(" --> "), labels.vtt_time(F.col("end_s")), F.lit("\n"), T.vtt_escape(F.col("text")), F.lit("\n"))
-    listed = cues.select("track_id", F.struct("idx", line.alias("line")).alias("c")).groupBy("track_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    """SC11 as one value per track, cues in order; for tracks that fit in a row. :func:`vtt_lines` has no such bound."""
+    listed = cues.select("track_id", F.struct("idx", _vtt_line().alias("line")).alias("c")).groupBy("track_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     return listed.select("track_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cs", lambda c: c["line"]), "\n")).alias("value"))
 
 
+def vtt_lines(cues: DataFrame) -> DataFrame:
+    """SC11 for tracks of any length: the pieces of each document by (track_id, idx), its head at -1; see ``write_vtt``."""
+    heads = cues.select("track_id").distinct().select("track_id", F.lit(-1).alias("idx"), F.lit("WEBVTT\n").alias("value"))
+    return heads.union(cues.select("track_id", "idx", _vtt_line().alias("value")))
+
+
 def select_tracks(tracks: DataFrame, languages: list[str]) -> DataFrame:
     """SB8, PF11, WN6: tracks of allowed languages after mapping, best score first."""
     code = labels.iso639(F.lower("language"), labels.LISTING_LANGUAGES)

@@ -137,6 +137,16 @@ def vtt_export(spark, sf_dir):
     return O.export_vtt(carrier(spark, sf_dir, "cues"))
 
 
+@query(
+    "vtt_lines",
+    sql("""SELECT track_id, idx, printf('%02d:%02d:%02d.000', start_s // 3600, start_s // 60 % 60, start_s % 60) || ' --> ' || printf('%02d:%02d:%02d.000', end_s // 3600, end_s // 60 % 60, end_s % 60) || chr(10) || replace(replace(text, '&', '&amp;'), '<', '&lt;') || chr(10) AS value FROM {cues}
+    UNION ALL SELECT DISTINCT track_id, -1, 'WEBVTT' || chr(10) FROM {cues}"""),
+)
+def vtt_lines(spark, sf_dir):
+    """SC11: the pieces of each track's document, of which ``sources.files.write_vtt`` makes files."""
+    return O.vtt_lines(carrier(spark, sf_dir, "cues"))
+
+
 def _tracks(spark, sf_dir):
     rows = given(spark, sf_dir, "conversations")
     language = F.when(F.col("turn") % 4 == 0, "en").when(F.col("turn") % 4 == 1, "fr").when(F.col("turn") % 4 == 2, "xx")

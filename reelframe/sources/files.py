@@ -33,6 +33,10 @@ def listing_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, l
     return reduce(DataFrame.unionByName, found, empty), failed
 
 
-def write_vtt(documents: DataFrame, path: str) -> None:
-    """SC11: one folder with one document per track."""
-    documents.select("track_id", "value").write.partitionBy("track_id").text(path)
+def write_vtt(lines: DataFrame, path: str) -> None:
+    """SC11: a folder per track (a number) from ``operators.subtitles.vtt_lines``.
+
+    Pieces are dealt by ranges of (track_id, idx): a short track is one file, a long one several whose names are in order.
+    """
+    dealt = lines.repartitionByRange("track_id", "idx").sortWithinPartitions("track_id", "idx")
+    dealt.select("track_id", "value").write.partitionBy("track_id").text(path)

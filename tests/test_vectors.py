@@ -138,10 +138,45 @@ def test_sources_that_fail_are_left_out(spark, tmp_path):
 
 
 def test_vtt_files(spark, tmp_path):
-    from reelframe.operators.subtitles import export_vtt
+    from reelframe.operators.subtitles import export_vtt, vtt_lines
     from reelframe.sources.files import write_vtt
 
     cues = spark.createDataFrame([(1, 1, -1.0, 2.0, "b"), (1, 0, 3661.5, 3662.0004, "a & <b>"), (2, 0, 0.0, 1.0, "c")], "track_id int, idx int, start_s double, end_s double, text string")
-    write_vtt(export_vtt(cues), str(tmp_path / "out"))
-    text = spark.read.text(str(tmp_path / "out" / "track_id=1"), wholetext=True).first().value
-    assert text == "WEBVTT\n\n01:01:01.500 --> 01:01:02.000\na &amp; &lt;b>\n\n00:00:00.000 --> 00:00:02.000\nb\n\n"
+    write_vtt(vtt_lines(cues), str(tmp_path / "out"))
+    expected = "WEBVTT\n\n01:01:01.500 --> 01:01:02.000\na &amp; &lt;b>\n\n00:00:00.000 --> 00:00:02.000\nb\n"
+    files = sorted((tmp_path / "out" / "track_id=1").glob("*.txt"))
+    assert "".join(f.read_text() for f in files) == expected + "\n"
+    assert export_vtt(cues).where("track_id = 1").first().value == expected
+
+
+def test_long_track_in_several_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from reelframe.operators.subtitles import export_vtt, vtt_lines
+    from reelframe.sources.files import write_vtt
+
+    cues = spark.range(900).select(F.lit(7).alias("track_id"), F.col("id").cast("int").alias("idx"), F.col("id").alias("start_s"), (F.col("id") + 1).alias("end_s"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    write_vtt(vtt_lines(cues.orderBy(F.desc("idx"))), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out" / "track_id=7").glob("*.txt"))
+    assert "".join(f.read_text() for f in files) == export_vtt(cues).first().value + "\n"
+
+
+def test_running_sum_and_ranks_of_one_hot_room(spark):
+    import random
+
+    from reelframe.operators.presence import peer_ranks
+    from reelframe.operators.running import running_sum
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1, 1, 1, 2]), rng.choice([None, 640, 800, 800, 1920]), rng.choice(["remote", "player", None])) for k in range(400)]
+    peers = spark.createDataFrame(rows, "client_id int, room int, width int, mode string")
+    rank = lambda r: (-1 if r[2] is None else r[2], r[0])
+    for found in peer_ranks(peers).collect():
+        me = rows[found.client_id]
+        larger = sorted((rank(r), r[0]) for r in rows if r[1] == me[1] and r[3] != "remote" and rank(r) > rank(me))
+        assert (found.room, found.n_larger, found.next_larger) == (me[1], len(larger), larger[0][1] if larger else None)
+    steps = [(k, rng.choice([None, -1, 1, 1])) for k in range(300)]
+    got = {r.k: r.total for r in running_sum(spark.createDataFrame(steps, "k int, step int"), ["k"], "step", "total").collect()}
+    assert got == {k: sum(s or 0 for _, s in steps[: k + 1]) for k, _ in steps}
+    empty = spark.createDataFrame([], "k int, step int")
+    assert running_sum(empty, ["k"], "step", "total").collect() == []
