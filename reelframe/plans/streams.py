@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelframe.operators import timeline as T
+from reelframe.operators.running import running_sum
 from reelframe.plans.registry import query
-from reelframe.sources.carriers import carrier, given
+from reelframe.sources.carriers import carrier, given, with_carriers as sql
 from reelframe.streaming import folds as S
 
 
@@ -128,3 +129,38 @@ def roster(spark, sf_dir):
     stream = S.event_stream(spark, f"{sf_dir}/events.parquet")
     rows = stream.select((F.col("user_id") % 40).alias("client_id"), "event_ts", "seq", F.when(F.col("event_type") == "error", "removed").otherwise(F.col("event_type")).alias("kind"), (F.floor("value") * 4).alias("width"))
     return S.fold_latest(rows, "client_id", [], "roster").select("client_id", "seq", "width", device_kind(F.col("width")).alias("device"))
+
+
+@query(
+    "roster_changes",
+    """WITH e AS (SELECT user_id % 40 AS client_id, ts, event_id AS seq, event_type <> 'error' AS here FROM events),
+    c AS (SELECT *, coalesce(lag(here) OVER (PARTITION BY client_id ORDER BY ts, seq), false) AS before FROM e)
+    SELECT client_id, seq, CASE WHEN here THEN 1 ELSE -1 END AS step, sum(CASE WHEN here THEN 1 ELSE -1 END) OVER (ORDER BY ts, seq)::bigint AS n_present FROM c WHERE here <> before""",
+)
+def roster_changes(spark, sf_dir):
+    """ST8: who comes and goes, and how many are present after each change; the roster of any moment is the last change of each client."""
+    rows = _ordered(spark, sf_dir, "user_id", "event_type")
+    rows = rows.select((F.col("user_id") % 40).alias("client_id"), "event_ts", "seq", F.when(F.col("event_type") == "error", "removed").otherwise(F.col("event_type")).alias("kind"))
+    changes = S.run_to_table(S.presence_changes(rows, "client_id"))
+    return running_sum(changes, ["event_ts", "seq"], "step", "n_present").select(F.col("key").alias("client_id"), "seq", "step", "n_present")
+
+
+@query(
+    "stream_live_counts",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 120 SECOND THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    g AS (SELECT min(ts) AS started, max(ts) + INTERVAL 120 SECOND AS ended FROM s GROUP BY user_id, k),
+    c AS (SELECT started AS moment, 1 AS step FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND UNION ALL SELECT ended, -1 FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND),
+    t AS (SELECT moment, sum(step) AS step FROM c GROUP BY moment) SELECT epoch_us(moment) AS moment, sum(step) OVER (ORDER BY moment)::bigint AS n_live FROM t""",
+)
+def stream_live_counts(spark, sf_dir):
+    """ST9: how many sessions live after each moment at which one begins or is closed."""
+    closed = S.run_to_table(S.idle_sessions(_ordered(spark, sf_dir, "user_id"), "user_id"))
+    return running_sum(S.live_changes(closed), ["moment"], "step", "n_live").select(F.unix_micros("moment").alias("moment"), "n_live")
+
+
+@query("stream_known", sql(f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT s.id, s.done, d.name, d.total_bytes FROM s JOIN {{downloads}} d ON d.id = s.id WHERE kind <> 'removed'"))
+def stream_known(spark, sf_dir):
+    """ST1: progress onto the table of downloads, which every batch reads anew."""
+    snapshot = lambda: carrier(spark, sf_dir, "downloads").select("id", "name", "total_bytes")
+    return S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"], snapshot=snapshot).select("id", "done", "name", "total_bytes")

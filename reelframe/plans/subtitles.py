@@ -8,6 +8,8 @@ from reelframe.functions import subtitles as T
 from reelframe.operators import subtitles as O
 from reelframe.plans.registry import query
 from reelframe.sources.carriers import carrier, given, with_carriers as sql
+from reelframe.sources.files import storage_files, subtitle_files
+from reelframe.sources.workspace import shared_path
 
 _WS = "' ' || chr(10) || chr(9) || chr(13)"
 _SECONDS = lambda t: f"(CASE WHEN len(string_split({t}, ':')) = 3 THEN try_cast(string_split(replace(trim({t}), ',', '.'), ':')[1] AS double) * 3600 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[2] AS double) * 60 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[3] AS double) END)"
@@ -147,6 +149,30 @@ def vtt_lines(spark, sf_dir):
     return O.vtt_lines(carrier(spark, sf_dir, "cues"))
 
 
+@query(
+    "subtitle_corpus",
+    """SELECT s_suppkey AS track_id, 0 AS idx, 1::double AS start, 2.5::double AS "end", s_name AS text FROM supplier
+    UNION ALL SELECT s_suppkey, 1, 63::double, 64::double, 'nation ' || s_nationkey FROM supplier""",
+)
+def subtitle_corpus(spark, sf_dir):
+    """SC7: one subtitle file per supplier, written, then read as a corpus of whole files."""
+    path = shared_path(spark, "corpus")
+    first = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,500\n"), F.col("s_name"))
+    second = F.concat(F.lit("\n\n2\n00:01:03,000 --> 00:01:04,000\n<b>nation "), F.col("s_nationkey").cast("string"), F.lit("</b>"))
+    given(spark, sf_dir, "supplier").select("s_suppkey", F.concat(first, second).alias("value")).write.partitionBy("s_suppkey").text(path)
+    files = subtitle_files(spark, path).withColumn("track_id", F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long"))
+    return O.explode_cues(files, "track_id")
+
+
+@query("storage_listing", "SELECT DISTINCT event_type, true AS holds_bytes FROM events")
+def storage_listing(spark, sf_dir):
+    """SC9: the regular files of a stored table, by folder; their content isn't read."""
+    path = shared_path(spark, "storage")
+    given(spark, sf_dir, "events").write.partitionBy("event_type").parquet(path)
+    files = storage_files(spark, path).withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
+    return files.where("event_type <> ''").groupBy("event_type").agg((F.sum("length") > 0).alias("holds_bytes"))
+
+
 def _tracks(spark, sf_dir):
     rows = given(spark, sf_dir, "conversations")
     language = F.when(F.col("turn") % 4 == 0, "en").when(F.col("turn") % 4 == 1, "fr").when(F.col("turn") % 4 == 2, "xx")

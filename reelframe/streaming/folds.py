@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelframe.sources.workspace import Snapshots, shared_path
+from reelframe.sources.workspace import shared_path
 
 #: Idle time after which a session is closed, and how late an event may come.
 IDLE, LATE = "120 seconds", "10 minutes"
@@ -51,11 +51,6 @@ def ordered_stream(spark: SparkSession, path: str, columns: list[str], files_per
     return rows.withColumn("event_ts", F.col("ts").cast("timestamp")).withColumnRenamed("event_id", "seq")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", shared_path(stream.sparkSession, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def run_to_table(stream: DataFrame, *partitions: str) -> DataFrame:
     """ST11's sink: all that the stream has now, appended to a table in the shared folder."""
     spark = stream.sparkSession
@@ -73,17 +68,56 @@ def newest(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("row"), *kept).select(key, *[f"row.{c}" for c in fields], *keep)
 
 
-def fold_latest(stream: DataFrame, key: str, keep: list[str], name: str = "state") -> DataFrame:
-    """ST1-ST3, ST8, ST10: merges each batch into the snapshot; an event of kind ``removed`` is a tombstone that older events can't undo."""
-    state = Snapshots(stream.sparkSession, name)
+def fold_latest(stream: DataFrame, key: str, keep: list[str], name: str = "state", location: str | None = None, snapshot: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """ST1-ST3, ST8, ST10: the latest state of each key; an event of kind ``removed`` is a tombstone that older events can't undo.
+
+    The stream's state store holds the fold, and each batch writes only the keys that it changed, so a batch
+    costs what it brings.  A batch that is run again after a failure writes the same folder again.  With a
+    ``location`` the next call goes on where the last one ended.  ``snapshot`` is read anew by each batch
+    and adds its columns; changes of keys that even then it doesn't hold are left out (ST1).
+    """
+    spark = stream.sparkSession
+    root = location or shared_path(spark, name)
+    folded = newest(stream, key, keep)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows if snapshot is None else rows.join(snapshot(), key)
+
+    def write(batch: DataFrame, number: int) -> None:
+        joined(batch).write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+
+    query = folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    empty = joined(spark.createDataFrame([], folded.schema))
+    spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(f"{root}/changes/batch=-1")
+    changes = spark.read.parquet(f"{root}/changes")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in empty.columns if c != key]), "batch").alias("row"))
+    return last.select(key, "row.*").where("kind <> 'removed'")
+
+
+def presence_changes(stream: DataFrame, key: str) -> DataFrame:
+    """ST8: (key, event_ts, seq, step) for each event that makes a key present (1) or absent (-1), of a stream in order of time.
+
+    The state is one bit a key; a task holds a key's events of one batch, whose size the stream bounds.
+    """
+
+    def turn(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        here = bool(state.get[0]) if state.exists else False
+        rows = pd.concat(list(parts)).sort_values(["event_ts", "seq"])
+        there = rows["kind"].ne("removed")
+        changed = there.ne(there.shift(fill_value=here))
+        state.update((bool(there.iloc[-1]),))
+        found = rows[changed]
+        yield pd.DataFrame({"key": keys[0], "event_ts": found["event_ts"], "seq": found["seq"], "step": there[changed].astype("int64") * 2 - 1})
+
+    grouped = stream.select(F.col(key).alias("key"), "event_ts", "seq", "kind").groupBy("key")
+    return grouped.applyInPandasWithState(turn, "key long, event_ts timestamp, seq long, step long", "here boolean", "append", GroupStateTimeout.NoTimeout)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        before = state.read()
-        rows = batch if before is None else before.unionByName(batch)
-        state.write(newest(rows, key, keep))
 
-    run_batches(stream, merge)
-    return state.read().where("kind <> 'removed'")
+def live_changes(sessions: DataFrame) -> DataFrame:
+    """ST9: (moment, step): by how many the live sessions change at each moment, of rows with ``started`` and ``ended``."""
+    ends = F.explode(F.array(F.struct(F.col("started").alias("moment"), F.lit(1).alias("step")), F.struct(F.col("ended").alias("moment"), F.lit(-1).alias("step")))).alias("e")
+    return sessions.select(ends).groupBy("e.moment").agg(F.sum("e.step").alias("step"))
 
 
 def completed_once(stream: DataFrame, key: str) -> DataFrame:

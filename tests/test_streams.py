@@ -12,7 +12,7 @@ from reelframe.streaming import folds
 from test_queries import SMALL, plain
 
 FILES = 130
-NAMES = ["stream_idle_sessions", "stream_ticks", "stream_complete_once", "stream_failure_alarm", "stream_stats"]
+NAMES = ["stream_idle_sessions", "stream_ticks", "stream_complete_once", "stream_failure_alarm", "stream_stats", "roster_changes", "stream_live_counts"]
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,25 @@ def test_order_of_files_does_not_matter(spark, scattered, monkeypatch, name, sma
     at = [other.columns.index(c) for c in columns]
     expected = sorted(repr([plain(row[k]) for k in at]) for row in other.fetchall())
     assert expected and sorted(repr([plain(v) for v in row]) for row in found.select(*columns).collect()) == expected
+
+
+def test_fold_goes_on_where_it_ended_and_reads_its_snapshot_anew(spark, tmp_path):
+    schema = "event_ts timestamp, seq long, id long, kind string, done long, total long"
+    known = {1}
+
+    def run(rows):
+        made = spark.createDataFrame([(1_700_000_000 + t, s, *rest) for t, s, *rest in rows], "t long, seq long, id long, kind string, done long, total long")
+        made.selectExpr("timestamp_seconds(t) AS event_ts", "seq", "id", "kind", "done", "total").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        snapshot = lambda: spark.createDataFrame([(k, f"name {k}") for k in sorted(known)], "id long, name string")
+        state = folds.fold_latest(stream, "id", ["total"], location=str(tmp_path / "state"), snapshot=snapshot)
+        return sorted((r.id, r.seq, r.done, r.total, r.name) for r in state.collect())
+
+    assert run([(1, 1, 1, "progress", 5, 50), (1, 2, 2, "progress", 7, 70)]) == [(1, 1, 5, 50, "name 1")]
+    known.add(2)
+    # An older event changes nothing; a null total keeps the old one; key 2 is known by now.
+    assert run([(0, 0, 1, "progress", 1, None), (2, 4, 2, "progress", 9, None)]) == [(1, 1, 5, 50, "name 1"), (2, 4, 9, 70, "name 2")]
+    assert run([(3, 5, 1, "removed", None, None)]) == [(2, 4, 9, 70, "name 2")]
+    assert run([(2, 3, 1, "progress", 8, None)]) == [(2, 4, 9, 70, "name 2")]
+    last = spark.read.parquet(str(tmp_path / "state" / "changes"))
+    assert last.where("batch = 1").count() == 2 and last.where("batch = 2").count() == 1
