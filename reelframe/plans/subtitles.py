@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelframe.functions import subtitles as T
 from reelframe.operators import subtitles as O
 from reelframe.plans.registry import query
-from reelframe.sources.carriers import carrier, given, with_carriers as sql
+from reelframe.sources.carriers import carrier, dealt, given, with_carriers as sql
 from reelframe.sources.files import storage_files, subtitle_files
 from reelframe.sources.workspace import shared_path
 
@@ -151,17 +151,15 @@ def vtt_lines(spark, sf_dir):
 
 @query(
     "subtitle_corpus",
-    """SELECT s_suppkey AS track_id, 0 AS idx, 1::double AS start, 2.5::double AS "end", s_name AS text FROM supplier
-    UNION ALL SELECT s_suppkey, 1, 63::double, 64::double, 'nation ' || s_nationkey FROM supplier""",
+    """SELECT 0 AS idx, 1::double AS start, 2.5::double AS "end", s_name AS text FROM supplier
+    UNION ALL SELECT 1, 63::double, 64::double, 'supplier ' || s_suppkey || ' of ' || s_nationkey FROM supplier""",
 )
 def subtitle_corpus(spark, sf_dir):
     """SC7: one subtitle file per supplier, written, then read as a corpus of whole files."""
     path = shared_path(spark, "corpus")
-    first = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,500\n"), F.col("s_name"))
-    second = F.concat(F.lit("\n\n2\n00:01:03,000 --> 00:01:04,000\n<b>nation "), F.col("s_nationkey").cast("string"), F.lit("</b>"))
-    given(spark, sf_dir, "supplier").select("s_suppkey", F.concat(first, second).alias("value")).write.partitionBy("s_suppkey").text(path)
-    files = subtitle_files(spark, path).withColumn("track_id", F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long"))
-    return O.explode_cues(files, "track_id")
+    cues = F.format_string("1\n00:00:01,000 --> 00:00:02,500\n%s\n\n2\n00:01:03,000 --> 00:01:04,000\n<b>supplier %d</b> of %d", "s_name", "s_suppkey", "s_nationkey")
+    dealt(given(spark, sf_dir, "supplier")).select(cues.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return O.explode_cues(subtitle_files(spark, path)).select("idx", "start", "end", "text")
 
 
 @query("storage_listing", "SELECT DISTINCT event_type, true AS holds_bytes FROM events")
