@@ -221,12 +221,30 @@ def palette_dark(spark, sf_dir):
     return I.dark_mean(carrier(spark, sf_dir, "pixels"))
 
 
-@query("palette_pick")
+def _pick_sql() -> str:
+    """IM3 in SQL: a table per target, in turn, of the best bucket that no earlier table holds."""
+    parts = [f"{_HIST}", f"{_SHADE}", "m AS (SELECT *, max(n) OVER (PARTITION BY image_id) AS most FROM s)"]
+    for k, (name, s0, s1, s2, l0, l1, l2) in enumerate(I.TARGETS):
+        score = f"round(({I.SATURATION_WEIGHT}e0 * (1 - abs(saturation - {s1}e0)) + {I.LIGHTNESS_WEIGHT}e0 * (1 - abs(lightness - {l1}e0)) + {I.COUNT_WEIGHT}e0 * n / most) / 10, 9)"
+        free = "".join(f" AND NOT EXISTS (FROM t{j} WHERE t{j}.image_id = m.image_id AND t{j}.key = m.key)" for j in range(k))
+        parts.append(f"t{k} AS (SELECT image_id, '{name}' AS target, arg_min(key, (-{score}, key)) AS key FROM m WHERE saturation BETWEEN {s0}e0 AND {s2}e0 AND lightness BETWEEN {l0}e0 AND {l2}e0{free} GROUP BY image_id)")
+    union = " UNION ALL ".join(f"FROM t{k}" for k in range(len(I.TARGETS)))
+    return ", ".join(parts) + f", u AS ({union}), p AS (SELECT u.image_id, u.target, u.key, s.r, s.g, s.b FROM u JOIN s ON s.image_id = u.image_id AND s.key = u.key)"
+
+
+@query("palette_pick", sql(f"WITH {_pick_sql()} SELECT * FROM p"))
 def palette_pick(spark, sf_dir):
     return I.palette(I.shaded(I.histogram(carrier(spark, sf_dir, "pixels"))))
 
 
-@query("palette_distinct")
+@query(
+    "palette_distinct",
+    sql(f"""WITH RECURSIVE {_pick_sql()}, n AS (SELECT image_id, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY greatest(r, g, b) + least(r, g, b), r, g, b) AS k FROM p),
+    w AS (SELECT image_id, k, r, g, b, 1 AS kept, true AS ok FROM n WHERE k = 1
+      UNION ALL SELECT image_id, k, CASE WHEN ok THEN r ELSE last_r END, CASE WHEN ok THEN g ELSE last_g END, CASE WHEN ok THEN b ELSE last_b END, kept + ok::int, ok
+      FROM (SELECT n.*, w.r AS last_r, w.g AS last_g, w.b AS last_b, w.kept, (n.r - w.r) ** 2 + (n.g - w.g) ** 2 + (n.b - w.b) ** 2 >= {I.NEAR} AND w.kept < {I.MOST} AS ok FROM w JOIN n ON n.image_id = w.image_id AND n.k = w.k + 1))
+    SELECT image_id, kept - 1 AS place, r, g, b FROM w WHERE ok"""),
+)
 def palette_distinct(spark, sf_dir):
     return I.distinct_colours(I.palette(I.shaded(I.histogram(carrier(spark, sf_dir, "pixels")))))
 
