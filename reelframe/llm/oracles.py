@@ -43,3 +43,28 @@ links AS (
 ), {_REACH}, c AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
 SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM documents LEFT JOIN c ON doc_id = c.id
 """
+
+_PART = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_PART, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+#: CRC-32 by its definition, a bit at a time.
+_BITS = "list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))"
+_CRC = f"xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, x: {_BITS}), 4294967295)"
+#: The levels of a forest whose leaves are (tree, idx, digest, n).
+_RISE = lambda name, leaves: f"{name} AS (SELECT tree, 0 AS lv, idx, digest, n FROM {leaves} UNION ALL SELECT tree, lv + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, lv, idx // 8, n)"
+_RUNS = lambda name, nodes: f"{name} AS (SELECT tree, lv, idx // 8 AS run, list(digest ORDER BY idx) AS ds FROM {nodes} WHERE n > 1 GROUP BY ALL)"
+_CLIMB = lambda name, start, runs: f"""{name} AS (SELECT row, tree, 0 AS lv, idx, node, proof FROM {start}
+  UNION ALL SELECT c.row, c.tree, c.lv + 1, c.idx // 8, sha256(array_to_string(ds[: c.idx % 8] || [c.node] || ds[c.idx % 8 + 2 :], '')), c.proof || array_to_string(ds[: c.idx % 8] || ds[c.idx % 8 + 2 :], '')
+  FROM {name} c JOIN {runs} r ON r.tree = c.tree AND r.lv = c.lv AND r.run = c.idx // 8)"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n, {_LEAF("text")} AS leaf,
+    {_LEAF("CASE WHEN " + _CRC + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS changed FROM documents
+), l AS MATERIALIZED (SELECT row, doc_id, tree, n, leaf AS digest, changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+{_RISE("up", "l")}, s AS MATERIALIZED (SELECT 0 AS tree, tree AS idx, digest, count(*) OVER () AS n FROM up WHERE n = 1), {_RISE("above", "s")}, {_RUNS("r", "up")}, {_RUNS("t", "above")},
+b AS (SELECT row, tree, idx, coalesce(changed, digest) AS node, '' AS proof FROM l), {_CLIMB("c", "b", "r")},
+e AS (SELECT row, arg_max(tree, lv) AS tree, arg_max(node, lv) AS node, arg_max(proof, lv) AS proof FROM c GROUP BY row), f AS (SELECT row, 0 AS tree, tree AS idx, node, proof FROM e), {_CLIMB("g", "f", "t")},
+z AS (SELECT row, arg_max(node, lv) AS folded_root, sha256(arg_max(proof, lv)) AS proof_sha256 FROM g GROUP BY row)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM above WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT digest FROM above WHERE n = 1) AS verified
+FROM l JOIN s ON s.idx = l.tree JOIN z USING (row)
+"""

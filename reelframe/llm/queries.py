@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import embeddings, licences, mixing, nearcopies, oracles, orc_tokens, packing, quality, quotations, separators, substrings
+from reelframe.llm import bpe, embeddings, licences, merkle, mixing, nearcopies, oracles, orc_tokens, packing, quality, quotations, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 #: ``<|endoftext|>`` of that vocabulary.
 SEPARATOR = 50256
 
@@ -56,8 +58,16 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
+
+
+def op13_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_p_stable_vectors, op2_pivotal_mixing, op3_quotation_linking, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash]
+    found = [op1_p_stable_vectors, op2_pivotal_mixing, op3_quotation_linking, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash, op11_two_tier_bpe, op13_merkle_descent]
     return {f.__name__: f for f in found}
 
 
@@ -67,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         op3_quotation_linking.__name__: quotations.SQL,
         op6_count_min_substrings.__name__: oracles.SUBSTRINGS,
         op10_bag_minhash.__name__: oracles.NEAR_COPIES,
+        op13_merkle_descent.__name__: oracles.MERKLE,
     }
