@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import bpe, embeddings, licences, merkle, mixing, nearcopies, oracles, orc_tokens, packing, quality, quotations, separators, substrings
+from reelframe.llm import bpe, embeddings, licences, merkle, mixing, nearcopies, negatives, oracles, orc_tokens, packing, quality, quotations, separators, substrings
 from reelframe.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,12 +62,16 @@ def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_p_stable_vectors, op2_pivotal_mixing, op3_quotation_linking, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash, op11_two_tier_bpe, op13_merkle_descent]
+    found = [op1_p_stable_vectors, op2_pivotal_mixing, op3_quotation_linking, op4_minimum_bin_slack, op5_rare_word_licences, op6_count_min_substrings, op7_crf_quality, op8_orc_token_files, op9_separator_scan, op10_bag_minhash, op11_two_tier_bpe, op12_bond_negatives, op13_merkle_descent]
     return {f.__name__: f for f in found}
 
 
@@ -77,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
         op3_quotation_linking.__name__: quotations.SQL,
         op6_count_min_substrings.__name__: oracles.SUBSTRINGS,
         op10_bag_minhash.__name__: oracles.NEAR_COPIES,
+        op12_bond_negatives.__name__: oracles.NEGATIVES,
         op13_merkle_descent.__name__: oracles.MERKLE,
     }
