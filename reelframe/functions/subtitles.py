@@ -18,7 +18,7 @@ def blocks(content: Column) -> Column:
 def block_cue(block: Column) -> Column:
     """(start, end, text) of a block of three lines or more whose second line is a pair of times; else null."""
     lines = F.split(block, "\n")
-    times = F.split(F.get(lines, F.lit(1)), " --> ")
+    times = F.transform(F.split(F.get(lines, F.lit(1)), "-->"), lambda t: F.btrim(t, F.lit(" \n\t\r")))
     start, end = srt_seconds(F.get(times, F.lit(0))), srt_seconds(F.get(times, F.lit(1)))
     text = F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
     good = (F.size(lines) >= 3) & (F.size(times) == 2) & start.isNotNull() & end.isNotNull() & (text != "")
@@ -77,7 +77,8 @@ def ass_text(event: Column) -> Column:
 
     def step(acc: Column, c: Column) -> Column:
         depth = F.when(c == "{", acc["d"] + 1).when(c == "}", F.greatest(acc["d"] - 1, F.lit(0))).otherwise(acc["d"])
-        plain = ~c.isin("{", "}") & (acc["d"] == 0)
+        # A closing brace that closes nothing is text.
+        plain = (c != "{") & (acc["d"] == 0)
         return F.struct(depth.alias("d"), F.when(plain, F.concat(acc["o"], c)).otherwise(acc["o"]).alias("o"))
 
     folded = F.aggregate(F.regexp_extract_all(body, F.lit("[{}]|[^{}]+"), F.lit(0)), F.struct(F.lit(0).alias("d"), F.lit("").alias("o")), step, lambda acc: acc["o"])

@@ -31,8 +31,8 @@ def unreadable(documents: DataFrame, text: str) -> DataFrame:
 
 
 def hits(rows: DataFrame, list_type: Column) -> DataFrame:
-    """SC4, PF1: one shape for hits of any list; an unknown type takes the list's, or the row goes."""
-    kind = F.when(F.col("media_type").isin("movie", "tv"), F.col("media_type")).otherwise(F.when(F.col("media_type").isNull(), list_type))
+    """SC4, PF1: one shape for hits of any list; any other type, or none, takes the list's; a list without one drops the row."""
+    kind = F.when(F.col("media_type").isin("movie", "tv"), F.col("media_type")).otherwise(list_type)
     shaped = rows.select("list_idx", "pos", "id", kind.alias("media_type"), F.coalesce("title", "name", F.lit("")).alias("title"), F.coalesce("release_date", "first_air_date").alias("date"))
     return shaped.where("media_type IS NOT NULL")
 
@@ -147,13 +147,6 @@ def track_labels(jobs: DataFrame, tracks: DataFrame) -> DataFrame:
     return found.withColumn("label", F.coalesce(named, F.concat(F.lit("Track "), (F.col("audio_index") + 1).cast("string"))))
 
 
-def resumable(history: DataFrame, guard: bool = True) -> DataFrame:
-    """The newest usable position of each title, whatever the episode; ``guard`` leaves out what is all but finished."""
-    usable = (F.col("position") > 0) & (F.col("duration") > 0)
-    usable = usable & (F.col("position") < F.col("duration") - RESUME_GUARD) if guard else usable
-    return history.where(usable).groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "duration"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
-
-
 def resumable_of_recent(history: DataFrame, most: int = 20) -> DataFrame:
     """PF13: where films and episodes go on, looked up among the ``most`` newest rows of the history only.
 

@@ -16,7 +16,6 @@ JOB_ACTIONS = {
     "fail": (["cancelled"], "failed"),
     "complete": (["queued", "downloading", "paused", "completed", "failed", "cancelled"], "completed"),
 }
-RUNNING = ["downloading", "transcoding"]
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -82,9 +81,15 @@ def transitions(rows: DataFrame, asked: DataFrame, actions: dict[str, tuple[list
     return joined.select("id", F.coalesce("next", "status").alias("status"), F.col("next").isNotNull().alias("applied"))
 
 
-def recovered(rows: DataFrame, progress: str) -> DataFrame:
-    """DM9: running rows queue again from the start; others keep their state, and their progress is 0."""
-    return rows.withColumns({"status": F.when(F.col("status").isin(RUNNING), "queued").otherwise(F.col("status")), progress: F.lit(0).cast("bigint")})
+def recovered_downloads(rows: DataFrame) -> DataFrame:
+    """DM9: downloads that were running queue again, and keep what they have."""
+    return rows.withColumn("status", F.when(F.col("status") == "downloading", "queued").otherwise(F.col("status")))
+
+
+def recovered_jobs(rows: DataFrame, progress: str) -> DataFrame:
+    """DM9: jobs that were running queue again; these and paused ones start from 0, all others are as they were."""
+    again = F.col("status").isin("transcoding", "paused")
+    return rows.withColumns({"status": F.when(F.col("status") == "transcoding", "queued").otherwise(F.col("status")), progress: F.when(again, 0).otherwise(F.col(progress)).cast("bigint")})
 
 
 def restarted(rows: DataFrame) -> DataFrame:
@@ -93,16 +98,14 @@ def restarted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(again, "queued").otherwise(F.col("status")), "grown": F.when(again, 0).otherwise(F.col("grown"))})
 
 
-def collection_updates(rows: DataFrame, asked: DataFrame, key: str, protected: Column) -> tuple[DataFrame, DataFrame]:
-    """DM11: (rows with a new ``name`` and ``visible`` where asked, what was asked but refused).
+def collection_updates(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """DM11: rows with a new ``name`` and ``visible`` where asked; a null in ``asked`` leaves the field.
 
-    A null in ``asked`` leaves the field; system rows (``protected``) may change their visibility, not their name.
+    Any row may be renamed, hidden and shown; only deletes are refused to system rows.
     """
     wanted = asked.groupBy(key).agg(F.max("name").alias("_name"), F.max("visible").alias("_visible"))
     joined = rows.join(wanted, key, "left")
-    rename = F.col("_name").isNotNull() & ~protected
-    changed = joined.withColumns({"name": F.when(rename, F.col("_name")).otherwise(F.col("name")), "visible": F.coalesce("_visible", "visible")})
-    return changed.select(*rows.columns), joined.where(F.col("_name").isNotNull() & protected).select(*rows.columns)
+    return joined.withColumns({"name": F.coalesce("_name", "name"), "visible": F.coalesce("_visible", "visible")}).select(*rows.columns)
 
 
 def protected_delete(rows: DataFrame, asked: DataFrame, key: str, protected: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
-"""Running totals over an order without a task that sees all of a group.
+"""Running values over an order without a task that sees all of a group.
 
-Rows are dealt by ranges of the order; each range is summed by itself, and what comes before it is the sum of
-the earlier ranges, of which there is one row per range and group.
+Rows are dealt by ranges of group and order; each range is summed up by itself, and what comes before a range is a
+summary of the earlier ranges, of which there is one row per range and group.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelframe.sources.workspace import shared_path
 
+#: What is kept of a range, how ranges are put together, and how a range's own value joins what came before it.
+SUM, LAST, LEAST = "sum", "last", "least"
+
 
 def ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
     """``rows`` in a written table with their ``block``: no row of a block comes before one of an earlier block."""
@@ -18,11 +21,30 @@ def ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def running(rows: DataFrame, group: list[str], order: list[str], value: str, name: str, kind: str, reverse: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the sum, last known or least ``value`` of their group up to and including each row.
+
+    ``reverse`` goes from the end of the order to its start.  ``order`` must be unique within a group; nulls come first.
+    """
+    dealt = ranged(rows, *group, *order)
+    of = F.col(value)
+    known = lambda x: F.when(of.isNotNull(), x)
+    place = F.struct(*order)
+    summary = {SUM: F.sum(of), LEAST: F.min(of), LAST: (F.min_by if reverse else F.max_by)(known(of), known(place))}[kind]
+    blocks = F.desc("block") if reverse else F.asc("block")
+    before = Window.partitionBy(*group).orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)
+    over = {SUM: F.sum, LEAST: F.min, LAST: lambda c: F.last(c, ignorenulls=True)}[kind]
+    parts = dealt.groupBy("block", *group).agg(summary.alias("_part"))
+    parts = parts.select(F.col("block").alias("_block"), *[F.col(g).alias(f"_group_{k}") for k, g in enumerate(group)], over(F.col("_part")).over(before).alias("_base"))
+    own = Window.partitionBy("block", *group).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("block") == F.col("_block")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{k}"))
+    joined = dealt.withColumn("_own", over(of).over(own)).join(parts, same)
+    found = {SUM: F.coalesce("_own", F.lit(0)) + F.coalesce("_base", F.lit(0)), LEAST: F.least("_own", "_base"), LAST: F.coalesce("_own", "_base")}[kind]
+    return joined.withColumn(name, found).select(*rows.columns, name)
+
+
 def running_sum(rows: DataFrame, order: list[str], step: str, total: str) -> DataFrame:
     """``rows`` with the sum of ``step`` up to and including each row, as ``total``; ``order`` must be unique, nulls come first."""
-    dealt = ranged(rows, *order)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per block.
-    base = dealt.groupBy("block").agg(F.sum(step).alias("s")).select("block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    within = F.sum(step).over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn(total, within).join(base, "block").withColumn(total, F.coalesce(total, F.lit(0)) + F.col("base")).drop("block", "base")
+    return running(rows, [], order, step, total, SUM)

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelframe.functions import labels, subtitles as T
+from reelframe.operators.running import LEAST, running
 
 #: Seconds in a look-up bucket.
 BUCKET = 16
 
 
 def explode_cues(files: DataFrame, *keys: str) -> DataFrame:
-    """SB1, SB2: one row per readable cue; numbered in input order; no shuffle."""
+    """SB1, SB2, SB4: the whole chain, one row per readable cue with its tags and sounds taken out; no shuffle.
+
+    A cue of which nothing is left is dropped; the others are numbered in input order.
+    """
     cues = F.filter(F.transform(T.blocks(F.col("content")), T.block_cue), lambda c: c.isNotNull())
-    rows = files.select(*keys, F.posexplode(cues).alias("idx", "cue")).select(*keys, "idx", "cue.start", "cue.end", T.strip_tags(F.col("cue.text")).alias("text"))
-    return rows.where("text <> ''")
+    cleaned = F.transform(cues, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), T.clean_sdh(T.strip_tags(c["text"])).alias("text")))
+    kept = F.filter(cleaned, lambda c: c["text"] != "")
+    return files.select(*keys, F.posexplode(kept).alias("idx", "cue")).select(*keys, "idx", "cue.start", "cue.end", "cue.text")
 
 
 def cue_at(cues: DataFrame, points: DataFrame, offset: float = 0) -> DataFrame:
@@ -31,19 +36,29 @@ def cue_at(cues: DataFrame, points: DataFrame, offset: float = 0) -> DataFrame:
     return points.join(best, ["track_id", "t"], "left")
 
 
+def following(cues: DataFrame, points: DataFrame) -> DataFrame:
+    """The first cue of the track, by number, of those that start after each point: (track_id, t, later), carried back over ranges."""
+    both = cues.select("track_id", F.col("start_s").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("idx").cast("bigint").alias("idx"), F.lit(None).cast(points.schema["t"].dataType).alias("t"))
+    both = both.groupBy("track_id", "at", "kind", "t").agg(F.min("idx").alias("idx"))
+    some = points.select("track_id", F.col("t").cast("double").alias("at"), F.lit(1).alias("kind"), "t", F.lit(None).cast("bigint").alias("idx")).distinct()
+    found = running(both.unionByName(some), ["track_id"], ["at", "kind"], "idx", "later", LEAST, reverse=True)
+    return found.where("kind = 1").select("track_id", "t", "later")
+
+
 def neighbours(cues: DataFrame, points: DataFrame, offset: float = 0) -> DataFrame:
-    """JN18: previous, current and next cue.
+    """JN18: previous, current and next cue; ``idx`` counts a track's cues without gaps.
 
-    The centre is the active cue by the time less ``offset``, else the next to start by the time itself, else
-    the first (both kept on purpose).
+    The centre is the active cue by the time less ``offset``, else the first to start after the time itself; past the
+    end there is no centre, and the track's first cue stands alone (all kept on purpose).
     """
-    order = Window.partitionBy("track_id").orderBy("idx")
-    around = cues.withColumns({"previous": F.lag("text").over(order), "next": F.lead("text").over(order)})
-    active = cue_at(cues, points, offset)
-    later = points.join(cues, "track_id").where("start_s > t").groupBy("track_id", "t").agg(F.min("idx").alias("later"))
+    active = cue_at(cues, points, offset).join(following(cues, points), ["track_id", "t"], "left")
     first = cues.groupBy("track_id").agg(F.min("idx").alias("first"))
-    centre = active.join(later, ["track_id", "t"], "left").join(first, "track_id").select("track_id", "t", F.coalesce("idx", "later", "first").alias("idx"))
-    return centre.join(around, ["track_id", "idx"]).select("track_id", "t", "idx", "previous", F.col("text").alias("current"), "next")
+    centre = active.join(first, "track_id").select("track_id", "t", F.coalesce("idx", "later").alias("found"), F.coalesce("idx", "later", "first").cast("bigint").alias("idx"))
+    offsets = F.when(F.col("found").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    wanted = centre.select("track_id", "t", "idx", F.explode(offsets).alias("by")).withColumn("place", F.col("idx") + F.col("by"))
+    texts = wanted.join(cues.select("track_id", F.col("idx").cast("bigint").alias("place"), "text"), ["track_id", "place"])
+    of = lambda by: F.max(F.when(F.col("by") == by, F.col("text")))
+    return texts.groupBy("track_id", "t", "idx").agg(of(-1).alias("previous"), of(0).alias("current"), of(1).alias("next"))
 
 
 def duplicate_labels(tracks: DataFrame, keys: list[str], name: Column, order: str) -> DataFrame:

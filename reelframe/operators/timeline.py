@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import udtf
+
+from reelframe.operators.running import LAST, SUM, running
+from reelframe.sources.workspace import stored
 
 SECOND = 1_000_000_000
 SEGMENT, TAIL, TOLERANCE = 4 * SECOND, 1 * SECOND, 2_000_000
@@ -35,20 +35,32 @@ def segments(files: DataFrame) -> DataFrame:
     return files.select("file_id", "duration_ns", F.posexplode(starts).alias("idx", "start_ns"))
 
 
-@udtf(returnType="file_id bigint, start_ns bigint")
-class GreedySegments:
-    """TL1 for series too long for one array: rows stream through in order, and only the last start is kept."""
-
-    def __init__(self) -> None:
-        self.last = None
+def chained_segments(keyframes: DataFrame) -> DataFrame:
+    """TL1 for series of any length: (file_id, duration_ns, idx, start_ns) without a task that sees all of a file.
 
-    def eval(self, row) -> Iterator[tuple[int, int]]:
-        if self.last is None:
-            self.last = 0
-            yield row["file_id"], 0
-        if row["t_ns"] >= self.last + SEGMENT and row["t_ns"] + TAIL < row["duration_ns"]:
-            self.last = row["t_ns"]
-            yield row["file_id"], row["t_ns"]
+    Each key frame points to the first one ``SEGMENT`` on, found over ranges; the starts are those on the chain from 0.
+    The chain is followed by doubling: round k adds to what is reached all that lies 2 ** k pointers on, so
+    a file of n segments takes log2(n) rounds.
+    """
+    files = keyframes.groupBy("file_id").agg(F.max("duration_ns").cast("bigint").alias("duration_ns"))
+    # A frame that is too near the end is never a start, nor is any after it.
+    usable = keyframes.join(files.withColumnRenamed("duration_ns", "_end"), "file_id").where(F.col("t_ns") + TAIL < F.col("_end")).select("file_id", "t_ns").distinct()
+    origin = files.select("file_id", F.lit(0).cast("bigint").alias("t_ns"))
+    nodes = usable.where("t_ns > 0").unionByName(origin)
+    asked = nodes.select("file_id", (F.col("t_ns") + SEGMENT).alias("at"), F.lit(0).alias("kind"), F.col("t_ns").alias("node"), F.lit(None).cast("bigint").alias("frame"))
+    given = usable.select("file_id", F.col("t_ns").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("node"), F.col("t_ns").alias("frame"))
+    following = running(asked.unionByName(given), ["file_id"], ["at", "kind"], "frame", "to", LAST, reverse=True)
+    jumps = following.where("kind = 0 AND to IS NOT NULL").select("file_id", F.col("node").alias("at"), "to")
+    reached, span = origin.withColumn("idx", F.lit(0)), 1
+    while True:
+        jumps = stored(jumps, "jumps")
+        new = reached.withColumnRenamed("t_ns", "at").join(jumps, ["file_id", "at"]).select("file_id", F.col("to").alias("t_ns"), (F.col("idx") + span).alias("idx"))
+        new = stored(new, "reached")
+        if new.isEmpty():
+            return reached.join(files, "file_id").select("file_id", "duration_ns", F.col("idx").cast("int").alias("idx"), F.col("t_ns").alias("start_ns"))
+        reached = stored(reached.unionByName(new), "reached")
+        onward = jumps.select("file_id", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        jumps, span = jumps.join(onward, ["file_id", "to"]).select("file_id", "at", F.col("beyond").alias("to")), span * 2
 
 
 def durations(starts: DataFrame) -> DataFrame:
@@ -63,11 +75,14 @@ def summary(timed: DataFrame) -> DataFrame:
 
 
 def segment_of(starts: DataFrame, points: DataFrame) -> DataFrame:
-    """JN13: the last segment that starts at or before t + 2 ms; one sort per file over both tables."""
-    both = starts.select("file_id", F.col("start_ns").alias("at"), F.lit(0).alias("kind"), "idx", F.lit(None).cast("bigint").alias("t_ns"))
-    both = both.unionByName(points.select("file_id", (F.col("t_ns") + TOLERANCE).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("idx"), "t_ns"))
-    last = F.last("idx", ignorenulls=True).over(Window.partitionBy("file_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("segment", F.coalesce(last, F.lit(0))).where("kind = 1").select("file_id", "t_ns", "segment")
+    """JN13: the last segment that starts at or before t + 2 ms, carried over ranges, so a file may have any number of points."""
+    both = starts.select("file_id", F.col("start_ns").alias("at"), F.lit(0).alias("kind"), "idx", F.lit(None).cast("bigint").alias("t_ns"), F.lit(0).cast("bigint").alias("n"))
+    # Equal points are one row with their number.
+    some = points.groupBy("file_id", "t_ns").agg(F.count("*").alias("n"))
+    both = both.unionByName(some.select("file_id", (F.col("t_ns") + TOLERANCE).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("idx"), "t_ns", "n"))
+    found = running(both, ["file_id"], ["at", "kind"], "idx", "segment", LAST).where("kind = 1")
+    found = found.select("file_id", "t_ns", F.coalesce("segment", F.lit(0)).alias("segment"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return found.drop("col")
 
 
 def closed_chapters(chapters: DataFrame) -> DataFrame:
@@ -132,7 +147,10 @@ def fill_gaps(fragments: DataFrame) -> DataFrame:
 
 
 def failure_runs(events: DataFrame, limit: int) -> DataFrame:
-    """AG12: runs of failures in a row of ``limit`` or more; a success ends a run."""
-    order = Window.partitionBy("key").orderBy("seq")
-    island = F.sum((~F.col("failed")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("island", island).where("failed").groupBy("key", "island").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where(F.col("n") >= limit).select("key", "first_seq", "n")
+    """AG12: runs of failures in a row of ``limit`` or more; a success ends a run.
+
+    A run's number is how many successes came before it, summed over ranges; parts of a run in several
+    ranges meet in the last aggregation, each as one row.
+    """
+    counted = running(events.withColumn("_step", (~F.col("failed")).cast("int")), ["key"], ["seq"], "_step", "_run", SUM)
+    return counted.where("failed").groupBy("key", "_run").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where(F.col("n") >= limit).select("key", "first_seq", "n")

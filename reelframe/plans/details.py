@@ -101,13 +101,12 @@ def active_counts_live(spark, sf_dir):
 _COLLECTIONS = "(SELECT c_custkey AS id, c_name AS name, true AS visible, c_nationkey < 5 AS system FROM customer)"
 
 
-@query("collection_updates", f"SELECT id, CASE WHEN id % 3 = 0 AND NOT system THEN name || '!' ELSE name END AS name, CASE WHEN id % 2 = 0 THEN false ELSE visible END AS visible, system, id % 3 = 0 AND system AS refused FROM {_COLLECTIONS}")
+@query("collection_updates", f"SELECT id, CASE WHEN id % 3 = 0 THEN name || '!' ELSE name END AS name, CASE WHEN id % 2 = 0 THEN false ELSE visible END AS visible, system FROM {_COLLECTIONS}")
 def collection_updates(spark, sf_dir):
-    """DM11: new names and visibility; system collections keep their names."""
+    """DM11: new names and visibility, of system collections too."""
     rows = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(True).alias("visible"), (F.col("c_nationkey") < 5).alias("system"))
     asked = rows.select("id", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("!"))).alias("name"), F.when(F.col("id") % 2 == 0, F.lit(False)).alias("visible"))
-    changed, refused = M.collection_updates(rows, asked, "id", F.col("system"))
-    return changed.join(refused.select("id", F.lit(True).alias("refused")), "id", "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
+    return M.collection_updates(rows, asked, "id")
 
 
 @query("resume_detail_hash", sql("SELECT media_id, r.seq AS seq, r.position AS position, r.info_hash AS info_hash FROM (SELECT media_id, arg_max(struct_pack(seq, position, info_hash := 'h' || download_id), (seen_at, seq)) AS r FROM {watch} WHERE position > 0 AND download_id % 3 <> 0 GROUP BY media_id)"))
@@ -131,8 +130,8 @@ def cue_at_offset(spark, sf_dir):
 @query(
     "cue_neighbours_offset",
     sql(f"""WITH a AS (SELECT *, lag(text) OVER (PARTITION BY track_id ORDER BY idx) AS previous, lead(text) OVER (PARTITION BY track_id ORDER BY idx) AS next FROM {{cues}}),
-    c AS (SELECT p.track_id, p.t, coalesce(min(idx) FILTER (WHERE p.t - 3 BETWEEN start_s AND end_s), min(idx) FILTER (WHERE start_s > p.t), min(idx)) AS idx FROM {PS._POINTS} p JOIN {{cues}} c ON c.track_id = p.track_id GROUP BY p.track_id, p.t)
-    SELECT c.track_id, c.t, c.idx, previous, text AS current, next FROM c JOIN a ON a.track_id = c.track_id AND a.idx = c.idx"""),
+    c AS (SELECT p.track_id, p.t, coalesce(min(idx) FILTER (WHERE p.t - 3 BETWEEN start_s AND end_s), min(idx) FILTER (WHERE start_s > p.t)) AS found, coalesce(found, min(idx))::bigint AS idx FROM {PS._POINTS} p JOIN {{cues}} c ON c.track_id = p.track_id GROUP BY p.track_id, p.t)
+    SELECT c.track_id, c.t, c.idx, CASE WHEN found IS NOT NULL THEN previous END AS previous, text AS current, CASE WHEN found IS NOT NULL THEN next END AS next FROM c JOIN a ON a.track_id = c.track_id AND a.idx = c.idx"""),
 )
 def cue_neighbours_offset(spark, sf_dir):
     """JN18 with the same offset: the next cue is still sought by the time itself."""

@@ -216,12 +216,12 @@ def insert_with_ids(spark, sf_dir):
 @query(
     "reset_upsert",
     sql("""WITH b AS (SELECT id, status, transcoded_ms FROM {jobs} WHERE id % 3 <> 0), n AS (SELECT id FROM {jobs} WHERE id % 2 = 0 OR id % 3 = 0)
-    SELECT coalesce(b.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused')) THEN 'queued' ELSE b.status END AS status,
-      CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused')) THEN 0 ELSE transcoded_ms END AS transcoded_ms FROM b FULL JOIN n ON b.id = n.id"""),
+    SELECT coalesce(b.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused', 'completed')) THEN 'queued' ELSE b.status END AS status,
+      CASE WHEN n.id IS NOT NULL AND (b.status IS NULL OR b.status NOT IN ('queued', 'transcoding', 'paused', 'completed')) THEN 0 ELSE transcoded_ms END AS transcoded_ms FROM b FULL JOIN n ON b.id = n.id"""),
 )
 def reset_upsert(spark, sf_dir):
     jobs = carrier(spark, sf_dir, "jobs")
-    return M.reset_upsert(jobs.where("id % 3 <> 0").select("id", "status", "transcoded_ms"), jobs.where("id % 2 = 0 OR id % 3 = 0"), "id", ["queued", "transcoding", "paused"], {"status": F.lit("queued"), "transcoded_ms": F.lit(0).cast("bigint")})
+    return M.reset_upsert(jobs.where("id % 3 <> 0").select("id", "status", "transcoded_ms"), jobs.where("id % 2 = 0 OR id % 3 = 0"), "id", ["queued", "transcoding", "paused", "completed"], {"status": F.lit("queued"), "transcoded_ms": F.lit(0).cast("bigint")})
 
 
 @query("delete_cascade", sql("SELECT id, download_id FROM {jobs} WHERE download_id NOT IN (SELECT id FROM {downloads} WHERE status = 'failed')"))
@@ -256,9 +256,14 @@ def job_transitions(spark, sf_dir):
     return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")), M.JOB_ACTIONS)
 
 
-@query("boot_recovery", sql("SELECT id, CASE WHEN status IN ('downloading', 'transcoding') THEN 'queued' ELSE status END AS status, 0::bigint AS transcoded_ms FROM {jobs}"))
+@query("boot_recovery", sql("SELECT id, CASE WHEN status = 'transcoding' THEN 'queued' ELSE status END AS status, CASE WHEN status IN ('transcoding', 'paused') THEN 0 ELSE transcoded_ms END::bigint AS transcoded_ms FROM {jobs}"))
 def boot_recovery(spark, sf_dir):
-    return M.recovered(carrier(spark, sf_dir, "jobs").select("id", "status", "transcoded_ms"), "transcoded_ms")
+    return M.recovered_jobs(carrier(spark, sf_dir, "jobs").select("id", "status", "transcoded_ms"), "transcoded_ms")
+
+
+@query("boot_recovery_downloads", sql("SELECT id, CASE WHEN status = 'downloading' THEN 'queued' ELSE status END AS status, floor(grown)::bigint AS grown FROM {downloads}"))
+def boot_recovery_downloads(spark, sf_dir):
+    return M.recovered_downloads(carrier(spark, sf_dir, "downloads").select("id", "status", F.floor("grown").alias("grown")))
 
 
 @query("restart_reset", sql("SELECT id, CASE WHEN status IN ('paused', 'cancelled', 'failed') THEN 'queued' ELSE status END AS status, CASE WHEN status IN ('paused', 'cancelled', 'failed') THEN 0 ELSE floor(grown)::bigint END AS grown FROM {downloads}"))

@@ -15,11 +15,21 @@ _WS = "' ' || chr(10) || chr(9) || chr(13)"
 _SECONDS = lambda t: f"(CASE WHEN len(string_split({t}, ':')) = 3 THEN try_cast(string_split(replace(trim({t}), ',', '.'), ':')[1] AS double) * 3600 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[2] AS double) * 60 + try_cast(string_split(replace(trim({t}), ',', '.'), ':')[3] AS double) END)"
 
 
+_FOLD = """list_reduce(list_concat([{'s': 0, 'p': 0, 'o': '', 'c': ''}], list_transform(string_split(line, ''), lambda ch: {'s': 0, 'p': 0, 'o': '', 'c': ch})), lambda a, x: {
+  's': CASE x.c WHEN '[' THEN a.s + 1 WHEN ']' THEN greatest(a.s - 1, 0) ELSE a.s END,
+  'p': CASE x.c WHEN '(' THEN a.p + 1 WHEN ')' THEN greatest(a.p - 1, 0) ELSE a.p END,
+  'o': CASE WHEN x.c NOT IN ('[', ']', '(', ')') AND a.s = 0 AND a.p = 0 THEN a.o || x.c ELSE a.o END, 'c': ''}).o"""
+
+
+#: A message without sounds, labels and notes, line by line.
+_CLEAN = lambda text: f"array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda line: trim(regexp_replace(trim({_FOLD}, ' ' || chr(9) || chr(13)), '^[A-Z -]+:', ''), ' ' || chr(9) || chr(13))), lambda x: NOT regexp_matches(x, '^[♪♫#~ ]*$')), chr(10))"
+
+_TIMES = "list_transform(string_split(ls[2], '-->'), lambda x: trim(x, " + _WS + "))"
 _CUE_SQL = rf"""WITH b AS (SELECT conv_id, turn, list_transform(string_split(replace(regexp_replace(content, '^' || chr(65279), ''), chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: trim(x, {_WS})) AS bs FROM {{srt_files}}),
-    l AS (SELECT conv_id, turn, generate_subscripts(bs, 1) AS k, string_split(unnest(bs), chr(10)) AS ls FROM b),
-    t AS (SELECT conv_id, turn, k, {_SECONDS("string_split(ls[2], ' --> ')[1]")} AS start, {_SECONDS("string_split(ls[2], ' --> ')[2]")} AS "end", array_to_string(ls[3:], chr(10)) AS text FROM l WHERE len(ls) >= 3 AND len(string_split(ls[2], ' --> ')) = 2),
-    n AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::int AS idx, round(start, 6) AS start, round("end", 6) AS "end", trim(replace(regexp_replace(text, '<[^>]*(>|$)', '', 'g'), '>', ''), {_WS}) AS text FROM t WHERE start IS NOT NULL AND "end" IS NOT NULL AND text <> '')
-    SELECT * FROM n WHERE text <> ''"""
+    l AS (SELECT conv_id, turn, generate_subscripts(bs, 1) AS k, string_split(unnest(bs), chr(10)) AS ls FROM b), p AS (SELECT *, {_TIMES} AS ts FROM l WHERE len(ls) >= 3),
+    t AS (SELECT conv_id, turn, k, {_SECONDS("ts[1]")} AS start, {_SECONDS("ts[2]")} AS "end", trim(replace(regexp_replace(array_to_string(ls[3:], chr(10)), '<[^>]*(>|$)', '', 'g'), '>', ''), {_WS}) AS plain FROM p WHERE len(ts) = 2),
+    c AS (SELECT *, {_CLEAN("plain")} AS text FROM t WHERE start IS NOT NULL AND "end" IS NOT NULL)
+    SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::int AS idx, round(start, 6) AS start, round("end", 6) AS "end", text FROM c WHERE text <> ''"""
 
 
 def _cues(spark, sf_dir, files):
@@ -38,12 +48,6 @@ def cue_explode_whole(spark, sf_dir):
     return _cues(spark, sf_dir, "srt_whole")
 
 
-_FOLD = """list_reduce(list_concat([{'s': 0, 'p': 0, 'o': '', 'c': ''}], list_transform(string_split(line, ''), lambda ch: {'s': 0, 'p': 0, 'o': '', 'c': ch})), lambda a, x: {
-  's': CASE x.c WHEN '[' THEN a.s + 1 WHEN ']' THEN greatest(a.s - 1, 0) ELSE a.s END,
-  'p': CASE x.c WHEN '(' THEN a.p + 1 WHEN ')' THEN greatest(a.p - 1, 0) ELSE a.p END,
-  'o': CASE WHEN x.c NOT IN ('[', ']', '(', ')') AND a.s = 0 AND a.p = 0 THEN a.o || x.c ELSE a.o END, 'c': ''}).o"""
-
-
 _SDH_SQL = f"""WITH w AS (SELECT conv_id, turn, 'JOHN DOE: ' || text || ' (sighs) [door' || chr(10) || '♪ ~ ♪' || chr(10) || 'MAN: ] ' || @second@ || '[a (b] c) d' AS text FROM conversations),
     l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM w),
     f AS (SELECT conv_id, turn, k, trim(regexp_replace(trim({_FOLD}, ' ' || chr(9) || chr(13)), '^[A-Z -]+:', ''), ' ' || chr(9) || chr(13)) AS line FROM l)
@@ -83,22 +87,19 @@ def _events(spark, sf_dir, text):
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", T.ass_text(event).alias("text"), end.alias("end"))
 
 
-_BRACES = r"regexp_replace(regexp_replace(text, '[{}]', ' ', 'g'), '\\([Nnh])', '/\1', 'g')"
+_DEPTH = """list_reduce(list_concat([{'d': 0, 'o': '', 'c': ''}], list_transform(string_split(text, ''), lambda ch: {'d': 0, 'o': '', 'c': ch})), lambda a, x: {
+  'd': CASE x.c WHEN '{' THEN a.d + 1 WHEN '}' THEN greatest(a.d - 1, 0) ELSE a.d END,
+  'o': CASE WHEN a.d = 0 AND x.c <> '{' THEN a.o || x.c ELSE a.o END, 'c': ''})"""
 
 
 @query(
-    "ass_text",
-    f"""SELECT conv_id, turn, {_BRACES} || ', a' || chr(10) || 'b c' AS text, turn + CASE WHEN turn % 2 = 0 THEN 3.0::double ELSE 1.5::double END AS "end" FROM conversations""",
+    "ass_text_whole",
+    f"""WITH f AS (SELECT conv_id, turn, {_DEPTH} AS f FROM conversations),
+    t AS (SELECT conv_id, turn, CASE WHEN f.d = 0 THEN f.o || ', a' || '\\Nb\\hc' ELSE f.o END AS text FROM f)
+    SELECT conv_id, turn, replace(replace(replace(text, '\\N', chr(10)), '\\n', chr(10)), '\\h', ' ') AS text, turn + CASE WHEN turn % 2 = 0 THEN 3.0::double ELSE 1.5::double END AS "end" FROM t""",
 )
-def ass_text(spark, sf_dir):
-    """SB6, SB7: event lines built around each whole message, whose own braces and escapes are taken out first."""
-    plain = F.regexp_replace(F.regexp_replace("text", "[{}]", " "), r"\\([Nnh])", "/$1")
-    return _events(spark, sf_dir, plain)
-
-
-@query("ass_text_whole")
 def ass_text_whole(spark, sf_dir):
-    """SB6, SB7: event lines that hold whole messages."""
+    """SB6, SB7: event lines that hold whole messages, braces, escapes and all; one that ends inside braces hides what follows."""
     return _events(spark, sf_dir, F.col("text"))
 
 
@@ -118,8 +119,8 @@ def cue_at(spark, sf_dir):
 @query(
     "cue_neighbours",
     sql(f"""WITH a AS (SELECT *, lag(text) OVER (PARTITION BY track_id ORDER BY idx) AS previous, lead(text) OVER (PARTITION BY track_id ORDER BY idx) AS next FROM {{cues}}),
-    c AS (SELECT p.track_id, p.t, coalesce(min(idx) FILTER (WHERE p.t BETWEEN start_s AND end_s), min(idx) FILTER (WHERE start_s > p.t), min(idx)) AS idx FROM {_POINTS} p JOIN {{cues}} c ON c.track_id = p.track_id GROUP BY p.track_id, p.t)
-    SELECT c.track_id, c.t, c.idx, previous, text AS current, next FROM c JOIN a ON a.track_id = c.track_id AND a.idx = c.idx"""),
+    c AS (SELECT p.track_id, p.t, coalesce(min(idx) FILTER (WHERE p.t BETWEEN start_s AND end_s), min(idx) FILTER (WHERE start_s > p.t)) AS found, coalesce(found, min(idx))::bigint AS idx FROM {_POINTS} p JOIN {{cues}} c ON c.track_id = p.track_id GROUP BY p.track_id, p.t)
+    SELECT c.track_id, c.t, c.idx, CASE WHEN found IS NOT NULL THEN previous END AS previous, text AS current, CASE WHEN found IS NOT NULL THEN next END AS next FROM c JOIN a ON a.track_id = c.track_id AND a.idx = c.idx"""),
 )
 def cue_neighbours(spark, sf_dir):
     return O.neighbours(carrier(spark, sf_dir, "cues"), points(spark, sf_dir))

@@ -23,13 +23,10 @@ def segments_greedy(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
-@query("segments_streamed", sql(f"WITH {_SERIES}, {_GREEDY} SELECT file_id, start_ns FROM g"))
-def segments_streamed(spark, sf_dir):
-    """TL1 as a table function over sorted partitions, for series beyond one array."""
-    spark.udtf.register("greedy_segments", T.GreedySegments)
-    rows = carrier(spark, sf_dir, "keyframes").select("file_id", "t_ns", F.col("duration_ns").cast("bigint").alias("duration_ns")).distinct()
-    rows.createOrReplaceTempView("reelframe_keyframes")
-    return spark.sql("SELECT * FROM greedy_segments(TABLE(reelframe_keyframes) PARTITION BY file_id ORDER BY t_ns)")
+@query("segments_chained", sql(f"WITH {_SERIES}, {_GREEDY} SELECT * FROM g"))
+def segments_chained(spark, sf_dir):
+    """TL1 by pointers and doubling, for series of any length."""
+    return T.chained_segments(carrier(spark, sf_dir, "keyframes"))
 
 
 @query(

@@ -9,12 +9,13 @@ from reelframe.operators import catalogue as C, compat as K, images as I, presen
 from reelframe.plans.registry import query
 from reelframe.sources.carriers import carrier, given, with_carriers as sql
 
-_SHAPED = """(SELECT list_idx, pos, id, CASE WHEN media_type IN ('movie', 'tv') THEN media_type WHEN media_type IS NULL THEN CASE list_idx WHEN 1 THEN 'tv' ELSE 'movie' END END AS media_type,
+_SHAPED = """(SELECT list_idx, pos, id, CASE WHEN media_type IN ('movie', 'tv') THEN media_type ELSE CASE list_idx WHEN 1 THEN 'movie' WHEN 2 THEN 'tv' END END AS media_type,
   coalesce(title, name, '') AS title, coalesce(release_date, first_air_date) AS date FROM {search_hits})"""
 
 
 def _hits(spark, sf_dir):
-    return C.hits(carrier(spark, sf_dir, "search_hits"), F.when(F.col("list_idx") == 1, "tv").otherwise("movie"))
+    """List 0 is mixed and has no type of its own, 1 has films, 2 has series."""
+    return C.hits(carrier(spark, sf_dir, "search_hits"), F.when(F.col("list_idx") == 1, "movie").when(F.col("list_idx") == 2, "tv"))
 
 
 @query("hit_normalise", sql(f"SELECT * FROM {_SHAPED} WHERE media_type IS NOT NULL"))
@@ -133,19 +134,6 @@ def track_labels(spark, sf_dir):
     return C.track_labels(files.select("file_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("audio_index")), tracks).select("file_id", "audio_index", "label")
 
 
-_RESUME = lambda guard: f"SELECT media_id, r.seq AS seq, r.position AS position, r.duration AS duration FROM (SELECT media_id, arg_max(struct_pack(seq, position, duration), (seen_at, seq)) AS r FROM {{watch}} WHERE position > 0 AND duration > 0 {guard} GROUP BY media_id)"
-
-
-@query("resume_pick", sql(_RESUME("AND position < duration - 30")))
-def resume_pick(spark, sf_dir):
-    return C.resumable(carrier(spark, sf_dir, "watch"))
-
-
-@query("resume_detail", sql(_RESUME("")))
-def resume_detail(spark, sf_dir):
-    return C.resumable(carrier(spark, sf_dir, "watch"), guard=False)
-
-
 @query("watch_latest", sql("SELECT media_id, r.seq AS seq, r.position AS position, r.download_id AS download_id FROM (SELECT media_id, arg_max(struct_pack(seq, position, download_id), (seen_at, seq)) AS r FROM {watch} WHERE position > 0 GROUP BY media_id)"))
 def watch_latest(spark, sf_dir):
     return C.latest_positions(carrier(spark, sf_dir, "watch"))
@@ -164,6 +152,12 @@ def resume_pick_episodes(spark, sf_dir):
     return C.episode_resumes(carrier(spark, sf_dir, "watch_episodes"))
 
 
+@query("resume_recent", sql(f"SELECT * FROM (SELECT * FROM {_EPISODES} ORDER BY seq DESC LIMIT 20) WHERE duration > 0 AND position < duration - 30"))
+def resume_recent(spark, sf_dir):
+    """PF13: looked up among the 20 newest rows of the history."""
+    return C.resumable_of_recent(carrier(spark, sf_dir, "watch_episodes"))
+
+
 @query("resume_labels", sql("SELECT seq, greatest(0, ceil((duration - position) / 60))::bigint AS minutes_left, round(CASE WHEN duration > 0 THEN position / duration ELSE 0 END, 6)::double AS ratio, CASE WHEN duration > 0 THEN least(100, floor(position * 100 / duration + 0.5))::bigint END AS pct FROM {watch}"))
 def resume_labels(spark, sf_dir):
     p, d = F.col("position"), F.col("duration")
@@ -172,11 +166,11 @@ def resume_labels(spark, sf_dir):
 
 _CLIENTS_REQUESTS = "(SELECT c.*, r.* FROM {clients} c CROSS JOIN (VALUES (0, false, false, false), (1, false, true, true), (2, false, false, false)) AS r(audio_index, force_video, force_audio, sdr))"
 _PLAN = f"""WITH x AS (SELECT f.*, q.*, coalesce(tracks[audio_index + 1], tracks[1]) AS audio FROM (SELECT *, list_filter([audio_0, audio_1, audio_2], lambda a: a IS NOT NULL) AS tracks FROM {{media_files}}) f CROSS JOIN {_CLIENTS_REQUESTS} q),
-o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (lower(video_codec) = 'h264' AND bit_depth > 8) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND coalesce(height <= max_height, true) AND NOT force_video AS video_ok,
-  audio IS NULL OR (list_contains(string_split(lower(audio_codecs), ','), lower(audio)) AND NOT force_audio) AS audio_ok, list_contains(string_split(lower(containers), ','), lower(container)) AS container_ok FROM x),
-d AS (SELECT *, video_ok AND audio_ok AND container_ok AND (audio_index = 0 OR tracks[audio_index + 1] IS NULL) AS direct FROM o),
-p AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN video_ok AND lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action,
-  CASE WHEN audio IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN audio_ok AND lower(audio) IN ('aac', 'ac3', 'eac3', 'opus', 'flac') THEN 'copy' ELSE 'transcode' END AS audio_action FROM d)"""
+o AS (SELECT *, list_contains(string_split(lower(video_codecs), ','), lower(video_codec)) AND NOT (video_codec = 'h264' AND bit_depth > 8) AND coalesce(chroma = '4:2:0', true) AND NOT (hdr AND sdr) AND coalesce(height <= max_height, true) AND NOT force_video AS video_ok,
+  (audio IS NULL OR list_contains(string_split(lower(audio_codecs), ','), lower(audio))) AND NOT force_audio AS audio_ok, list_contains(string_split(lower(containers), ','), lower(container)) AS container_ok FROM x),
+d AS (SELECT *, video_ok AND audio_ok AND container_ok AND (audio_index = 0 OR len(tracks) <= 1) AS direct FROM o),
+p AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN video_ok AND video_codec IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action,
+  CASE WHEN audio IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN audio_ok AND audio IN ('aac', 'ac3', 'eac3', 'opus', 'flac') THEN 'copy' ELSE 'transcode' END AS audio_action FROM d)"""
 
 
 def _with_tracks(spark, sf_dir):
@@ -194,12 +188,13 @@ def compat_matrix(spark, sf_dir):
     return _planned(spark, sf_dir).select("file_id", "client_id", "audio_index", "direct", "video_action", "audio_action")
 
 
-@query("playback_record", sql(f"{_PLAN} SELECT file_id, client_id, video_action || '+' || audio_action AS mode, hdr AND video_action <> 'transcode' AS hdr, CASE WHEN video_action <> 'transcode' THEN height ELSE least(height, max_height) END AS height FROM p"))
+@query("playback_record", sql(f"{_PLAN} SELECT file_id, client_id, video_action || '+' || audio_action AS mode, hdr AND video_action <> 'transcode' AS hdr, CASE WHEN video_action <> 'transcode' THEN height WHEN height > least(max_height, 1441) THEN least(max_height, 1441) // 2 * 2 ELSE height END AS height FROM p"))
 def playback_record(spark, sf_dir):
-    return K.playback_record(_planned(spark, sf_dir))
+    """CP2 with an encoder that makes 1441 lines at most."""
+    return K.playback_record(_planned(spark, sf_dir), 1441)
 
 
-@query("universal_plan", sql("SELECT file_id, CASE WHEN lower(video_codec) IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action, CASE WHEN a IS NULL THEN 'none' WHEN a = 'aac' THEN 'copy' ELSE 'transcode' END AS audio_action FROM (SELECT *, coalesce(audio_0, audio_1, audio_2) AS a FROM {media_files})"))
+@query("universal_plan", sql("SELECT file_id, CASE WHEN video_codec IN ('h264', 'hevc', 'av1', 'vp9') THEN 'copy' ELSE 'transcode' END AS video_action, CASE WHEN a IS NULL THEN 'none' WHEN a = 'aac' THEN 'copy' ELSE 'transcode' END AS audio_action FROM (SELECT *, coalesce(audio_0, audio_1, audio_2) AS a FROM {media_files})"))
 def universal_plan(spark, sf_dir):
     return K.universal_plan(_with_tracks(spark, sf_dir), only_audio=True).select("file_id", "video_action", "audio_action")
 

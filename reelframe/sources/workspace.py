@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _handed_out: list[str] = []
@@ -28,6 +28,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the folders that this process was given, and tells how many there were.
 

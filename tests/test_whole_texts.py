@@ -12,6 +12,7 @@ TEXTS = [
     "first line, " + "y" * 50 + "\nWOMAN: second [bang] line\n♪ ♪\nlast (open",
     "past { every } limit {nested {deep} still} out }} end\n\na blank line before \U0001f600 [\U0001f600] <i>x",
     "z [" * 300 + "] )" * 299 + " (a) end",
+    "open { to the end",
     "",
 ]
 
@@ -26,6 +27,19 @@ def outside(text, pairs):
     return kept
 
 
+def overrides(text):
+    """Without what stands in braces; a closing brace that closes nothing stays."""
+    depth, kept = 0, ""
+    for c in text:
+        if c == "{":
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+        elif not depth:
+            kept += c
+    return kept
+
+
 def sdh(text):
     lines = [re.sub("^[A-Z -]+:", "", outside(x, ["[]", "()"]).strip(" \t\r")).strip(" \t\r") for x in text.split("\n")]
     return "\n".join(x for x in lines if not re.fullmatch("[♪♫#~ ]*", x))
@@ -40,8 +54,8 @@ def cues(text, turn):
     blocks = [(1.0, 2.5 + turn % 7, f"<i>{text}</i>".split("\n\n")[0])]
     for k, line in enumerate(lines):
         blocks.append((60.0 * (turn % 10) + (8.25 if k else 5.25), 600.0 + 60 * (turn % 10) + (9.8 if k else 7.8), line.strip(" \n\t\r")))
-    found = [(k, round(a, 6), round(b, 6), untagged(x)) for k, (a, b, x) in enumerate(blocks)]
-    return [x for x in found if x[3]]
+    found = [(round(a, 6), round(b, 6), sdh(untagged(x))) for a, b, x in blocks]
+    return [(k, *x) for k, x in enumerate(x for x in found if x[2])]
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +76,7 @@ def test_sdh(spark, tables):
 
 def test_events(spark, tables):
     found = {r.turn: (r.text, r.end) for r in rows(spark, "ass_text_whole", tables)}
-    assert found == {k: (outside(t, ["{}"]) + ", a\nb c", k + (1.5 if k % 2 else 3.0)) for k, t in enumerate(TEXTS)}
+    assert found == {k: (overrides(t + ", a\\Nb\\hc").replace("\\N", "\n").replace("\\h", " "), k + (1.5 if k % 2 else 3.0)) for k, t in enumerate(TEXTS)}
 
 
 def test_cues(spark, tables):
