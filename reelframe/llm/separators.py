@@ -9,7 +9,8 @@ Each block is searched for the separator in one vectorised step.  A prefix scan
 then gives each block the number of documents and the last separator before it, which stitches documents
 that cross blocks.
 
-A file holds at most ``FILE_DOCS`` documents.  Null text counts as empty (only the separator); repeated rows
+A task starts a new file each ``FILE_BYTES`` of ids, so a file has that size at most, and a document's more; files
+are read whole, one at a time in a task.  Null text counts as empty (only the separator); repeated rows
 are documents of their own; an empty table gives no rows; other columns are ignored.  The separator is
 never an id of a text.
 """
@@ -27,8 +28,8 @@ from reelframe.llm.shared import work_dir
 from reelframe.llm.tokens import encoder
 from reelframe.llm.words import chunks
 
-#: Ids in a block, and documents in a file.
-BLOCK, FILE_DOCS = 1 << 16, 50_000
+#: Ids in a block, and bytes of ids after which a file ends.
+BLOCK, FILE_BYTES = 1 << 16, 32 << 20
 TOKENS, IDS = 0, 1
 #: A stored ``doc_id``: whether there is one, and its value.
 DOC_ID = np.dtype([("known", "u1"), ("id", "<i8")])
@@ -40,9 +41,9 @@ def id_type(tokenizer: str, separator: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def streaming(tokenizer: str, width: str):
+def streaming(tokenizer: str, width: str, limit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinal = 0
+        ordinal = filled = 0
         for part, _, _ in chunks(batches):
             ids, counts = encoder(tokenizer, plain=True).encode([t or "" for t in part.column("text").to_pylist()])
             n, size = part.num_rows, np.dtype(width).itemsize
@@ -53,26 +54,30 @@ def streaming(tokenizer: str, width: str):
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int64))
             values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n, [None, offsets.buffers()[1], pa.py_buffer(ids.astype(width).tobytes() + docs.tobytes())])
             place = np.tile(np.arange(ordinal, ordinal + n), 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([TOKENS, IDS], n), pa.int32()), pa.array(place), values.cast(pa.binary())], ["kind", "ordinal", "value"])
-            ordinal += n
+            # A document belongs to the file in whose span of bytes it starts.
+            sizes = (counts + 1) * size
+            starts = filled + np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([TOKENS, IDS], n), pa.int32()), pa.array(np.tile(starts // limit, 2), pa.int64()), pa.array(place), values.cast(pa.binary())], ["kind", "file", "ordinal", "value"])
+            ordinal, filled = ordinal + n, filled + int(sizes.sum())
 
     return run
 
 
 def write_stream(docs: DataFrame, tokenizer: str, separator: int, path: str) -> None:
-    """Token files and their lists of ``doc_id``, a pair for each input partition (more where it is long)."""
+    """Token files and their lists of ``doc_id``: pairs in folders by kind and by the number of the file in its task."""
     width = id_type(tokenizer, separator)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(streaming(tokenizer, width), "kind int, ordinal long, value binary").sortWithinPartitions("kind", "ordinal")
-    raw = rows.select("kind", F.col("value").cast("string").alias("value"))
+    rows = texts.mapInArrow(streaming(tokenizer, width, FILE_BYTES), "kind int, file long, ordinal long, value binary").sortWithinPartitions("kind", "file", "ordinal")
+    raw = rows.select("kind", "file", F.col("value").cast("string").alias("value"))
     end = np.array([separator], width).tobytes().decode("latin-1")
-    raw.write.partitionBy("kind").options(lineSep=end, encoding="ISO-8859-1", maxRecordsPerFile=str(FILE_DOCS)).text(path)
+    raw.write.partitionBy("kind", "file").options(lineSep=end, encoding="ISO-8859-1").text(path)
 
 
 def read_blocks(spark: SparkSession, path: str, kind: int, size: int) -> DataFrame:
     """(file, block, bytes): the files of one kind in blocks of ``size`` bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").contains(f"/kind={kind}/"))
-    blocks = files.select(F.regexp_extract("path", r"/part-(\d+-.*-?c\d+)\.", 1).alias("file"), "content", F.explode(F.sequence(F.lit(0), ((F.length("content") - 1) / size).cast("int"))).alias("block"))
+    name = F.concat_ws("-", F.regexp_extract("path", r"/part-(\d+)-", 1), F.regexp_extract("path", r"/file=(\d+)/", 1))
+    blocks = files.select(name.alias("file"), "content", F.explode(F.sequence(F.lit(0), ((F.length("content") - 1) / size).cast("int"))).alias("block"))
     return blocks.select("file", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("bytes"))
 
 
