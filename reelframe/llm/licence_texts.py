@@ -77,6 +77,15 @@ def _gnu_notice(what: str, name: str, version: str) -> str:
     )
 
 
+def _gnu_grant(what: str, name: str, version: str) -> str:
+    """The first sentence of the notice, which many headers hold alone."""
+    return _gnu_notice(what, name, version).split(" This " + what + " is distributed")[0]
+
+
+def _gnu_exact(name: str, version: str) -> str:
+    return f"you can redistribute it and/or modify it under the terms of the {name} version {version} as published by the Free Software Foundation"
+
+
 def _gnu_text(name: str, version: str) -> str:
     return (
         f"{name} Version {version} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
@@ -105,12 +114,19 @@ TEMPLATES = [
     ("apache-2.0", ["apache license version 2 0 january 2004"], APACHE_TEXT),
     ("gpl-2.0", ["gnu general public license", "version 2 of the license"], _gnu_notice("program", GPL, "2")),
     ("gpl-3.0", ["gnu general public license", "version 3 of the license"], _gnu_notice("program", GPL, "3")),
+    ("gpl-2.0", ["gnu general public license", "version 2 of the license"], _gnu_grant("program", GPL, "2")),
+    ("gpl-3.0", ["gnu general public license", "version 3 of the license"], _gnu_grant("program", GPL, "3")),
+    ("gpl-2.0", ["gnu general public license version 2 as published"], _gnu_exact(GPL, "2")),
+    ("gpl-3.0", ["gnu general public license version 3 as published"], _gnu_exact(GPL, "3")),
     ("gpl-2.0", ["gnu general public license version 2 june 1991"], _gnu_text(GPL, "2, June 1991")),
     ("gpl-3.0", ["gnu general public license version 3 29 june 2007"], _gnu_text(GPL, "3, 29 June 2007")),
     ("lgpl-2.1", ["gnu lesser general public license", "version 2 1 of the license"], _gnu_notice("library", LGPL, "2.1")),
     ("lgpl-3.0", ["gnu lesser general public license", "version 3 of the license"], _gnu_notice("library", LGPL, "3")),
+    ("lgpl-2.1", ["gnu lesser general public license", "version 2 1 of the license"], _gnu_grant("library", LGPL, "2.1")),
+    ("lgpl-3.0", ["gnu lesser general public license", "version 3 of the license"], _gnu_grant("library", LGPL, "3")),
     ("lgpl-3.0", ["gnu lesser general public license version 3 29 june 2007"], _gnu_text(LGPL, "3, 29 June 2007")),
     ("agpl-3.0", ["gnu affero general public license", "version 3 of the license"], _gnu_notice("program", AGPL, "3")),
+    ("agpl-3.0", ["gnu affero general public license", "version 3 of the license"], _gnu_grant("program", AGPL, "3")),
     ("agpl-3.0", ["gnu affero general public license version 3 19 november 2007"], _gnu_text(AGPL, "3, 19 November 2007")),
     ("mpl-2.0", ["mozilla public license v 2 0"], "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("cc-by-4.0", [f"{CC} 4 0 international license"], _creative_commons("Attribution")),
@@ -119,6 +135,28 @@ TEMPLATES = [
     ("cc-by-nc-sa-4.0", [f"{CC} noncommercial sharealike 4 0 international license"], _creative_commons("Attribution-NonCommercial-ShareAlike")),
     ("cc0", ["waived all copyright and related or neighboring rights"], "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published from"),
 ]
-# Identifiers of the public licence list that stand in file headers.
-SPDX = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC0-1.0"]
-TEMPLATES += [(f"spdx:{i.lower()}", [f"SPDX-License-Identifier: {i}"], f"SPDX-License-Identifier: {i}") for i in SPDX]
+
+#: Stands before licence identifiers in file headers; the template of that name has no label of its own.
+HEADER = "spdx"
+TEMPLATES.append((HEADER, ["SPDX-License-Identifier"], "SPDX-License-Identifier"))
+
+# Identifiers of the public licence list, older forms, and exceptions.
+LICENCES = """
+0BSD AFL-3.0 AGPL-1.0-only AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0
+Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-2-Clause-Views BSD-3-Clause BSD-3-Clause-Attribution BSD-3-Clause-Clear BSD-3-Clause-LBNL
+BSD-3-Clause-No-Nuclear-License BSD-4-Clause BSD-4-Clause-UC BSD-Source-Code BSL-1.0 BUSL-1.1 bzip2-1.0.6 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0
+CDDL-1.0 CDDL-1.1 CECILL-2.1 CECILL-B CECILL-C CPL-1.0 curl ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FSFAP FSFUL FTL GFDL-1.2-only GFDL-1.2-or-later
+GFDL-1.3-only GFDL-1.3-or-later GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG
+Intel IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Libpng
+libpng-2.0 libtiff LPL-1.02 LPPL-1.3c MIT MIT-0 MIT-CMU MIT-Modern-Variant MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA
+Naumen NPL-1.1 NTP ODbL-1.0 OFL-1.0 OFL-1.1 OpenSSL OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SISSL Sleepycat SSPL-1.0
+TCL Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Xnet Zend-2.0 Zlib zlib-acknowledgement ZPL-2.1
+""".split()
+EXCEPTIONS = """
+Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Bootloader-exception Classpath-exception-2.0 Font-exception-2.0 GCC-exception-2.0 GCC-exception-3.1
+Libtool-exception Linux-syscall-note LLVM-exception OCaml-LGPL-linking-exception Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 u-boot-exception-2.0
+WxWindows-exception-3.1
+""".split()
+#: As they stand in expressions: the older forms of the GNU licences may have a plus sign.
+IDENTIFIERS = {i.lower() for i in [*LICENCES, *EXCEPTIONS]} | {f"{i.lower()}+" for i in LICENCES if "GPL" in i and i[-1].isdigit()}

@@ -10,7 +10,9 @@
 4. At such an alignment every mandatory phrase of the template (the name with its version, the opening
    words) must stand word for word, within ``SLACK`` words of its place; then the template's label is
    given.
-5. ``score``: the largest share of a template's words found in their places (under any of the agreeing
+5. A header ``SPDX-License-Identifier:`` is such a template; what gives the labels is the expression behind it, read
+   token by token from the raw text: each known identifier joined by AND, OR or WITH, as far as its token reaches.
+6. ``score``: the largest share of a template's words found in their places (under any of the agreeing
    alignments) among the document's labels; a base phrase alone counts as 0.5 at least; 0 without labels.
 
 Base phrases are found in every document by comparing word hashes at neighbouring places.
@@ -28,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from reelframe.llm.licence_texts import TEMPLATES
+from reelframe.llm.licence_texts import HEADER, IDENTIFIERS, TEMPLATES
 from reelframe.llm.words import ALNUM, chunks, find, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,6 +48,9 @@ RARE, AGREE = 8, 0.6
 #: Words that edits may shift a place by.
 SLACK = 6
 
+#: Tokens of a licence expression.
+TOKEN = re.compile(r"[()]|[A-Za-z0-9.-]+\+?|\S")
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -63,12 +68,12 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return word_hashes(data, inside, starts, ends)
 
 
-def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word of lower-cased texts."""
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and end of each word of lower-cased texts."""
     data = LOWER[data]
     inside = ALNUM[data]
     starts, ends, text = find(data, offsets, inside)
-    return word_hashes(data, inside, starts, ends), text
+    return word_hashes(data, inside, starts, ends), text, ends
 
 
 def is_in(values: np.ndarray, few: np.ndarray) -> np.ndarray:
@@ -88,7 +93,7 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(few), np.int64), 0
         for part, data, offsets in chunks(batches):
-            values, text = placed_words(data, offsets)
+            values, text, _ = placed_words(data, offsets)
             at = is_in(values, few)
             pairs = np.unique(np.searchsorted(few, values[at]) * part.num_rows + text[at])
             total += np.bincount(pairs // part.num_rows, minlength=len(few))
@@ -159,6 +164,39 @@ def matches(template: dict, own: np.ndarray, alignments: np.ndarray) -> float |
     return float(there.mean())
 
 
+def identifiers(line: str) -> list[str]:
+    """The known licence identifiers of an expression at the start of ``line``, in lower case."""
+    found, term, depth = [], True, 0
+    for token in TOKEN.findall(line):
+        if term and token == "(":
+            depth += 1
+        elif term:
+            name = token.rstrip(".-").lower()
+            if name not in IDENTIFIERS:
+                break
+            found.append(name)
+            term = False
+        elif token == ")" and depth:
+            depth -= 1
+        elif token.upper() in ("AND", "OR", "WITH"):
+            term = True
+        else:
+            break
+    return found
+
+
+def headers(own: np.ndarray, phrase: np.ndarray, ends: np.ndarray, data: np.ndarray, stop: int) -> set[str]:
+    """Labels of a document's identifier headers; ``ends``: where its words end, ``stop``: where it ends."""
+    labels = set()
+    for at in phrase_at(own, np.zeros(len(own), np.int8), phrase).tolist():
+        start = int(ends[at + len(phrase) - 1])
+        feeds = np.flatnonzero(data[start:stop] == 0x0A)
+        line = data[start : start + int(feeds[0]) if len(feeds) else stop].tobytes().decode().lstrip(" \t")
+        if line.startswith(":"):
+            labels |= {f"spdx:{i}" for i in identifiers(line[1:])}
+    return labels
+
+
 def scanning(index: list[dict]):
     bases = [(hashes_of(words_of(p)), label) for p, label in BASE_PHRASES.items()]
     hashes, templates, places = postings(index)
@@ -168,7 +206,7 @@ def scanning(index: list[dict]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches):
             n = part.num_rows
-            values, text = placed_words(data, offsets)
+            values, text, ends = placed_words(data, offsets)
             counts = np.bincount(text, minlength=n)
             begin = np.cumsum(counts) - counts
             hits = is_in(values, few)
@@ -202,6 +240,11 @@ def scanning(index: list[dict]):
                 d, template = p // len(index), index[p % len(index)]
                 a, b = np.searchsorted(pair, [p, p + 1])
                 own = values[begin[d] : begin[d] + counts[d]]
+                if template["label"] == HEADER:
+                    labels = headers(own, template["words"], ends[begin[d] : begin[d] + counts[d]], data, int(offsets[d + 1]))
+                    found[d] |= labels
+                    score[d] = 1.0 if labels else score[d]
+                    continue
                 for alignments in agreeing(start[a:b], word[a:b], template["need"]):
                     share = matches(template, own, alignments)
                     if share is not None:

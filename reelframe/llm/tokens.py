@@ -8,6 +8,7 @@ the text of an added token, go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,6 +71,15 @@ def pieces(codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def check_split(path: str, settings: str) -> None:
+    """Raises unless a tokenizer splits as :func:`pieces` does and changes no text before that."""
+    found = json.loads(settings)
+    split = found["pre_tokenizer"] or {}
+    same = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if not same or found["normalizer"] is not None or found["model"].get("type", "BPE") != "BPE" or found["model"].get("dropout"):
+        raise ValueError(f"{path} is no plain byte-level BPE: it has another split of texts, a normalizer or dropout")
+
+
 class Encoder:
     """Encodes lists of texts; made once per worker process by :func:`encoder`.
 
@@ -78,6 +88,7 @@ class Encoder:
 
     def __init__(self, path: str, plain: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        check_split(path, self.tokenizer.to_str())
         self.tokenizer.encode_special_tokens = plain
         self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)

@@ -120,7 +120,7 @@ def test_orc_files_follow_the_bytes(spark):
 def test_flat_files_hold_ids_and_separators_only(spark, tmp_path, tokenizer):
     docs = spark.createDataFrame([(5, "one two"), (None, None), (3, "three")], "doc_id long, text string").coalesce(1)
     separators.write_stream(docs, TOKENIZER, SEPARATOR, str(tmp_path / "t"))
-    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "t" / "kind=0").glob("part-*")))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "t" / "kind=0").glob("file=*/part-*")))
     want = [i for t in ("one two", "", "three") for i in [*tokenizer.encode(t, add_special_tokens=False).ids, SEPARATOR]]
     assert np.frombuffer(raw, "<u2").tolist() == want
 
@@ -152,6 +152,38 @@ def test_separators(messy, tokenizer, block):
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == want
 
 
+def test_files_end_by_bytes(spark, tmp_path, tokenizer, monkeypatch):
+    """Long documents make files of their own; the others share files of the stated size at most."""
+    monkeypatch.setattr(separators, "FILE_BYTES", 4000)
+    texts = ["word " * (2500 if k % 40 == 7 else k % 9) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = Counter((k, len(tokenizer.encode(t, add_special_tokens=False).ids)) for k, t in enumerate(texts))
+    rows = separators.token_counts(docs, TOKENIZER, SEPARATOR, 100).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == want
+    separators.write_stream(docs, TOKENIZER, SEPARATOR, str(tmp_path / "t"))
+    sizes = [f.stat().st_size for f in (tmp_path / "t" / "kind=0").glob("file=*/part-*")]
+    assert len(sizes) > 10 and max(sizes) <= 4000 + 2 * 2600
+    places = sorted((r.file, r.ordinal, r.start) for r in rows)
+    assert all(b[2] > a[2] for a, b in zip(places[:-1], places[1:], strict=True) if a[0] == b[0])
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    from reelframe.llm.tokens import Encoder
+
+    with pytest.raises(ValueError, match="no plain byte-level BPE"):
+        Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_packing_leaves_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, TOKENIZER).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    power = lambda n: n & (n - 1) == 0
+    padding = sum(2048 - r.n for r in rows if not power(r.n))
+    assert padding < 0.01 * sum(r.n for r in rows)
+
+
 def brute_licences(docs, templates=licences.TEMPLATES):
     """The documented rules, one document, template and alignment after another."""
     texts = [licences.words_of(d.text or "") for d in docs]
@@ -163,6 +195,18 @@ def brute_licences(docs, templates=licences.TEMPLATES):
         base = ",".join(sorted(labels))
         for label, phrases, text in templates:
             words = licences.words_of(text)
+            if label == licence_texts.HEADER:
+                for line in re.findall(r"spdx[^a-z0-9]license[^a-z0-9]identifier[ \t]*:(.*)", d.text or "", re.I):
+                    expression = re.split(r"(?i)\s+(?:and|or|with)\s+", line.replace("(", " ").replace(")", " ").strip())
+                    for part in expression:
+                        name = part.split()[0].rstrip(".-").lower() if part.split() else ""
+                        if name not in licence_texts.IDENTIFIERS:
+                            break
+                        labels.add(f"spdx:{name}")
+                        score = 1.0
+                        if len(part.split()) > 1:
+                            break
+                continue
             rare = sorted(set(words), key=lambda w: (df[w], w))[: licences.RARE]
             votes = sorted({(k - p, w) for k, w in enumerate(own) if w in rare for p, x in enumerate(words) if x == w})
             for start, _ in votes:
@@ -201,6 +245,42 @@ def test_licences(spark, messy):
     assert licences.scan_licences(messy).count() == messy.count()
 
 
+LGPL_HEADER = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+
+
+def test_identifiers_end_where_their_token_ends(spark):
+    cases = {
+        "MIT-0": "spdx:mit-0",
+        "BSD-3-Clause-Clear": "spdx:bsd-3-clause-clear",
+        "zlib-acknowledgement */": "spdx:zlib-acknowledgement",
+        "(MIT OR Apache-2.0)": "spdx:apache-2.0,spdx:mit",
+        "GPL-2.0": "spdx:gpl-2.0",
+        "LGPL-2.1+": "spdx:lgpl-2.1+",
+        "GPL-2.0-only WITH Classpath-exception-2.0 AND (ISC or MIT).": "spdx:classpath-exception-2.0,spdx:gpl-2.0-only,spdx:isc,spdx:mit",
+        "MIT and so on": "spdx:mit",
+        "see MIT": "",
+        "MITx": "",
+        "MIT\nApache-2.0": "spdx:mit",
+        "": "",
+    }
+    docs = spark.createDataFrame([(k, f"// SPDX-License-Identifier: {t}\nint main;") for k, t in enumerate(cases)] + [(99, "SPDX-License-Identifier MIT"), (100, "x" * 9 + "é spdx-LICENSE-identifier:\tmit")], "doc_id long, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in licences.scan_licences(docs).collect()}
+    assert {k: found[k][0] for k in range(len(cases))} == dict(enumerate(cases.values()))
+    assert found[0] == ("spdx:mit-0", 1.0) and found[99] == ("", 0.0) and found[100] == ("spdx:mit", 1.0)
+    assert Counter((r[0], r[6], round(r[7], 9)) for r in brute_licences(docs.collect())) == Counter((k, *v) for k, v in found.items())
+
+
+def test_first_sentences_of_notices(spark):
+    exact = "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    docs = spark.createDataFrame([(0, LGPL_HEADER), (1, exact)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert (found[0].labels, found[0].score) == ("lgpl-2.1", 1.0) and (found[1].labels, found[1].score) == ("gpl,gpl-2.0", 1.0)
+
+
 def brute_substrings(docs):
     first = {}
     for d in docs:
