@@ -41,7 +41,7 @@ def following(cues: DataFrame, points: DataFrame) -> DataFrame:
     both = cues.select("track_id", F.col("start_s").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("idx").cast("bigint").alias("idx"), F.lit(None).cast(points.schema["t"].dataType).alias("t"))
     both = both.groupBy("track_id", "at", "kind", "t").agg(F.min("idx").alias("idx"))
     some = points.select("track_id", F.col("t").cast("double").alias("at"), F.lit(1).alias("kind"), "t", F.lit(None).cast("bigint").alias("idx")).distinct()
-    found = running(both.unionByName(some), ["track_id"], ["at", "kind"], "idx", "later", LEAST, reverse=True)
+    found = running(both.unionByName(some), ["track_id"], ["at", "kind"], {"later": "idx"}, LEAST, reverse=True)
     return found.where("kind = 1").select("track_id", "t", "later")
 
 

@@ -49,7 +49,7 @@ def chained_segments(keyframes: DataFrame) -> DataFrame:
     nodes = usable.where("t_ns > 0").unionByName(origin)
     asked = nodes.select("file_id", (F.col("t_ns") + SEGMENT).alias("at"), F.lit(0).alias("kind"), F.col("t_ns").alias("node"), F.lit(None).cast("bigint").alias("frame"))
     given = usable.select("file_id", F.col("t_ns").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("node"), F.col("t_ns").alias("frame"))
-    following = running(asked.unionByName(given), ["file_id"], ["at", "kind"], "frame", "to", LAST, reverse=True)
+    following = running(asked.unionByName(given), ["file_id"], ["at", "kind"], {"to": "frame"}, LAST, reverse=True)
     jumps = following.where("kind = 0 AND to IS NOT NULL").select("file_id", F.col("node").alias("at"), "to")
     reached, span = origin.withColumn("idx", F.lit(0)), 1
     while True:
@@ -80,7 +80,7 @@ def segment_of(starts: DataFrame, points: DataFrame) -> DataFrame:
     # Equal points are one row with their number.
     some = points.groupBy("file_id", "t_ns").agg(F.count("*").alias("n"))
     both = both.unionByName(some.select("file_id", (F.col("t_ns") + TOLERANCE).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("idx"), "t_ns", "n"))
-    found = running(both, ["file_id"], ["at", "kind"], "idx", "segment", LAST).where("kind = 1")
+    found = running(both, ["file_id"], ["at", "kind"], {"segment": "idx"}, LAST).where("kind = 1")
     found = found.select("file_id", "t_ns", F.coalesce("segment", F.lit(0)).alias("segment"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     return found.drop("col")
 
@@ -152,5 +152,5 @@ def failure_runs(events: DataFrame, limit: int) -> DataFrame:
     A run's number is how many successes came before it, summed over ranges; parts of a run in several
     ranges meet in the last aggregation, each as one row.
     """
-    counted = running(events.withColumn("_step", (~F.col("failed")).cast("int")), ["key"], ["seq"], "_step", "_run", SUM)
+    counted = running(events.withColumn("_step", (~F.col("failed")).cast("int")), ["key"], ["seq"], {"_run": "_step"}, SUM)
     return counted.where("failed").groupBy("key", "_run").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where(F.col("n") >= limit).select("key", "first_seq", "n")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelframe.operators import timeline as T
-from reelframe.operators.running import running_sum
 from reelframe.plans.registry import query
 from reelframe.sources.carriers import carrier, given, with_carriers as sql
-from reelframe.streaming import folds as S
+from reelframe.sources.workspace import shared_path
+from reelframe.streaming import folds as S, sessions as N
+from reelframe.streaming.feeds import OrderedEvents, event_stream
 
 
 def _ordered(spark, sf_dir, *columns):
-    return S.ordered_stream(spark, f"{sf_dir}/events.parquet", list(columns))
+    return OrderedEvents(spark, f"{sf_dir}/events.parquet", list(columns))
 
 
 def _progress(rows):
@@ -30,13 +31,13 @@ _PROGRESS = "(SELECT user_id AS id, ts AS event_ts, event_id AS seq, CASE WHEN e
     f"WITH s AS (SELECT id, max(seq) AS seq, arg_max(kind, (event_ts, seq)) AS kind, arg_max(done, (event_ts, seq)) AS done, arg_max(total, (event_ts, seq)) FILTER (WHERE total IS NOT NULL) AS total FROM {_PROGRESS} GROUP BY id) SELECT * FROM s WHERE kind <> 'removed'",
 )
 def stream_latest(spark, sf_dir):
-    return S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"]).select("id", "seq", "kind", "done", "total")
+    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"]).select("id", "seq", "kind", "done", "total")
 
 
 @query("stream_complete_once", f"SELECT DISTINCT id FROM {_PROGRESS} WHERE total > 0 AND done >= total")
 def stream_complete_once(spark, sf_dir):
     """The watermark lets a key come again after its delay; the table keeps one row of each."""
-    return S.run_to_table(S.completed_once(_progress(_ordered(spark, sf_dir, "user_id", "event_type", "value")), "id")).select("id").distinct()
+    return S.feed_to_table(_ordered(spark, sf_dir, "user_id", "event_type", "value"), lambda rows: S.completed_once(_progress(rows), "id")).select("id").distinct()
 
 
 @query(
@@ -47,14 +48,14 @@ def stream_complete_once(spark, sf_dir):
     SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND""",
 )
 def stream_idle_sessions(spark, sf_dir):
-    closed = S.run_to_table(S.idle_sessions(_ordered(spark, sf_dir, "user_id"), "user_id"))
+    closed = S.feed_to_table(_ordered(spark, sf_dir, "user_id"), lambda rows: S.idle_sessions(rows, "user_id"))
     return closed.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
 @query("stream_ticks", "WITH w AS (SELECT user_id, floor(epoch_us(ts) / 2000000)::bigint * 2000000 AS started, value FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) SELECT user_id, started, count(*) AS n, max(value) AS value FROM w WHERE started + 2000000 <= (SELECT max(epoch_us(ts)) FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) - 600000000 GROUP BY ALL")
 def stream_ticks(spark, sf_dir):
     wanted = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).distinct()
-    found = S.run_to_table(S.ticks(_ordered(spark, sf_dir, "user_id", "value"), wanted))
+    found = S.feed_to_table(_ordered(spark, sf_dir, "user_id", "value"), lambda rows: S.ticks(rows, wanted))
     return found.withColumn("started", F.unix_micros("started"))
 
 
@@ -68,19 +69,29 @@ def stream_stats(spark, sf_dir):
     """ST6: the last stats of wanted releases per two seconds."""
     wanted = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("info_hash")).distinct()
     u, v = F.col("user_id"), F.col("value")
-    rows = _ordered(spark, sf_dir, "user_id", "value").select(u.alias("info_hash"), "event_ts", "seq", F.floor(v).alias("progress"), (u * 10).alias("total"), F.floor(v * 2).alias("speed"), (F.col("seq") % 50).alias("peers"), (v >= u * 10).alias("finished"))
-    found = S.run_to_table(S.stats(rows, wanted, ["progress", "total", "speed", "peers", "finished"]))
+    shaped = lambda rows: rows.select(u.alias("info_hash"), "event_ts", "seq", F.floor(v).alias("progress"), (u * 10).alias("total"), F.floor(v * 2).alias("speed"), (F.col("seq") % 50).alias("peers"), (v >= u * 10).alias("finished"))
+    found = S.feed_to_table(_ordered(spark, sf_dir, "user_id", "value"), lambda rows: S.stats(shaped(rows), wanted, ["progress", "total", "speed", "peers", "finished"]))
     return found.withColumn("started", F.unix_micros("started"))
 
 
 @query("stream_waiting", f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT id, done, done <= 0 AS waiting FROM s WHERE kind <> 'removed'")
 def stream_waiting(spark, sf_dir):
-    return S.waiting(S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"])).select("id", "done", "waiting")
+    return S.waiting(S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"])).select("id", "done", "waiting")
 
 
-@query("stream_route", "SELECT event_type, event_id AS seq FROM events WHERE event_type IN ('view', 'click')")
+@query(
+    "stream_route",
+    """SELECT 'remote_' || event_type AS topic, event_id AS seq, user_id AS sender, (props::json->>'$.k')::int AS k, CASE WHEN event_id % 3 = 0 THEN 'play' END AS action FROM events WHERE event_id % 2 = 0""",
+)
 def stream_route(spark, sf_dir):
-    return S.route(S.event_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "seq"), ["view", "click"])
+    """ST11, SC12: messages of remote topics with their whole payload, whose nested fields are read from what was stored."""
+    rows = event_stream(spark, f"{sf_dir}/events.parquet")
+    action = F.when(F.col("seq") % 3 == 0, F.lit(',"command":{"action":"play","at":[1,2]}')).otherwise("")
+    payload = F.concat(F.lit('{"from":'), F.col("user_id"), F.lit(',"body":'), "props", action, F.lit("}"))
+    topic = F.concat(F.when(F.col("seq") % 2 == 0, "remote_").otherwise("local_"), "event_type")
+    sent = S.route(rows.select(topic.alias("topic"), "seq", payload.alias("payload")), "remote_")
+    of = lambda path, kind: F.try_variant_get("payload", path, kind)
+    return sent.select("topic", "seq", of("$.from", "long").alias("sender"), of("$.body.k", "int").alias("k"), of("$.command.action", "string").alias("action"))
 
 
 @query(
@@ -89,8 +100,8 @@ def stream_route(spark, sf_dir):
     n AS (SELECT key, seq, row_number() OVER (PARTITION BY key, island ORDER BY ts, seq) AS n FROM i WHERE failed) SELECT key, seq FROM n WHERE n = 3""",
 )
 def stream_failure_alarm(spark, sf_dir):
-    events = _ordered(spark, sf_dir, "user_id", "event_type").withColumn("failed", F.col("event_type").isin("error", "click"))
-    return S.run_to_table(S.failure_alarm(events, "user_id", 3))
+    made = lambda rows: rows.select(F.col("user_id").alias("key"), "event_ts", "seq", F.col("event_type").isin("error", "click").alias("failed"))
+    return S.failure_alarm(_ordered(spark, sf_dir, "user_id", "event_type"), made, 3)
 
 
 @query(
@@ -99,7 +110,7 @@ def stream_failure_alarm(spark, sf_dir):
 )
 def stream_heartbeats(spark, sf_dir):
     """ST10: heartbeats into the newest position of each title."""
-    rows = S.event_stream(spark, f"{sf_dir}/events.parquet").where("value > 0")
+    rows = event_stream(spark, f"{sf_dir}/events.parquet").where("value > 0")
     rows = rows.select(F.col("user_id").alias("media_id"), "event_ts", "seq", F.lit("heartbeat").alias("kind"), F.floor(F.col("value") * 10).alias("position"))
     return S.fold_latest(rows, "media_id", [], "watch").select("media_id", "seq", "position")
 
@@ -110,57 +121,87 @@ def stream_heartbeats(spark, sf_dir):
 )
 def stream_piece_ticks(spark, sf_dir):
     """ST12: the availability of pieces after the stream's last batch."""
-    stream = S.event_stream(spark, f"{sf_dir}/events.parquet")
+    stream = event_stream(spark, f"{sf_dir}/events.parquet")
     rows = stream.select(F.concat_ws("/", "user_id", "seq").alias("id"), "event_ts", "seq", F.lit("piece").alias("kind"), F.col("user_id").alias("file_id"), (F.col("event_type") == "view").alias("have"))
     state = S.fold_latest(rows, "id", [], "pieces")
     return T.piece_buckets(state.select("file_id", F.col("seq").alias("piece"), "have"))
 
 
+_KIND = "CASE WHEN event_type = 'error' THEN 'removed' WHEN event_type = 'signup' THEN 'register' ELSE 'update' END"
+
+
+def _connections(rows):
+    """Registrations, updates and disconnections of connections; what a message claims as its id isn't taken."""
+    return rows.select((F.col("user_id") % 40).alias("client_id"), "event_ts", "seq", F.expr(_KIND).alias("kind"), (F.floor("value") * 4).alias("width"))
+
+
 @query(
     "roster",
-    """WITH e AS (SELECT user_id % 40 AS client_id, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'removed' ELSE event_type END AS kind, floor(value)::bigint * 4 AS width FROM events),
-    s AS (SELECT client_id, max(seq) AS seq, arg_max(kind, (ts, seq)) AS kind, arg_max(width, (ts, seq)) AS width FROM e GROUP BY client_id)
+    f"""WITH e AS (SELECT user_id % 40 AS client_id, ts, event_id AS seq, {_KIND} AS kind, floor(value)::bigint * 4 AS width FROM events),
+    s AS (SELECT client_id, arg_max(seq, (ts, seq)) AS seq, arg_max(kind, (ts, seq)) AS kind, arg_max(width, (ts, seq)) AS width FROM e GROUP BY client_id)
     SELECT client_id, seq, width, CASE WHEN width < 768 THEN 'phone' WHEN width < 1024 THEN 'tablet' ELSE 'desktop' END AS device FROM s WHERE kind <> 'removed'""",
 )
 def roster(spark, sf_dir):
-    """ST8: who is present: registrations and updates by client, disconnections as tombstones."""
+    """ST8, ST2: who is present, by the stateful operator; tombstones of those who left end with the watermark."""
     from reelframe.functions.labels import device_kind
 
-    stream = S.event_stream(spark, f"{sf_dir}/events.parquet")
-    rows = stream.select((F.col("user_id") % 40).alias("client_id"), "event_ts", "seq", F.when(F.col("event_type") == "error", "removed").otherwise(F.col("event_type")).alias("kind"), (F.floor("value") * 4).alias("width"))
-    return S.fold_latest(rows, "client_id", [], "roster").select("client_id", "seq", "width", device_kind(F.col("width")).alias("device"))
+    root, last = shared_path(spark, "roster"), []
+    _ordered(spark, sf_dir, "user_id", "event_type", "value").feed(lambda rows: N.fold_writer(_connections(rows), "client_id", [], root, last), rocksdb=True)
+    return last[-1].rows().where("kind NOT IN ('removed', 'ended')").select("client_id", "seq", "width", device_kind(F.col("width")).alias("device"))
+
+
+_CHANGES = f"""e AS (SELECT user_id % 40 AS client_id, epoch_us(ts) // 1000 AS moment, event_id AS seq, {_KIND} AS kind, floor(value)::bigint * 4 AS width FROM events),
+    c AS (SELECT *, lag(kind) OVER w AS before, lag(width) OVER w AS last_width FROM e WINDOW w AS (PARTITION BY client_id ORDER BY moment, seq)),
+    d AS (SELECT client_id, moment, seq, CASE WHEN kind = 'removed' THEN 'left' WHEN before IS NULL OR before = 'removed' THEN 'joined' ELSE 'updated' END AS change, CASE WHEN kind = 'removed' THEN last_width ELSE width END AS width
+      FROM c WHERE (kind <> 'removed' OR before <> 'removed') AND moment <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000),
+    n AS (SELECT *, row_number() OVER (ORDER BY moment, seq) AS number, sum(CASE change WHEN 'joined' THEN 1 WHEN 'left' THEN -1 ELSE 0 END) OVER (ORDER BY moment, seq)::bigint AS n_present FROM d)"""
+
+
+def _roster_changes(spark, sf_dir):
+    root = shared_path(spark, "presence")
+    made = lambda rows: N.counted(N.presence_changes(_connections(rows), "client_id").withColumn("one", F.lit(1).cast("long")), ["moment", "seq"], {"n_present": "step", "number": "one"}, root)
+    _ordered(spark, sf_dir, "user_id", "event_type", "value").feed(made, rocksdb=True)
+    return spark.read.parquet(f"{root}/rows").select("client_id", "moment", "seq", "change", "width", "number", "n_present")
+
+
+@query("roster_changes", f"WITH {_CHANGES} SELECT * FROM n")
+def roster_changes(spark, sf_dir):
+    """ST8: every change of the roster with its number, stamped with the connection's id, and how many are present after it."""
+    return _roster_changes(spark, sf_dir)
 
 
 @query(
-    "roster_changes",
-    """WITH e AS (SELECT user_id % 40 AS client_id, ts, event_id AS seq, event_type <> 'error' AS here FROM events),
-    c AS (SELECT *, coalesce(lag(here) OVER (PARTITION BY client_id ORDER BY ts, seq), false) AS before FROM e)
-    SELECT client_id, seq, CASE WHEN here THEN 1 ELSE -1 END AS step, sum(CASE WHEN here THEN 1 ELSE -1 END) OVER (ORDER BY ts, seq)::bigint AS n_present FROM c WHERE here <> before""",
+    "roster_after",
+    f"""WITH {_CHANGES}, l AS (SELECT client_id, arg_max(struct_pack(change, seq, width), number) AS r FROM n WHERE number <= 100 GROUP BY client_id) SELECT client_id, r.seq AS seq, r.width AS width FROM l WHERE r.change <> 'left'""",
 )
-def roster_changes(spark, sf_dir):
-    """ST8: who comes and goes, and how many are present after each change; the roster of any moment is the last change of each client."""
-    rows = _ordered(spark, sf_dir, "user_id", "event_type")
-    rows = rows.select((F.col("user_id") % 40).alias("client_id"), "event_ts", "seq", F.when(F.col("event_type") == "error", "removed").otherwise(F.col("event_type")).alias("kind"))
-    changes = S.run_to_table(S.presence_changes(rows, "client_id"))
-    return running_sum(changes, ["event_ts", "seq"], "step", "n_present").select(F.col("key").alias("client_id"), "seq", "step", "n_present")
+def roster_after(spark, sf_dir):
+    """ST8: the whole roster as it was sent after the hundredth change."""
+    return N.roster_after(_roster_changes(spark, sf_dir), 100)
 
 
 @query(
     "stream_live_counts",
-    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 120 SECOND THEN 0 ELSE 1 END AS new FROM events),
-    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
-    g AS (SELECT min(ts) AS started, max(ts) + INTERVAL 120 SECOND AS ended FROM s GROUP BY user_id, k),
-    c AS (SELECT started AS moment, 1 AS step FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND UNION ALL SELECT ended, -1 FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND),
-    t AS (SELECT moment, sum(step) AS step FROM c GROUP BY moment) SELECT epoch_us(moment) AS moment, sum(step) OVER (ORDER BY moment)::bigint AS n_live FROM t""",
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS touched, event_id AS seq, event_type = 'signup' AS stop FROM events),
+    p AS (SELECT *, lag(touched) OVER w AS last, lag(stop) OVER w AS stopped FROM e WINDOW w AS (PARTITION BY user_id ORDER BY touched, seq)),
+    q AS (SELECT *, ((last + 120000) // 60000 + 1) * 60000 AS sweep, lead(touched) OVER (PARTITION BY user_id ORDER BY touched, seq) AS next, ((touched + 120000) // 60000 + 1) * 60000 AS swept FROM p),
+    c AS (
+      SELECT touched AS moment, 1 AS step FROM q WHERE NOT stop AND (last IS NULL OR stopped OR sweep <= touched)
+      UNION ALL SELECT touched, -1 FROM q WHERE stop AND last IS NOT NULL AND NOT stopped AND sweep > touched
+      UNION ALL SELECT swept, -1 FROM q WHERE NOT stop AND (next IS NULL OR next >= swept)
+    ), t AS (SELECT moment, sum(step) AS step FROM c WHERE moment <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 GROUP BY moment)
+    SELECT moment::bigint AS moment, sum(step) OVER (ORDER BY moment)::bigint AS n_live FROM t""",
 )
 def stream_live_counts(spark, sf_dir):
-    """ST9: how many sessions live after each moment at which one begins or is closed."""
-    closed = S.run_to_table(S.idle_sessions(_ordered(spark, sf_dir, "user_id"), "user_id"))
-    return running_sum(S.live_changes(closed), ["moment"], "step", "n_live").select(F.unix_micros("moment").alias("moment"), "n_live")
+    """ST9: how many sessions live after each moment at which some open, stop or are swept, a sweep a minute."""
+    root = shared_path(spark, "live")
+    shaped = lambda rows: rows.select("user_id", "event_ts", "seq", (F.col("event_type") == "signup").alias("stop"))
+    made = lambda rows: N.counted(N.live_steps(shaped(rows), "user_id"), ["moment"], {"n_live": "step"}, root, merge=True)
+    _ordered(spark, sf_dir, "user_id", "event_type").feed(made, rocksdb=True)
+    return spark.read.parquet(f"{root}/rows").select("moment", "n_live")
 
 
 @query("stream_known", sql(f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT s.id, s.done, d.name, d.total_bytes FROM s JOIN {{downloads}} d ON d.id = s.id WHERE kind <> 'removed'"))
 def stream_known(spark, sf_dir):
     """ST1: progress onto the table of downloads, which every batch reads anew."""
     snapshot = lambda: carrier(spark, sf_dir, "downloads").select("id", "name", "total_bytes")
-    return S.fold_latest(_progress(S.event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"], snapshot=snapshot).select("id", "done", "name", "total_bytes")
+    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"], snapshot=snapshot).select("id", "done", "name", "total_bytes")

@@ -1,63 +1,40 @@
-"""Event streams folded into tables (ST1-ST12).
+"""Event streams folded into tables (ST1-ST7, ST10-ST12); what needs timers is in ``sessions``.
 
 Events carry ``event_ts`` and ``seq``; the greatest pair wins, so replays and reordering don't matter.
-State grows with the keys, never with the events.  What has a watermark or counts runs needs the events
-in order of time: :func:`ordered_stream` feeds a stored table so, however its files lie.
+State grows with the keys, never with the events, and what a result reads doesn't grow with the batches.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
+from reelframe.operators.running import SUM, running
 from reelframe.sources.workspace import shared_path
+from reelframe.streaming.feeds import OrderedEvents, drained
+from reelframe.streaming.state import KeyedTable
 
 #: Idle time after which a session is closed, and how late an event may come.
 IDLE, LATE = "120 seconds", "10 minutes"
 
-#: Rows in a file of an ordered copy.
-FILE_ROWS = 1 << 16
 
+def run_to_table(stream: DataFrame, *partitions: str) -> DataFrame:
+    """ST11's sink: all that the stream has now, appended to a table in the shared folder."""
+    path, checkpoint = (shared_path(stream.sparkSession, n) for n in ("sink", "stream"))
+    drained(_appending(stream, path, checkpoint, *partitions))
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """SC12: the events table as a stream of files, with an event time."""
-    schema = spark.read.parquet(path).schema
-    # As a pattern, for a plain path would have to be a folder.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
-    return rows.withColumn("event_ts", F.col("ts").cast("timestamp")).withColumnRenamed("event_id", "seq")
 
+def _appending(stream: DataFrame, path: str, checkpoint: str, *partitions: str):
+    return stream.writeStream.format("parquet").partitionBy(*partitions).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
-def ordered_stream(spark: SparkSession, path: str, columns: list[str], files_per_batch: int = 64) -> DataFrame:
-    """SC12: the stored events table as a stream in order of (event time, seq): no event of a batch is older than any of an earlier one.
 
-    The files of a range-sorted copy get modification times in their order, by which the file source takes them.
-    """
-    events = spark.read.parquet(path).select("ts", "event_id", *columns)
-    copy = shared_path(spark, "ordered")
-    events.repartitionByRange(max(1, -(-events.count() // FILE_ROWS)), "ts", "event_id").write.parquet(copy)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(copy)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = {int(f.getPath().getName().split("-")[1]): f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")}
-    began = (int(time.time()) - len(parts)) * 1000
-    for k, part in enumerate(sorted(parts)):
-        store.setTimes(parts[part], began + k * 1000, -1)
-        if store.getFileStatus(parts[part]).getModificationTime() != began + k * 1000:
-            raise OSError(f"{copy} does not keep modification times, which order the stream")
-    rows = spark.readStream.schema(spark.read.parquet(copy).schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "3650d").parquet(copy)
-    return rows.withColumn("event_ts", F.col("ts").cast("timestamp")).withColumnRenamed("event_id", "seq")
-
-
-def run_to_table(stream: DataFrame, *partitions: str) -> DataFrame:
-    """ST11's sink: all that the stream has now, appended to a table in the shared folder."""
-    spark = stream.sparkSession
-    path = shared_path(spark, "sink")
-    query = stream.writeStream.format("parquet").partitionBy(*partitions).option("path", path).option("checkpointLocation", shared_path(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def feed_to_table(events: OrderedEvents, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``made`` makes of the stream of ``events``, in order of time, as a table."""
+    path, checkpoint = (shared_path(events.spark, n) for n in ("sink", "stream"))
+    events.feed(lambda stream: _appending(made(stream), path, checkpoint))
+    return events.spark.read.schema(made(events.stream()).schema).parquet(path)
 
 
 def newest(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
@@ -68,56 +45,25 @@ def newest(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("row"), *kept).select(key, *[f"row.{c}" for c in fields], *keep)
 
 
-def fold_latest(stream: DataFrame, key: str, keep: list[str], name: str = "state", location: str | None = None, snapshot: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """ST1-ST3, ST8, ST10: the latest state of each key; an event of kind ``removed`` is a tombstone that older events can't undo.
+def fold_latest(stream: DataFrame, key: str, keep: list[str], name: str = "state", location: str | None = None, snapshot: Callable[[], DataFrame] | None = None, every: int | None = None) -> DataFrame:
+    """ST1-ST3, ST10, ST12: the latest state of each key; an event of kind ``removed`` is a tombstone that older events can't undo.
 
     The stream's state store holds the fold, and each batch writes only the keys that it changed, so a batch
-    costs what it brings.  A batch that is run again after a failure writes the same folder again.  With a
-    ``location`` the next call goes on where the last one ended.  ``snapshot`` is read anew by each batch
-    and adds its columns; changes of keys that even then it doesn't hold are left out (ST1).
+    costs what it brings; see ``state`` for what a result reads.  With a ``location`` the next call goes on where the
+    last one ended.  ``snapshot`` is read anew by each batch and adds its columns; changes of keys that even then
+    it doesn't hold are left out (ST1).  Tombstones stay for good; ``sessions.fold_with_ends`` ends them.
     """
     spark = stream.sparkSession
     root = location or shared_path(spark, name)
-    folded = newest(stream, key, keep)
+    folded, table = newest(stream, key, keep), KeyedTable(spark, f"{root}/table", key, every)
 
     def joined(rows: DataFrame) -> DataFrame:
         return rows if snapshot is None else rows.join(snapshot(), key)
 
-    def write(batch: DataFrame, number: int) -> None:
-        joined(batch).write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
-
-    query = folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    empty = joined(spark.createDataFrame([], folded.schema))
-    spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(f"{root}/changes/batch=-1")
-    changes = spark.read.parquet(f"{root}/changes")
-    last = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in empty.columns if c != key]), "batch").alias("row"))
-    return last.select(key, "row.*").where("kind <> 'removed'")
-
-
-def presence_changes(stream: DataFrame, key: str) -> DataFrame:
-    """ST8: (key, event_ts, seq, step) for each event that makes a key present (1) or absent (-1), of a stream in order of time.
-
-    The state is one bit a key; a task holds a key's events of one batch, whose size the stream bounds.
-    """
-
-    def turn(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        here = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(list(parts)).sort_values(["event_ts", "seq"])
-        there = rows["kind"].ne("removed")
-        changed = there.ne(there.shift(fill_value=here))
-        state.update((bool(there.iloc[-1]),))
-        found = rows[changed]
-        yield pd.DataFrame({"key": keys[0], "event_ts": found["event_ts"], "seq": found["seq"], "step": there[changed].astype("int64") * 2 - 1})
-
-    grouped = stream.select(F.col(key).alias("key"), "event_ts", "seq", "kind").groupBy("key")
-    return grouped.applyInPandasWithState(turn, "key long, event_ts timestamp, seq long, step long", "here boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_changes(sessions: DataFrame) -> DataFrame:
-    """ST9: (moment, step): by how many the live sessions change at each moment, of rows with ``started`` and ``ended``."""
-    ends = F.explode(F.array(F.struct(F.col("started").alias("moment"), F.lit(1).alias("step")), F.struct(F.col("ended").alias("moment"), F.lit(-1).alias("step")))).alias("e")
-    return sessions.select(ends).groupBy("e.moment").agg(F.sum("e.step").alias("step"))
+    drained(folded.writeStream.outputMode("update").foreachBatch(lambda batch, number: table.put(joined(batch), number)).option("checkpointLocation", f"{root}/checkpoint"))
+    found = table.rows()
+    found = joined(spark.createDataFrame([], folded.schema)) if found is None else found
+    return found.where("kind <> 'removed'")
 
 
 def completed_once(stream: DataFrame, key: str) -> DataFrame:
@@ -150,24 +96,39 @@ def waiting(rows: DataFrame) -> DataFrame:
     return rows.withColumn("waiting", F.coalesce(F.col("done"), F.lit(0)) <= 0)
 
 
-def route(stream: DataFrame, topics: list[str]) -> DataFrame:
-    """ST11: events of allowed topics, one partition each."""
-    return run_to_table(stream.where(F.col("event_type").isin(topics)), "event_type")
+def route(stream: DataFrame, prefix: str) -> DataFrame:
+    """ST11: messages (topic, seq, payload) of the topics that start with ``prefix``, with their payload as it came, a partition per topic.
 
+    The payload is a variant: its fields can be read by path, and it needs no schema.
+    """
+    kept = stream.where(F.col("topic").startswith(prefix))
+    return run_to_table(kept.select("topic", "seq", F.try_parse_json("payload").alias("payload")), "topic")
 
-def failure_alarm(stream: DataFrame, key: str, limit: int) -> DataFrame:
-    """ST5: an alarm each time a key reaches ``limit`` failures in a row; the state is one counter per key."""
 
-    def count(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        found = []
-        rows = pd.concat(list(parts)).sort_values(["event_ts", "seq"])
-        for failed, seq in zip(rows["failed"], rows["seq"], strict=True):
-            run = run + 1 if failed else 0
-            if run == limit:
-                found.append((keys[0], int(seq)))
-        state.update((run,))
-        yield pd.DataFrame(found, columns=["key", "seq"])
+def failure_alarm(events: OrderedEvents, made: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """ST5: (key, seq) each time a key reaches ``limit`` failures in a row; ``made`` gives key, event_ts, seq and failed.
 
-    grouped = stream.select(F.col(key).alias("key"), "event_ts", "seq", "failed").groupBy("key")
-    return grouped.applyInPandasWithState(count, "key long, seq long", "run int", "append", GroupStateTimeout.NoTimeout)
+    A batch is summed by ranges of (key, time), so a key of any number of events is many tasks; between batches each key
+    keeps the length of its last run.
+    """
+    spark, root = events.spark, shared_path(events.spark, "alarm")
+    runs = KeyedTable(spark, f"{root}/runs", "key")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select("key", "event_ts", "seq", F.col("failed").cast("long").alias("bad"), (1 - F.col("failed").cast("long")).alias("good"))
+        order = ["event_ts", "seq"]
+        islands = running(rows, ["key"], order, {"island": "good"}, SUM)
+        placed = running(islands, ["key", "island"], order, {"n": "bad"}, SUM)
+        before = runs.rows(number - 1)
+        placed = placed.withColumn("run", F.lit(None).cast("long")) if before is None else placed.join(before, "key", "left")
+        # A run that is open since the batches before goes on until the first success.
+        placed = placed.withColumn("n", F.col("n") + F.when(F.col("island") == 0, F.coalesce("run", F.lit(0))).otherwise(0)).drop("run")
+        placed.write.mode("overwrite").parquet(f"{root}/placed/batch={number}")
+        placed = spark.read.parquet(f"{root}/placed/batch={number}")
+        placed.where((F.col("bad") == 1) & (F.col("n") == limit)).select("key", "seq").write.mode("overwrite").parquet(f"{root}/alarms/batch={number}")
+        last = F.max_by(F.when(F.col("bad") == 1, F.col("n")).otherwise(0), F.struct(*order))
+        runs.put(placed.groupBy("key").agg(last.cast("long").alias("run")), number)
+
+    events.feed(lambda stream: made(stream).writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint"))
+    empty = made(events.stream()).select("key", "seq").schema
+    return spark.read.schema(empty).parquet(f"{root}/alarms").select("key", "seq") if runs.numbers("changes") else spark.createDataFrame([], empty)

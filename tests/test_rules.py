@@ -141,7 +141,7 @@ def test_running_values_of_a_hot_group(spark, many_ranges):
     assert R.ranged(table, "g", "k").where("g = 'a'").select("block").distinct().count() > 1
     for reverse in (False, True):
         for kind in (R.SUM, R.LAST, R.LEAST):
-            got = {r.k: r.w for r in R.running(table, ["g"], ["k"], "v", "w", kind, reverse).collect()}
+            got = {r.k: r.w for r in R.running(table, ["g"], ["k"], {"w": "v"}, kind, reverse).collect()}
             for g, k, _ in rows:
                 seen = [v for h, j, v in rows if h == g and v is not None and (j >= k if reverse else j <= k)]
                 want = sum(seen) if kind == R.SUM else None if not seen else min(seen) if kind == R.LEAST else seen[0] if reverse else seen[-1]
