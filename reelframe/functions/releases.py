@@ -95,7 +95,8 @@ def size_display(title: Column) -> Column:
 
 def size_bytes(display: Column) -> Column:
     number, unit = F.substring_index(display, " ", 1).try_cast("double"), F.upper(F.substring_index(display, " ", -1))
-    return F.floor(number * weigh(unit, {name: float(value) for name, value in UNITS.items()}, None)).cast("bigint")
+    size = F.floor(number * weigh(unit, {name: float(value) for name, value in UNITS.items()}, None)).cast("bigint")
+    return F.when(size < 0, 0).otherwise(size)
 
 
 def named_resolution(low_binge: Column, low_name: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reelframe.operators.running import SUM, running
+
 FILE = ["info_hash", "file_idx"]
 
 
@@ -146,6 +148,10 @@ def oldest_below(rows: DataFrame, priority: Column, threshold: int) -> DataFrame
 
 
 def renumbered(members: DataFrame, order: DataFrame) -> DataFrame:
-    """WN9: positions from an ordered list of ids per collection; members not in the list keep theirs."""
-    listed = order.select("collection_slug", F.posexplode("ids").alias("new_position", "media_id"))
+    """WN9: positions from 0 by the ``place`` that ``order`` (collection_slug, media_id, place) gives; members that it lacks keep theirs.
+
+    Places are counted over ranges, so a collection may have any number of members; an id that is listed twice takes its last place.
+    """
+    counted = running(order.withColumn("_one", F.lit(1)), ["collection_slug"], ["place"], {"_count": "_one"}, SUM)
+    listed = counted.groupBy("collection_slug", "media_id").agg((F.max("_count") - 1).alias("new_position"))
     return members.join(listed, ["collection_slug", "media_id"], "left").withColumn("position", F.coalesce("new_position", "position")).drop("new_position")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelframe.operators import library as L, mutations as M, storage as S
 from reelframe.plans.registry import query
+from reelframe.sources.buckets import BucketedTable
 from reelframe.sources.carriers import carrier, given, with_carriers
+from reelframe.sources.workspace import shared_path
 
 MEMBERS = "SELECT 'r' || cast(n_regionkey AS varchar(20)) AS collection_slug, c_custkey % 2100 AS media_id, c_nationkey AS position, c_custkey AS added_at FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
@@ -178,7 +180,7 @@ def queue_evict(spark, sf_dir):
 )
 def renumber(spark, sf_dir):
     base = members(spark, sf_dir).groupBy("collection_slug", "media_id").agg(F.min("position").cast("bigint").alias("position"))
-    order = base.where("media_id % 3 <> 0").groupBy("collection_slug").agg(F.sort_array(F.collect_set("media_id"), asc=False).alias("ids"))
+    order = base.where("media_id % 3 <> 0").select("collection_slug", "media_id", (-F.col("media_id")).alias("place"))
     return L.renumbered(base, order)
 
 
@@ -200,6 +202,15 @@ def upsert_overwrite(spark, sf_dir):
     return M.upsert(_base(spark, sf_dir), _new(spark, sf_dir), ["info_hash", "file_idx"], "created_at")
 
 
+@query("upsert_bucketed", sql(f"SELECT * FROM {_NEW} WHERE id % 5 = 0 UNION ALL SELECT * FROM {_BASE} b WHERE b.id % 2 <> 0 OR b.id % 5 <> 0"))
+def upsert_bucketed(spark, sf_dir):
+    """DM1, DM3 on a stored table in buckets, of which only those that change are written anew."""
+    table = BucketedTable(spark, shared_path(spark, "bucketed"), ["info_hash", "file_idx"], 32)
+    table.create(_base(spark, sf_dir))
+    table.merge(_new(spark, sf_dir).where("id % 5 = 0"), "created_at")
+    return table.read()
+
+
 @query("insert_absent", sql(f"SELECT * FROM {_BASE} UNION ALL SELECT * FROM {_NEW} n WHERE n.id % 3 = 0"))
 def insert_absent(spark, sf_dir):
     return M.insert_absent(_base(spark, sf_dir), _new(spark, sf_dir), ["info_hash", "file_idx"])

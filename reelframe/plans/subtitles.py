@@ -163,13 +163,17 @@ def subtitle_corpus(spark, sf_dir):
     return O.explode_cues(subtitle_files(spark, path)).select("idx", "start", "end", "text")
 
 
-@query("storage_listing", "SELECT DISTINCT event_type, true AS holds_bytes FROM events")
+@query("storage_listing", "SELECT c_nationkey::bigint AS nation, c_mktsegment AS segment, 1::bigint AS n_files, sum(strlen(c_name) + 1)::bigint AS bytes, 2::bigint AS depth FROM customer GROUP BY ALL")
 def storage_listing(spark, sf_dir):
-    """SC9: the regular files of a stored table, by folder; their content isn't read."""
+    """SC9: the regular files of a tree of folders that was written before, with their bytes and depth; their content isn't read."""
     path = shared_path(spark, "storage")
-    given(spark, sf_dir, "events").write.partitionBy("event_type").parquet(path)
-    files = storage_files(spark, path).withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
-    return files.where("event_type <> ''").groupBy("event_type").agg((F.sum("length") > 0).alias("holds_bytes"))
+    rows = given(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", F.col("c_name").alias("value"))
+    rows.repartition("c_nationkey", "c_mktsegment").write.partitionBy("c_nationkey", "c_mktsegment").text(path)
+    below = F.split(F.regexp_extract("path", f"/{path.rsplit('/', 1)[1]}/(.*)", 1), "/")
+    files = storage_files(spark, path).select("length", below.alias("names")).where("size(names) > 1")
+    value = lambda k: F.url_decode(F.substring_index(F.col("names")[k], "=", -1))
+    grouped = files.groupBy(value(0).cast("long").alias("nation"), value(1).alias("segment"))
+    return grouped.agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), (F.max(F.size("names")) - 1).cast("long").alias("depth"))
 
 
 def _tracks(spark, sf_dir):

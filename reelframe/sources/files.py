@@ -19,18 +19,34 @@ def storage_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "length", "modificationTime")
 
 
-def listing_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """SC2: documents of all sources as (source_idx, source_url, json), and the sources that couldn't be read."""
-    found, failed = [], []
+#: Files that turn out to be damaged or gone while they are read are left out.
+TOLERANT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+
+
+def listing_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """SC2: documents of all sources as (source_idx, source_url, json), and what each source gave.
+
+    A source may be missing, and its files may be damaged or vanish while they are read; the others still give
+    their rows.  The report is (source_idx, source_url, n_files, n_read), of which files that were found and read;
+    it counts files by their metadata, and is true when it is run.
+    """
+    found, listed = [], []
+    source = lambda k, path: [F.lit(k).alias("source_idx"), F.lit(path).alias("source_url")]
     for k, path in enumerate(paths):
         try:
-            rows = spark.read.text(path, wholetext=True)
+            rows = spark.read.options(**TOLERANT).text(path, wholetext=True)
+            files = spark.read.options(**TOLERANT).format("binaryFile").load(path)
         except AnalysisException:
-            failed.append(path)
             continue
-        found.append(rows.select(F.lit(k).alias("source_idx"), F.lit(path).alias("source_url"), F.col("value").alias("json")))
-    empty = spark.createDataFrame([], "source_idx int, source_url string, json string")
-    return reduce(DataFrame.unionByName, found, empty), failed
+        found.append(rows.select(*source(k, path), F.input_file_name().alias("file"), F.col("value").alias("json")))
+        listed.append(files.select(*source(k, path), F.lit(1).alias("there")))
+    documents = reduce(DataFrame.unionByName, found, spark.createDataFrame([], "source_idx int, source_url string, file string, json string"))
+    there = reduce(DataFrame.unionByName, listed, spark.createDataFrame([], "source_idx int, source_url string, there int"))
+    asked = spark.createDataFrame(list(enumerate(paths)), "source_idx int, source_url string")
+    read = documents.groupBy("source_idx").agg(F.count("*").alias("n_read"))
+    files = there.groupBy("source_idx").agg(F.count("*").alias("n_files"))
+    report = asked.join(files, "source_idx", "left").join(read, "source_idx", "left").na.fill(0, ["n_files", "n_read"])
+    return documents.drop("file"), report.select("source_idx", "source_url", "n_files", "n_read")
 
 
 def write_vtt(lines: DataFrame, path: str) -> None:

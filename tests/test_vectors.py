@@ -18,6 +18,7 @@ def test_seeders(spark):
 
 def test_size(spark):
     texts = ["💾 1.5 GB ⚙️", "💾 abc GB\n💾 2 PB z", "none"]
+    assert values(spark, lambda t: R.size_bytes(R.size_display(t)), "💾 -5 GB x", "💾 1 kb") == [0, 1024]
     assert values(spark, lambda t: R.size_bytes(R.size_display(t)), *texts) == [1610612736, None, None]
     assert values(spark, R.size_display, *texts) == ["1.5 GB", "2 PB", None]
 
@@ -123,18 +124,37 @@ def test_files(spark, tmp_path):
     (tmp_path / "a" / "x.srt").write_text("1\n2")
     assert [r.content for r in subtitle_files(spark, str(tmp_path)).collect()] == ["1\n2"]
     assert [r.length for r in storage_files(spark, str(tmp_path)).collect()] == [3]
+    (tmp_path / "a" / "b" / "c").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "c" / "deep.bin").write_bytes(b"12345")
+    (tmp_path / "top.bin").write_bytes(b"")
+    (tmp_path / "empty").mkdir()
+    found = {r.path.split("/")[-1]: r.length for r in storage_files(spark, str(tmp_path)).collect()}
+    assert found == {"x.srt": 3, "deep.bin": 5, "top.bin": 0}
 
 
 def test_sources_that_fail_are_left_out(spark, tmp_path):
+    import gzip
+
     from reelframe.operators.catalogue import listing_rows, unreadable
     from reelframe.sources.files import listing_sources
 
     (tmp_path / "a.json").write_text('{"streams":[{"infoHash":"h1","name":"n"},{"name":"no hash"}]}')
     (tmp_path / "b.json").write_text("broken")
-    documents, failed = listing_sources(spark, [str(tmp_path / "a.json"), str(tmp_path / "none.json"), str(tmp_path / "b.json")])
-    assert failed == [str(tmp_path / "none.json")]
-    assert [(r.source_idx, r.info_hash, r.file_idx, r.title) for r in listing_rows(documents, "json", "source_idx").collect()] == [(0, "h1", 0, "")]
+    (tmp_path / "c").mkdir()
+    whole = gzip.compress(b'{"streams":[{"infoHash":"h2"}' + b" " * 50_000 + bytes(range(256)) * 200)
+    (tmp_path / "c" / "cut.json.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "c" / "good.json").write_text('{"streams":[{"infoHash":"h3"}]}')
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "gone.json").write_text("{}")
+    paths = [str(tmp_path / p) for p in ("a.json", "none.json", "b.json", "c", "d")]
+    documents, report = listing_sources(spark, paths)
+    # After the plan was made, a file vanishes.
+    (tmp_path / "d" / "gone.json").unlink()
+    assert [(r.source_idx, r.info_hash, r.file_idx, r.title) for r in listing_rows(documents, "json", "source_idx").orderBy("source_idx").collect()] == [(0, "h1", 0, ""), (3, "h3", 0, "")]
     assert [r.source_idx for r in unreadable(documents, "json").collect()] == [2]
+    found = {r.source_idx: (r.source_url, r.n_files, r.n_read) for r in report.collect()}
+    assert {k: v[1:] for k, v in found.items() if k != 4} == {0: (1, 1), 1: (0, 0), 2: (1, 1), 3: (2, 1)} and found[4][2] == 0
+    assert [found[k][0] for k in range(5)] == paths
 
 
 def test_vtt_files(spark, tmp_path):
