@@ -14,7 +14,7 @@ def subtitle_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def storage_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime) of regular files below ``path``; their content is never read."""
+    """(path, length, modificationTime) of regular files below ``path``; their content is never read, and empty ones are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
     return rows.select("path", "length", "modificationTime")
 
