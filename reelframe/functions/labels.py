@@ -75,8 +75,8 @@ def human_bytes(n: Column) -> Column:
 
 
 def server_bytes(n: Column) -> Column:
-    """The server's short form: GB with one place, else whole MB."""
-    giga, mega = F.format_string("%.1f GB", n / float(1024**3)), F.format_string("%.0f MB", n / float(1024**2))
+    """The server's short form: GB with one place, else whole MB; halves go to the even digit."""
+    giga, mega = F.format_string("%.1f GB", F.bround(n / float(1024**3), 1)), F.format_string("%.0f MB", F.bround(n / float(1024**2)))
     return F.when(n >= 1024**3, giga).otherwise(mega)
 
 
@@ -93,35 +93,54 @@ def ratio(progress: Column, duration: Column) -> Column:
 
 
 def runtime_label(minutes: Column) -> Column:
+    """None for an unknown runtime or one of 0."""
     hours, rest = F.floor(minutes / 60).cast("string"), (minutes % 60).cast("string")
-    return F.when(minutes >= 60, F.concat(hours, F.lit("h "), rest, F.lit("min"))).otherwise(F.concat(rest, F.lit("min")))
+    return F.when(minutes >= 60, F.concat(hours, F.lit("h "), rest, F.lit("min"))).when(minutes != 0, F.concat(rest, F.lit("min")))
 
 
 def release_year(date: Column) -> Column:
     return F.left(date, F.lit(4))
 
 
-def airing_label(date: Column, as_of: Column) -> Column:
-    """``as_of`` in seconds since the epoch; dates at midnight UTC; null for what is no date."""
+def airing_label(date: Column, as_of: Column, season: Column, episode: Column) -> Column:
+    """When an episode airs or that it did; ``as_of`` in seconds since the epoch, dates at midnight UTC; null for what is no date."""
     at = F.unix_timestamp(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")))
     left = at - as_of
     days, hours, minutes = F.floor(left / 86400), F.floor(left % 86400 / 3600), F.floor(left % 3600 / 60)
     text = lambda *p: F.concat(*[x.cast("bigint").cast("string") if isinstance(x, Column) else F.lit(x) for x in p])
+    return F.concat(F.lit("S"), season.cast("string"), F.lit("E"), episode.cast("string"), F.lit(" "), _airs(left, text, days, hours, minutes))
+
+
+def _airs(left: Column, text, days: Column, hours: Column, minutes: Column) -> Column:
     return F.when(left <= 0, "aired").when(days > 0, text("in ", days, "d ", hours, "h")).when(hours > 0, text("in ", hours, "h ", minutes, "m")).when(left > 0, text("in ", F.greatest(F.lit(1), minutes), "m"))
 
 
-def entry_title(orphan: Column, info_hash: Column, title: Column, season: Column, episode: Column) -> Column:
+def entry_title(orphan: Column, info_hash: Column, title: Column, series: Column, season: Column, episode: Column) -> Column:
+    """Only a series has season and episode in its title, and only where both are known and not 0."""
     two = lambda n: F.when(n >= 10, n.cast("string")).otherwise(F.lpad(n.cast("string"), 2, "0"))
-    part = F.when((season > 0) & (episode > 0), F.concat(F.lit(" · S"), two(season), F.lit("E"), two(episode))).otherwise("")
+    part = F.when(series & (season != 0) & (episode != 0), F.concat(F.lit(" · S"), two(season), F.lit("E"), two(episode))).otherwise("")
     return F.when(orphan, F.concat(F.lit("Orphaned ("), F.left(info_hash, F.lit(12)), F.lit("…)"))).otherwise(F.concat(F.coalesce(title, F.lit("Untitled")), part))
 
 
 def display_title(title: Column, name: Column, info_hash: Column) -> Column:
-    return F.coalesce(title, name, F.left(info_hash, F.lit(10)))
+    """The title, else the name, else the start of the hash; empty ones count as none."""
+    known = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(known(title), known(name), F.concat(F.left(info_hash, F.lit(10)), F.lit("…")))
+
+
+def episode_label(season: Column, episode: Column) -> Column:
+    return F.concat(F.lit("S"), season.cast("string"), F.lit("E"), episode.cast("string"))
 
 
 def description(*parts: Column) -> Column:
-    return F.nullif(F.concat_ws(" · ", *parts), F.lit(""))
+    """The known, non-empty parts; null if there is none."""
+    return F.nullif(F.concat_ws(" · ", *[F.nullif(p, F.lit("")) for p in parts]), F.lit(""))
+
+
+def release_description(codec: Column, audio: Column, source_type: Column, hdr: Column, imax: Column, seeders: Column, status: Column) -> Column:
+    """FN9 of a release: what it is, how many seed it, and the state of its download."""
+    seeds = F.concat(seeders.cast("string"), F.lit(" seeds"))
+    return description(codec, audio, source_type, F.when(hdr, "HDR"), F.when(imax, "IMAX"), seeds, status_label(status, DOWNLOAD_LABELS))
 
 
 def slugify(text: Column) -> Column:

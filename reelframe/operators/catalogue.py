@@ -46,15 +46,16 @@ def first_wins(rows: DataFrame) -> DataFrame:
 
 
 def flatten_titles(documents: DataFrame, text: str, kind: str) -> DataFrame:
-    """SC3, PF2-PF4: both variants in one schema."""
+    """SC3, PF2-PF4: both variants in one schema, each by its own fields: a film's title, runtime and id are not a series'."""
+    film = F.col("media_type") == "movie"
     d = documents.select(F.col(kind).alias("media_type"), F.from_json(text, TITLE_SCHEMA).alias("d")).select("media_type", "d.*")
     return d.select(
         "id",
         "media_type",
-        F.coalesce("title", "name", F.lit("")).alias("title"),
+        F.coalesce(F.when(film, F.col("title")).otherwise(F.col("name")), F.lit("")).alias("title"),
         F.regexp_replace("tagline", r"\.+$", "").alias("tagline"),
-        F.coalesce("runtime", F.get("episode_run_time", F.lit(0))).alias("runtime"),
-        F.coalesce("imdb_id", "external_ids.imdb_id").alias("imdb_id"),
+        F.when(film, F.col("runtime")).otherwise(F.get("episode_run_time", F.lit(0))).alias("runtime"),
+        F.when(film, F.col("imdb_id")).otherwise(F.col("external_ids.imdb_id")).alias("imdb_id"),
         F.transform(F.slice(F.coalesce("credits.cast", F.array()), 1, CAST), lambda p: p["name"]).alias("cast"),
         F.transform(F.filter("credits.crew", lambda p: p["job"] == "Director"), lambda p: p["name"]).alias("directors"),
         F.filter("seasons", lambda s: (s["season_number"] > 0) & (s["episode_count"] > 0)).alias("seasons"),

@@ -93,14 +93,17 @@ def closed_chapters(chapters: DataFrame) -> DataFrame:
 
 
 def chapter_at(chapters: DataFrame, points: DataFrame) -> DataFrame:
-    """JN12, WN10: the chapter that holds t, else the last, and how far t is into it; files of several chapters only."""
+    """JN12, WN10: the chapter that holds t, else the last once it has begun, and how far t is into it.
+
+    Only files of several chapters and of known duration show any; a moment between chapters has none (null).
+    """
     whole, order = F.struct("title", "start_s", "end_s"), F.struct("start_s", "title")
-    many = chapters.groupBy("file_id").agg(F.count("*").alias("n"), F.max_by(whole, order).alias("last")).where("n > 1")
+    many = chapters.groupBy("file_id").agg(F.count("*").alias("n"), F.max("duration_s").alias("duration"), F.max_by(whole, order).alias("last")).where("n > 1 AND duration > 0")
     held = (F.col("t") >= F.col("start_s")) & (F.col("t") < F.col("end_s"))
     inside = points.join(chapters, "file_id").where(held).groupBy("file_id", "t").agg(F.min_by(whole, order).alias("inside"))
-    found = points.join(many, "file_id").join(inside, ["file_id", "t"], "left").select("file_id", "t", F.coalesce("inside", "last").alias("c"))
+    found = points.join(many, "file_id").join(inside, ["file_id", "t"], "left").select("file_id", "t", F.coalesce("inside", F.when(F.col("t") >= F.col("last.start_s"), F.col("last"))).alias("c"))
     span = F.col("c.end_s") - F.col("c.start_s")
-    part = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("c.start_s")) / F.nullif(span, F.lit(0))))).otherwise(0.0)
+    part = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("c.start_s")) / F.nullif(span, F.lit(0))))).when(span.isNotNull(), 0.0)
     return found.select("file_id", "t", F.col("c.title").alias("title"), F.round(part, 6).alias("fraction"))
 
 

@@ -75,10 +75,10 @@ def chapters_closed(spark, sf_dir):
 
 @query(
     "chapter_at",
-    f"""WITH c AS {_CLOSED}, m AS (SELECT file_id, arg_max(struct_pack(title, start_s, end_s), (start_s, title)) AS last FROM c GROUP BY file_id HAVING count(*) > 1),
+    f"""WITH c AS {_CLOSED}, m AS (SELECT file_id, arg_max(struct_pack(title, start_s, end_s), (start_s, title)) AS last FROM c GROUP BY file_id HAVING count(*) > 1 AND max(duration_s) > 0),
     p AS (SELECT file_id, last, unnest([3, 19, 64])::bigint AS t FROM m), h AS (SELECT p.file_id, p.t, arg_min(struct_pack(title, start_s, end_s), (start_s, title)) AS c FROM p JOIN c ON c.file_id = p.file_id AND p.t >= start_s AND p.t < end_s GROUP BY ALL),
-    f AS (SELECT p.file_id, p.t, coalesce(h.c, p.last) AS c FROM p LEFT JOIN h ON h.file_id = p.file_id AND h.t = p.t)
-    SELECT file_id, t, c.title AS title, round(CASE WHEN c.end_s > c.start_s THEN greatest(0::double, least(1::double, (t - c.start_s) / (c.end_s - c.start_s)::double)) ELSE 0::double END, 6) AS fraction FROM f""",
+    f AS (SELECT p.file_id, p.t, coalesce(h.c, CASE WHEN p.t >= p.last.start_s THEN p.last END) AS c FROM p LEFT JOIN h ON h.file_id = p.file_id AND h.t = p.t)
+    SELECT file_id, t, c.title AS title, round(CASE WHEN c.end_s > c.start_s THEN greatest(0::double, least(1::double, (t - c.start_s) / (c.end_s - c.start_s)::double)) WHEN c IS NOT NULL THEN 0::double END, 6) AS fraction FROM f""",
 )
 def chapter_at(spark, sf_dir):
     chapters = T.closed_chapters(_chapters(spark, sf_dir))

@@ -58,7 +58,7 @@ def _title_json(spark, sf_dir):
     part = given(spark, sf_dir, "part")
     c = lambda x: F.col(x).cast("string") if isinstance(x, str) else F.lit(x)
     text = F.concat(
-        F.lit('{"id":'), c("p_partkey"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(',"title":"'), c("p_name"), F.lit('","runtime":'), c("p_size"))).otherwise(F.concat(F.lit(',"name":"'), c("p_name"), F.lit('","episode_run_time":['), c("p_size"), F.lit(",99]"))),
+        F.lit('{"id":'), c("p_partkey"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(',"title":"'), c("p_name"), F.lit('","imdb_id":"im'), c("p_partkey"), F.lit('","runtime":'), c("p_size"))).otherwise(F.concat(F.lit(',"name":"'), c("p_name"), F.lit('","episode_run_time":['), c("p_size"), F.lit(",99]"))),
         F.lit(',"tagline":"'), c("p_brand"), F.lit('...","external_ids":{"imdb_id":"tt'), c("p_partkey"), F.lit('"},"unknown":1,"credits":{"cast":[{"id":1,"name":"A"},{"id":2,"name":"'), c("p_type"),
         F.lit('"}],"crew":[{"id":3,"name":"D","job":"Director"},{"id":4,"name":"W","job":"Writer"}]},"seasons":[{"season_number":0,"name":"S0","episode_count":3},{"season_number":1,"name":"S1","episode_count":'), c("p_size"), F.lit("}]}"),
     )
@@ -67,7 +67,7 @@ def _title_json(spark, sf_dir):
 
 @query(
     "title_flatten",
-    """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'movie' ELSE 'tv' END AS media_type, p_name AS title, p_brand AS tagline, p_size AS runtime, 'tt' || p_partkey AS imdb_id,
+    """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'movie' ELSE 'tv' END AS media_type, p_name AS title, p_brand AS tagline, p_size AS runtime, CASE WHEN p_size % 2 = 0 THEN 'im' ELSE 'tt' END || p_partkey AS imdb_id,
     'A,' || p_type AS "cast", 'D' AS directors, 1 AS n_seasons FROM part""",
 )
 def title_flatten(spark, sf_dir):
@@ -279,9 +279,9 @@ def pairing(spark, sf_dir):
     "scalar_labels",
     sql("""WITH d AS (SELECT * FROM {downloads}) SELECT id,
       CASE WHEN total_bytes >= 1073741824 THEN printf('%.1f', total_bytes / 1073741824::double) || ' GB' WHEN total_bytes >= 1048576 THEN printf('%.0f', total_bytes / 1048576::double) || ' MB' WHEN total_bytes >= 1024 THEN printf('%.0f', total_bytes / 1024::double) || ' KB' ELSE total_bytes || ' B' END AS size,
-      CASE WHEN id % 300 >= 60 THEN id % 300 // 60 || 'h ' || id % 300 % 60 || 'min' ELSE id % 300 || 'min' END AS runtime, left(created_at::varchar, 4) AS year,
-      CASE WHEN id % 4 = 0 THEN 'Orphaned (' || left(info_hash, 12) || '…)' ELSE coalesce(CASE WHEN id % 5 <> 0 THEN name END, 'Untitled') || CASE WHEN file_idx > 0 THEN ' · S0' || file_idx || 'E' || CASE WHEN id % 20 + 1 < 10 THEN '0' || (id % 20 + 1) ELSE (id % 20 + 1)::varchar END ELSE '' END END AS entry,
-      coalesce(CASE WHEN id % 5 = 0 THEN NULL ELSE name END, left(info_hash, 10)) AS display, nullif(concat_ws(' · ', CASE WHEN id % 2 = 0 THEN status END, CASE WHEN id % 3 = 0 THEN name END), '') AS description,
+      CASE WHEN id % 300 >= 60 THEN id % 300 // 60 || 'h ' || id % 300 % 60 || 'min' WHEN id % 300 > 0 THEN id % 300 || 'min' END AS runtime, left(created_at::varchar, 4) AS year,
+      CASE WHEN id % 4 = 0 THEN 'Orphaned (' || left(info_hash, 12) || '…)' ELSE coalesce(CASE WHEN id % 5 <> 0 THEN name END, 'Untitled') || CASE WHEN file_idx > 0 AND id % 7 <> 0 THEN ' · S0' || file_idx || 'E' || CASE WHEN id % 20 + 1 < 10 THEN '0' || (id % 20 + 1) ELSE (id % 20 + 1)::varchar END ELSE '' END END AS entry,
+      coalesce(CASE WHEN id % 5 = 0 THEN NULL ELSE name END, left(info_hash, 10) || '…') AS display, nullif(concat_ws(' · ', CASE WHEN id % 2 = 0 THEN status END, CASE WHEN id % 3 = 0 THEN name END), '') AS description,
       regexp_replace(regexp_replace(lower('--' || name || '!!x'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE file_idx WHEN 0 THEN 'eng' WHEN 1 THEN 'ger' ELSE 'xx' END AS language,
       CASE file_idx WHEN 0 THEN 'Mono' WHEN 1 THEN 'Stereo' END AS channels, CASE WHEN id % 2500 <= 576 THEN 5000 WHEN id % 2500 <= 720 THEN 9000 WHEN id % 2500 <= 1080 THEN 16000 WHEN id % 2500 <= 1440 THEN 25000 ELSE 40000 END AS bitrate,
       CASE status WHEN 'completed' THEN 'Downloaded' ELSE upper(left(status, 1)) || substr(status, 2) END AS status, 'pretranscoded/' || id || CASE WHEN id % 2 = 0 THEN '_audio_' ELSE '_full_' END || id % 3 || '.mp4' AS output, id AS parsed, replace(created_at::date::varchar, '-', '.') AS search_key,
@@ -298,8 +298,8 @@ def scalar_labels(spark, sf_dir):
         B.human_bytes(c("total_bytes")).alias("size"),
         B.runtime_label(i % 300).alias("runtime"),
         B.release_year(c("created_at").cast("string")).alias("year"),
-        B.entry_title(i % 4 == 0, h, F.when(i % 5 != 0, n), c("file_idx"), i % 20 + 1).alias("entry"),
-        B.display_title(F.when(i % 5 != 0, n), F.lit(None).cast("string"), h).alias("display"),
+        B.entry_title(i % 4 == 0, h, F.when(i % 5 != 0, n), i % 7 != 0, c("file_idx"), i % 20 + 1).alias("entry"),
+        B.display_title(F.when(i % 5 != 0, n), F.lit(""), h).alias("display"),
         B.description(F.when(i % 2 == 0, c("status")), F.when(i % 3 == 0, n)).alias("description"),
         B.slugify(F.concat(F.lit("--"), n, F.lit("!!x"))).alias("slug"),
         B.iso639(F.when(c("file_idx") == 0, "en").when(c("file_idx") == 1, "de").otherwise("xx"), B.LISTING_LANGUAGES).alias("language"),
@@ -321,12 +321,12 @@ def scalar_labels(spark, sf_dir):
 @query(
     "airing_labels",
     """WITH o AS (SELECT o_orderkey AS id, epoch(o_orderdate::date::timestamp)::bigint - 883612800 + o_orderkey % 7 * 3600 + 60 * (o_orderkey % 3) AS d FROM orders)
-    SELECT id, CASE WHEN d <= 0 THEN 'aired' WHEN d >= 86400 THEN 'in ' || d // 86400 || 'd ' || d % 86400 // 3600 || 'h' WHEN d >= 3600 THEN 'in ' || d // 3600 || 'h ' || d % 3600 // 60 || 'm' ELSE 'in ' || greatest(1, d // 60) || 'm' END AS label FROM o""",
+    SELECT id, 'S' || (id % 9 + 1) || 'E' || id % 24 || ' ' || CASE WHEN d <= 0 THEN 'aired' WHEN d >= 86400 THEN 'in ' || d // 86400 || 'd ' || d % 86400 // 3600 || 'h' WHEN d >= 3600 THEN 'in ' || d // 3600 || 'h ' || d % 3600 // 60 || 'm' ELSE 'in ' || greatest(1, d // 60) || 'm' END AS label FROM o""",
 )
 def airing_labels(spark, sf_dir):
     """FN6 as of some hours before 1998-01-01."""
     as_of = F.lit(883612800).cast("bigint") - F.col("o_orderkey") % 7 * 3600 - F.col("o_orderkey") % 3 * 60
-    return given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), B.airing_label(F.date_format("o_orderdate", "yyyy-MM-dd"), as_of).alias("label"))
+    return given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), B.airing_label(F.date_format("o_orderdate", "yyyy-MM-dd"), as_of, F.col("o_orderkey") % 9 + 1, F.col("o_orderkey") % 24).alias("label"))
 
 
 @query(

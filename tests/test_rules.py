@@ -189,3 +189,31 @@ def test_segments_of_a_hot_file(spark, many_ranges):
     asked = [(rng.choice([1, 1, 2]), rng.randrange(410) * 10**9 - 2_000_000) for _ in range(500)]
     found = sorted(tuple(r) for r in L.segment_of(starts, spark.createDataFrame(asked, "file_id int, t_ns long")).collect())
     assert found == sorted((f, t, max([k for k in range(100) if f == 1 and k * 4 * 10**9 <= t + 2_000_000], default=0)) for f, t in asked)
+
+
+def test_chapters_between_which_there_is_none(spark):
+    rows = [(1, 10, 20, "a", 60), (1, 30, 40, "b", 60), (2, 0, 9, "only", 60), (3, 0, 9, "a", None), (3, 9, 18, "b", None)]
+    chapters = spark.createDataFrame(rows, "file_id int, start_s int, end_s int, title string, duration_s long")
+    points = spark.createDataFrame([(f, t) for f in (1, 2, 3) for t in (5, 15, 25, 35, 50)], "file_id int, t int")
+    found = {(r.file_id, r.t): (r.title, r.fraction) for r in L.chapter_at(chapters, points).collect()}
+    assert found == {(1, 5): (None, None), (1, 15): ("a", 0.5), (1, 25): (None, None), (1, 35): ("b", 0.5), (1, 50): ("b", 1.0)}
+
+
+def test_labels_of_unknown_things(spark):
+    from reelframe.functions import labels as B
+
+    s = lambda *x: [F.lit(v).cast("string") for v in x]
+    row = spark.range(1).select(
+        B.display_title(*s("", None, "abcdefghijklm")).alias("a"), B.display_title(*s(None, "n", "abc")).alias("b"), B.runtime_label(F.lit(0)).alias("c"), B.runtime_label(F.lit(61)).alias("d"),
+        B.episode_label(F.lit(1), F.lit(2)).alias("e"), B.episode_label(F.lit(None).cast("int"), F.lit(2)).alias("f"), B.description(*s("", "x", None, "y")).alias("g"), B.description(*s("", None)).alias("h"),
+        B.release_description(*s("x265", None, ""), F.lit(True), F.lit(False), F.lit(0), F.lit("completed")).alias("i"), B.entry_title(F.lit(False), F.lit("h"), F.lit("T"), F.lit(False), F.lit(1), F.lit(2)).alias("j"),
+        B.entry_title(F.lit(False), F.lit("h"), F.lit(None).cast("string"), F.lit(True), F.lit(1), F.lit(12)).alias("k"), B.server_bytes(F.lit(2**19)).alias("l"), B.server_bytes(F.lit(3 * 2**19)).alias("m"), B.server_bytes(F.lit(5 * 2**28)).alias("n"),
+    ).first()
+    assert tuple(row) == ("abcdefghij…", "n", None, "1h 1min", "S1E2", None, "x · y", None, "x265 · HDR · 0 seeds · Downloaded", "T", "Untitled · S01E12", "0 MB", "2 MB", "1.2 GB")
+
+
+def test_titles_take_the_fields_of_their_kind(spark):
+    text = '{"id":1,"title":"Film","name":"Series","runtime":90,"episode_run_time":[45],"imdb_id":"tt1","external_ids":{"imdb_id":"tt2"},"tagline":"So.. it ends..."}'
+    rows = spark.createDataFrame([("movie", text), ("tv", text)], "kind string, json string")
+    found = {r.media_type: (r.title, r.runtime, r.imdb_id, r.tagline) for r in C.flatten_titles(rows, "json", "kind").collect()}
+    assert found == {"movie": ("Film", 90, "tt1", "So.. it ends"), "tv": ("Series", 45, "tt2", "So.. it ends")}

@@ -106,7 +106,8 @@ def test_palette_takes_no_bucket_twice(spark):
 
 def test_airing(spark):
     as_of = 1704110400  # 2024-01-01T12:00Z
-    assert values(spark, lambda t: B.airing_label(t, F.lit(as_of)), "2024-01-03", "2023-12-31", "soon") == ["in 1d 12h", "aired", None]
+    label = lambda t: B.airing_label(t, F.lit(as_of), F.lit(2), F.lit(11))
+    assert values(spark, label, "2024-01-03", "2023-12-31", "soon") == ["S2E11 in 1d 12h", "S2E11 aired", None]
 
 
 def test_chain_matches_fold(spark):
