@@ -148,19 +148,33 @@ def track_labels(jobs: DataFrame, tracks: DataFrame) -> DataFrame:
     return found.withColumn("label", F.coalesce(named, F.concat(F.lit("Track "), (F.col("audio_index") + 1).cast("string"))))
 
 
-def resumable_of_recent(history: DataFrame, most: int = 20) -> DataFrame:
-    """PF13: where films and episodes go on, looked up among the ``most`` newest rows of the history only.
+def title_positions(history: DataFrame) -> DataFrame:
+    """PF16, DM6: the history's row of each title, its last admitted heartbeat; one of a series needs its season and episode.
 
-    The history holds one row per title; a row of a series answers for its own season and episode.
+    A later episode takes the place of an earlier one.  Other columns of the heartbeat come along.
     """
-    newest = episode_positions(history).orderBy(F.desc("seq")).limit(most)
+    series = F.col("media_type") != "movie"
+    admitted = history.where((F.col("position") > 0) & (~series | (F.col("season").isNotNull() & F.col("episode").isNotNull())))
+    fields = [c for c in history.columns if c != "media_id"]
+    last = admitted.groupBy("media_id").agg(F.max_by(F.struct(*fields), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
+    return last.withColumns({c: F.when(F.col("media_type") != "movie", F.col(c)) for c in ("season", "episode")})
+
+
+def resumable(history: DataFrame) -> DataFrame:
+    """PF13: titles (of a series, the episode) that go on where they were, unless that is all but the end."""
+    return title_positions(history).where((F.col("duration") > 0) & (F.col("position") < F.col("duration") - RESUME_GUARD))
+
+
+def resumable_of_recent(history: DataFrame, most: int = 20) -> DataFrame:
+    """PF13: looked up among the ``most`` newest rows of the history only."""
+    newest = title_positions(history).orderBy(F.desc("seen_at"), F.desc("seq")).limit(most)
     return newest.where((F.col("duration") > 0) & (F.col("position") < F.col("duration") - RESUME_GUARD))
 
 
-def detail_resume(history: DataFrame) -> DataFrame:
-    """PF14: the newest position of a title whose file is known (``info_hash``); no guard at the end."""
-    usable = history.where(F.col("info_hash").isNotNull() & (F.col("position") > 0))
-    return usable.groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "info_hash"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
+def detail_resume(history: DataFrame, most: int = 20) -> DataFrame:
+    """PF14: among the ``most`` newest rows those whose file is known (``info_hash``, not empty); no guard at the end."""
+    newest = title_positions(history).orderBy(F.desc("seen_at"), F.desc("seq")).limit(most)
+    return newest.where("info_hash <> ''")
 
 
 def download_choices(rows: DataFrame) -> DataFrame:
@@ -171,17 +185,3 @@ def download_choices(rows: DataFrame) -> DataFrame:
 def latest_positions(history: DataFrame) -> DataFrame:
     """DM6: the last heartbeat of each title."""
     return history.where("position > 0").groupBy("media_id").agg(F.max_by(F.struct("seq", "position", "download_id"), F.struct("seen_at", "seq")).alias("r")).select("media_id", "r.*")
-
-
-def episode_positions(history: DataFrame) -> DataFrame:
-    """PF16: the last admitted heartbeat of each film or episode; one of a series needs its season and episode."""
-    series = F.col("media_type") != "movie"
-    admitted = history.where((F.col("position") > 0) & (~series | (F.col("season").isNotNull() & F.col("episode").isNotNull())))
-    keyed = admitted.withColumns({c: F.when(series, F.col(c)) for c in ("season", "episode")})
-    last = F.max_by(F.struct("seq", "position", "duration"), F.struct("seen_at", "seq")).alias("r")
-    return keyed.groupBy("media_id", "media_type", "season", "episode").agg(last).select("media_id", "media_type", "season", "episode", "r.*")
-
-
-def episode_resumes(history: DataFrame) -> DataFrame:
-    """PF13: where each film or episode goes on, unless its last position is all but the end."""
-    return episode_positions(history).where((F.col("duration") > 0) & (F.col("position") < F.col("duration") - RESUME_GUARD))

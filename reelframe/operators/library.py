@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reelframe.functions.labels import output_name
 from reelframe.operators.running import SUM, running
 
 FILE = ["info_hash", "file_idx"]
@@ -63,16 +64,43 @@ def nested(rows: DataFrame, name: str, present: Column, *fields: str) -> DataFra
     return rows.select(*[c for c in rows.columns if c not in fields], own)
 
 
-def membership(titles: DataFrame, members: DataFrame) -> DataFrame:
-    """JN6: whether any collection holds the title."""
-    held = members.select(F.col("media_id").alias("id"), F.lit(True).alias("held")).distinct()
-    return titles.join(held, "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+TITLE = ["media_type", "tmdb_id"]
 
 
-def cached_variant(jobs: DataFrame) -> DataFrame:
-    """JN7: of the finished jobs of a (download, audio track) the full one before the audio-only one."""
-    done = jobs.where("status = 'completed'")
-    return done.groupBy("download_id", "audio_index").agg(F.min_by(F.struct("id", "only_audio"), F.struct("only_audio", "id")).alias("job")).select("download_id", "audio_index", "job.*")
+def membership(asked: DataFrame, members: DataFrame, titles: DataFrame) -> DataFrame:
+    """JN6: whether the collection asked for holds the title asked for: (collection_slug, media_type, tmdb_id)."""
+    keys = ["collection_slug", *TITLE]
+    named = members.select("collection_slug", F.col("media_id").alias("id")).join(titles.select("id", *TITLE), "id")
+    held = named.select(*keys, F.lit(True).alias("held")).distinct()
+    return asked.join(held, keys, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def resolved(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """JN10: rows of (media_type, tmdb_id) with the ``media_id`` of that title, null where there is none."""
+    return asked.join(titles.select(F.col("id").alias("media_id"), *TITLE), TITLE, "left")
+
+
+def _finished(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Finished jobs, and whether their output is on disk."""
+    done = jobs.where("status = 'completed'").withColumn("path", output_name(F.col("download_id"), F.col("only_audio"), F.col("audio_index")))
+    return done.join(outputs.select("path", F.lit(True).alias("there")).distinct(), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def cached_variant(jobs: DataFrame, downloads: DataFrame, outputs: DataFrame) -> DataFrame:
+    """JN7: of the finished jobs of a file and audio track whose output is on disk, the full one before the audio-only one."""
+    there = _finished(jobs, outputs).where("there").join(downloads.select(F.col("id").alias("download_id"), *FILE), "download_id")
+    return there.groupBy(*FILE, "audio_index").agg(F.min_by(F.struct("id", "only_audio", "path"), F.struct("only_audio", "id")).alias("job")).select(*FILE, "audio_index", "job.*")
+
+
+def vanished_outputs(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """JN9: finished jobs whose output is gone, which fail when they are looked up.
+
+    An audio-only job is looked up only where no full one of its track has its output.
+    """
+    done = _finished(jobs, outputs)
+    whole = done.where("there AND NOT only_audio").select("download_id", "audio_index", F.lit(True).alias("whole")).distinct()
+    gone = done.where("NOT there").join(whole, ["download_id", "audio_index"], "left").where("NOT only_audio OR whole IS NULL")
+    return gone.select("id", "download_id", F.lit("failed").alias("status"))
 
 
 def without(table: DataFrame, other: DataFrame, left: Column, right: Column) -> DataFrame:
@@ -80,18 +108,25 @@ def without(table: DataFrame, other: DataFrame, left: Column, right: Column) ->
     return table.join(other, left == right, "left_anti")
 
 
+def with_output_bytes(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Jobs with the bytes of their output (``disk_bytes``), 0 where there is none."""
+    path = output_name(F.col("download_id"), F.col("only_audio"), F.col("audio_index"))
+    sized = outputs.groupBy("path").agg(F.sum("length").alias("disk_bytes"))
+    return jobs.withColumn("path", path).join(sized, "path", "left").withColumn("disk_bytes", F.coalesce("disk_bytes", F.lit(0))).drop("path")
+
+
 def library_entries(downloads: DataFrame, jobs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """SO2: one table of three kinds, flat."""
-    a = downloads.select(F.lit("download").alias("kind"), F.col("id").cast("string").alias("key"), F.col("total_bytes").alias("bytes"), "status")
-    b = jobs.select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("key"), F.col("total_ms"), "status")
+    """SO2: one table of three kinds, flat, with the bytes that each has on disk (``disk_bytes`` of downloads and jobs)."""
+    a = downloads.select(F.lit("download").alias("kind"), F.col("id").cast("string").alias("key"), F.col("disk_bytes").alias("bytes"), "status")
+    b = jobs.select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("key"), F.col("disk_bytes").alias("bytes"), F.col("total_ms"), "status")
     c = orphans.select(F.lit("orphan").alias("kind"), F.col("hash").alias("key"), "bytes")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
 def library_payloads(downloads: DataFrame, jobs: DataFrame, orphans: DataFrame) -> DataFrame:
     """SO2: one table of three kinds; each has a struct of its own, null in the others. ``media_type`` of downloads and jobs may be null."""
-    a = downloads.select(F.lit("download").alias("kind"), F.struct("id", "status", "total_bytes", "media_type").alias("download"), F.col("total_bytes").alias("bytes"))
-    b = jobs.select(F.lit("job").alias("kind"), F.struct("id", "status", "total_ms", "media_type").alias("job"))
+    a = downloads.select(F.lit("download").alias("kind"), F.struct("id", "status", "total_bytes", "media_type").alias("download"), F.col("disk_bytes").alias("bytes"))
+    b = jobs.select(F.lit("job").alias("kind"), F.struct("id", "status", "total_ms", "media_type").alias("job"), F.col("disk_bytes").alias("bytes"))
     c = orphans.select(F.lit("orphan").alias("kind"), F.struct("hash", "bytes").alias("orphan"), "bytes")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 

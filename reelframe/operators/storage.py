@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def located(files: DataFrame) -> DataFrame:
-    """Area and content directory from each path."""
+    """Area and content directory from each path; ``name`` as on disk, ``hash`` in lower case."""
     part = lambda k: F.regexp_extract("path", r"^/data/([a-z]+)/([^/]+)/", k)
-    return files.select(part(1).alias("area"), F.lower(part(2)).alias("hash"), "path", "length")
+    return files.select(part(1).alias("area"), part(2).alias("name"), F.lower(part(2)).alias("hash"), "path", "length")
 
 
 def dir_sizes(files: DataFrame) -> DataFrame:
@@ -16,10 +16,17 @@ def dir_sizes(files: DataFrame) -> DataFrame:
 
 
 def orphans(files: DataFrame, downloads: DataFrame) -> DataFrame:
-    """JN8: directories that no download names, letter case aside; sizes are summed before the join."""
-    sized = dir_sizes(files.where("path LIKE '/data/downloads/%'"))
+    """JN8: directories, by their name on disk, that no download names, letter case aside; sizes are summed before the join."""
+    sized = located(files.where("path LIKE '/data/downloads/%'")).groupBy("name", "hash").agg(F.sum("length").alias("bytes"))
     known = downloads.select(F.lower("info_hash").alias("hash")).distinct()
-    return sized.join(known, "hash", "left_anti").select("hash", "bytes")
+    return sized.join(known, "hash", "left_anti").select(F.col("name").alias("hash"), "bytes")
+
+
+def with_disk_bytes(downloads: DataFrame, files: DataFrame) -> DataFrame:
+    """Downloads with the bytes of their directory (``disk_bytes``), 0 where there is none; each of one hash has all of them."""
+    sized = located(files).where("area = 'downloads'").groupBy("hash").agg(F.sum("length").alias("_bytes"))
+    joined = downloads.join(sized, F.lower(downloads["info_hash"]) == sized["hash"], "left")
+    return joined.select(*[downloads[c] for c in downloads.columns], F.coalesce("_bytes", F.lit(0)).alias("disk_bytes"))
 
 
 def missing_files(downloads: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,13 +36,19 @@ def missing_files(downloads: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def rollup(files: DataFrame, downloads: DataFrame, meta: DataFrame, titles: DataFrame, distinct: bool = False) -> DataFrame:
-    """AG3: bytes by area and title type, with totals. Two downloads of one hash each count its directory, unless ``distinct``."""
+    """AG3: bytes by area and kind of content, with totals. Two downloads of one hash each count its directory, unless ``distinct``.
+
+    Directories of downloads are of a title's type, ``untitled`` where nothing is known of the title, or ``orphan``
+    where no download has them; other areas have no kinds.
+    """
     sized = dir_sizes(files)
     keyed = downloads.select(F.lower("info_hash").alias("hash"), "info_hash", "file_idx").join(meta, ["info_hash", "file_idx"], "left")
     keyed = keyed.join(titles.select(F.col("id").alias("media_id"), "media_type"), "media_id", "left").select("hash", "media_type")
+    keyed = keyed.withColumn("media_type", F.coalesce("media_type", F.lit("untitled")))
     if distinct:
         keyed = keyed.distinct()
-    joined = sized.join(keyed, "hash", "left").select("area", F.coalesce("media_type", F.lit("orphan")).alias("media_type"), "bytes")
+    tracked = sized.where("area = 'downloads'").join(keyed, "hash", "left").select("area", F.coalesce("media_type", F.lit("orphan")).alias("media_type"), "bytes")
+    joined = tracked.unionByName(sized.where("area <> 'downloads'").select("area", F.lit("").alias("media_type"), "bytes"))
     return joined.rollup("area", "media_type").agg(F.sum("bytes").alias("bytes"), F.grouping_id().alias("level"))
 
 

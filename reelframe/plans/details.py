@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import labels as B
 from reelframe.operators import catalogue as C, library as L, mutations as M, releases as Q, storage as S, subtitles as O, timeline as T
-from reelframe.plans import library as PL, releases as PR, subtitles as PS, timeline as PT
+from reelframe.plans import library as PL, releases as PR, subtitles as PS, timeline as PT, titles as PN
 from reelframe.plans.registry import oracle_of, query
 from reelframe.sources.carriers import carrier, given, with_carriers as sql
 
@@ -64,8 +64,8 @@ _TYPED = "(SELECT d.*, media_type FROM {{downloads}} d LEFT JOIN {{download_meta
 
 @query(
     "library_categories",
-    PL.sql(f"""WITH d AS {_TYPED.replace("{{", "{").replace("}}", "}")}, u AS (SELECT 'download' AS kind, media_type, id::varchar AS key, total_bytes AS bytes FROM d
-    UNION ALL SELECT 'job', d.media_type, j.id::varchar, NULL FROM {{jobs}} j JOIN d ON j.download_id = d.id UNION ALL SELECT 'orphan', NULL, hash, bytes FROM {PL._ORPHANS})
+    PL.sql(f"""WITH d AS {_TYPED.replace("{{", "{").replace("}}", "}")}, u AS (SELECT 'download' AS kind, media_type, d.id::varchar AS key, b.bytes FROM d JOIN {PL._DISK} b ON b.id = d.id
+    UNION ALL SELECT 'job', d.media_type, j.id::varchar, j.bytes FROM {PL._JOB_DISK} j JOIN d ON j.download_id = d.id UNION ALL SELECT 'orphan', NULL, hash, bytes FROM {PL._ORPHANS})
     SELECT category, kind, key, bytes FROM u, (SELECT unnest(['all', 'movies', 'tv', 'pretranscoding', 'orphan']) AS category)
     WHERE CASE category WHEN 'all' THEN true WHEN 'movies' THEN media_type = 'movie' WHEN 'tv' THEN media_type = 'tv' WHEN 'pretranscoding' THEN kind = 'job' ELSE kind = 'orphan' END"""),
 )
@@ -74,7 +74,8 @@ def library_categories(spark, sf_dir):
     typed = L.with_media(*[carrier(spark, sf_dir, c) for c in ("downloads", "download_meta", "media_items")])
     jobs = L.jobs_with_media(*[carrier(spark, sf_dir, c) for c in ("jobs", "downloads", "download_meta", "media_items")])
     orphans = S.orphans(carrier(spark, sf_dir, "storage_files"), PL.some_downloads(spark, sf_dir))
-    payloads = L.library_payloads(typed, jobs, orphans)
+    typed = S.with_disk_bytes(typed, carrier(spark, sf_dir, "storage_files"))
+    payloads = L.library_payloads(typed, L.with_output_bytes(jobs, carrier(spark, sf_dir, "outputs")), orphans)
     key = F.coalesce(F.col("download.id").cast("string"), F.col("job.id").cast("string"), "orphan.hash").alias("key")
     found = [L.category(payloads, name).select(F.lit(name).alias("category"), "kind", key, "bytes") for name in L.CATEGORIES]
     for other in found[1:]:
@@ -109,11 +110,11 @@ def collection_updates(spark, sf_dir):
     return M.collection_updates(rows, asked, "id")
 
 
-@query("resume_detail_hash", sql("SELECT media_id, r.seq AS seq, r.position AS position, r.info_hash AS info_hash FROM (SELECT media_id, arg_max(struct_pack(seq, position, info_hash := 'h' || download_id), (seen_at, seq)) AS r FROM {watch} WHERE position > 0 AND download_id % 3 <> 0 GROUP BY media_id)"))
+@query("resume_detail_hash", sql(f"SELECT media_id, seq, position, 'h' || seq AS info_hash FROM (SELECT * FROM {PN._POSITIONS} ORDER BY seen_at DESC, seq DESC LIMIT 20) WHERE seq % 3 <> 0"))
 def resume_detail_hash(spark, sf_dir):
-    """PF14: rows whose download is known."""
-    named = F.when(F.col("download_id") % 3 != 0, F.concat(F.lit("h"), F.col("download_id").cast("string")))
-    return C.detail_resume(carrier(spark, sf_dir, "watch").withColumn("info_hash", named))
+    """PF14: of the 20 newest rows those whose file is known."""
+    named = F.when(F.col("seq") % 3 != 0, F.concat(F.lit("h"), F.col("seq").cast("string"))).otherwise(F.when(F.col("seq") % 2 == 0, ""))
+    return C.detail_resume(carrier(spark, sf_dir, "watch_episodes").withColumn("info_hash", named)).select("media_id", "seq", "position", "info_hash")
 
 
 @query("download_choices", sql("SELECT id, status IN ('failed', 'cancelled') AS retriable, status NOT IN ('failed', 'cancelled') AS blocked FROM {downloads}"))

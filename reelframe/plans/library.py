@@ -59,29 +59,50 @@ def key_lookup(spark, sf_dir):
     return L.for_keys(carrier(spark, sf_dir, "downloads"), keys, L.FILE).select("id", "info_hash", "file_idx", "status")
 
 
-@query("exists_member", sql("SELECT id, title, EXISTS (SELECT 1 FROM {members} c WHERE c.media_id = m.id) AS held FROM {media_items} m"))
+_ASKED = "(SELECT 'r' || (c_custkey % 5) AS collection_slug, CASE WHEN c_custkey % 3 = 0 THEN 'tv' ELSE 'movie' END AS media_type, c_custkey % 2100 + 1000 AS tmdb_id, c_custkey AS place FROM customer)"
+
+
+def _asked(spark, sf_dir):
+    """Titles by type and number, asked for in collections; for some there is no such title."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "tv").otherwise("movie")
+    return given(spark, sf_dir, "customer").select(F.concat(F.lit("r"), k % 5).alias("collection_slug"), kind.alias("media_type"), (k % 2100 + 1000).alias("tmdb_id"), k.alias("place"))
+
+
+@query("exists_member", sql(f"SELECT a.*, EXISTS (SELECT 1 FROM {{members}} c JOIN {{media_items}} m ON m.id = c.media_id WHERE c.collection_slug = a.collection_slug AND m.media_type = a.media_type AND m.tmdb_id = a.tmdb_id) AS held FROM {_ASKED} a"))
 def exists_member(spark, sf_dir):
-    return L.membership(carrier(spark, sf_dir, "media_items").select("id", "title"), members(spark, sf_dir))
+    return L.membership(_asked(spark, sf_dir), members(spark, sf_dir), carrier(spark, sf_dir, "media_items"))
 
 
 @query(
     "cached_variant",
-    sql("WITH r AS (SELECT *, row_number() OVER (PARTITION BY download_id, audio_index ORDER BY only_audio, id) AS n FROM {jobs} WHERE status = 'completed') SELECT download_id, audio_index, id, only_audio FROM r WHERE n = 1"),
+    sql("""WITH r AS (SELECT j.*, o.path, info_hash, file_idx, row_number() OVER (PARTITION BY info_hash, file_idx, audio_index ORDER BY only_audio, j.id) AS n FROM {jobs} j JOIN {downloads} d ON d.id = j.download_id
+      JOIN {outputs} o ON o.path = 'pretranscoded/' || download_id || CASE WHEN only_audio THEN '_audio_' ELSE '_full_' END || audio_index || '.mp4' WHERE j.status = 'completed')
+    SELECT info_hash, file_idx, audio_index, id, only_audio, path FROM r WHERE n = 1"""),
 )
 def cached_variant(spark, sf_dir):
-    return L.cached_variant(carrier(spark, sf_dir, "jobs"))
+    return L.cached_variant(*[carrier(spark, sf_dir, c) for c in ("jobs", "downloads", "outputs")])
+
+
+@query(
+    "vanished_outputs",
+    sql("""WITH f AS (SELECT j.*, o.path IS NOT NULL AS there FROM {jobs} j LEFT JOIN {outputs} o ON o.path = 'pretranscoded/' || download_id || CASE WHEN only_audio THEN '_audio_' ELSE '_full_' END || audio_index || '.mp4' WHERE status = 'completed')
+    SELECT id, download_id, 'failed' AS status FROM f WHERE NOT there AND NOT (only_audio AND EXISTS (SELECT 1 FROM f g WHERE g.download_id = f.download_id AND g.audio_index = f.audio_index AND g.there AND NOT g.only_audio))"""),
+)
+def vanished_outputs(spark, sf_dir):
+    return L.vanished_outputs(carrier(spark, sf_dir, "jobs"), carrier(spark, sf_dir, "outputs"))
 
 
-@query("resolve_keys", sql("SELECT c.collection_slug, c.media_id, (SELECT tmdb_id FROM {media_items} m WHERE m.id = c.media_id) AS tmdb_id FROM {members} c"))
+@query("resolve_keys", sql(f"SELECT a.*, (SELECT id FROM {{media_items}} m WHERE m.media_type = a.media_type AND m.tmdb_id = a.tmdb_id) AS media_id FROM {_ASKED} a"))
 def resolve_keys(spark, sf_dir):
     """JN10: a scalar look-up as an equi join."""
-    return members(spark, sf_dir).join(carrier(spark, sf_dir, "media_items").select(F.col("id").alias("media_id"), "tmdb_id"), "media_id", "left").select("collection_slug", "media_id", "tmdb_id")
+    return L.resolved(_asked(spark, sf_dir), carrier(spark, sf_dir, "media_items"))
 
 
-_LOCATED = "(SELECT regexp_extract(path, '^/data/([a-z]+)/([^/]+)/', 1) AS area, lower(regexp_extract(path, '^/data/([a-z]+)/([^/]+)/', 2)) AS hash, path, length FROM {storage_files})"
+_LOCATED = "(SELECT regexp_extract(path, '^/data/([a-z]+)/([^/]+)/', 1) AS area, regexp_extract(path, '^/data/([a-z]+)/([^/]+)/', 2) AS name, lower(regexp_extract(path, '^/data/([a-z]+)/([^/]+)/', 2)) AS hash, path, length FROM {storage_files})"
 _SIZED = f"(SELECT area, hash, sum(length)::bigint AS bytes, count(*) AS n_files FROM {_LOCATED} GROUP BY ALL)"
 _SOME = "(SELECT * FROM {downloads} WHERE id % 5 <> 0)"
-_ORPHANS = f"(SELECT hash, bytes FROM {_SIZED} s WHERE area = 'downloads' AND NOT EXISTS (SELECT 1 FROM {_SOME} d WHERE lower(d.info_hash) = s.hash))"
+_ORPHANS = f"(SELECT name AS hash, sum(length)::bigint AS bytes FROM {_LOCATED} s WHERE area = 'downloads' AND NOT EXISTS (SELECT 1 FROM {_SOME} d WHERE lower(d.info_hash) = s.hash) GROUP BY name)"
 
 
 def some_downloads(spark, sf_dir):
@@ -105,9 +126,9 @@ def missing_files(spark, sf_dir):
 
 
 def _rollup_sql(distinct: str) -> str:
-    return f"""WITH k AS (SELECT {distinct} lower(info_hash) AS hash, media_type FROM {{downloads}} LEFT JOIN {{download_meta}} USING (info_hash, file_idx) LEFT JOIN {{media_items}} m ON media_id = m.id)
-    SELECT area, coalesce_type AS media_type, sum(bytes)::bigint AS bytes, grouping_id(area, coalesce_type)::bigint AS level
-    FROM (SELECT area, coalesce(media_type, 'orphan') AS coalesce_type, bytes FROM {_SIZED} s LEFT JOIN k USING (hash)) GROUP BY ROLLUP (area, coalesce_type)"""
+    return f"""WITH k AS (SELECT {distinct} lower(info_hash) AS hash, coalesce(media_type, 'untitled') AS media_type FROM {{downloads}} LEFT JOIN {{download_meta}} USING (info_hash, file_idx) LEFT JOIN {{media_items}} m ON media_id = m.id),
+    t AS (SELECT area, coalesce(k.media_type, 'orphan') AS kind, bytes FROM {_SIZED} s LEFT JOIN k ON k.hash = s.hash WHERE area = 'downloads' UNION ALL SELECT area, '', bytes FROM {_SIZED} s WHERE area <> 'downloads')
+    SELECT area, kind AS media_type, sum(bytes)::bigint AS bytes, grouping_id(area, kind)::bigint AS level FROM t GROUP BY ROLLUP (area, kind)"""
 
 
 @query("storage_rollup", sql(_rollup_sql("")))
@@ -129,14 +150,19 @@ def shares(spark, sf_dir):
     return S.shares(carrier(spark, sf_dir, "storage_files"), 10**12)
 
 
+_DISK = f"(SELECT d.id, coalesce(b.bytes, 0)::bigint AS bytes FROM {{downloads}} d LEFT JOIN (SELECT hash, sum(length) AS bytes FROM {_LOCATED} WHERE area = 'downloads' GROUP BY hash) b ON b.hash = lower(d.info_hash))"
+_JOB_DISK = "(SELECT j.*, coalesce(o.length, 0)::bigint AS bytes FROM {jobs} j LEFT JOIN {outputs} o ON o.path = 'pretranscoded/' || download_id || CASE WHEN only_audio THEN '_audio_' ELSE '_full_' END || audio_index || '.mp4')"
+
+
 @query(
     "library_union",
-    sql(f"""SELECT 'download' AS kind, id::varchar AS key, total_bytes AS bytes, status, NULL::bigint AS total_ms FROM {{downloads}} UNION ALL
-    SELECT 'job', id::varchar, NULL, status, total_ms FROM {{jobs}} UNION ALL SELECT 'orphan', hash, bytes, NULL, NULL FROM {_ORPHANS}"""),
+    sql(f"""SELECT 'download' AS kind, d.id::varchar AS key, b.bytes AS bytes, status, NULL::bigint AS total_ms FROM {{downloads}} d JOIN {_DISK} b ON b.id = d.id UNION ALL
+    SELECT 'job', id::varchar, bytes, status, total_ms FROM {_JOB_DISK} UNION ALL SELECT 'orphan', hash, bytes, NULL, NULL FROM {_ORPHANS}"""),
 )
 def library_union(spark, sf_dir):
-    d = some_downloads(spark, sf_dir)
-    return L.entries_of(L.library_entries(carrier(spark, sf_dir, "downloads"), carrier(spark, sf_dir, "jobs"), S.orphans(carrier(spark, sf_dir, "storage_files"), d)))
+    files, d = carrier(spark, sf_dir, "storage_files"), some_downloads(spark, sf_dir)
+    jobs = L.with_output_bytes(carrier(spark, sf_dir, "jobs"), carrier(spark, sf_dir, "outputs"))
+    return L.entries_of(L.library_entries(S.with_disk_bytes(carrier(spark, sf_dir, "downloads"), files), jobs, S.orphans(files, d)))
 
 
 @query("active_counts", sql("SELECT (SELECT count(*) FROM {downloads} WHERE status IN ('queued', 'downloading')) AS active_downloads, (SELECT count(*) FROM {jobs} WHERE status IN ('queued', 'transcoding')) AS active_jobs"))

@@ -139,23 +139,25 @@ def watch_latest(spark, sf_dir):
     return C.latest_positions(carrier(spark, sf_dir, "watch"))
 
 
-_EPISODES = "(SELECT media_id, media_type, season, episode, r.seq AS seq, r.position AS position, r.duration AS duration FROM (SELECT media_id, media_type, CASE WHEN media_type = 'tv' THEN season END AS season, CASE WHEN media_type = 'tv' THEN episode END AS episode, arg_max(struct_pack(seq, position, duration), (seen_at, seq)) AS r FROM {watch_episodes} WHERE position > 0 AND (media_type = 'movie' OR season IS NOT NULL AND episode IS NOT NULL) GROUP BY ALL))"
+_POSITIONS = "(SELECT media_id, r.media_type AS media_type, CASE WHEN r.media_type = 'tv' THEN r.season END AS season, CASE WHEN r.media_type = 'tv' THEN r.episode END AS episode, r.seq AS seq, r.position AS position, r.duration AS duration, r.seen_at AS seen_at FROM (SELECT media_id, arg_max(struct_pack(media_type, season, episode, seq, position, duration, seen_at), (seen_at, seq)) AS r FROM {watch_episodes} WHERE position > 0 AND (media_type = 'movie' OR season IS NOT NULL AND episode IS NOT NULL) GROUP BY media_id))"
+_GUARD = "duration > 0 AND position < duration - 30"
+_SHOWN = ["media_id", "media_type", "season", "episode", "seq", "position", "duration"]
 
 
-@query("watch_latest_episodes", sql(f"SELECT * FROM {_EPISODES}"))
+@query("watch_latest_episodes", sql(f"SELECT {', '.join(_SHOWN)} FROM {_POSITIONS}"))
 def watch_latest_episodes(spark, sf_dir):
-    return C.episode_positions(carrier(spark, sf_dir, "watch_episodes"))
+    return C.title_positions(carrier(spark, sf_dir, "watch_episodes")).select(*_SHOWN)
 
 
-@query("resume_pick_episodes", sql(f"SELECT * FROM {_EPISODES} WHERE duration > 0 AND position < duration - 30"))
+@query("resume_pick_episodes", sql(f"SELECT {', '.join(_SHOWN)} FROM {_POSITIONS} WHERE {_GUARD}"))
 def resume_pick_episodes(spark, sf_dir):
-    return C.episode_resumes(carrier(spark, sf_dir, "watch_episodes"))
+    return C.resumable(carrier(spark, sf_dir, "watch_episodes")).select(*_SHOWN)
 
 
-@query("resume_recent", sql(f"SELECT * FROM (SELECT * FROM {_EPISODES} ORDER BY seq DESC LIMIT 20) WHERE duration > 0 AND position < duration - 30"))
+@query("resume_recent", sql(f"SELECT {', '.join(_SHOWN)} FROM (SELECT * FROM {_POSITIONS} ORDER BY seen_at DESC, seq DESC LIMIT 20) WHERE {_GUARD}"))
 def resume_recent(spark, sf_dir):
     """PF13: looked up among the 20 newest rows of the history."""
-    return C.resumable_of_recent(carrier(spark, sf_dir, "watch_episodes"))
+    return C.resumable_of_recent(carrier(spark, sf_dir, "watch_episodes")).select(*_SHOWN)
 
 
 @query("resume_labels", sql("SELECT seq, greatest(0, ceil((duration - position) / 60))::bigint AS minutes_left, round(CASE WHEN duration > 0 THEN position / duration ELSE 0 END, 6)::double AS ratio, CASE WHEN duration > 0 THEN least(100, floor(position * 100 / duration + 0.5))::bigint END AS pct FROM {watch}"))

@@ -53,6 +53,14 @@ SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS download_id, cast(min(
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 
+#: Files of finished jobs; a third of all jobs have none.
+OUTPUTS = """
+SELECT path, max(total_ms) AS length FROM (
+  SELECT 'pretranscoded/' || cast(l_orderkey AS varchar(20)) || CASE WHEN min(l_suppkey) % 2 = 0 THEN '_audio_' ELSE '_full_' END || cast(cast(min(l_suppkey) % 3 AS int) AS varchar(20)) || '.mp4' AS path, max(l_partkey) * 100 AS total_ms, l_orderkey * 8 + l_linenumber AS id
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
+) AS o WHERE id % 3 <> 0 GROUP BY path
+"""
+
 ONE_JOBS = """
 SELECT l_orderkey AS id, CASE max(l_linenumber) WHEN 7 THEN 'queued' WHEN 6 THEN 'transcoding' WHEN 5 THEN 'paused' WHEN 4 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status
 FROM lineitem GROUP BY l_orderkey
