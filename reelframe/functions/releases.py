@@ -75,7 +75,7 @@ def lowered(text: Column) -> Column:
 
 
 def source_name(url: Column) -> Column:
-    return F.substring_index(F.regexp_replace(url, "^(?:https://)?(?:http://)?", ""), ".", 1)
+    return F.substring_index(F.regexp_replace(url, "^(?:https://)*(?:http://)*", ""), ".", 1)
 
 
 def listed_seeders(title: Column) -> Column:
@@ -103,7 +103,7 @@ def named_resolution(low_binge: Column, low_name: Column) -> Column:
     """The first token that names a resolution: the binge group's before the name's, parts between bars before words."""
 
     names = "|".join(RESOLUTIONS)
-    part, word = rf"(?:^|\|) *({names}) *(?:\||\z)", rf"(?:^|\s)({names})(?:\s|\z)"
+    part, word = rf"(?:^|\|)\s*({names})\s*(?:\||\z)", rf"(?:^|\s)({names})(?:\s|\z)"
 
     def first(text: Column) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in (part, word)])

@@ -70,6 +70,15 @@ def palette(shades: DataFrame) -> DataFrame:
     return best.select("image_id", F.explode(taken).alias("p")).select("image_id", "p.target", "p.key", "p.r", "p.g", "p.b")
 
 
+def accents(colours: DataFrame) -> DataFrame:
+    """IM3: of each palette the vibrant colour, else the most saturated one, in whole numbers."""
+    mean = colours.withColumn("n", F.lit(1))
+    saturated = shaded(mean)
+    order = F.struct((F.col("target") == "vibrant").cast("int"), F.round("saturation", 9), -F.col("key"))
+    best = saturated.groupBy("image_id").agg(F.max_by(F.struct("r", "g", "b"), order).alias("c"))
+    return best.select("image_id", *[F.floor(F.col(f"c.{c}") + 0.5).alias(c) for c in "rgb"])
+
+
 def distinct_colours(colours: DataFrame) -> DataFrame:
     """IM4: by lightness, leaving out colours near the last one kept; five at most. A palette has few colours."""
     light = F.greatest("r", "g", "b") + F.least("r", "g", "b")

@@ -15,6 +15,9 @@ JOB_ACTIONS = {
     "cancel": (["completed", "failed"], "cancelled"),
     "fail": (["cancelled"], "failed"),
     "complete": (["queued", "downloading", "paused", "completed", "failed", "cancelled"], "completed"),
+    "claim": (["downloading", "transcoding", "paused", "completed", "failed", "cancelled"], "transcoding"),
+    "stop": (["queued", "downloading", "paused", "completed", "failed", "cancelled"], "cancelled"),
+    "abort": (["queued", "cancelled", "paused"], "failed"),
 }
 
 
@@ -75,7 +78,7 @@ def transition_rows(actions: dict[str, tuple[list[str], str]]) -> list[tuple[str
 
 
 def transitions(rows: DataFrame, asked: DataFrame, actions: dict[str, tuple[list[str], str]]) -> DataFrame:
-    """DM8: each asked action where its state allows it; ``applied`` tells which did. The table has 35 rows at most."""
+    """DM8: each asked action where its state allows it; ``applied`` tells which did. The table has a row for each action and state at most."""
     table = rows.sparkSession.createDataFrame(transition_rows(actions), "action string, status string, next string")
     joined = rows.join(asked, "id", "left").join(F.broadcast(table), ["action", "status"], "left")
     return joined.select("id", F.coalesce("next", "status").alias("status"), F.col("next").isNotNull().alias("applied"))
@@ -93,9 +96,9 @@ def recovered_jobs(rows: DataFrame, progress: str) -> DataFrame:
 
 
 def restarted(rows: DataFrame) -> DataFrame:
-    """DM10: paused, cancelled and failed rows queue again with cleared progress."""
+    """DM10: paused, cancelled and failed rows queue again without their ``error``; what they have stays."""
     again = F.col("status").isin("paused", "cancelled", "failed")
-    return rows.withColumns({"status": F.when(again, "queued").otherwise(F.col("status")), "grown": F.when(again, 0).otherwise(F.col("grown"))})
+    return rows.withColumns({"status": F.when(again, "queued").otherwise(F.col("status")), "error": F.when(~F.coalesce(again, F.lit(False)), F.col("error"))})
 
 
 def collection_updates(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:

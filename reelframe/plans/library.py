@@ -273,21 +273,29 @@ def delete_set_null(spark, sf_dir):
     return M.delete_set_null(gone, carrier(spark, sf_dir, "watch").select("seq", "download_id"), "id", "download_id")
 
 
-_ACTION = "CASE id % 6 WHEN 0 THEN 'pause' WHEN 1 THEN 'queue' WHEN 2 THEN 'cancel' WHEN 3 THEN 'fail' WHEN 4 THEN 'complete' END"
+_ACTION = "CASE id % 9 WHEN 0 THEN 'pause' WHEN 1 THEN 'queue' WHEN 2 THEN 'cancel' WHEN 3 THEN 'fail' WHEN 4 THEN 'complete' WHEN 5 THEN 'claim' WHEN 6 THEN 'stop' WHEN 7 THEN 'abort' END"
 
 
-def _transition_sql(actions, table: str) -> str:
-    values = ", ".join(f"('{a}', '{s}', '{to}')" for a, s, to in M.transition_rows(actions))
-    return sql(f"WITH t AS (SELECT * FROM (VALUES {values}) AS v(action, state, next)), d AS (SELECT id, status, {_ACTION} AS action FROM {{{table}}}) SELECT id, coalesce(next, status) AS status, next IS NOT NULL AS applied FROM d LEFT JOIN t ON t.action = d.action AND t.state = d.status")
+def _transition_sql(table: str, rules: str) -> str:
+    return sql(f"WITH d AS (SELECT id, status, {_ACTION} AS action FROM {{{table}}}), n AS (SELECT *, CASE {rules} END AS next FROM d) SELECT id, coalesce(next, status) AS status, next IS NOT NULL AS applied FROM n")
 
 
-@query("transitions", _transition_sql(M.DOWNLOAD_ACTIONS, "downloads"))
+@query(
+    "transitions",
+    _transition_sql("downloads", """WHEN action = 'pause' AND status NOT IN ('completed', 'failed') THEN 'paused' WHEN action = 'queue' AND status NOT IN ('completed', 'failed') THEN 'queued'
+      WHEN action = 'cancel' AND status NOT IN ('completed', 'failed') THEN 'cancelled' WHEN action = 'fail' AND status NOT IN ('cancelled', 'paused') THEN 'failed' WHEN action = 'complete' THEN 'completed'"""),
+)
 def transitions(spark, sf_dir):
     rows = carrier(spark, sf_dir, "downloads").select("id", "status")
     return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")), M.DOWNLOAD_ACTIONS)
 
 
-@query("job_transitions", _transition_sql(M.JOB_ACTIONS, "one_jobs"))
+@query(
+    "job_transitions",
+    _transition_sql("one_jobs", """WHEN action = 'pause' AND status IN ('queued', 'transcoding') THEN 'paused' WHEN action = 'queue' AND status = 'paused' THEN 'queued' WHEN action = 'cancel' AND status NOT IN ('completed', 'failed') THEN 'cancelled'
+      WHEN action = 'fail' AND status <> 'cancelled' THEN 'failed' WHEN action = 'complete' AND status = 'transcoding' THEN 'completed' WHEN action = 'claim' AND status = 'queued' THEN 'transcoding'
+      WHEN action = 'stop' AND status = 'transcoding' THEN 'cancelled' WHEN action = 'abort' AND status NOT IN ('queued', 'cancelled', 'paused') THEN 'failed'"""),
+)
 def job_transitions(spark, sf_dir):
     rows = carrier(spark, sf_dir, "one_jobs")
     return M.transitions(rows, rows.select("id", F.expr(_ACTION).alias("action")), M.JOB_ACTIONS)
@@ -303,9 +311,9 @@ def boot_recovery_downloads(spark, sf_dir):
     return M.recovered_downloads(carrier(spark, sf_dir, "downloads").select("id", "status", F.floor("grown").alias("grown")))
 
 
-@query("restart_reset", sql("SELECT id, CASE WHEN status IN ('paused', 'cancelled', 'failed') THEN 'queued' ELSE status END AS status, CASE WHEN status IN ('paused', 'cancelled', 'failed') THEN 0 ELSE floor(grown)::bigint END AS grown FROM {downloads}"))
+@query("restart_reset", sql("SELECT id, CASE WHEN status IN ('paused', 'cancelled', 'failed') THEN 'queued' ELSE status END AS status, floor(grown)::bigint AS grown, CASE WHEN status NOT IN ('paused', 'cancelled', 'failed') THEN 'error of ' || name END AS error FROM {downloads}"))
 def restart_reset(spark, sf_dir):
-    return M.restarted(carrier(spark, sf_dir, "downloads").select("id", "status", F.floor("grown").alias("grown")))
+    return M.restarted(carrier(spark, sf_dir, "downloads").select("id", "status", F.floor("grown").alias("grown"), F.concat(F.lit("error of "), "name").alias("error")))
 
 
 @query("protected_delete", sql("SELECT id, title, false AS refused FROM {media_items} WHERE id % 4 <> 0 OR media_type = 'tv' UNION ALL SELECT id, title, true FROM {media_items} WHERE id % 4 = 0 AND media_type = 'tv'"))

@@ -234,6 +234,16 @@ def palette_pick(spark, sf_dir):
     return I.palette(I.shaded(I.histogram(carrier(spark, sf_dir, "pixels"))))
 
 
+@query(
+    "palette_accent",
+    sql(f"""WITH {_pick_sql()}, picked AS (SELECT *, greatest(r, g, b) / 255 AS hi, least(r, g, b) / 255 AS lo FROM p), shade AS (SELECT *, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(2 * ((hi + lo) / 2) - 1)) END AS sat FROM picked),
+    ranks AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY target = 'vibrant' DESC, round(sat, 9) DESC, key) AS place FROM shade)
+    SELECT image_id, floor(r + 0.5)::bigint AS r, floor(g + 0.5)::bigint AS g, floor(b + 0.5)::bigint AS b FROM ranks WHERE place = 1"""),
+)
+def palette_accent(spark, sf_dir):
+    return I.accents(I.palette(I.shaded(I.histogram(carrier(spark, sf_dir, "pixels")))))
+
+
 @query(
     "palette_distinct",
     sql(f"""WITH RECURSIVE {_pick_sql()}, n AS (SELECT image_id, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY greatest(r, g, b) + least(r, g, b), r, g, b) AS k FROM p),

@@ -217,3 +217,25 @@ def test_titles_take_the_fields_of_their_kind(spark):
     rows = spark.createDataFrame([("movie", text), ("tv", text)], "kind string, json string")
     found = {r.media_type: (r.title, r.runtime, r.imdb_id, r.tagline) for r in C.flatten_titles(rows, "json", "kind").collect()}
     assert found == {"movie": ("Film", 90, "tt1", "So.. it ends"), "tv": ("Series", 45, "tt2", "So.. it ends")}
+
+
+def test_restarted_downloads_keep_what_they_have(spark):
+    rows = spark.createDataFrame([(1, "failed", 5, "e"), (2, "completed", 6, "f"), (3, None, 7, "g")], "id int, status string, grown long, error string")
+    assert [tuple(r) for r in M.restarted(rows).orderBy("id").collect()] == [(1, "queued", 5, None), (2, "completed", 6, "f"), (3, None, 7, "g")]
+
+
+def test_actions_on_jobs_apply_where_they_may(spark):
+    rows = [(10 * i + j, s, a) for i, s in enumerate(M.STATES) for j, a in enumerate(M.JOB_ACTIONS)]
+    table = spark.createDataFrame(rows, "id int, status string, action string")
+    found = {r.id: r.status for r in M.transitions(table.select("id", "status"), table.select("id", "action"), M.JOB_ACTIONS).where("applied").collect()}
+    by = {(s, a): found.get(i) for i, s, a in rows}
+    assert {s for s in M.STATES if by[s, "claim"] == "transcoding"} == {"queued"} and {s for s in M.STATES if by[s, "stop"] == "cancelled"} == {"transcoding"}
+    assert {s for s in M.STATES if by[s, "abort"] == "failed"} == {"downloading", "transcoding", "completed", "failed"}
+    assert {s for s in M.STATES if by[s, "pause"] == "paused"} == {"queued", "transcoding"} and {s for s in M.STATES if by[s, "queue"] == "queued"} == {"paused"}
+
+
+def test_names_between_bars_and_repeated_schemes(spark):
+    from reelframe.functions import releases as Q
+
+    row = spark.range(1).select(Q.named_resolution(F.lit("a|\n1080p \t|b"), F.lit("")).alias("a"), Q.source_name(F.lit("https://https://http://x.y")).alias("b"), Q.named_resolution(F.lit("x1080p"), F.lit("p 720p\n")).alias("c")).first()
+    assert tuple(row) == ("1080p", "x", "720p")
