@@ -135,6 +135,27 @@ def expand_runs(runs: DataFrame, shifts: DataFrame) -> DataFrame:
     return shifted.select("file_id", "sample", F.greatest(F.col("decode") + F.coalesce("shift", F.lit(0)), F.lit(0)).alias("t"))
 
 
+def presentation_times(decode: DataFrame, composition: DataFrame, tracks: DataFrame) -> DataFrame:
+    """TL4: the time in ns of every sample: (file_id, sample, t).
+
+    ``decode`` has runs (run, n, delta) of steps, ``composition`` runs (run, n, offset) of what is added to a sample's
+    time; samples beyond its runs get nothing.  ``tracks`` has the first ``media_time`` that isn't negative of the edit list, or
+    null, and the ``timescale`` in ticks a second.  Times are never below 0 and are cut to whole ns.
+    """
+    before = Window.partitionBy("file_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")
+    added = composition.where("n > 0").withColumn("first", first).select("file_id", "first", "offset", every)
+    added = added.select("file_id", (F.col("first") + F.col("k")).alias("sample"), "offset")
+    base = decode.where("n > 0").withColumns({"base": F.coalesce(F.sum(F.col("n") * F.col("delta")).over(before), F.lit(0)), "first": first})
+    samples = base.select("file_id", "base", "first", "delta", every).select("file_id", (F.col("first") + F.col("k")).alias("sample"), (F.col("base") + F.col("k") * F.col("delta")).alias("ticks"))
+    placed = samples.join(added, ["file_id", "sample"], "left").join(tracks, "file_id")
+    ticks = F.greatest(F.col("ticks") + F.coalesce("offset", F.lit(0)) - F.coalesce("media_time", F.lit(0)), F.lit(0))
+    # Ticks times 10 ** 9 may be too large for a long.
+    scaled = F.expr("cast(_ticks AS decimal(20, 0)) * 1000000000 div cast(timescale AS decimal(10, 0))")
+    return placed.withColumn("_ticks", ticks.cast("bigint")).select("file_id", "sample", scaled.cast("bigint").alias("t"))
+
+
 def sync_times(samples: DataFrame, sync: DataFrame) -> DataFrame:
     """TL4: times of the samples that ``sync`` (file_id, sample) lists; of a file without such a table, of all."""
     listed = sync.select("file_id", "sample", F.lit(True).alias("_sync")).distinct()

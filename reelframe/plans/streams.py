@@ -17,24 +17,25 @@ def _ordered(spark, sf_dir, *columns):
 
 
 def _progress(rows):
-    """Events as progress, status and removal events of ``user_id``."""
+    """Events as progress, status and removal events of ``user_id``; a status event says nothing of the bytes."""
     total = F.when(F.col("seq") % 3 == 0, F.col("user_id") * 10)
     kind = F.when((F.col("seq") % 29 == 0) & (F.col("user_id") % 2 == 0), "removed").otherwise(F.col("event_type"))
-    return rows.select(F.col("user_id").alias("id"), "event_ts", "seq", kind.alias("kind"), F.floor("value").alias("done"), total.alias("total"))
+    return rows.select(F.col("user_id").alias("id"), "event_ts", "seq", kind.alias("kind"), F.when(F.col("event_type") != "error", F.floor("value")).alias("done"), total.alias("total"), (F.col("seq") % 4 != 0).alias("finished"))
 
 
-_PROGRESS = "(SELECT user_id AS id, ts AS event_ts, event_id AS seq, CASE WHEN event_id % 29 = 0 AND user_id % 2 = 0 THEN 'removed' ELSE event_type END AS kind, floor(value)::bigint AS done, CASE WHEN event_id % 3 = 0 THEN user_id * 10 END AS total FROM events)"
+_PROGRESS = "(SELECT user_id AS id, ts AS event_ts, event_id AS seq, CASE WHEN event_id % 29 = 0 AND user_id % 2 = 0 THEN 'removed' ELSE event_type END AS kind, CASE WHEN event_type <> 'error' THEN floor(value)::bigint END AS done, CASE WHEN event_id % 3 = 0 THEN user_id * 10 END AS total, event_id % 4 <> 0 AS finished FROM events)"
+_DONE = "arg_max(done, (event_ts, seq)) FILTER (WHERE done IS NOT NULL) AS done"
 
 
 @query(
     "stream_latest",
-    f"WITH s AS (SELECT id, max(seq) AS seq, arg_max(kind, (event_ts, seq)) AS kind, arg_max(done, (event_ts, seq)) AS done, arg_max(total, (event_ts, seq)) FILTER (WHERE total IS NOT NULL) AS total FROM {_PROGRESS} GROUP BY id) SELECT * FROM s WHERE kind <> 'removed'",
+    f"WITH s AS (SELECT id, max(seq) AS seq, arg_max(kind, (event_ts, seq)) AS kind, {_DONE}, arg_max(total, (event_ts, seq)) FILTER (WHERE total IS NOT NULL) AS total FROM {_PROGRESS} GROUP BY id) SELECT * FROM s WHERE kind <> 'removed'",
 )
 def stream_latest(spark, sf_dir):
-    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"]).select("id", "seq", "kind", "done", "total")
+    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["done", "total"]).select("id", "seq", "kind", "done", "total")
 
 
-@query("stream_complete_once", f"SELECT DISTINCT id FROM {_PROGRESS} WHERE total > 0 AND done >= total")
+@query("stream_complete_once", f"SELECT DISTINCT id FROM {_PROGRESS} WHERE finished AND total > 0 AND done >= total")
 def stream_complete_once(spark, sf_dir):
     """The watermark lets a key come again after its delay; the table keeps one row of each."""
     return S.feed_to_table(_ordered(spark, sf_dir, "user_id", "event_type", "value"), lambda rows: S.completed_once(_progress(rows), "id")).select("id").distinct()
@@ -74,9 +75,9 @@ def stream_stats(spark, sf_dir):
     return found.withColumn("started", F.unix_micros("started"))
 
 
-@query("stream_waiting", f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT id, done, done <= 0 AS waiting FROM s WHERE kind <> 'removed'")
+@query("stream_waiting", f"WITH s AS (SELECT id, {_DONE}, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT id, done, coalesce(done, 0) <= 0 AS waiting FROM s WHERE kind <> 'removed'")
 def stream_waiting(spark, sf_dir):
-    return S.waiting(S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"])).select("id", "done", "waiting")
+    return S.waiting(S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["done", "total"])).select("id", "done", "waiting")
 
 
 @query(
@@ -200,8 +201,8 @@ def stream_live_counts(spark, sf_dir):
     return spark.read.parquet(f"{root}/rows").select("moment", "n_live")
 
 
-@query("stream_known", sql(f"WITH s AS (SELECT id, arg_max(done, (event_ts, seq)) AS done, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT s.id, s.done, d.name, d.total_bytes FROM s JOIN {{downloads}} d ON d.id = s.id WHERE kind <> 'removed'"))
+@query("stream_known", sql(f"WITH s AS (SELECT id, {_DONE}, arg_max(kind, (event_ts, seq)) AS kind FROM {_PROGRESS} GROUP BY id) SELECT s.id, s.done, d.name, d.total_bytes FROM s JOIN {{downloads}} d ON d.id = s.id WHERE kind <> 'removed'"))
 def stream_known(spark, sf_dir):
     """ST1: progress onto the table of downloads, which every batch reads anew."""
     snapshot = lambda: carrier(spark, sf_dir, "downloads").select("id", "name", "total_bytes")
-    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["total"], snapshot=snapshot).select("id", "done", "name", "total_bytes")
+    return S.fold_latest(_progress(event_stream(spark, f"{sf_dir}/events.parquet")), "id", ["done", "total"], snapshot=snapshot).select("id", "done", "name", "total_bytes")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from reelframe.operators import timeline as T
 from reelframe.plans.registry import query
@@ -112,6 +112,21 @@ def rle_expand(spark, sf_dir):
     return T.expand_runs(runs, shifts)
 
 
+@query(
+    "presentation_times",
+    f"""WITH r AS (SELECT *, coalesce(sum(n * delta) OVER w, 0) AS base, coalesce(sum(n) OVER w, 0) AS first FROM {_RUNS} WINDOW w AS (PARTITION BY file_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    x AS (SELECT file_id, base, first, delta, unnest(range(n)) AS k FROM r), o AS (SELECT file_id, first + k AS sample, delta % 7 - 3 AS shift FROM x WHERE first + k < 9)
+    SELECT x.file_id, (first + k)::bigint AS sample, (greatest(base + k * delta + coalesce(shift, 0) - CASE WHEN x.file_id % 2 = 0 THEN 12 ELSE 0 END, 0)::hugeint * 1000000000 // (24 + x.file_id % 3))::bigint AS t FROM x LEFT JOIN o ON o.file_id = x.file_id AND o.sample = first + k""",
+)
+def presentation_times(spark, sf_dir):
+    """TL4: tables of decode steps, composition offsets of the first samples, and edit lists, as times in ns."""
+    runs = given(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("run"), (1 + F.length("text") % 5).cast("bigint").alias("n"), (10 + F.col("turn")).alias("delta"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = runs.withColumn("before", before).select("file_id", "run", F.greatest(F.least("n", F.lit(9) - F.col("before")), F.lit(0)).alias("n"), (F.col("delta") % 7 - 3).alias("offset"))
+    tracks = runs.select("file_id").distinct().select("file_id", F.when(F.col("file_id") % 2 == 0, 12).alias("media_time"), (24 + F.col("file_id") % 3).alias("timescale"))
+    return T.presentation_times(runs, offsets, tracks)
+
+
 @query("run_fill", "SELECT conv_id AS file_id, role AS run, turn AS idx, first_value(CASE WHEN length(text) % 3 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS serves FROM conversations")
 def run_fill(spark, sf_dir):
     rows = given(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("role").alias("run"), F.col("turn").alias("idx"), F.when(F.length("text") % 3 == 0, F.col("turn")).alias("made"))

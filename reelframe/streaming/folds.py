@@ -67,8 +67,11 @@ def fold_latest(stream: DataFrame, key: str, keep: list[str], name: str = "state
 
 
 def completed_once(stream: DataFrame, key: str) -> DataFrame:
-    """ST4: the first event of a key that says it is complete, within the watermark."""
-    done = stream.withWatermark("event_ts", LATE).where("total > 0 AND done >= total")
+    """ST4: the first event of a key that says it is complete, within the watermark.
+
+    ``finished`` alone isn't believed: it is true of nothing selected too, so there must be bytes.
+    """
+    done = stream.withWatermark("event_ts", LATE).where("finished AND total > 0 AND done >= total")
     return done.dropDuplicatesWithinWatermark([key])
 
 

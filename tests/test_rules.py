@@ -239,3 +239,12 @@ def test_names_between_bars_and_repeated_schemes(spark):
 
     row = spark.range(1).select(Q.named_resolution(F.lit("a|\n1080p \t|b"), F.lit("")).alias("a"), Q.source_name(F.lit("https://https://http://x.y")).alias("b"), Q.named_resolution(F.lit("x1080p"), F.lit("p 720p\n")).alias("c")).first()
     assert tuple(row) == ("1080p", "x", "720p")
+
+
+def test_presentation_times(spark):
+    decode = spark.createDataFrame([(1, 0, 3, 10), (1, 1, 2, 20), (2, 0, 2, 10**10)], "file_id int, run int, n long, delta long")
+    composition = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 0, 99), (1, 2, 2, -7)], "file_id int, run int, n long, offset long")
+    tracks = spark.createDataFrame([(1, 6, 30), (2, None, 90000)], "file_id int, media_time long, timescale long")
+    found = {(r.file_id, r.sample): r.t for r in L.presentation_times(decode, composition, tracks).collect()}
+    ticks = [0 + 5 - 6, 10 - 7 - 6, 20 - 7 - 6, 30 - 6, 50 - 6]
+    assert found == {(1, k): max(t, 0) * 10**9 // 30 for k, t in enumerate(ticks)} | {(2, 0): 0, (2, 1): 10**19 // 90000}
