@@ -1,6 +1,6 @@
 """Operator 13: a Merkle manifest of a dataset, with proofs read from a content-addressed store.
 
-1. Leaves: a digest of each row's columns (name-value order fixed by ``COLUMNS``).  Rows of a language are
+1. Leaves: a digest of each row's columns, in the order of ``COLUMNS``.  Rows of a language are
    ranked by ``doc_id``, then leaf, over a range-sorted table, so a language of any size is many tasks.
 2. Trees: every ``FAN`` neighbours become their digest until one node, the language's subroot, remains;
    subroots by language become the root in the same way.

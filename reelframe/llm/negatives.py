@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reelframe.llm.shared import written
 
 SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
+#: Percents of the positive's score between which a negative is hard.
+LOW, HIGH = 50, 95
 #: Dimensions between two looks at the bounds.
 STEP = 16
 #: Components in a block of rows and of anchors, about, and those for which a block of rows is worth a task.
@@ -45,12 +47,11 @@ def _floor(x: Column) -> Column:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, v, n): rows that take part, with relabelled labels, whole components and their number."""
+    """(vec_id, label, v, n): rows that take part, with whole components and their number."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL")
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf"))))
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return rows.select("vec_id", label.alias("label"), F.transform("e", lambda x: _floor(x * SCALE)).alias("v"), F.size("e").alias("n"))
+    return rows.select("vec_id", "label", F.transform("e", lambda x: _floor(x * SCALE)).alias("v"), F.size("e").alias("n"))
 
 
 def matrix(rows: pa.Table, n: int) -> np.ndarray:
@@ -126,9 +127,9 @@ def above(most: int):
     return useful
 
 
-def window_of(positive: int) -> tuple[int, int]:
-    """The scores s with 50 * positive <= 100 * s <= 95 * positive."""
-    return -(-positive // 2), 95 * positive // 100
+def window_of(positive: int, low: int = LOW, high: int = HIGH) -> tuple[int, int]:
+    """The least and greatest score s with low * positive <= 100 * s <= high * positive."""
+    return -(-low * positive // 100), high * positive // 100
 
 
 def within(windows: list[tuple[int, int]], most: int):
@@ -193,6 +194,7 @@ def grid(cells: int, anchor_cells: int, tasks: int, every: int) -> tuple[int, in
 
 
 def hard_negatives(vectors: DataFrame, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for each row whose ``vec_id`` ``every`` divides."""
     spark = vectors.sparkSession
     rows = written(usable(vectors))
     anchors = written(rows.where(F.col("vec_id") % every == 0).withColumn("anchor", F.monotonically_increasing_id()))

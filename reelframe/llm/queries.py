@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelframe.llm import bpe, embeddings, licences, merkle, mixing, nearcopies, negatives, oracles, orc_tokens, packing, quality, quotations, separators, substrings
 from reelframe.llm.shared import table
@@ -63,7 +63,9 @@ def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+    """A seventh of all labels are moved on first, so that labels and vectors disagree there."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
 def op13_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

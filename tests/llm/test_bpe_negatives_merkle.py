@@ -101,7 +101,7 @@ def brute_negatives(rows):
     for vec_id, e, label, *_ in rows:
         if None in (vec_id, e, label) or any(x is None or not np.isfinite(x * 256) for x in e):
             continue
-        usable.append((vec_id, [Fraction(x) * 256 // 1 for x in e], (label + 1) % 10 if vec_id % 7 == 0 else label))
+        usable.append((vec_id, [Fraction(x) * 256 // 1 for x in e], label))
     score = lambda a, b: int(sum(x * y for x, y in zip(a, b, strict=True)))
     for anchor, q, label in usable:
         if anchor % 50:
