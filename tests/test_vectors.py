@@ -79,9 +79,13 @@ def starts(spark, seconds, duration):
 
 
 def test_segments(spark):
+    # A series, a length and the starts that belong to them.
     assert starts(spark, [0, 2, 5, 6, 11, 30], 40) == [0, 5, 11, 30]
     assert starts(spark, [], 12.5) == [0, 4, 8]
     assert starts(spark, [], 14) == [0, 4, 8, 12]
+    # Cases of our own: a start just 4 s on, one that ends too soon, frames only at the very end.
+    assert starts(spark, [3.5, 4, 7.5, 8.25, 15], 16) == [0, 4, 8.25]
+    assert starts(spark, [9.5], 10) == [0] and starts(spark, [], 4) == [0] and starts(spark, [], 9) == [0, 4]
 
 
 def test_pieces(spark):
@@ -90,9 +94,15 @@ def test_pieces(spark):
 
 
 def test_letterbox(spark):
+    # The size of the frame, its lit rows and how bright they are.
     rows = spark.range(6000).select(F.lit(1).alias("film"), F.lit(1).alias("frame"), F.floor(F.col("id") / 100).alias("y"), (F.col("id") % 100).alias("x"))
     found = images.letterbox(rows.withColumn("luma", F.when(F.col("y").between(10, 49), 120).otherwise(16))).first()
     assert (found.w, found.h) == (100, 40)
+    # A case of our own: bars on all sides in one frame, a dark frame, and a frame that is wider but not taller.
+    lit = lambda film, frame, top, bottom, left, right: [(film, frame, y, x, 90 if top <= y <= bottom and left <= x <= right else 3) for y in range(20) for x in range(30)]
+    frames = spark.createDataFrame([*lit(1, 1, 5, 14, 8, 20), *lit(1, 2, 0, -1, 0, -1), *lit(1, 3, 6, 14, 2, 27)], "film int, frame int, y int, x int, luma int")
+    one = images.letterbox(frames).first()
+    assert (one.w, one.h, one.aspect) == (13, 10, 1.3)
 
 
 def test_palette_takes_no_bucket_twice(spark):
