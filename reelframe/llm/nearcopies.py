@@ -90,7 +90,17 @@ def bag_minhash(owner: np.ndarray, grams: np.ndarray, weight: np.ndarray, n: int
     return signature.reshape(n, registers)
 
 
-def signing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signing(members):
+    """Band keys of texts; rows that can't be the one that stands for their text are left out before they are signed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(members.value, U)
+        yield from _signing(pass_members(b, "hash", words) for b in batches)
+
+    return run
+
+
+def _signing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in chunks(batches):
         n = part.num_rows
         owner, grams, weight = shingles(data, offsets)
@@ -160,13 +170,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     # Numbers of classes are unique, and fixed once they are written.
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
-    signed = keyed.mapInArrow(signing, "doc_id long, digest string, size long, keys array<long>").join(classes, ["doc_id", "digest"])
+    share = docs.sparkSession.sparkContext.broadcast
+    hashed = keyed.select("doc_id", "digest", hash_of("doc_id").alias("hash"), "text")
+    signed = hashed.mapInArrow(signing(share(member_bits(classes, "doc_id").tobytes())), "doc_id long, digest string, size long, keys array<long>").join(classes, ["doc_id", "digest"])
     signed = written(signed.select("id", "size", "keys").dropDuplicates(["id", "size", "keys"]))
     rows = candidate_rows(signed.select(F.explode("keys").alias("key"), "id", "size"), "size")
     rows = written(rows.join(classes, "id"))
-    members = docs.sparkSession.sparkContext.broadcast(member_bits(rows.select("doc_id").distinct(), "doc_id").tobytes())
-    texts = keyed.select("doc_id", "digest", hash_of("doc_id").alias("hash"), "text")
-    sets = texts.mapInArrow(listing(members), "doc_id long, digest string, grams binary").groupBy("doc_id", "digest").agg(F.first("grams").alias("grams"))
+    members = share(member_bits(rows.select("doc_id").distinct(), "doc_id").tobytes())
+    sets = hashed.mapInArrow(listing(members), "doc_id long, digest string, grams binary").groupBy("doc_id", "digest").agg(F.first("grams").alias("grams"))
     placed = blocked(rows.join(sets, ["doc_id", "digest"]), TILE, TILE_SHINGLES)
     links = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "grams").mapInArrow(overlaps, "a long, b long")
     groups = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
