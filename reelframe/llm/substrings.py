@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from reelframe.llm.members import hash_of, member_bits, pass_members
-from reelframe.llm.shared import text_digest, written
+from reelframe.llm.shared import salted_join, text_digest, written
 from reelframe.llm.words import BASE_A, BASE_B, NOT_SPACE, U, chunks, find, mix, sliding_min, windows, word_hashes
 
 WINDOW, RUN = 50, 16
@@ -202,9 +202,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, starts, copy): where windows start that also start in a smaller ``doc_id``; of a copy all do."""
     spark = docs.sparkSession
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
-    digests = keyed.select("doc_id", "row_hash", text_digest().alias("digest"))
+    digests = written(keyed.select("doc_id", "row_hash", text_digest().alias("digest")))
     classes = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    copies = digests.join(classes.where("n > 1").select("digest", "first"), "digest").where("doc_id > first")
+    copies = salted_join(digests, classes.where("n > 1").select("digest", "first"), ["digest"], "doc_id").where("doc_id > first")
     members = spark.sparkContext.broadcast(member_bits(classes.select("first"), "first").tobytes())
     keyed = keyed.withColumn("hash", hash_of("doc_id"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
