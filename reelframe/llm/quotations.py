@@ -109,7 +109,10 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     answers = written(answers_of(rows))
     placed = threads(answers).join(answers, ["conv_id", "turn"], "left")
     clean = F.btrim(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"), F.lit(" \n\r\t"))
-    return rows.join(placed, ["conv_id", "turn"], "left").select(
+    # Rows without a place in a conversation have no key that could part them.
+    named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in placed.schema if f.name not in rows.columns]
+    return rows.where(named).join(placed, ["conv_id", "turn"], "left").unionByName(rows.where(~named).select("*", *none)).select(
         "conv_id",
         "turn",
         "role",
