@@ -26,8 +26,8 @@ from reelframe.llm.words import chunks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Rests that are packed together.
-BLOCK = 4096
+#: Rests that are packed together, and bytes of text that are encoded at once.
+BLOCK, CHUNK = 4096, 1 << 19
 
 
 def fill(counts: list[int], capacity: int) -> list[int]:
@@ -108,7 +108,9 @@ def packer(tokenizer: str, window: int, end_id: int, block: int):
             out.clear()
             return made
 
-        for part, _, _ in chunks(batches):
+        # What the worker's task before held goes back first.
+        pa.default_memory_pool().release_unused()
+        for part, _, _ in chunks(batches, limit=CHUNK):
             ids, counts = encode([t or "" for t in part.column("text").to_pylist()])
             begin = 0
             for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
@@ -119,7 +121,8 @@ def packer(tokenizer: str, window: int, end_id: int, block: int):
                     put(doc, start, own[start : start + window], n + 1, next_sequence, 0)
                     next_sequence += 1
                 if full < len(own):
-                    rests.append((doc, full, own[full:], n + 1))
+                    # A copy, for a view would keep the whole document's ids.
+                    rests.append((doc, full, own[full:].copy(), n + 1))
             if len(rests) >= block:
                 flush()
             if len(out) >= 10_000:

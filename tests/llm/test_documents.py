@@ -176,6 +176,18 @@ def test_other_tokenizers_are_refused():
         Encoder(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_piece_table_grows_with_its_pieces(tokenizer):
+    from reelframe.llm.tokens import Encoder
+
+    found = Encoder(TOKENIZER)
+    assert found.keys.nbytes + found.values.nbytes < 1 << 20
+    for part in range(4):
+        text = " ".join(f"w{chr(97 + k % 26)}{np.base_repr(k, 36).lower()}" for k in range(part * 15_000, (part + 1) * 15_000))
+        ids, counts = found.encode([text])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert found.count * 2 <= len(found.keys) < found.count * 8
+
+
 def test_packing_leaves_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack_documents(docs, TOKENIZER).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
