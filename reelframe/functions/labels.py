@@ -69,8 +69,10 @@ CONTAINER_NAMES = {
 TEXT_SUBTITLES = ["text/x-raw", "application/x-ssa", "application/x-ass", "application/x-subtitle-vtt"]
 
 
-def human_bytes(n: Column) -> Column:
-    f = lambda unit, places: F.concat(F.format_string(f"%.{places}f", n / float(1024**unit)), F.lit(["", " KB", " MB", " GB", " TB"][unit]))
+def human_bytes(n: Column, even: bool = False) -> Column:
+    """Halves go up, or to the even digit as ``printf`` has them."""
+    rounded = lambda x, places: F.bround(x, places) if even else x
+    f = lambda unit, places: F.concat(F.format_string(f"%.{places}f", rounded(n / float(1024**unit), places)), F.lit(["", " KB", " MB", " GB", " TB"][unit]))
     return F.when(n >= 1024**4, f(4, 2)).when(n >= 1024**3, f(3, 1)).when(n >= 1024**2, f(2, 0)).when(n >= 1024, f(1, 0)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 

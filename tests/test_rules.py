@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe.functions import subtitles as T
+from reelframe.functions import labels, subtitles as T
 from reelframe.operators import catalogue as C, compat as K, grid, mutations as M, running as R, subtitles as S, timeline as L
 
 @pytest.fixture
@@ -248,3 +248,14 @@ def test_presentation_times(spark):
     found = {(r.file_id, r.sample): r.t for r in L.presentation_times(decode, composition, tracks).collect()}
     ticks = [0 + 5 - 6, 10 - 7 - 6, 20 - 7 - 6, 30 - 6, 50 - 6]
     assert found == {(1, k): max(t, 0) * 10**9 // 30 for k, t in enumerate(ticks)} | {(2, 0): 0, (2, 1): 10**19 // 90000}
+
+
+def test_halves_of_sizes_are_rounded_as_the_sql_rounds_them(spark):
+    from reelframe.plans.registry import queries
+
+    sizes = [184832, 185856, 180 * 2**20 + 2**19, 2**30 + 2**28, 2**30 + 3 * 2**28, 512, 2**40 + 2**39]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long")
+    found = rows.select(labels.human_bytes(F.col("n"), even=True).alias("even"), labels.human_bytes(F.col("n")).alias("up")).collect()
+    assert [r.even for r in found] == ["180 KB", "182 KB", "180 MB", "1.2 GB", "1.8 GB", "512 B", "1.50 TB"]
+    assert [r.up for r in found] == ["181 KB", "182 KB", "181 MB", "1.3 GB", "1.8 GB", "512 B", "1.50 TB"]
+    assert queries()["scalar_labels"](spark, "/root/testdata/sf0.1").where("id = 30014").first().size == "180 KB"
