@@ -259,3 +259,17 @@ def test_halves_of_sizes_are_rounded_as_the_sql_rounds_them(spark):
     assert [r.even for r in found] == ["180 KB", "182 KB", "180 MB", "1.2 GB", "1.8 GB", "512 B", "1.50 TB"]
     assert [r.up for r in found] == ["181 KB", "182 KB", "181 MB", "1.3 GB", "1.8 GB", "512 B", "1.50 TB"]
     assert queries()["scalar_labels"](spark, "/root/testdata/sf0.1").where("id = 30014").first().size == "180 KB"
+
+
+def test_pairs_of_a_large_room_are_made_by_blocks(spark):
+    from reelframe.operators.presence import larger_peers
+
+    draw = random.Random(4)
+    rows = [(k, None if k % 50 == 0 else k % 2, None if k % 31 == 0 else draw.randrange(40), "remote" if k % 5 == 0 else "player") for k in range(300)]
+    peers = spark.createDataFrame(rows, "client_id int, room int, width int, mode string")
+    found = larger_peers(peers, block=32)
+    expected = {(a, b) for a, r, w, _ in rows for b, s, v, mode in rows if r is not None and r == s and mode != "remote" and None not in (w, v) and (v, b) > (w, a)}
+    pairs = [tuple(p) for p in found.collect()]
+    assert len(pairs) == len(expected) and set(pairs) == expected
+    # More tasks than rooms have a share.
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
