@@ -108,12 +108,16 @@ def chapter_at(chapters: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def piece_buckets(pieces: DataFrame) -> DataFrame:
-    """AG8: share of present pieces, 0 to 255, in at most 200 buckets per file; two pre-aggregated steps, no window."""
-    n = pieces.groupBy("file_id").agg((F.max("piece") + 1).alias("n"))
+    """AG8: share of present pieces, 0 to 255, in at most 200 buckets per file.
+
+    The number of pieces is a window over the file: ``pieces`` are read once and aren't joined with themselves, and a file's rows
+    beyond a few thousand wait on disk.
+    """
+    sized = pieces.withColumn("n", F.max("piece").over(Window.partitionBy("file_id")) + 1)
     b = F.least(F.lit(MOST_BUCKETS), F.col("n"))
     bucket = F.floor(((F.col("piece") + 1) * b - 1) / F.col("n"))
     held = F.sum(F.col("have").cast("bigint"))
-    return pieces.join(n, "file_id").groupBy("file_id", bucket.alias("bucket")).agg(F.floor(held * 255 / F.count("*")).alias("level"))
+    return sized.where("file_id IS NOT NULL").groupBy("file_id", bucket.alias("bucket")).agg(F.floor(held * 255 / F.count("*")).alias("level"))
 
 
 def without_pieces(files: DataFrame) -> DataFrame:

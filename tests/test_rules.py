@@ -288,3 +288,10 @@ def test_each_entry_is_made_once_for_its_categories(spark):
     rows = spark.createDataFrame([("job", (1, "movie"), None, None, 5), ("download", None, (2, None), None, 7), ("orphan", None, None, ("h", 3), 3)], "kind string, job struct<id: int, media_type: string>, download struct<id: int, media_type: string>, orphan struct<hash: string, bytes: long>, bytes long")
     shown = sorted((r.category, r.kind) for r in library.by_category(rows).collect())
     assert shown == sorted((name, r.kind) for name in library.CATEGORIES for r in library.category(rows, name).collect())
+
+
+def test_pieces_are_read_once(spark):
+    pieces = spark.range(600).select(F.lit(1).alias("file_id"), F.col("id").alias("piece"), (F.col("id") < 300).alias("have"))
+    found = L.piece_buckets(pieces)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.level for r in found.orderBy("bucket").collect()] == [255] * 100 + [0] * 100
