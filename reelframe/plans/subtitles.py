@@ -8,7 +8,7 @@ from reelframe.functions import subtitles as T
 from reelframe.operators import subtitles as O
 from reelframe.plans.registry import query
 from reelframe.sources.carriers import carrier, dealt, given, with_carriers as sql
-from reelframe.sources.files import storage_files, subtitle_files
+from reelframe.sources.files import EACH_TASK_MOVES, storage_files, subtitle_files
 from reelframe.sources.workspace import shared_path
 
 _WS = "' ' || chr(10) || chr(9) || chr(13)"
@@ -159,7 +159,7 @@ def subtitle_corpus(spark, sf_dir):
     """SC7: one subtitle file per supplier, written, then read as a corpus of whole files."""
     path = shared_path(spark, "corpus")
     cues = F.format_string("1\n00:00:01,000 --> 00:00:02,500\n%s\n\n2\n00:01:03,000 --> 00:01:04,000\n<b>supplier %d</b> of %d", "s_name", "s_suppkey", "s_nationkey")
-    dealt(given(spark, sf_dir, "supplier")).select(cues.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    dealt(given(spark, sf_dir, "supplier")).select(cues.alias("value")).write.options(**EACH_TASK_MOVES).option("maxRecordsPerFile", 1).text(path)
     return O.explode_cues(subtitle_files(spark, path)).select("idx", "start", "end", "text")
 
 

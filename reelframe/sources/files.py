@@ -8,6 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: For writes of very many files: each task moves its own into place, where else the driver moves all one by one at the end.
+EACH_TASK_MOVES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def subtitle_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (path, content)."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
