@@ -295,3 +295,11 @@ def test_pieces_are_read_once(spark):
     found = L.piece_buckets(pieces)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r.level for r in found.orderBy("bucket").collect()] == [255] * 100 + [0] * 100
+
+
+def test_details_resume_from_all_titles(spark):
+    from reelframe.plans.registry import queries
+
+    small = "/root/testdata/sf0.01"
+    every, recent = (queries()[name](spark, small).collect() for name in ("resume_detail_hash", "resume_detail_recent"))
+    assert len(every) > 20 >= len(recent) and set(recent) <= set(every)
