@@ -214,3 +214,29 @@ def test_runs_of_failures_go_on_between_batches(spark, tmp_path, monkeypatch):
         run[u] = run.get(u, 0) + 1 if e == "error" else 0
         want += [(u, k)] if run[u] == 7 else []
     assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_state_has_few_partitions_and_settings_come_back(spark):
+    from reelframe.streaming import feeds
+
+    seen = []
+
+    class Writer:
+        _spark = spark
+
+        def trigger(self, availableNow):
+            seen.append((spark.conf.get(feeds.PARTITIONS), spark.conf.get(feeds.PROVIDER, None)))
+            return self
+
+        start = awaitTermination = lambda self: self
+
+    before = spark.conf.get(feeds.PARTITIONS)
+    spark.conf.set(feeds.PARTITIONS, "200")
+    try:
+        feeds.drained(Writer(), rocksdb=True)
+        feeds.drained(Writer())
+        assert spark.conf.get(feeds.PARTITIONS) == "200"
+    finally:
+        spark.conf.set(feeds.PARTITIONS, before)
+    assert int(seen[0][0]) <= 4 * spark.sparkContext.defaultParallelism and seen[0][1] == feeds.ROCKSDB
+    assert seen[1] == ("200", None)
