@@ -7,20 +7,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reelframe.functions import releases as R
 
 
-def features(listings: DataFrame) -> DataFrame:
-    """RF1-RF10 in projections, no shuffle: lowered texts, parsed parts, attributes of them, the score.
+TEXTS = ["title", "name", "binge_group", "filename"]
+
+
+def noted(listings: DataFrame) -> DataFrame:
+    """What a merge needs of every listing: its source and seeders; its texts stay as they are."""
+    listed = listings.select("source_idx", "pos", "info_hash", "file_idx", R.source_name(F.col("source_url")).alias("source"), R.listed_seeders(F.col("title")).alias("listed"), *TEXTS)
+    return listed.select("source_idx", "pos", "info_hash", "file_idx", "source", R.seeders(F.col("listed")).alias("seeders"), *TEXTS)
+
+
+def attributes(rows: DataFrame) -> DataFrame:
+    """``rows`` with attributes and the score in place of their texts: lowered texts, parsed parts, attributes of them.
 
     Each text is lowered once, in the first projection; as several attributes use it, Catalyst keeps the
     projections apart and computes it once a row.
     """
     c = F.col
-    ids = ["source_idx", "pos", "info_hash", "file_idx"]
-    low = listings.select(*ids, "source_url", "title", *[R.lowered(c(x)).alias(x + "_low") for x in ("title", "name", "binge_group", "filename")])
-    title, name, binge, file = (c(x + "_low") for x in ("title", "name", "binge_group", "filename"))
+    ids = [x for x in rows.columns if x not in TEXTS]
+    low = rows.select(*ids, "title", *[R.lowered(c(x)).alias(x + "_low") for x in TEXTS])
+    title, name, binge, file = (c(x + "_low") for x in TEXTS)
     texts = low.select(
         *ids,
-        R.source_name(c("source_url")).alias("source"),
-        R.listed_seeders(c("title")).alias("listed"),
         R.size_display(c("title")).alias("size_display"),
         R.named_resolution(binge, name).alias("named"),
         F.concat_ws("|", binge, file).alias("binge_file"),
@@ -30,8 +37,6 @@ def features(listings: DataFrame) -> DataFrame:
     )
     parsed = texts.select(
         *ids,
-        "source",
-        R.seeders(c("listed")).alias("seeders"),
         R.size_bytes(c("size_display")).alias("size_bytes"),
         "size_display",
         R.resolution(c("named")).alias("resolution"),
@@ -44,31 +49,54 @@ def features(listings: DataFrame) -> DataFrame:
     return parsed.withColumn("score", R.score(c("resolution"), c("seeders"), c("source_type"), c("audio"), c("size_bytes")))
 
 
+def features(listings: DataFrame) -> DataFrame:
+    """RF1-RF10 in projections, no shuffle."""
+    return attributes(noted(listings))
+
+
 def joined_names(ordered: Column) -> Column:
     """Names in order, each left out if it already is a part of the text so far."""
     return F.aggregate(ordered, F.lit(""), lambda acc, x: F.when(F.contains(acc, x["source"]), acc).otherwise(F.concat(acc, F.when(acc == "", "").otherwise(", "), x["source"])))
 
 
-def merge(rows: DataFrame) -> DataFrame:
-    """One row per content hash: the first row's attributes, all sources, the most seeders (AG1).
+def by_hash(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per content hash: ``kept`` of its first row and that row's own seeders, all sources, the most seeders.
 
-    Sources are few, so a hash's list of (order, source) keeps one entry per source: partial
-    aggregation by (hash, source) comes first, and a popular hash never gathers its rows.
+    A list has one source and sources are few, so partial aggregation keeps one row and one entry per
+    source of a hash, and a popular hash never gathers its rows. There is one shuffle.
     """
-    order = F.struct("source_idx", "pos")
-    kept = ["file_idx", "size_bytes", "size_display", "resolution", "codec", "audio", "source_type", "hdr", "imax"]
-    whole = F.struct("seeders", "score", *kept)
-    by_source = rows.groupBy("info_hash", "source").agg(F.min(order).alias("ord"), F.min_by(whole, order).alias("first"), F.max("seeders").alias("most"))
-    merged = by_source.groupBy("info_hash").agg(F.min_by("first", "ord").alias("first"), F.max("most").alias("seeders"), F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("names"))
-    found = merged.select("info_hash", joined_names(F.col("names")).alias("sources"), "seeders", F.col("first.seeders").alias("own"), F.col("first.score").alias("own_score"), *[F.col(f"first.{k}").alias(k) for k in kept])
+    found = rows.groupBy("info_hash").agg(
+        F.min(F.struct("source_idx", "pos", "seeders", *kept)).alias("first"),
+        F.max("seeders").alias("seeders"),
+        F.array_sort(F.collect_set(F.struct("source_idx", "source"))).alias("names"),
+    )
+    return found.select("info_hash", joined_names(F.col("names")).alias("sources"), "seeders", F.col("first.seeders").alias("own"), *[F.col(f"first.{k}").alias(k) for k in kept])
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """Rows with attributes, one per content hash: the first row's attributes, all sources, the most seeders (AG1)."""
+    found = by_hash(rows, ["file_idx", "size_bytes", "size_display", "resolution", "codec", "audio", "source_type", "hdr", "imax", "score"])
     anew = R.score(F.col("resolution"), F.col("seeders"), F.col("source_type"), F.col("audio"), F.col("size_bytes"))
     rose = F.coalesce(F.col("seeders") > F.coalesce("own", F.lit(-1)), F.lit(False))
-    return found.withColumn("score", F.when(rose, anew).otherwise(F.col("own_score"))).drop("own", "own_score")
+    return found.withColumn("score", F.when(rose, anew).otherwise(F.col("score"))).drop("own")
+
+
+def merge_listings(listings: DataFrame) -> DataFrame:
+    """``merge`` of the listings' features (AG1), with only the first listing of each hash taken apart.
+
+    The attributes of a hash are its first listing's, so the texts of the others aren't parsed. The most
+    seeders are the first's own or more, so the score is always by them.
+    """
+    return attributes(by_hash(noted(listings), ["file_idx", *TEXTS]).drop("own"))
 
 
 def ranked(merged: DataFrame) -> DataFrame:
-    """Best first; ties by hash (WN5)."""
-    return merged.orderBy(F.desc("score"), "info_hash")
+    """Best first; ties by hash (WN5).
+
+    A global sort reads its rows twice, first for the bounds of its ranges. Dealing them out before it lets
+    the second reading start from stored rows, not from the merge's last step.
+    """
+    return merged.repartition("info_hash", "score").orderBy(F.desc("score"), "info_hash")
 
 
 def top_per_resolution(merged: DataFrame, most: int = 5) -> DataFrame:

@@ -56,17 +56,17 @@ _MERGED = rf"""
 """
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return releases.features(carrier(spark, sf_dir, "listings", deal="lineitem"))
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carrier(spark, sf_dir, "listings", deal="lineitem")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return releases.merge(_features(spark, sf_dir))
+    return releases.merge_listings(_listings(spark, sf_dir))
 
 
 @query("release_features", with_carriers(f"WITH {_FEATURES} SELECT * REPLACE (round(score, 6) AS score) FROM f"))
 def release_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return releases.features(_listings(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("release_merge", with_carriers(f"WITH {_FEATURES} {_MERGED} SELECT * REPLACE (round(score, 6) AS score) FROM m"))
