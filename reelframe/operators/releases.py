@@ -102,13 +102,14 @@ def ranked(merged: DataFrame) -> DataFrame:
 def top_per_resolution(merged: DataFrame, most: int = 5) -> DataFrame:
     """Best few of each resolution; groups rank by their best score (WN1).
 
-    The filter on ``row_number`` becomes a partial top-k before the shuffle.
+    The filter on ``row_number`` becomes a partial top-k before the shuffle. Groups are ranked over the few
+    rows that are left, not by a join with them, which would make the merge a second time.
     """
     merged = merged.withColumn("bucket", F.coalesce("resolution", F.lit("Unknown")))
     inside = Window.partitionBy("bucket").orderBy(F.desc("score"), "info_hash")
     kept = merged.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= most)
-    best = kept.where("place = 1").select(F.col("bucket").alias("b"), F.dense_rank().over(Window.orderBy(F.desc("score"), "bucket")).alias("group_place"))
-    return kept.join(best, F.col("bucket") == F.col("b")).drop("b")
+    best = kept.withColumn("best", F.max("score").over(Window.partitionBy("bucket")))
+    return best.withColumn("group_place", F.dense_rank().over(Window.orderBy(F.desc("best"), "bucket"))).drop("best")
 
 
 def estimates(merged: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def test_popular_hash(spark):
     assert [(r.sources, r.seeders, r.own, r.title) for r in found] == [("s0, s1, s2", 19_999, 0, "👤 0")]
 
 
-@pytest.mark.parametrize("name", ["release_ranked", "release_merge", "release_estimate"])
+@pytest.mark.parametrize("name", ["release_ranked", "release_topk", "release_merge", "release_estimate"])
 def test_one_shuffle_of_unparsed_listings(spark, name):
     plan = plan_of(spark, name)
     assert len(re.findall(r"Exchange hashpartitioning\(info_hash#\d+, \d+\)", plan)) == 1 and not re.search(r"Exchange hashpartitioning\(info_hash#\d+, source#", plan)
@@ -51,3 +51,9 @@ def test_one_shuffle_of_unparsed_listings(spark, name):
 def test_ranking_sorts_stored_rows(spark):
     """The sort's first reading, for its bounds, ends at a shuffle right below it."""
     assert re.search(r"Exchange rangepartitioning[^\n]*\n[ :|]*\+- Exchange hashpartitioning", plan_of(spark, "release_ranked"))
+
+
+def test_groups_rank_by_their_best(spark):
+    rows = [("a", None, 5.0), ("b", "720p", 7.0), ("c", "720p", 9.0), ("d", "480p", 9.0), ("e", None, 1.0), ("f", None, 5.0)]
+    found = releases.top_per_resolution(spark.createDataFrame(rows, "info_hash string, resolution string, score double"), 2).collect()
+    assert sorted((r.group_place, r.bucket, r.place, r.info_hash) for r in found) == [(1, "480p", 1, "d"), (2, "720p", 1, "c"), (2, "720p", 2, "b"), (3, "Unknown", 1, "a"), (3, "Unknown", 2, "f")]
