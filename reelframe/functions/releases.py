@@ -75,7 +75,10 @@ def lowered(text: Column) -> Column:
 
 
 def source_name(url: Column) -> Column:
-    return F.substring_index(F.regexp_replace(url, "^(?:https://)*(?:http://)*", ""), ".", 1)
+    """Up to the first dot, behind the prefixes; a pattern is only tried where they may repeat, as it is slow and this is read of every listing."""
+    rest = F.when(F.startswith(url, F.lit("https://")), F.substr(url, F.lit(9))).when(F.startswith(url, F.lit("http://")), F.substr(url, F.lit(8))).otherwise(url)
+    bare = F.when(F.startswith(rest, F.lit("http")), F.regexp_replace(url, "^(?:https://)*(?:http://)*", "")).otherwise(rest)
+    return F.substring_index(bare, ".", 1)
 
 
 def listed_seeders(title: Column) -> Column:

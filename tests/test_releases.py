@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from reelframe.functions import releases as R
 from reelframe.operators import releases
 from reelframe.plans import registry
 
@@ -57,3 +60,11 @@ def test_groups_rank_by_their_best(spark):
     rows = [("a", None, 5.0), ("b", "720p", 7.0), ("c", "720p", 9.0), ("d", "480p", 9.0), ("e", None, 1.0), ("f", None, 5.0)]
     found = releases.top_per_resolution(spark.createDataFrame(rows, "info_hash string, resolution string, score double"), 2).collect()
     assert sorted((r.group_place, r.bucket, r.place, r.info_hash) for r in found) == [(1, "480p", 1, "d"), (2, "720p", 1, "c"), (2, "720p", 2, "b"), (3, "Unknown", 1, "a"), (3, "Unknown", 2, "f")]
+
+
+def test_sources_are_cut_without_a_pattern(spark):
+    urls = ["https://a.b.c", "http://a.b", "a.b", "https://https://http://a.b", "http://https://a.b", "http://http://a", "https://httpa.b", "HTTP://a.b", "https://", "", None]
+    found = spark.createDataFrame([(u,) for u in urls], "u string").select(R.source_name(F.col("u")).alias("s"), F.substring_index(F.regexp_replace("u", "^(?:https://)*(?:http://)*", ""), ".", 1).alias("plain"))
+    assert all(r.s == r.plain for r in found.collect())
+    plan = plan_of(spark, "release_merge")
+    assert plan.count("regexp_replace(") == plan.count("THEN regexp_replace(") == 1
