@@ -113,12 +113,16 @@ def top_per_resolution(merged: DataFrame, most: int = 5) -> DataFrame:
 
 
 def estimates(merged: DataFrame) -> DataFrame:
-    """Per resolution: how many, and the size of the first by score that has one (AG2; 1440p sorts last, kept on purpose)."""
+    """Per resolution: how many, and the size of the first by score that has one (AG2; 1440p sorts last, kept on purpose).
+
+    Rows without a resolution go by their count, which is 0: a filter on the resolution would be pushed below the
+    parsing, and the texts be looked through a second time for it.
+    """
     order = F.struct((-F.col("score")).alias("s"), "info_hash")
-    found = merged.where("resolution IS NOT NULL").groupBy("resolution").agg(
-        F.count("*").alias("n"),
+    found = merged.groupBy("resolution").agg(
+        F.count("resolution").alias("n"),
         F.expr("min_by(struct(size_bytes, size_display), struct(-score, info_hash)) FILTER (WHERE size_bytes IS NOT NULL)").alias("sized"),
         F.max_by("size_display", order).alias("last_display"),
     )
     place = F.when(F.col("resolution").isin("4K", "2160p"), 4).when(F.col("resolution") == "1080p", 3).when(F.col("resolution") == "720p", 2).when(F.col("resolution") == "480p", 1).otherwise(0)
-    return found.select("resolution", "n", F.col("sized.size_bytes").alias("size_bytes"), F.coalesce("sized.size_display", "last_display").alias("size_display"), place.alias("place"))
+    return found.where("n > 0").select("resolution", "n", F.col("sized.size_bytes").alias("size_bytes"), F.coalesce("sized.size_display", "last_display").alias("size_display"), place.alias("place"))

@@ -68,3 +68,11 @@ def test_sources_are_cut_without_a_pattern(spark):
     assert all(r.s == r.plain for r in found.collect())
     plan = plan_of(spark, "release_merge")
     assert plan.count("regexp_replace(") == plan.count("THEN regexp_replace(") == 1
+
+
+def test_estimate_parses_once(spark):
+    """No filter looks through the texts a second time; rows without a resolution still leave no group."""
+    assert not [line for line in plan_of(spark, "release_estimate").splitlines() if "Filter" in line and "regexp_extract" in line]
+    rows = [("a", None, 9.0, 5, "5 B"), ("b", "720p", 7.0, None, "x"), ("c", "720p", 6.0, 3, "3 B"), ("d", "1440p", 1.0, None, "1 PB")]
+    found = releases.estimates(spark.createDataFrame(rows, "info_hash string, resolution string, score double, size_bytes long, size_display string")).collect()
+    assert sorted((r.resolution, r.n, r.size_bytes, r.size_display, r.place) for r in found) == [("1440p", 1, None, "1 PB", 0), ("720p", 2, 3, "3 B", 2)]
