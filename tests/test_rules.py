@@ -275,6 +275,37 @@ def test_pairs_of_a_large_room_are_made_by_blocks(spark):
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
 
+def test_what_the_pairs_of_a_room_are_made_of_grows_with_its_peers(spark):
+    from reelframe.operators.presence import larger_peers
+
+    def written() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    sent = []
+    for n in (2000, 8000):
+        before = written()
+        peers = spark.range(n).selectExpr("id AS client_id", "1 AS room", "cast(id * 7919 % 500 AS int) AS width", "'player' AS mode")
+        assert larger_peers(peers, block=64).count() == n * (n - 1) // 2
+        sent.append(written() - before)
+    assert sent[1] < 6 * sent[0]
+
+
+def test_pairs_of_equal_and_nameless_peers(spark):
+    from reelframe.operators.presence import larger_peers
+
+    draw = random.Random(5)
+    rows = [(draw.choice([None, None, *range(12)]), draw.choice([None, 1, 1, 1, 2, 3]), draw.choice([None, 5, 5, 5, 6, 9]), draw.choice([None, "remote", "player", "player"])) for _ in range(400)]
+    rows += [(k, 100 + k, k % 3, "player") for k in range(40)] + [(7, 8, 5, "player")] * 90 + [(None, 8, 5, "player")] * 90
+    peers = spark.createDataFrame(rows, "client_id int, room int, width int, mode string")
+    above = lambda a, b: b[2] > a[2] or (b[2] == a[2] and a[0] is not None and b[0] is not None and b[0] > a[0])
+    full = [r for r in rows if r[1] is not None and r[2] is not None]
+    expected = sorted(((a[0], b[0]) for a in full for b in full if a[1] == b[1] and b[3] not in (None, "remote") and above(a, b)), key=str)
+    for block in (16, 4096):
+        assert sorted(map(tuple, larger_peers(peers, block=block).collect()), key=str) == expected
+    assert larger_peers(peers.limit(0)).count() == 0
+
+
 def test_each_entry_is_made_once_for_its_categories(spark):
     from reelframe.operators import library
 
